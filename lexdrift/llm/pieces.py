@@ -15,14 +15,14 @@ from array import array
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import SparkFiles  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow, parts, table
 
 SPACE = "▁"
 #: Entries of a worker's tables of runs and of compatible pairs; a full table is emptied.
-TABLE = 300_000
+TABLE = 400_000
 
 
 def model_path() -> str:
@@ -42,7 +42,8 @@ class Encoder:
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
         self.byte = {}
-        self.score, self.id = {}, {}
+        self.score: dict[str, float] = {}
+        self.id: dict[str, int] = {}
         for i, p in enumerate(self.pieces):
             if sp.is_byte(i):
                 self.byte[int(p[1:-1], 16)] = i
@@ -53,18 +54,21 @@ class Encoder:
         probe = " ½  á\tb\n "
         if sp.decode(sp.encode(probe)) != probe or sp.encode("a")[0] != self.id.get(SPACE + "a", -1):
             raise ValueError("the model's normaliser changes texts")
-        at = array("I", range(256))
         self.byte_of = {i: bytes([b]) for b, i in self.byte.items()}
-        del at
         self.text = [self.byte_of.get(i) or (b"" if i in (self.bos, self.eos) else " ⁇ ".encode() if i == self.unk else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
         self.code = [i.to_bytes(4, "little") for i in range(n)]
-        self.reach: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.shorter: dict[str, str | None] = {}
+        self.pairs: dict[int, bool] = {}
+        self.size = [len(p) for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
-        for p in self.id:
-            self.automaton.add_word(p, p)
+        whole = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}  # merging a piece's own characters makes it
+        for p in whole:
+            self.automaton.add_word(p, (len(p), self.id[p]))
         self.automaton.make_automaton()
+        # the longest shorter piece that each begins with; -1: none, -2: its first character, which has no id
+        self.shorter = [-1] * n
+        for p in whole:
+            if len(p) > 1:
+                self.shorter[self.id[p]] = next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in whole), -2)
         self.inner, self.head = Runs(self, SPACE), Runs(self, "")
 
     def merge(self, text: str) -> list[str]:
@@ -81,56 +85,55 @@ class Encoder:
             out[at : at + 2] = [out[at] + out[at + 1]]
         return out
 
-    def whole(self, piece: str) -> bool:
-        """Whether merging the piece's own characters makes it."""
-        if (r := self.reach.get(piece)) is None:
-            r = self.reach[piece] = len(piece) == 1 or self.merge(piece) == [piece]
+    def fits(self, a: int, b: int) -> bool:
+        """Whether two neighbours stay as they are when their characters merge anew. Below 0: a character without an id, which never merges."""
+        r = True
+        if a >= 0 and b >= 0:
+            p, q = self.pieces[a], self.pieces[b]
+            r = self.merge(p + q) == [p, q]
+        if len(self.pairs) >= TABLE:
+            self.pairs.clear()
+        self.pairs[a * (1 << 21) + b] = r
         return r
 
-    def prefix(self, piece: str) -> str | None:
-        """The longest shorter piece that it begins with; single characters always are pieces."""
-        if piece in self.shorter:
-            return self.shorter[piece]
-        out = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if k == 1 or (piece[:k] in self.id and self.whole(piece[:k]))), None)
-        if len(self.shorter) < TABLE:
-            self.shorter[piece] = out
-        return out
-
-    def fits(self, a: str, b: str) -> bool:
-        if (r := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= TABLE:
-                self.pairs.clear()
-            r = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return r
-
-    def split(self, text: str) -> list[str]:
-        n = len(text)
-        longest = list(text)
-        for end, p in self.automaton.iter(text):
-            at = end + 1 - len(p)
-            if len(p) > len(longest[at]) and self.whole(p):
-                longest[at] = p
+    def split(self, text: str) -> list[int]:
+        """Ids of the pieces of a run; -1 - code point for a character without an id."""
+        if not text:
+            return []
+        n, ids, known, shorter, sizes = len(text), self.id, self.pairs.get, self.shorter, self.size
+        longest = [ids[c] if c in ids else -1 - ord(c) for c in text]
+        reach = [1] * n
+        for end, (size, i) in self.automaton.iter(text):
+            at = end + 1 - size
+            if size > reach[at]:
+                reach[at], longest[at] = size, i
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        at, now = 0, longest[0] if n else None
-        while now is not None:
-            end = at + len(now)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.fits(out[-1], now)):
-                out.append(now)
-                at = end
-                now = longest[at] if at < n else None
-            elif (less := self.prefix(now)) is not None:
-                now = less
-            else:
+        out: list[int] = []
+        at, now, last = 0, longest[0], None
+        while True:
+            end = at + (sizes[now] if now >= 0 else 1)
+            if not failed[end >> 3] >> (end & 7) & 1:
+                fit = True if last is None else known(last * 2097152 + now)
+                if self.fits(last, now) if fit is None else fit:
+                    out.append(now)
+                    if end == n:
+                        return out
+                    at, last, now = end, now, longest[end]
+                    continue
+            less = shorter[now] if now >= 0 else -1
+            if less == -2:
+                less = -1 - ord(text[at])
+            elif less == -1:
                 failed[at >> 3] |= 1 << (at & 7)
-                now = out.pop()
-                at -= len(now)
-        return out
+                less = out.pop()
+                at -= sizes[less] if less >= 0 else 1
+                last = out[-1] if out else None
+            now = less
 
     def codes(self, text: str) -> bytes:
         """The ids of a run as little-endian 32-bit integers; a character outside the vocabulary gives its bytes."""
-        code, ids, byte = self.code, self.id, self.byte
-        return b"".join([code[ids[p]] if p in ids else b"".join([code[byte[b]] for b in p.encode()]) for p in self.split(text)])
+        code = self.code
+        return b"".join([code[i] if i >= 0 else b"".join([code[self.byte[b]] for b in chr(-1 - i).encode()]) for i in self.split(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids with begin and end."""
@@ -213,8 +216,6 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for part in parts(batch):
             codes = [e.encode(t or "") for t in part["text"].to_pylist()]
             lengths = pa.array([0] + [len(c) // 4 for c in codes], pa.int32())
-            import pyarrow.compute as pc
-
             ids = pa.ListArray.from_arrays(pc.cumulative_sum(lengths), pa.Array.from_buffers(pa.int32(), sum(map(len, codes)) // 4, [None, pa.py_buffer(b"".join(codes))]))
             yield {"doc_id": part["doc_id"], "ids": ids}
 
