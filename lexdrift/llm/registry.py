@@ -6,9 +6,11 @@ import importlib
 
 #: query -> module with query(spark, sf_dir) and perhaps ORACLE_SQL.
 MODULES = {
+    "op1_centroid_language": "langid",
     "op3_jpeg_media": "media",
     "op4_piece_round_trip": "pieces",
     "op5_chunk_fingerprints": "fingerprints",
+    "op6_attention_quality": "quality",
     "op10_pivotal_mixing": "mixing",
 }
 
