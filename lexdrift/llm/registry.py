@@ -7,6 +7,7 @@ import importlib
 #: query -> module with query(spark, sf_dir) and perhaps ORACLE_SQL.
 MODULES = {
     "op1_centroid_language": "langid",
+    "op2_lattice_lm": "lm",
     "op3_jpeg_media": "media",
     "op4_piece_round_trip": "pieces",
     "op5_chunk_fingerprints": "fingerprints",
