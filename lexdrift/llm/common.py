@@ -99,15 +99,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 BITMAP_BITS = 1 << 24
 
 
+def bitmap_slots(keys: np.ndarray) -> np.ndarray:
+    """Bit of each 64-bit key."""
+    return (mix64(keys.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+
+
 def bitmap(df: DataFrame, key: str) -> np.ndarray:
-    """A bitmap of the values of a bigint column: a bounded pre-filter, followed by an exact join."""
-    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
-    words = (
-        df.select(slot.alias("s"))
-        .groupBy((F.col("s") / 64).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-        .toArrow()
-    )
+    """A bitmap of the values of a bigint column, of fixed size: a pre-filter, to be followed by an exact join."""
+
+    def run(batch):
+        slot = np.unique(bitmap_slots(batch[key].to_numpy()))
+        yield {"w": (slot >> 6).astype(np.int32), "bits": (np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64)}
+
+    words = map_arrow(df.select(key), run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITMAP_BITS // 64, np.uint64)
     if len(words):
         out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)

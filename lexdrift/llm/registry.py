@@ -12,6 +12,7 @@ MODULES = {
     "op4_piece_round_trip": "pieces",
     "op5_chunk_fingerprints": "fingerprints",
     "op6_attention_quality": "quality",
+    "op8_metric_jaccard": "jaccard",
     "op10_pivotal_mixing": "mixing",
 }
 
