@@ -13,6 +13,7 @@ MODULES = {
     "op5_chunk_fingerprints": "fingerprints",
     "op6_attention_quality": "quality",
     "op8_metric_jaccard": "jaccard",
+    "op9_minhash_lines": "lines",
     "op10_pivotal_mixing": "mixing",
 }
 
