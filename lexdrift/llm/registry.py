@@ -12,6 +12,7 @@ MODULES = {
     "op4_piece_round_trip": "pieces",
     "op5_chunk_fingerprints": "fingerprints",
     "op6_attention_quality": "quality",
+    "op7_edit_token_counts": "counts",
     "op8_metric_jaccard": "jaccard",
     "op9_minhash_lines": "lines",
     "op10_pivotal_mixing": "mixing",
