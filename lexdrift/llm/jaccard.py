@@ -388,11 +388,12 @@ def _candidates(docs: DataFrame, words: int, bits) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents with their columns, one of each component: the one with the least id; of equal rows one."""
-    found = join(docs, **options).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c"), F.col("n_shingles").alias("_n"))
-    keep = found.where(F.col("_id").eqNullSafe(F.col("_c"))).groupBy("_id").agg(F.max("_n").alias("_n"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
-    return rows.withColumn("_k", first).where((F.col("_k") == 1)).select(*docs.columns)
+    low = F.lit(-(1 << 63))
+    found = join(docs, **options).select(F.coalesce("doc_id", low).alias("_id"), F.coalesce("component_id", low).alias("_c"))
+    keep = found.where("_id = _c").select("_id").distinct()
+    rows = docs.withColumn("_id", F.coalesce("doc_id", low)).join(keep, "_id")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("text").desc_nulls_last()))
+    return rows.withColumn("_k", first).where(F.col("_k") == 1).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

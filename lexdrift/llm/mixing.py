@@ -135,13 +135,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as many times as the mix takes it, with their columns."""
     names = docs.columns
-    order = Window.partitionBy("doc_id").orderBy
-    counted = docs.withColumn("_size", word_count(F.col("text")))
-    left = counted.withColumn("_k", F.row_number().over(order("source", "_size", "text")))
-    plan = mix(docs, **options).where(F.col("size") >= 0)
-    right = plan.withColumn("_k", F.row_number().over(order("source", "size", "copies"))).select(F.col("doc_id").alias("_id"), "_k", "copies").where("copies > 0")
-    joined = left.join(right.withColumnRenamed("_k", "_j"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_j")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    low = F.lit(-(1 << 63))
+    unit = F.struct("source", "size", "copies")
+    plan = mix(docs, **options).groupBy(F.coalesce("doc_id", low).alias("_id")).agg(F.sort_array(F.collect_list(unit)).alias("_units"))
+    plan = plan.where(F.exists("_units", lambda u: u["copies"] > 0))
+    rows = docs.withColumn("_id", F.coalesce("doc_id", low)).withColumn("_size", word_count(F.col("text"))).join(plan, "_id")
+    # of rows with equal ids, the k-th by source and size is the k-th unit
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(F.col("source").cast("string"), "_size", "text")))
+    rows = rows.withColumn("_copies", F.element_at("_units", F.col("_k"))["copies"].cast("int")).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,16 +214,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batch):
         e = encoder(path)
         for part in parts(batch):
-            codes = [e.encode(t or "") for t in part["text"].to_pylist()]
-            lengths = pa.array([0] + [len(c) // 4 for c in codes], pa.int32())
-            ids = pa.ListArray.from_arrays(pc.cumulative_sum(lengths), pa.Array.from_buffers(pa.int32(), sum(map(len, codes)) // 4, [None, pa.py_buffer(b"".join(codes))]))
-            yield {"doc_id": part["doc_id"], "ids": ids}
+            yield {"doc_id": part["doc_id"], "ids": _lists([e.encode(t or "") for t in part["text"].to_pylist()])}
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for rows (doc_id, text).
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) for rows (doc_id, text).
 
     Each row stands alone: repeated rows give repeated results, no rows none, other columns are ignored. Null or empty texts have two ids
     and decode to the empty text. A run without spaces is kept whole however long it is.
@@ -233,15 +230,18 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batch):
         e = encoder(path)
         for part in parts(batch):
-            n, a, b = [], [], []
-            for t in part["text"].to_pylist():
-                codes = e.encode(t or "")
-                n.append(len(codes) // 4)
-                a.append(hashlib.sha256(codes).hexdigest())
-                b.append(hashlib.sha256(e.decode(memoryview(codes).cast("I").tolist()).encode()).hexdigest())
-            yield {"doc_id": part["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
-
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            codes = [e.encode(t or "") for t in part["text"].to_pylist()]
+            out = {"doc_id": part["doc_id"], "n_tokens": [len(c) // 4 for c in codes], "ids_sha256": [hashlib.sha256(c).hexdigest() for c in codes]}
+            out["decoded_sha256"] = [hashlib.sha256(e.decode(memoryview(c).cast("I").tolist()).encode()).hexdigest() for c in codes]
+            yield out | ({"ids": _lists(codes)} if with_ids else {})
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(docs.select("doc_id", "text"), run, schema + ", ids array<int>" * with_ids)
+
+
+def _lists(codes: list[bytes]) -> pa.ListArray:
+    lengths = pa.array([0] + [len(c) // 4 for c in codes], pa.int32())
+    return pa.ListArray.from_arrays(pc.cumulative_sum(lengths), pa.Array.from_buffers(pa.int32(), sum(map(len, codes)) // 4, [None, pa.py_buffer(b"".join(codes))]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

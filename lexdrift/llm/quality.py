@@ -167,6 +167,22 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), ac
     return map_arrow(docs.select(*columns), run, f"{schema}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
+    """The rows of docs, with their columns, whose text scores `accept` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch):
+                data, offsets = flat(part["text"])
+                keep = np.zeros(len(offsets) - 1, bool)
+                for a, b in chunks(offsets, 1 << 18):
+                    keep[a:b] = sent.value.forward(*passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) >= accept
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(fold("doc_id", 5) != 0))
