@@ -65,7 +65,7 @@ def lag_projection(yearly: DataFrame, key: str, freq: str = "mean_freq", least:
     """What the trend of the years two and three before lets expect: f(y-2) + max(2 (f(y-2) - f(y-3)), 0); with ratio and gap."""
     w = Window.partitionBy(key).orderBy("year")
     two, three = F.lag(freq, 2).over(w), F.lag(freq, 3).over(w)
-    out = yearly.withColumn("projection", two + F.greatest(2 * (two - three), F.lit(0.0))).where(F.col("projection").isNotNull())
+    out = yearly.withColumn("projection", two + F.when(three.isNotNull(), F.greatest(2 * (two - three), F.lit(0.0)))).where(F.col("projection").isNotNull())
     out = out.withColumn("ratio", F.try_divide(F.col(freq), F.col("projection"))).withColumn("gap", F.col(freq) - F.col("projection"))
     return out.where(F.col("year") >= least) if least else out
 

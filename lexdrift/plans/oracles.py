@@ -139,7 +139,7 @@ ORACLES = {
     "ols_projection": f"WITH {BASE}, {GROUP_YEAR} SELECT grp, year, {r('freq')}, {r('projection')}, {r('sdev')} FROM proj",
     "gap_ratio_usage": f"WITH {BASE}, {GROUP_YEAR} SELECT grp, year, {r('gap')}, {r('ratio')}, {r('usage')} FROM proj",
     "word_projection": f"""WITH {BASE}, {WORD_YEAR}, {regression('wy', 'word', 'year', END, LENGTH)}
-        SELECT word, year, {r('freq')}, {r('projection')}, {r('gap')}, {r('ratio')}, {r('sdev')}, {r('usage')} FROM proj WHERE year >= 2020""",
+        SELECT word, year, {r('freq')}, {r('projection')}, {r('gap')}, round(CASE WHEN abs(projection) > 1e-6 THEN ratio END, 6) + 0.0 AS ratio, {r('sdev')}, {r('usage')} FROM proj WHERE year >= 2020""",
     "month_projection": f"WITH {BASE}, {GROUP_MONTH} SELECT grp, year, month, {r('projection')}, {r('sdev')}, {r('usage')} FROM proj WHERE year >= 2022",
     "last_usage": f"WITH {BASE}, {GROUP_MONTH} SELECT grp, round(arg_max(usage, i), 6) AS usage FROM proj GROUP BY grp",
     "standard_errors": f"""WITH {BASE}, {GROUP_YEAR}, c AS (SELECT * REPLACE (CASE WHEN freq = 1 THEN 0.9999999999999999::DOUBLE ELSE freq END AS freq) FROM proj WHERE projection > 0 AND projection < 0.99 AND freq < 0.99)

@@ -221,7 +221,7 @@ def word_projection(spark, sf_dir):
     """Tidy report per marker word: frequency, projection, gap, ratio, error, usage of the years from 2020."""
     p, rows = _base(spark, sf_dir)
     x = frequency.regression(_yearly(p, rows, _markers(rows, p)), ["word"], "year", "freq", END, LENGTH).where("year >= 2020")
-    return x.select("word", "year", *[r(c).alias(c) for c in ("freq", "projection", "gap", "ratio", "sdev")], r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
+    return x.select("word", "year", *[r(c).alias(c) for c in ("freq", "projection", "gap", "sdev")], r(F.when(F.abs("projection") > 1e-6, F.col("ratio"))).alias("ratio"), r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
 
 
 def month_projection(spark, sf_dir):
