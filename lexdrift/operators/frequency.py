@@ -61,6 +61,17 @@ def yearly_mean(monthly: DataFrame, *keys: str) -> DataFrame:
     return monthly.groupBy(*keys, "year").agg(F.avg("freq").alias("mean_freq"))
 
 
+def floor_mean(monthly: DataFrame, value: str, *keys: str, time: str = "time") -> DataFrame:
+    """Mean per key and whole year of rows on a continuous month axis."""
+    return monthly.groupBy(*keys, F.floor(time).cast("int").alias("year")).agg(F.avg(value).alias(value))
+
+
+def aligned(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Two count tables side by side, all keys of either, with zeros where one has none."""
+    a, b = left.select(*keys, F.col(value).alias("left_n")), right.select(*keys, F.col(value).alias("right_n"))
+    return a.join(b, keys, "full").na.fill(0, ["left_n", "right_n"])
+
+
 def lag_projection(yearly: DataFrame, key: str, freq: str = "mean_freq", least: int | None = None) -> DataFrame:
     """What the trend of the years two and three before lets expect: f(y-2) + max(2 (f(y-2) - f(y-3)), 0); with ratio and gap."""
     w = Window.partitionBy(key).orderBy("year")

@@ -52,3 +52,18 @@ def null_shares(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def pivoted(rows: DataFrame, key: str, column: str, values: list, value: str) -> DataFrame:
     return rows.groupBy(key).pivot(column, values).agg(F.first(value))
+
+
+def transposed(rows: DataFrame, columns: list[str], key: str | None = None, values: list | None = None) -> DataFrame:
+    """Columns become rows: (measure, value) of a single row, or (measure, one column per value of a key)."""
+    if key is None:
+        return rows.unpivot([], columns, "measure", "value")
+    return rows.unpivot([key], columns, "measure", "value").groupBy("measure").pivot(key, values).agg(F.first("value"))
+
+
+def overlay(report: DataFrame, published: DataFrame, months: int = 6) -> DataFrame:
+    """Published estimates (date, section, estimate, mode, method) beside the report's rows (date, section, usage) of the same section, within
+    some months of each other. The table of published estimates is small and given."""
+    p = F.broadcast(published.withColumnRenamed("date", "published_on").withColumnRenamed("section", "_s"))
+    near = F.abs(F.months_between("date", "published_on")) <= months
+    return report.join(p, (F.col("section") == F.col("_s")) & near).drop("_s")

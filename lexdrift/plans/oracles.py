@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.lists import CUTOFFS, IGNORED_WORDS
+from ..operators.cleaning import STOP_WORDS
 from .queries import COMMON, END, FIRST, LAST, LENGTH, MARKER_LEAST, MARKER_MOST, MOST_SE
 
 PAPERS = """papers AS (
@@ -66,7 +67,13 @@ def variance(p: str, q: str, n: str, version: str, function: str) -> str:
 
 GROUP_YEAR = f"{groups('years')}, {regression('groups', 'grp', 'year', END, LENGTH)}"
 GROUP_MONTH = f"{groups('months')}, indexed AS (SELECT *, year * 12 + month - 1 AS i FROM groups), {regression('indexed', 'grp', 'i', 2022 * 12 + 10, 24)}"
-CUTS = f"cuts AS (SELECT c.cutoff, (row_number() OVER (ORDER BY c.cutoff) - 1)::INTEGER AS step FROM (SELECT unnest([{', '.join(map(repr, CUTOFFS))}]::DOUBLE[]) AS cutoff) c)"
+
+
+def cuts_of(values: list[float]) -> str:
+    return f"cuts AS (SELECT c.cutoff, (row_number() OVER (ORDER BY c.cutoff) - 1)::INTEGER AS step FROM (SELECT unnest([{', '.join(map(repr, values))}]::DOUBLE[]) AS cutoff) c)"
+
+
+CUTS = cuts_of(CUTOFFS)
 F2024 = "f2024 AS (SELECT word, freq FROM wy WHERE year = 2024)"
 SWEEP = """swept AS (
     SELECT c.cutoff, c.step, y.year, y.n_papers, count(DISTINCT h.doc_id) AS n, (count(DISTINCT h.doc_id) + 1.0::DOUBLE) / (y.n_papers + 1) AS freq
@@ -101,6 +108,7 @@ def r(x: str, name: str = "") -> str:
     return f"round({x}, 6) + 0.0 AS {name or x}"
 
 
+_STAGES = ["before_prep", "after_article_type", "after_sections", "after_abstract", "after_language", "after_date"]
 ORACLES = {
     "corpus_funnel": f"""WITH {PAPERS}, s AS (SELECT article_type IN ('research-article', 'review-article', 'case-report') AS a, len(lines) > 1 AS b, length(abstract) >= 250 AS c, language = 'en' AS d FROM papers)
         SELECT count(*) AS before_prep, count_if(a)::BIGINT AS after_article_type, count_if(a AND b)::BIGINT AS after_sections, count_if(a AND b AND c)::BIGINT AS after_abstract,
@@ -108,6 +116,10 @@ ORACLES = {
     "funnel_discarded": f"""WITH {PAPERS}, s AS (SELECT journal, count(*) AS n, count_if(article_type <> 'editorial' AND len(lines) > 1 AND length(abstract) >= 250 AND language = 'en') AS k FROM papers GROUP BY journal)
         SELECT sum(n)::BIGINT AS before_prep, sum(k)::BIGINT AS after_prep, round(avg(1 - k / n), 6) AS mean_discarded, round(quantile_cont(1 - k / n, 0.5), 6) AS median_discarded FROM s""",
     "dedupe_latest": f"WITH {PAPERS} SELECT doc_id, year, journal, 1::INTEGER AS load FROM papers",
+    "language_inferred": f"""WITH {PAPERS}, w AS (SELECT doc_id, language, regexp_split_to_array(lower(abstract), '[^\\p{{L}}]+') AS w FROM papers),
+        s AS (SELECT doc_id, language, l.lang, l.k, len(list_filter(w, lambda x: list_contains(l.own, x))) AS n FROM w CROSS JOIN (VALUES {", ".join(f"('{lang}', {k}, {own})" for k, (lang, own) in enumerate(STOP_WORDS.items()))}) l(lang, k, own)),
+        b AS (SELECT doc_id, max(language) AS language, arg_max(lang, n * 100 - k) AS lang, max(n) AS n FROM s GROUP BY doc_id)
+        SELECT CASE WHEN doc_id % 2 = 0 THEN language WHEN n > 0 THEN lang END AS language, count(*) AS n FROM b GROUP BY 1""",
     "section_standardize": """WITH x AS (SELECT doc_id, i, line, ['introduction', 'methods', 'results', 'discussion', 'background', '', 'conclusion', 'methods'][(i - 1) % 8 + 1] AS section
         FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))
         SELECT doc_id, section, length(string_agg(line, ' ' ORDER BY i)) AS n_chars, md5(string_agg(line, ' ' ORDER BY i)) AS digest FROM x WHERE section <> '' GROUP BY doc_id, section""",
@@ -186,5 +198,11 @@ ORACLES = {
     "substring_probe": f"WITH {PAPERS} SELECT year, count_if(contains(lower(abstract), 'tion the'))::BIGINT AS n FROM papers GROUP BY year",
     "crop_words": f"WITH {PAPERS} SELECT doc_id, least({WORDS.format('abstract')}, 50)::BIGINT AS n_words, true AS contained FROM papers",
     "sample_words": f"WITH {PAPERS} SELECT doc_id, least({WORDS.format('abstract')}, 50)::BIGINT AS n_words FROM papers",
+    "floor_year_mean": f"WITH {BASE}, {WORD_MONTH}, {MEAN} SELECT word, year, round(mean_freq, 6) + 0.0 AS freq FROM wmean",
+    "aligned_counts": f"WITH {PAPERS}, {POSTINGS} SELECT word, count_if(year = 2000)::BIGINT AS left_n, count_if(year = 2025)::BIGINT AS right_n FROM postings WHERE year IN (2000, 2025) GROUP BY word",
+    "lemma_sweep": f"""WITH {PAPERS}, {POSTINGS.replace("postings AS", "raw AS")}, vocab AS (SELECT DISTINCT word FROM raw),
+        postings AS (SELECT DISTINCT doc_id, year, month, CASE WHEN word LIKE '%s' THEN left(word, len(word) - 1) ELSE word END AS word FROM raw),
+        {MARKERS}, {YEARS}, {WORD_YEAR}, {F2024}, {cuts_of([0.02, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0])}, {SWEEP} SELECT cutoff, year, n, {r('freq')} FROM swept WHERE year >= 2018""",
     "html_titles": r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '[ \t\r\n]+', ' ', 'g')), '') AS title FROM pages""",
 }
+ORACLES["funnel_transposed"] = f"WITH f AS ({ORACLES['corpus_funnel']}) " + " UNION ALL ".join(f"SELECT '{k}' AS measure, {k} AS value FROM f" for k in _STAGES)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import estimate
 from ..functions.dates import month_axis, parse_date
 from ..functions.lists import CUTOFFS, IGNORED_WORDS
-from ..functions.text import canonical_title, clean_title, crop, last_label, sample, standard_sections, word_count
+from ..functions.text import canonical_title, clean_title, crop, sample, standard_sections, word_count
 from ..operators import cleaning, cutoffs, frequency, lemmas, reports, simulation
 from ..sources.corpus import TITLES, papers, table
 from ..sources.xml import html_title
@@ -477,10 +477,31 @@ def simulated_recovery(spark, sf_dir):
     return simulation.recovered(s).select("share", r("usage").alias("usage"), r("gap").alias("gap"), "cutoff")
 
 
-def single_label(spark, sf_dir):
-    """The rightmost of a few short keywords in each text's first line."""
-    line = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
-    return table(spark, sf_dir, "documents").select("doc_id", last_label(line, ["the", "and", "tion", "le"]).alias("label"))
+def floor_year_mean(spark, sf_dir):
+    g = _monthly(*_base(spark, sf_dir)).withColumn("time", month_axis(F.col("year"), F.col("month"))).drop("year")
+    return frequency.floor_mean(g, "freq", "word").select("word", "year", r("freq").alias("freq"))
+
+
+def aligned_counts(spark, sf_dir):
+    _, rows = _base(spark, sf_dir)
+    first, last = (frequency.word_counts(rows.where(F.col("year") == y)) for y in (2000, 2025))
+    return frequency.aligned(first, last, ["word"], "n")
+
+
+def funnel_transposed(spark, sf_dir):
+    f = cleaning.funnel(papers(spark, sf_dir))
+    return reports.transposed(f, f.columns)
+
+
+def lemma_sweep(spark, sf_dir):
+    """The sweep over lemmas: words that begin alike up to a final s are one."""
+    p, rows = _base(spark, sf_dir)
+    _, own = _renames(spark)(rows)
+    none = spark.createDataFrame([], "word string, new string")
+    renamed = lemmas.rename(rows, none, own).select("doc_id", "year", F.col("lemma").alias("word")).distinct()
+    y = _yearly(p, renamed, _markers(renamed, p)).where("year = 2024").select("word", "freq")
+    c = cutoffs.cutoff_table(spark, [0.02, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0])
+    return cutoffs.sweep(renamed, y, c, frequency.calendar(p, FIRST, LAST)).where("year >= 2018").select("cutoff", "year", "n", r("freq").alias("freq"))
 
 
 NAMES = [
@@ -491,6 +512,7 @@ NAMES = [
     "cutoff_lists", "cutoff_sweep", "sweep_filtered", "optimal_cutoff", "fixed_cutoff", "chosen_words", "neighbour_cutoffs", "marker_order",
     "country_freq", "country_pivot", "country_compare", "region_freq", "discipline_label", "discipline_freq", "discipline_share", "journal_counts",
     "journal_other", "journal_share", "journals_removed", "journals_added", "journals_per_year", "null_share", "dup_ids", "lemma_sum", "lemma_union",
-    "delemmatize", "layout_topk", "title_counts", "substring_probe", "crop_words", "sample_words", "html_titles", "simulated_recovery", "single_label",
+    "delemmatize", "layout_topk", "title_counts", "substring_probe", "crop_words", "sample_words", "html_titles", "simulated_recovery",
+    "floor_year_mean", "aligned_counts", "funnel_transposed", "lemma_sweep",
 ]
 QUERIES = {name: globals()[name] for name in NAMES}
