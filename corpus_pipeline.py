@@ -20,8 +20,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of alike lines, one stays in one document. Documents stay, with n_chars of the text that is left."""
-    out = lines.deduplicate(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # kept apart from the columns that the operator adds
+    out = lines.deduplicate(docs.select("doc_id", "text", F.struct(*rest).alias("_rest")) if rest else docs)
+    length = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else length.alias(c) if c == "n_chars" else F.col("_rest")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
