@@ -44,16 +44,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove the files of a table that materialise() wrote, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if ".parquet" in f and shared_dir(spark).split(":", 1)[-1].lstrip("/") in f:
-            at = jvm.org.apache.hadoop.fs.Path(f)
-            at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
-
-
 def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column (null: empty) and their offsets, without a copy where there are no nulls."""
     if isinstance(col, pa.ChunkedArray):

@@ -1,4 +1,5 @@
 import pytest
+from helpers import documents
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -35,5 +36,19 @@ def test_stages(spark, small):
     assert encoded.select("n_tokens").exceptAll(pieces.round_trip(mixed).select("n_tokens")).count() == 0
 
 
+def test_odd_documents(spark, small):
+    names = ("n_lines", "kept_in", "size", "copies", "component_id", "predicted", "class", "n")
+    docs = documents(spark).select("*", *[F.lit("mine").alias(c) for c in names])
+    for data in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = materialise(stage(spark, data, small))
+            assert (out.count() > 0) == (data.count() > 0)
+            if k < 4:
+                assert out.columns == docs.columns
+                for c in names:
+                    assert out.where(F.col(c) != "mine").count() == 0
+            data = out
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
