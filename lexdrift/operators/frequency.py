@@ -43,9 +43,9 @@ def calendar(papers: DataFrame, first: int, last: int, monthly: bool = False) ->
     return years.join(papers_per(papers, *keys), keys, "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0).cast("long")))
 
 
-def grid(counts: DataFrame, keys: list[str], periods: DataFrame, period: tuple[str, ...] = ("year",)) -> DataFrame:
-    """All keys in all periods, with n = 0 where there is no count, and the smoothed frequency."""
-    dense = counts.select(*keys).distinct().crossJoin(F.broadcast(periods))
+def grid(counts: DataFrame, keys: list[str], periods: DataFrame, period: tuple[str, ...] = ("year",), known: DataFrame | None = None) -> DataFrame:
+    """All keys (those known, or that have counts) in all periods, with n = 0 where there is no count, and the smoothed frequency."""
+    dense = (counts.select(*keys).distinct() if known is None else known.select(*keys)).crossJoin(F.broadcast(periods))
     out = dense.join(counts, [*keys, *period], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return out.withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
 

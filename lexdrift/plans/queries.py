@@ -27,14 +27,25 @@ def r(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
-def _markers(rows: DataFrame, p: DataFrame) -> DataFrame:
+def _band(df: DataFrame, p: DataFrame) -> DataFrame:
     """(word, doc_freq, grp) of words in a band of document frequencies. At most the mean number of words of a paper / 2 % of them."""
-    n = p.agg(F.count(F.lit(1)).alias("_n"))
-    df = frequency.document_frequency(rows).crossJoin(F.broadcast(n))
+    df = df.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("_n"))))
     df = df.where((F.col("doc_freq") * 100 >= MARKER_LEAST * F.col("_n")) & (F.col("doc_freq") * 100 <= MARKER_MOST * F.col("_n")))
     return df.withColumn("grp", F.when(F.col("doc_freq") * 100 >= COMMON * F.col("_n"), "common").otherwise("rare")).drop("_n")
 
 
+def _markers(rows: DataFrame, p: DataFrame) -> DataFrame:
+    return _band(frequency.document_frequency(rows), p)
+
+
+def _counted(p: DataFrame, rows: DataFrame, *period: str) -> DataFrame:
+    """Counts and frequencies of the marker words in all periods. Texts are split once: document frequencies are sums of the counts, whose
+    shuffle is used again."""
+    counts = frequency.word_counts(rows, *period)
+    words = _band(counts.groupBy("word").agg(F.sum("n").alias("doc_freq")), p).select("word")
+    return frequency.grid(counts, ["word"], frequency.calendar(p, FIRST, LAST, "month" in period), period, words)
+
+
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = papers(spark, sf_dir)
     return p, frequency.postings(p)
@@ -128,20 +139,18 @@ def mean_papers_per_month(spark, sf_dir):
     return frequency.papers_per(papers(spark, sf_dir), "year", "month").agg(r(F.avg("n_papers")).alias("mean_papers"), F.max("n_papers").alias("most"))
 
 
-def _yearly(p: DataFrame, rows: DataFrame, words: DataFrame) -> DataFrame:
-    kept = rows.join(F.broadcast(words.select("word")), "word", "left_semi")
-    return frequency.grid(frequency.word_counts(kept, "year"), ["word"], frequency.calendar(p, FIRST, LAST))
+def _yearly(p: DataFrame, rows: DataFrame) -> DataFrame:
+    return _counted(p, rows, "year")
 
 
 def word_year_freq(spark, sf_dir):
     """Smoothed yearly frequency of the marker words."""
     p, rows = _base(spark, sf_dir)
-    return _yearly(p, rows, _markers(rows, p)).select("word", "year", "n", "n_papers", r("freq").alias("freq"))
+    return _yearly(p, rows).select("word", "year", "n", "n_papers", r("freq").alias("freq"))
 
 
 def _monthly(p, rows):
-    kept = rows.join(F.broadcast(_markers(rows, p).select("word")), "word", "left_semi")
-    return frequency.grid(frequency.word_counts(kept, "year", "month"), ["word"], frequency.calendar(p, FIRST, LAST, monthly=True), ("year", "month"))
+    return _counted(p, rows, "year", "month")
 
 
 def word_month_grid(spark, sf_dir):
@@ -159,7 +168,7 @@ def yearly_mean_freq(spark, sf_dir):
 
 def _lagged(spark, sf_dir):
     p, rows = _base(spark, sf_dir)
-    return frequency.lag_projection(_yearly(p, rows, _markers(rows, p)), "word", "freq", 2013)
+    return frequency.lag_projection(_yearly(p, rows), "word", "freq", 2013)
 
 
 def lag_projection(spark, sf_dir):
@@ -220,7 +229,7 @@ def gap_ratio_usage(spark, sf_dir):
 def word_projection(spark, sf_dir):
     """Tidy report per marker word: frequency, projection, gap, ratio, error, usage of the years from 2020."""
     p, rows = _base(spark, sf_dir)
-    x = frequency.regression(_yearly(p, rows, _markers(rows, p)), ["word"], "year", "freq", END, LENGTH).where("year >= 2020")
+    x = frequency.regression(_yearly(p, rows), ["word"], "year", "freq", END, LENGTH).where("year >= 2020")
     return x.select("word", "year", *[r(c).alias(c) for c in ("freq", "projection", "gap", "sdev")], r(F.when(F.abs("projection") > 1e-6, F.col("ratio"))).alias("ratio"), r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
 
 
@@ -253,7 +262,7 @@ def error_band(spark, sf_dir):
 
 def _cutoffs(spark, sf_dir):
     p, rows = _base(spark, sf_dir)
-    y = _yearly(p, rows, _markers(rows, p)).where("year = 2024").select("word", "freq")
+    y = _yearly(p, rows).where("year = 2024").select("word", "freq")
     return p, rows, y, cutoffs.cutoff_table(spark, CUTOFFS)
 
 
@@ -499,7 +508,7 @@ def lemma_sweep(spark, sf_dir):
     _, own = _renames(spark)(rows)
     none = spark.createDataFrame([], "word string, new string")
     renamed = lemmas.rename(rows, none, own).select("doc_id", "year", F.col("lemma").alias("word")).distinct()
-    y = _yearly(p, renamed, _markers(renamed, p)).where("year = 2024").select("word", "freq")
+    y = _yearly(p, renamed).where("year = 2024").select("word", "freq")
     c = cutoffs.cutoff_table(spark, [0.02, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0])
     return cutoffs.sweep(renamed, y, c, frequency.calendar(p, FIRST, LAST)).where("year >= 2018").select("cutoff", "year", "n", r("freq").alias("freq"))
 
