@@ -146,3 +146,15 @@ def test_stream_counts(spark, small, tmp_path):
     assert totals.agg(F.sum("n_papers")).first()[0] == p.count()
     expected = frequency.word_counts(frequency.postings(p), "year", "month")
     assert words.exceptAll(expected.select(words.columns)).count() == 0 and words.count() == expected.count()
+
+
+def test_overlay_and_alignment(spark):
+    report = spark.createDataFrame([("2024-06-01", "abstract", 0.3), ("2020-06-01", "abstract", 0.0)], "date string, section string, usage double").withColumn("date", F.to_date("date"))
+    published = spark.createDataFrame([("2024-09-01", "abstract", 0.17, "marker words"), ("2024-09-01", "full", 0.2, "detector")], "date string, section string, estimate double, method string")
+    got = reports.overlay(report, published.withColumn("date", F.to_date("date"))).collect()
+    assert [(r.usage, r.estimate, r.method) for r in got] == [(0.3, 0.17, "marker words")]
+    a = spark.createDataFrame([("apple", 1), ("berry", 3)], "word string, n long")
+    b = spark.createDataFrame([("apple", 2), ("peach", 3)], "word string, n long")
+    assert {tuple(r) for r in frequency.aligned(a, b, ["word"], "n").collect()} == {("apple", 1, 2), ("berry", 3, 0), ("peach", 0, 3)}
+    wide = reports.transposed(spark.createDataFrame([("x", 1, 2), ("y", 3, 4)], "k string, p int, q int"), ["p", "q"], "k", ["x", "y"])
+    assert {tuple(r) for r in wide.collect()} == {("p", 1, 3), ("q", 2, 4)}
