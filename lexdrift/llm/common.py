@@ -108,6 +108,23 @@ def bitmap(df: DataFrame, key: str) -> np.ndarray:
     return out
 
 
+#: Rows that go to Python at a time. Spark's usual 10,000 texts fill buffers in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have BATCH_ROWS rows in this session, unless it has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with small batches; run gets all batches of a task."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with a generator over batches; fn gets each batch and yields batches or dicts of columns."""
     from pyspark.sql.types import StructType
@@ -120,4 +137,4 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in shape)], schema=shape)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

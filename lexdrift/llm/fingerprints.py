@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import chunks, parts, table
+from .common import chunks, map_batches, parts, table
 
 #: Bytes of a chunk: least, normal, most.
 LEAST, NORMAL, MOST = 24, 64, 256
@@ -196,7 +196,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
     ordered = _pairs(docs).sortWithinPartitions("bucket", "ghost", F.col("key").desc(), F.col("text").asc_nulls_first())
-    return ordered.select("bucket", "ghost", "doc_id", "text").mapInArrow(run, COLUMNS)
+    return map_batches(ordered.select("bucket", "ghost", "doc_id", "text"), run, COLUMNS)
 
 
 def _prints(texts: list[bytes]) -> list[Print]:

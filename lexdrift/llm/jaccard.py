@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_slots, flat, map_arrow, materialise, parts, table
+from .common import bitmap, bitmap_slots, flat, map_arrow, map_batches, materialise, parts, table
 from .components import components
 from .shingles import WORDS, shingle_sets
 
@@ -87,7 +87,7 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
         return pa.table({"block": t["block"].slice(0, 1), "salt": t["salt"].slice(0, 1), "cells": pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes()], pa.binary())})
 
     schema = "block int, salt int, cells binary"
-    some = docs.select("text").mapInArrow(run, schema).groupBy("block", "salt").applyInArrow(add, schema)
+    some = map_batches(docs.select("text"), run, schema).groupBy("block", "salt").applyInArrow(add, schema)
     got = some.groupBy("block").applyInArrow(add, schema).toArrow()
     out = np.zeros((CELLS // BLOCK, BLOCK), np.uint16)
     for b, c in zip(got["block"].to_pylist(), got["cells"].to_pylist(), strict=True):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, fold, map_arrow, parts, table
+from .common import chunks, flat, fold, map_arrow, map_batches, parts, table
 
 UNKNOWN = "und"
 #: Buckets of hashed n-grams, those kept (the ones in most labelled texts), centroids of a language, k-means rounds.
@@ -145,7 +145,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGU
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    df = rows.select("text").mapInArrow(seen, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    df = map_batches(rows.select("text"), seen, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(BUCKETS, np.int64)
     n[df["bucket"].to_numpy()] = df["n"].to_numpy()
     kept = np.sort(np.lexsort((np.arange(BUCKETS), -n))[:KEPT])

@@ -21,6 +21,8 @@ SHINGLE, PERCENT = 8, 75
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.75 ** ROWS) ** BANDS = 0.998.
 BANDS, ROWS = 16, 4
 BUCKET_BYTES = 24 << 20
+#: Keys of lines that a task remembers to have banded.
+SEEN = 200_000
 
 _rng = np.random.default_rng(9)
 _FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -86,11 +88,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def bands(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, payload) with the band hash (32 bits within a bucket) and key of each line, once for each batch that has it."""
+    """(bucket, payload) with the band hash (32 bits within a bucket) and key of each line, once for each task that has it, or a few times."""
+
+    seen: set[int] = set()  # of a task, as each has its own copy
 
     def run(batch):
-        seen: set[int] = set()
-        for part in parts(batch, limit=1 << 20):
+        for part in parts(batch, limit=1 << 18):
+            if len(seen) > SEEN:
+                seen.clear()
             lines, keys = [], []
             for text in part["text"].cast(pa.binary()).to_pylist():
                 for line in split(text or b""):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, parts, table
+from .common import fold, map_batches, materialise, parts, table
 from .pieces import SPACE, model_path
 
 #: Words that are broadcast, of at most HOT_BYTES bytes; words a worker counts before it passes them on.
@@ -172,7 +172,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def out(own: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(own.values(), pa.int64())], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -203,7 +203,7 @@ class Model:
                     at = np.flatnonzero(sums)
                     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["piece", "e"])
 
-            got = self.counts.select("word").mapInArrow(expect, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toArrow()
+            got = map_batches(self.counts.select("word"), expect, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toArrow()
             e = np.full(len(names) + 1, 1e-3)
             e[got["piece"].to_numpy()] += got["e"].to_numpy()
             e = np.log(e / e.sum())
@@ -291,7 +291,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     names=["row", "word", "doc_id", "n_tokens", "known", "base", "model", "tf", "lattice"],
                 )
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "row long, word string, doc_id long, n_tokens long, known long, base double, model double, tf long, lattice double")
+    rows = map_batches(docs.select("doc_id", "text"), run, "row long, word string, doc_id long, n_tokens long, known long, base double, model double, tf long, lattice double")
     joined = rows.join(model.counts, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     types = v - (ends > 0)

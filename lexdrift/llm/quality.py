@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, fold, map_arrow, parts, table
+from .common import chunks, flat, fold, map_arrow, map_batches, parts, table
 
 PASSAGE = 384
 HIDDEN, GATES = 24, 16
@@ -180,7 +180,7 @@ def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame
                     keep[a:b] = sent.value.forward(*passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) >= accept
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
