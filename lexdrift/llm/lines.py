@@ -205,6 +205,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rooted = seen.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("root", "key"))
     rooted = materialise(rooted.select("key", "doc_id", "at", "cluster"))
     firsts = rooted.groupBy("cluster").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("cluster", "first")
+    firsts = materialise(firsts)  # a table of its own, so that a hot cluster's rows can be split among tasks in the join
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
     return rooted.join(firsts, "cluster").where(other).select("key", "doc_id", "at", F.col("first.doc_id").alias("kept_doc"), F.col("first.at").alias("kept_at"))
 
