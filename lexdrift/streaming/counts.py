@@ -9,12 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.frequency import papers_per, postings, word_counts
 
 
-def start_counts(papers: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def start_counts(papers: DataFrame, folder: str, checkpoint: str, time: str | None = None, delay: str = "7 days") -> StreamingQuery:
     """Append each micro-batch's counts, under its number, to Parquet tables below a folder; read_counts() sums them.
 
-    A batch that is repeated after a failure overwrites its own files, so papers count once. Papers come with a watermark on their date and
-    are deduplicated by doc_id within it.
+    A batch that is repeated after a failure overwrites its own files, so papers count once. Papers with an id that was seen are left out: with
+    the name of a timestamp column, within its watermark and so with bounded state, else for good.
     """
+    single = papers.withWatermark(time, delay).dropDuplicatesWithinWatermark(["doc_id"]) if time else papers.dropDuplicates(["doc_id"])
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -22,7 +23,7 @@ def start_counts(papers: DataFrame, folder: str, checkpoint: str) -> StreamingQu
         papers_per(batch, "year", "month").write.mode("overwrite").parquet(f"{folder}/papers/batch={number}")
         batch.unpersist()
 
-    return papers.dropDuplicates(["doc_id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return single.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_counts(spark, folder: str) -> tuple[DataFrame, DataFrame]:

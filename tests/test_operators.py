@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexdrift.operators import cleaning, cutoffs, frequency, lemmas, reports, simulation
@@ -135,13 +136,15 @@ def test_sinks(spark, small, tmp_path):
     assert spark.read.text(str(tmp_path / "m")).first()[0] == '{"most": 3, "sections": ["a"]}'
 
 
-def test_stream_counts(spark, small, tmp_path):
+@pytest.mark.parametrize("time", [None, "seen"])
+def test_stream_counts(spark, small, tmp_path, time):
     from lexdrift.streaming.counts import read_counts, start_counts
 
     p = corpus.papers(spark, small).select("doc_id", "year", "month", "abstract")
-    p.repartition(3).write.parquet(str(tmp_path / "in"))
+    p = p.withColumn("seen", F.lit("2025-01-01").cast("timestamp"))
+    p.unionByName(p.limit(5)).repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    start_counts(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    start_counts(stream, str(tmp_path / "out"), str(tmp_path / "state"), time).awaitTermination(120)
     words, totals = read_counts(spark, str(tmp_path / "out"))
     assert totals.agg(F.sum("n_papers")).first()[0] == p.count()
     expected = frequency.word_counts(frequency.postings(p), "year", "month")
