@@ -25,10 +25,13 @@ def sweep(rows: DataFrame, frequencies: DataFrame, cutoffs: DataFrame, periods:
     The lists are nested, so a paper counts for each cutoff above its rarest marker word: one aggregation by paper serves all cutoffs.
     """
     rarest = rows.join(F.broadcast(frequencies), "word").groupBy("doc_id", "year").agg(F.min("freq").alias("rarest"))
-    # cutoffs above a paper's rarest word are counted from the counts between neighbouring cutoffs
-    n = rarest.join(cutoffs, F.col("rarest") < F.col("cutoff")).groupBy("cutoff", "step", "year").agg(F.count(F.lit(1)).alias("n"))
-    dense = F.broadcast(cutoffs).crossJoin(F.broadcast(periods)).join(n, ["cutoff", "step", "year"], "left")
-    dense = dense.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    # each paper joins the first cutoff above its rarest word; the sums over lower cutoffs are of a few hundred rows
+    steps = cutoffs.withColumn("low", F.coalesce(F.lag("cutoff").over(Window.orderBy("step")), F.lit(float("-inf"))))
+    first = rarest.join(F.broadcast(steps), (F.col("rarest") < F.col("cutoff")) & (F.col("rarest") >= F.col("low")))
+    n = first.groupBy("step", "year").agg(F.count(F.lit(1)).alias("_n"))
+    dense = F.broadcast(cutoffs).crossJoin(F.broadcast(periods)).join(n, ["step", "year"], "left")
+    upto = Window.partitionBy("year").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dense = dense.withColumn("n", F.sum(F.coalesce("_n", F.lit(0).cast("long"))).over(upto)).drop("_n")
     return dense.withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
 
 
