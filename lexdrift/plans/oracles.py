@@ -52,7 +52,7 @@ def regression(source: str, keys: str, index: str, end: int, length: int) -> str
     return f"""rows_t AS (SELECT *, ({index} - {end - length})::DOUBLE AS t FROM {source} WHERE {index} >= {end - length}),
     fit AS (SELECT {keys}, regr_slope(freq, t) AS b, regr_intercept(freq, t) AS a, regr_syy(freq, t) AS syy, regr_sxy(freq, t) AS sxy,
         regr_sxx(freq, t) AS sxx, avg(t) AS mt, count(*) AS k FROM rows_t WHERE t < {length} GROUP BY {keys}),
-    proj AS (SELECT *, freq / nullif(projection, 0) AS ratio, freq - projection AS gap, (freq - projection) / nullif(1 - projection, 0) AS usage FROM (
+    proj AS (SELECT *, freq / nullif(projection, 0) AS ratio, freq - projection AS gap, CASE WHEN projection < 0.999 THEN (freq - projection) / nullif(1 - projection, 0) END AS usage FROM (
         SELECT r.*, a + b * t AS projection, sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0) / nullif(k - 2, 0) * (1 + 1.0 / k + (t - mt) * (t - mt) / nullif(sxx, 0))) AS sdev
         FROM rows_t r JOIN fit USING ({keys})))"""
 

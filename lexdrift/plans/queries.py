@@ -34,6 +34,11 @@ def _band(df: DataFrame, p: DataFrame) -> DataFrame:
     return df.withColumn("grp", F.when(F.col("doc_freq") * 100 >= COMMON * F.col("_n"), "common").otherwise("rare")).drop("_n")
 
 
+def _use() -> Column:
+    """The usage where the projection is clear of 1, next to which only rounding decides."""
+    return F.when(F.col("projection") < 0.999, estimate.usage(F.col("freq"), F.col("projection")))
+
+
 def _markers(rows: DataFrame, p: DataFrame) -> DataFrame:
     return _band(frequency.document_frequency(rows), p)
 
@@ -223,27 +228,27 @@ def ols_projection(spark, sf_dir):
 
 def gap_ratio_usage(spark, sf_dir):
     x = _projected(spark, sf_dir)
-    return x.select("grp", "year", r("gap").alias("gap"), r("ratio").alias("ratio"), r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
+    return x.select("grp", "year", r("gap").alias("gap"), r("ratio").alias("ratio"), r(_use()).alias("usage"))
 
 
 def word_projection(spark, sf_dir):
     """Tidy report per marker word: frequency, projection, gap, ratio, error, usage of the years from 2020."""
     p, rows = _base(spark, sf_dir)
     x = frequency.regression(_yearly(p, rows), ["word"], "year", "freq", END, LENGTH).where("year >= 2020")
-    return x.select("word", "year", *[r(c).alias(c) for c in ("freq", "projection", "gap", "sdev")], r(F.when(F.abs("projection") > 1e-6, F.col("ratio"))).alias("ratio"), r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
+    return x.select("word", "year", *[r(c).alias(c) for c in ("freq", "projection", "gap", "sdev")], r(F.when(F.abs("projection") > 1e-6, F.col("ratio"))).alias("ratio"), r(_use()).alias("usage"))
 
 
 def month_projection(spark, sf_dir):
     """Monthly groups, trained on the 24 months before November 2022, from 2022 on."""
     g = _groups(spark, sf_dir, True).withColumn("i", frequency.period_index(F.col("year"), F.col("month")))
     x = frequency.regression(g, ["grp"], "i", "freq", 2022 * 12 + 10, 24).where("year >= 2022")
-    return x.select("grp", "year", "month", r("projection").alias("projection"), r("sdev").alias("sdev"), r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
+    return x.select("grp", "year", "month", r("projection").alias("projection"), r("sdev").alias("sdev"), r(_use()).alias("usage"))
 
 
 def last_usage(spark, sf_dir):
     g = _groups(spark, sf_dir, True).withColumn("i", frequency.period_index(F.col("year"), F.col("month")))
     x = frequency.regression(g, ["grp"], "i", "freq", 2022 * 12 + 10, 24)
-    x = x.withColumn("usage", estimate.usage(F.col("freq"), F.col("projection")))
+    x = x.withColumn("usage", _use())
     return x.groupBy("grp").agg(r(F.max_by("usage", "i")).alias("usage"))
 
 
