@@ -3,6 +3,11 @@
 Lines (without regard to ASCII case) are sets of byte shingles. MinHash signatures are banded for high recall; lines that share a band
 are candidates, which the exact Jaccard similarity of their sets confirms; a distributed union-find makes components of them, and of each
 component the first line stays, by doc_id and position.
+
+In a group of lines with an equal band, each line is first tried with the least one and the next. This settles groups of near copies. A group
+that it leaves in several components is unsettled, as where many lines share a template. The lines of all unsettled groups are joined
+exactly: two that link share a shingle among the rarest of each (the prefix bound of Jaccard similarity), and every pair that shares such a
+shingle, and isn't in one component by then, is tried.
 """
 
 from __future__ import annotations
@@ -23,6 +28,10 @@ BANDS, ROWS = 16, 4
 BUCKET_BYTES = 24 << 20
 #: Keys of lines that a task remembers to have banded.
 SEEN = 200_000
+#: Cells of the sketch of shingle frequencies among unsettled lines (any order of shingles is right; rarest first is fast).
+CELLS = 1 << 20
+#: Partners further down its shingle's list that a line is tried with in the first round, and how much further each round reaches.
+REACH, GROWTH = 16, 8
 
 _rng = np.random.default_rng(9)
 _FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -118,8 +127,12 @@ def bands(docs: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "bucket long, payload binary")
 
 
-def candidates(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """In each group of lines with an equal band: each line with the least one, and each with the next, as distinct pairs."""
+def candidates(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In each group of lines with an equal band: each line with the least one, and each with the next, as distinct pairs.
+
+    The pairs with the least one have a key of the group's members, by which groups of the same lines are one; the others, and those of a
+    group of two, which its pair settles, have 0.
+    """
     h, key = [], []
     for p in payloads:
         n = len(p) // 12
@@ -131,11 +144,16 @@ def candidates(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
     h, key = h[fresh], key[fresh]
     new = np.concatenate([[True], h[1:] != h[:-1]])
-    least = key[np.flatnonzero(new)][np.cumsum(new) - 1]
+    starts, own = np.flatnonzero(new), np.cumsum(new) - 1
+    sizes = np.diff(np.append(starts, len(key)))
+    group = np.zeros(len(starts), np.int64)
+    for g in np.flatnonzero(sizes > 2).tolist():
+        group[g] = xxhash.xxh3_64_intdigest(key[starts[g] : starts[g] + sizes[g]].tobytes()) - (1 << 63)
     follow = ~new
-    pairs = np.concatenate([np.stack([least[follow], key[follow]], 1), np.stack([key[:-1][follow[1:]], key[1:][follow[1:]]], 1)])
-    pairs = np.unique(pairs, axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    star = np.stack([group[own], key[starts][own], key], 1)[follow]
+    chain = np.stack([np.zeros(len(key) - 1, np.int64), key[:-1], key[1:]], 1)[follow[1:]]
+    rows = np.unique(np.concatenate([star, chain]), axis=0)
+    return rows[:, 0], rows[:, 1], rows[:, 2]
 
 
 def alike(a: list[bytes], b: list[bytes], percent: int = PERCENT) -> np.ndarray:
@@ -174,6 +192,135 @@ def _texts(docs: DataFrame, bits) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "key long, doc_id long, at int, line binary")
 
 
+def _sets(batch: pa.RecordBatch):
+    """Parts of a batch of lines, with the shingle set of each."""
+    for part in parts(batch, "line", limit=1 << 19):
+        h, first = shingles(part["line"].to_pylist())
+        yield part, [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def frequencies(lines: DataFrame) -> np.ndarray:
+    """How many (line, shingle) pairs fall into each cell."""
+
+    def run(batch):
+        for _, sets in _sets(batch):
+            cell, n = np.unique(np.concatenate(sets) >> np.uint64(44), return_counts=True)
+            yield {"cell": cell.astype(np.int32), "n": n}
+
+    got = map_arrow(lines.select("line"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.uint32)
+    out[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), (1 << 32) - 1)
+    return out
+
+
+def prefixes(lines: DataFrame, cells: np.ndarray, percent: int) -> DataFrame:
+    """(shingle, key, n, at): the shingles by which a line may have to be found, their places in the common order, and the size of the set.
+
+    A set of n shingles shares at least percent n / 100 with each that it links with, so one of its first n - percent n / 100 + 1, rounded,
+    is shared. A shingle that is alone in its cell is no other line's.
+    """
+    sent = lines.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batch):
+        for part, sets in _sets(batch):
+            sh, key, size, at = [], [], [], []
+            for k, s in zip(part["key"].to_pylist(), sets, strict=True):
+                n = len(s)
+                held = sent.value[(s >> np.uint64(44)).astype(np.int64)]
+                order = np.lexsort((s, (s >> np.uint64(44)), held))[: n - -(-percent * n // 100) + 1]
+                place = np.flatnonzero(held[order] > 1)
+                sh.append(s[order[place]])
+                at.append(place)
+                key.append(np.full(len(place), k, np.int64))
+                size.append(np.full(len(place), n))
+            yield {"shingle": np.concatenate(sh).view(np.int64), "key": np.concatenate(key), "n": np.concatenate(size).astype(np.int32), "at": np.concatenate(at).astype(np.int32)}
+
+    return map_arrow(lines.select("key", "line"), run, "shingle long, key long, n int, at int")
+
+
+def partners(t: pa.Table, low: int, high: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of lines of different components that share a shingle and are low to high - 1 apart in its list by size of set.
+
+    Pairs that are too different in size go, and those in which one line has too few shingles from the shared one on: if they link, an earlier one is shared.
+    """
+    sh, n, key, root, at = (t[c].to_numpy() for c in ("shingle", "n", "key", "root", "at"))
+    order = np.lexsort((key, n, sh))
+    sh, n, key, root, at = (x[order].astype(np.int64) for x in (sh, n, key, root, at))
+    out = [np.zeros((0, 2), np.int64)]
+    held = 0
+    starts = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    end = np.append(starts[1:], len(sh))
+    last = np.repeat(end, end - starts)
+    x = np.flatnonzero(np.repeat(mixed, end - starts))
+    for d in range(low, high):
+        x = x[x + d < last[x]]
+        x = x[100 * n[x] >= percent * n[x + d]]
+        if not len(x):
+            break
+        y = x + d
+        least = -(-percent * (n[x] + n[y]) // (100 + percent))
+        hit = (root[x] != root[y]) & (n[x] - at[x] >= least) & (n[y] - at[y] >= least)
+        a, b = key[x[hit]], key[y[hit]]
+        if len(a):
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            held += len(a)
+            if held > 1 << 21:
+                out = [np.unique(np.concatenate(out), axis=0)]
+                held = 0
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of keys those whose lines are alike."""
+    both = pairs.join(lines.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
+
+    def verify(batch):
+        for part in parts(batch, "x", limit=1 << 19):
+            ok = alike(part["x"].to_pylist(), part["y"].to_pylist(), percent)
+            yield {"a": part["a"].filter(pa.array(ok)), "b": part["b"].filter(pa.array(ok))}
+
+    return map_arrow(both.select("a", "b", "x", "y"), verify, "a long, b long")
+
+
+def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Keys of the lines in groups of (met, a, b) that are in more than one component."""
+    stars = met.where("met <> 0")
+    for c in ("a", "b"):
+        stars = stars.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    apart = stars.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("met").distinct()
+    rows = met.join(apart, "met", "left_semi")
+    return rows.select(F.col("a").alias("key")).unionByName(rows.select(F.col("b").alias("key"))).distinct()
+
+
+def settled(lines: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """roots (node, root) with the components united that have linked lines among these (key, line).
+
+    Every pair of lines is linked by others, or tried, or excluded by a bound. Rounds reach further and further down the lists of shingles, as
+    what has become one component by then needs no pairs.
+    """
+    grams = materialise(prefixes(lines, frequencies(lines), percent))
+    spark = lines.sparkSession
+    total, longest = grams.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1").agg(F.sum("m"), F.max("m")).first()
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) * 32 // BUCKET_BYTES + 1)
+    low, high = 1, REACH
+
+    def meet(t: pa.Table) -> pa.Table:
+        a, b = partners(t, low, high, percent)
+        return pa.table({"a": a, "b": b})
+
+    while low < (longest or 0):
+        own = grams.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        own = own.withColumn("bin", F.pmod(F.xxhash64("shingle"), F.lit(bins))).select("bin", "shingle", "key", "n", "at", "root")
+        pairs = own.groupBy("bin").applyInArrow(meet, "a long, b long").distinct()
+        links = materialise(confirmed(pairs, lines, percent))
+        if not links.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        low, high = high, high * GROWTH
+    return roots
+
+
 def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, doc_id, at, kept_doc, kept_at) of the lines that aren't the first of their component."""
     spark = docs.sparkSession
@@ -183,25 +330,21 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), seen.count() * BANDS * 12 // BUCKET_BYTES + 1)
 
     def meet(t: pa.Table) -> pa.Table:
-        a, b = candidates(t["payload"].to_pylist())
-        return pa.table({"a": a, "b": b})
+        met, a, b = candidates(t["payload"].to_pylist())
+        return pa.table({"met": met, "a": a, "b": b})
 
-    pairs = materialise(bands(docs, buckets).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
+    met = materialise(bands(docs, buckets).groupBy("bucket").applyInArrow(meet, "met long, a long, b long").distinct())
+    pairs = met.select("a", "b").distinct()
     nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     bits = spark.sparkContext.broadcast(bitmap(nodes, "key"))
     wanted = nodes.join(reps, "key").select(F.col("key").alias("k"), "first")
     found = _texts(docs, bits)
     lines = found.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
     lines = materialise(lines.groupBy("key").agg(F.first("line").alias("line")))
-    both = pairs.join(lines.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-
-    def verify(batch):
-        for part in parts(batch, "x", limit=1 << 19):
-            ok = alike(part["x"].to_pylist(), part["y"].to_pylist(), percent)
-            yield {"a": part["a"].filter(pa.array(ok)), "b": part["b"].filter(pa.array(ok))}
-
-    links = map_arrow(both.select("a", "b", "x", "y"), verify, "a long, b long")
-    roots = components(links)
+    roots = components(confirmed(pairs, lines, percent))
+    rest = materialise(lines.join(unsettled(met, roots), "key"))
+    if not rest.isEmpty():
+        roots = settled(rest, roots, percent)
     rooted = seen.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("root", "key"))
     rooted = materialise(rooted.select("key", "doc_id", "at", "cluster"))
     firsts = rooted.groupBy("cluster").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("cluster", "first")

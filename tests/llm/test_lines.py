@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import changed, documents, empty, prose
 from pyspark.sql import functions as F
@@ -71,3 +73,29 @@ def test_alike_by_definition():
 def test_odd_texts_stay(spark, text):
     got = lines.deduplicate(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.text == text and got.n_lines == got.n_kept
+
+
+def templated(n, seed=0):
+    """Lines of one template, most of them too different to link, some with a copy that links with them."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    out = []
+    for k in range(n):
+        own = "".join(rng.choice(letters) for _ in range(rng.randint(10, 14)))
+        line = f"This page was last changed by the user {own} and its text is under the licence that is named below"
+        out.append(line)
+        if k % 10 == 0:
+            out.append(line.replace("licence", "".join(rng.choice(letters) for _ in range(rng.randint(3, 7)))))
+    rng.shuffle(out)
+    return out
+
+
+def test_templates_against_all_pairs(spark):
+    """Lines that share a template fill the same groups; each pair that links is found there all the same."""
+    texts = templated(2000)
+    rows = [(k, "\n".join(texts[k * 20 : k * 20 + 20])) for k in range(len(texts) // 20)]
+    expected = brute(rows)
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    dropped = sum(len(a.split("\n")) for _, a in rows) - sum(len(a.split("\n")) for _, a in expected)
+    assert 100 < dropped < 1000
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(expected)
