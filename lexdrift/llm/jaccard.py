@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_slots, flat, map_arrow, map_batches, materialise, parts, table
+from .common import bitmap, bitmap_slots, flat, map_arrow, map_batches, materialise, parts, small_batches, table
 from .components import components
 from .shingles import WORDS, shingle_sets
 
@@ -334,14 +334,8 @@ def link_regions(regions: DataFrame, percent: int, limit: int) -> DataFrame:
     return links if links is not None else regions.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_shingles, component_id for rows (doc_id, text).
-
-    component_id is the least doc_id reachable over links, the own one included. A document's set is its distinct shingles; a text with
-    fewer words than a shingle is one shingle. Null texts and texts without words have none, link with nothing and are their own component.
-    Repeated rows are documents with equal sets and link. A null doc_id is greater than all others. No rows give none; other columns are
-    ignored. Groups of equal sets are one class throughout, and groups of near copies are settled against a pivot, without all their pairs.
-    """
+def _linked(docs: DataFrame, words: int, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class, n) of every row, and of each class with words (class, doc, root): its least doc_id and the least class of its component."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     every = materialise(members(docs, words))
@@ -366,6 +360,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int
         here = materialise(here.select("region", wanted["class"], "n", "own"))
         found = components(link_regions(here, percent, limit))
     top = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
+    return every, top
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_shingles, component_id for rows (doc_id, text).
+
+    component_id is the least doc_id reachable over links, the own one included. A document's set is its distinct shingles; a text with
+    fewer words than a shingle is one shingle. Null texts and texts without words have none, link with nothing and are their own component.
+    Repeated rows are documents with equal sets and link. A null doc_id is greater than all others. No rows give none; other columns are
+    ignored. Groups of equal sets are one class throughout, and groups of near copies are settled against a pivot, without all their pairs.
+    """
+    every, top = _linked(docs, words, percent, limit)
     least = top.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = top.join(least, "root").select("class", "component_id")
     out = every.join(named, "class", "left")
@@ -386,14 +392,31 @@ def _candidates(docs: DataFrame, words: int, bits) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, class long, n long, own binary")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents with their columns, one of each component: the one with the least id; of equal rows one."""
-    low = F.lit(-(1 << 63))
-    found = join(docs, **options).select(F.coalesce("doc_id", low).alias("_id"), F.coalesce("component_id", low).alias("_c"))
-    keep = found.where("_id = _c").select("_id").distinct()
-    rows = docs.withColumn("_id", F.coalesce("doc_id", low)).join(keep, "_id")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("text").desc_nulls_last()))
-    return rows.withColumn("_k", first).where(F.col("_k") == 1).select(*docs.columns)
+def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
+    """The documents with their columns, one of each component: one with the least id, a null id being greater than all others.
+
+    Components are those of texts, whatever their ids: unlinked texts all stay, with a null or the same id too. Texts without words link with
+    nothing; those that share an id, which isn't null, are one. Of rows with one id and equal sets, one with the greatest text stays.
+    """
+    top = materialise(_linked(docs, words, percent, limit)[1])
+    chosen = top.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "class")).alias("c"))
+    chosen = chosen.select(F.col("c.class").alias("_class"), F.col("c.doc").alias("_doc"))
+
+    @F.arrow_udf("long")
+    def key(text: pa.Array) -> pa.Array:
+        return pa.array([class_key(s) for _, sets in _sets(pa.RecordBatch.from_arrays([text], names=["text"]), words) for s in sets], pa.int64())
+
+    small_batches(docs.sparkSession)
+    rows = docs.withColumn("_key", key("text")).withColumn("_part", F.spark_partition_id())
+    bare = F.col("_key") == class_key(np.zeros(0, np.uint64))
+    kept = rows.join(chosen, (F.col("_key") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    kept = kept.where(F.col("_class").isNotNull() | bare)
+    # rows without words and id are told apart by a number of their own; a part's equal rows go first, so that many of them don't meet in one task
+    kept = kept.withColumn("_row", F.when(bare & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    for by in (["_key", "doc_id", "_row", "_part"], ["_key", "doc_id", "_row"]):
+        first = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("text").desc_nulls_last()))
+        kept = kept.withColumn("_k", first).where(F.col("_k") == 1).drop("_k")
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,3 +141,22 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == docs.columns
     assert sorted(kept, key=str) == sorted({c for i, _, c in brute([(r.doc_id, r.text) for r in docs.collect()]) if i is not None} | {None}, key=str)
     assert got.where(F.col("doc_id") == 1).first().text == docs.where("doc_id = 1").first().text
+
+
+def test_unlinked_texts_stay_whatever_their_ids(spark):
+    """Of each component of rows one stays, also where ids are null or shared by different texts."""
+    rows = [(None if k % 3 == 0 else k % 7, prose(k // 2 if k % 4 < 2 else 100 + k, 40)) for k in range(48)]
+    rows += [(None, changed(prose(900, 60), k, 0.01)) for k in range(5)] + [(3, changed(prose(900, 60), 9, 0.01))]
+    got = [tuple(r) for r in jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    groups = [{t for j, (_, t) in enumerate(rows) if root[j] == c} for root in [linked(rows)] for c in set(root)]
+    assert len(got) == len(groups)
+    for group in groups:
+        ids = [i for i, t in rows if t in group and i is not None]
+        assert [i for i, t in got if t in group] == [min(ids) if ids else None]
+
+
+def linked(rows):
+    """The component of each row, by all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    true = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    return jaccard.union(len(rows), [i for i, _ in true], [j for _, j in true]).tolist()
