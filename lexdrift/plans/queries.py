@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +45,11 @@ def _markers(rows: DataFrame, p: DataFrame) -> DataFrame:
     return _band(frequency.document_frequency(rows), p)
 
 
-def _counted(p: DataFrame, rows: DataFrame, *period: str) -> DataFrame:
-    """Counts and frequencies of the marker words in all periods. Texts are split once: document frequencies are sums of the counts, whose
+def _counted(p: DataFrame, rows: DataFrame, *period: str, every: bool = False) -> DataFrame:
+    """Counts and frequencies of the marker words, or of every word, in all periods. Texts are split once: document frequencies are sums of the counts, whose
     shuffle is used again."""
     counts = frequency.word_counts(rows, *period)
-    words = _band(counts.groupBy("word").agg(F.sum("n").alias("doc_freq")), p).select("word")
+    words = None if every else _band(counts.groupBy("word").agg(F.sum("n").alias("doc_freq")), p).select("word")
     return frequency.grid(counts, ["word"], frequency.calendar(p, FIRST, LAST, "month" in period), period, words)
 
 
@@ -144,8 +146,8 @@ def mean_papers_per_month(spark, sf_dir):
     return frequency.papers_per(papers(spark, sf_dir), "year", "month").agg(r(F.avg("n_papers")).alias("mean_papers"), F.max("n_papers").alias("most"))
 
 
-def _yearly(p: DataFrame, rows: DataFrame) -> DataFrame:
-    return _counted(p, rows, "year")
+def _yearly(p: DataFrame, rows: DataFrame, every: bool = False) -> DataFrame:
+    return _counted(p, rows, "year", every=every)
 
 
 def word_year_freq(spark, sf_dir):
@@ -154,8 +156,8 @@ def word_year_freq(spark, sf_dir):
     return _yearly(p, rows).select("word", "year", "n", "n_papers", r("freq").alias("freq"))
 
 
-def _monthly(p, rows):
-    return _counted(p, rows, "year", "month")
+def _monthly(p, rows, every=False):
+    return _counted(p, rows, "year", "month", every=every)
 
 
 def word_month_grid(spark, sf_dir):
@@ -163,42 +165,42 @@ def word_month_grid(spark, sf_dir):
     return g.where("year >= 2018").select("word", "year", "month", "n", r("freq").alias("freq"), r(month_axis(F.col("year"), F.col("month"))).alias("time"))
 
 
-def _mean(spark, sf_dir):
-    return frequency.yearly_mean(_monthly(*_base(spark, sf_dir)), "word")
+def _mean(spark, sf_dir, every=False):
+    return frequency.yearly_mean(_monthly(*_base(spark, sf_dir), every), "word")
 
 
-def yearly_mean_freq(spark, sf_dir):
-    return _mean(spark, sf_dir).select("word", "year", r("mean_freq").alias("mean_freq"))
+def yearly_mean_freq(spark, sf_dir, every=False):
+    return _mean(spark, sf_dir, every).select("word", "year", r("mean_freq").alias("mean_freq"))
 
 
-def _lagged(spark, sf_dir):
+def _lagged(spark, sf_dir, every=False):
     p, rows = _base(spark, sf_dir)
-    return frequency.lag_projection(_yearly(p, rows), "word", "freq", 2013)
+    return frequency.lag_projection(_yearly(p, rows, every), "word", "freq", 2013)
 
 
-def lag_projection(spark, sf_dir):
-    return _lagged(spark, sf_dir).select("word", "year", r("projection").alias("projection"), r("ratio").alias("ratio"), r("gap").alias("gap"))
+def lag_projection(spark, sf_dir, every=False):
+    return _lagged(spark, sf_dir, every).select("word", "year", r("projection").alias("projection"), r("ratio").alias("ratio"), r("gap").alias("gap"))
 
 
-def _excess(spark, sf_dir):
-    rows = _lagged(spark, sf_dir).where(~F.col("word").isin(IGNORED_WORDS))
+def _excess(spark, sf_dir, every=False):
+    rows = _lagged(spark, sf_dir, every).where(~F.col("word").isin(IGNORED_WORDS))
     return rows.where(estimate.is_excess(F.col("ratio"), F.col("gap"), F.col("freq")))
 
 
-def excess_words(spark, sf_dir):
-    return _excess(spark, sf_dir).select("word", "year", r("ratio").alias("ratio"), r("gap").alias("gap"))
+def excess_words(spark, sf_dir, every=False):
+    return _excess(spark, sf_dir, every).select("word", "year", r("ratio").alias("ratio"), r("gap").alias("gap"))
 
 
-def excess_count_per_year(spark, sf_dir):
-    return _excess(spark, sf_dir).groupBy("year").agg(F.count(F.lit(1)).alias("n_words"))
+def excess_count_per_year(spark, sf_dir, every=False):
+    return _excess(spark, sf_dir, every).groupBy("year").agg(F.count(F.lit(1)).alias("n_words"))
 
 
-def excess_distinct(spark, sf_dir):
-    return _excess(spark, sf_dir).select("word").distinct()
+def excess_distinct(spark, sf_dir, every=False):
+    return _excess(spark, sf_dir, every).select("word").distinct()
 
 
-def ratio_filter(spark, sf_dir):
-    m = _mean(spark, sf_dir)
+def ratio_filter(spark, sf_dir, every=False):
+    m = _mean(spark, sf_dir, every)
     two = m.where("year in (2022, 2024)").groupBy("word").agg(F.max(F.when(F.col("year") == 2022, F.col("mean_freq"))).alias("a"), F.max(F.when(F.col("year") == 2024, F.col("mean_freq"))).alias("b"))
     return two.where(F.try_divide("b", "a") > 1.1).select("word", r(F.try_divide("b", "a")).alias("ratio"))
 
@@ -530,3 +532,6 @@ NAMES = [
     "floor_year_mean", "aligned_counts", "funnel_transposed", "lemma_sweep",
 ]
 QUERIES = {name: globals()[name] for name in NAMES}
+#: Over every word that any paper has, as in the published procedure; the ones without _all are held to SQL over the marker words.
+EVERY_WORD = ["lag_projection", "yearly_mean_freq", "ratio_filter", "excess_words", "excess_count_per_year", "excess_distinct"]
+QUERIES |= {f"{name}_all": partial(globals()[name], every=True) for name in EVERY_WORD}
