@@ -322,7 +322,14 @@ def neighbour_cutoffs(spark, sf_dir):
     return cutoffs.neighbours(cutoffs.cutoff_table(spark, CUTOFFS))
 
 
+def marker_order_all(spark, sf_dir):
+    """Every marker word with its frequency of 2024, the rarest first."""
+    _, _, y, _ = _cutoffs(spark, sf_dir)
+    return y.orderBy("freq", "word").select("word", r("freq").alias("freq"))
+
+
 def marker_order(spark, sf_dir):
+    """The 50 most frequent of them, as the SQL has it."""
     _, _, y, _ = _cutoffs(spark, sf_dir)
     return y.orderBy(F.desc("freq"), "word").limit(50).select("word", r("freq").alias("freq"))
 
@@ -525,7 +532,7 @@ NAMES = [
     "melt_lengths", "date_normalize", "token_docfreq", "docfreq_floor", "papers_per_month", "mean_papers_per_month", "word_year_freq", "word_month_grid",
     "yearly_mean_freq", "lag_projection", "excess_words", "excess_count_per_year", "excess_distinct", "ratio_filter", "two_groups_year",
     "two_groups_month", "ols_projection", "gap_ratio_usage", "word_projection", "month_projection", "last_usage", "standard_errors", "error_band",
-    "cutoff_lists", "cutoff_sweep", "sweep_filtered", "optimal_cutoff", "fixed_cutoff", "chosen_words", "neighbour_cutoffs", "marker_order",
+    "cutoff_lists", "cutoff_sweep", "sweep_filtered", "optimal_cutoff", "fixed_cutoff", "chosen_words", "neighbour_cutoffs", "marker_order", "marker_order_all",
     "country_freq", "country_pivot", "country_compare", "region_freq", "discipline_label", "discipline_freq", "discipline_share", "journal_counts",
     "journal_other", "journal_share", "journals_removed", "journals_added", "journals_per_year", "null_share", "dup_ids", "lemma_sum", "lemma_union",
     "delemmatize", "layout_topk", "title_counts", "substring_probe", "crop_words", "sample_words", "html_titles", "simulated_recovery",

@@ -28,3 +28,11 @@ def test_every_word_counts(spark, duck, small, name):
     sql, n = re.subn(band, "", ORACLES[name])
     assert n == 1
     same(duck, QUERIES[f"{name}_all"](spark, small), sql)
+
+
+def test_every_marker_is_listed(spark, duck, small):
+    """The same SQL without its limit, in the order of the published list."""
+    df = QUERIES["marker_order_all"](spark, small)
+    same(duck, df, ORACLES["marker_order"].replace("LIMIT 50", ""))
+    got = [r.freq for r in df.collect()]
+    assert len(got) > 50 and got == sorted(got)
