@@ -26,7 +26,6 @@ from .pieces import SPACE, model_path
 #: Words that are broadcast, of at most HOT_BYTES bytes; words a worker counts before it passes them on.
 HOT, HOT_BYTES, COUNTED = 100_000, 48, 200_000
 ROUNDS = 2
-LONGEST = 24
 LN10 = math.log(10)
 MASK, SALT = (1 << 64) - 1, 0xD6E8FEB86659FD93
 
@@ -45,7 +44,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     for i in range(sp.vocab_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)):
             p = sp.id_to_piece(i).replace(SPACE, " ").encode()
-            if len(p) <= LONGEST and b" " not in p[1:]:
+            if b" " not in p[1:]:
                 own[p] = sp.get_score(i)
     rank = {s: k for k, s in enumerate(sorted(set(own.values()), reverse=True))}
     weight = {p: 1 / (10 + rank[s]) for p, s in own.items()}

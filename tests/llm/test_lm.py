@@ -80,3 +80,11 @@ def test_no_training(spark):
     blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
     rows = lm.score(blank, lm.Model(blank)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(1, 1, 2)] * 2
+
+
+def test_long_pieces_are_in_the_vocabulary():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=lm.model_path())
+    long = {p for p in (sp.id_to_piece(i).replace(lm.SPACE, " ").encode() for i in range(sp.vocab_size()) if not sp.is_byte(i)) if len(p) > 24 and b" " not in p[1:]}
+    assert long and long <= set(lm.vocabulary(lm.model_path())[0])
