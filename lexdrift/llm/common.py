@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,10 +27,15 @@ def fold(col: str | Column, m: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session names none."""
+    """The folder that driver and executors share. Set here only where a local session, as of tests, names none; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexdrift-checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,6 +50,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns in `own`, and all others as one struct, `rest`, so that their names can't clash with those that an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*others) if others else F.lit(None)).alias("rest"))
+
+
+def unpacked(df: DataFrame, names: list[str], *own: str) -> DataFrame:
+    """The columns `names` of packed() rows, those in `own` as they are now, and the other columns that df has by now."""
+    more = [F.col(c) for c in df.columns if c not in (*own, "rest") and c not in names]
+    return df.select(*[F.col(c) if c in own else F.col("rest")[c].alias(c) for c in names], *more)
+
+
 def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column (null: empty) and their offsets, without a copy where there are no nulls."""
     if isinstance(col, pa.ChunkedArray):
@@ -85,6 +103,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of a small array, sorted (np.unique takes several times as long)."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 #: Bits of a membership bitmap: 2 MB, whatever the input's size. A full one only filters less.
 BITMAP_BITS = 1 << 24
 

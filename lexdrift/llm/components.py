@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
+def union(n: int, a: list[int], b: list[int]) -> np.ndarray:
+    """The least member of each one's component, of n nodes with edges (a, b), within a task."""
+    parent = list(range(n))
+    for x, y in zip(a, b, strict=True):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        while parent[y] != y:
+            parent[y] = parent[parent[y]]
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    for x in range(n):
+        parent[x] = parent[parent[x]]
+    return np.array(parent, np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) from edges (a, b): root is the least node of the component. Nodes without an edge to another are left out.
 

@@ -1,13 +1,14 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines (without regard to ASCII case) are sets of byte shingles. MinHash signatures are banded for high recall; lines that share a band
-are candidates, which the exact Jaccard similarity of their sets confirms; a distributed union-find makes components of them, and of each
-component the first line stays, by doc_id and position.
-
-In a group of lines with an equal band, each line is first tried with the least one and the next. This settles groups of near copies. A group
-that it leaves in several components is unsettled, as where many lines share a template. The lines of all unsettled groups are joined
-exactly: two that link share a shingle among the rarest of each (the prefix bound of Jaccard similarity), and every pair that shares such a
-shingle, and isn't in one component by then, is tried.
+Lines (without regard to ASCII case) are sets of character shingles. MinHash signatures are banded for high recall; lines that share a
+band are candidates, which the exact Jaccard similarity of their sets confirms; a distributed union-find makes components of them, and of
+each component the first line stays, by doc_id and position.
+
+Lines with an equal band are a group, and every pair of a group is linked, connected by others, or excluded by exact comparison. Groups of
+the same lines, from several bands, are one. A group of up to BLOCK lines is compared at once. A larger one is first compared with PIVOTS of
+its lines, which settles groups of near copies; the lines that this leaves apart are compared with all others of the group in blocks of
+BLOCK lines, each pair of blocks on its own. The cost of a group that no pivot settles, as where many lines share a template and are just
+too different to link, is quadratic in its lines.
 """
 
 from __future__ import annotations
@@ -18,24 +19,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_slots, map_arrow, materialise, mix64, parts, table
-from .components import components
+from .common import bitmap, bitmap_slots, distinct, map_arrow, materialise, mix64, packed, parts, table, unpacked
+from .components import components, union
+from .shingles import links_within
 
-#: Bytes of a shingle; lines link when 100 * intersection >= PERCENT * union of their shingle sets.
+#: Characters of a shingle; lines link when 100 * intersection >= PERCENT * union of their shingle sets.
 SHINGLE, PERCENT = 8, 75
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.75 ** ROWS) ** BANDS = 0.998.
 BANDS, ROWS = 16, 4
 BUCKET_BYTES = 24 << 20
 #: Keys of lines that a task remembers to have banded.
 SEEN = 200_000
-#: Cells of the sketch of shingle frequencies among unsettled lines (any order of shingles is right; rarest first is fast).
-CELLS = 1 << 20
-#: Partners further down its shingle's list that a line is tried with in the first round, and how much further each round reaches.
-REACH, GROWTH = 16, 8
+#: Lines of a group that are compared with all others at once; pivots of a larger group.
+BLOCK, PIVOTS = 256, 1
 
 _rng = np.random.default_rng(9)
 _FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _SALTS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_CHARS = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
 def line_key(line: bytes) -> int:
@@ -49,15 +50,17 @@ def split(text: bytes) -> list[bytes]:
 
 
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of each line's byte shingles, one after the other, and the first of each; a shorter line is one shingle. No line is empty."""
-    sizes = np.array([len(x) for x in lines])
+    """64-bit hashes of each line's character shingles, one after the other, and the first of each; a shorter line is one shingle."""
+    texts = [x.decode() for x in lines]
+    sizes = np.array([len(x) for x in texts])
     short = sizes < SHINGLE
-    padded = [x.ljust(SHINGLE, b"\x00") if s else x for x, s in zip(lines, short.tolist(), strict=True)]
+    if short.any():
+        texts = [x.ljust(SHINGLE, "\x00") if s else x for x, s in zip(texts, short.tolist(), strict=True)]
     n = np.maximum(sizes, SHINGLE)
-    data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
+    data = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     word = np.zeros(len(data) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
-        word |= data[k : len(data) - SHINGLE + 1 + k] << np.uint64(8 * k)
+        word += data[k : len(data) - SHINGLE + 1 + k] * _CHARS[k]
     starts = np.concatenate([[0], np.cumsum(n)])
     per = n - SHINGLE + 1
     first = np.concatenate([[0], np.cumsum(per)])
@@ -69,12 +72,13 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     """(lines, BANDS) hashes of the bands of each line's MinHash signature."""
     h, first = shingles(lines)
     h = (h >> np.uint64(32)).astype(np.uint32)
+    x = np.empty_like(h)
     out = np.zeros((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         for r in range(ROWS):
             k = b * ROWS + r
-            x = (h ^ _SALTS[k]) * _FACTORS[k]
-            x ^= x >> np.uint32(15)
+            # h is mixed already, so that a multiplication makes another order of it
+            np.multiply(np.bitwise_xor(h, _SALTS[k], out=x), _FACTORS[k], out=x)
             out[:, b] = mix64(out[:, b] + np.minimum.reduceat(x, first[:-1]).astype(np.uint64) + np.uint64(k))
     return out
 
@@ -127,11 +131,10 @@ def bands(docs: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "bucket long, payload binary")
 
 
-def candidates(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """In each group of lines with an equal band: each line with the least one, and each with the next, as distinct pairs.
+def groups(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(met, key, pivot, large) of the lines that share a band with others: met is a key of the group's lines, by which equal groups are one.
 
-    The pairs with the least one have a key of the group's members, by which groups of the same lines are one; the others, and those of a
-    group of two, which its pair settles, have 0.
+    A line of a large group is given once with each of the group's pivots; other lines have pivot 0.
     """
     h, key = [], []
     for p in payloads:
@@ -146,24 +149,24 @@ def candidates(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     new = np.concatenate([[True], h[1:] != h[:-1]])
     starts, own = np.flatnonzero(new), np.cumsum(new) - 1
     sizes = np.diff(np.append(starts, len(key)))
-    group = np.zeros(len(starts), np.int64)
-    for g in np.flatnonzero(sizes > 2).tolist():
-        group[g] = xxhash.xxh3_64_intdigest(key[starts[g] : starts[g] + sizes[g]].tobytes()) - (1 << 63)
-    follow = ~new
-    star = np.stack([group[own], key[starts][own], key], 1)[follow]
-    chain = np.stack([np.zeros(len(key) - 1, np.int64), key[:-1], key[1:]], 1)[follow[1:]]
-    rows = np.unique(np.concatenate([star, chain]), axis=0)
-    return rows[:, 0], rows[:, 1], rows[:, 2]
+    met = mix64(np.add.reduceat(mix64(key.view(np.uint64)), starts) + sizes.astype(np.uint64)).view(np.int64)
+    at = np.flatnonzero((sizes[own] > 1) & (sizes[own] <= BLOCK))
+    out = [(met[own[at]], key[at], np.zeros(len(at), np.int64), np.zeros(len(at), bool))]
+    at = np.flatnonzero(sizes[own] > BLOCK)
+    for k in range(PIVOTS):
+        pivot = key[starts[own[at]] + sizes[own[at]] * k // PIVOTS]
+        out.append((met[own[at]], key[at], pivot, np.ones(len(at), bool)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def alike(a: list[bytes], b: list[bytes], percent: int = PERCENT) -> np.ndarray:
-    """Whether each pair's sets of shingles are similar enough, exactly (64-bit hashes stand for 8 bytes one to one)."""
+    """Whether each pair's sets of shingles are similar enough, exactly (64-bit hashes stand for shingles)."""
     n = len(a)
     out = np.zeros(n, bool)
     x, fx = shingles(a)
     y, fy = shingles(b)
     for k in range(n):
-        p, q = np.unique(x[fx[k] : fx[k + 1]]), np.unique(y[fy[k] : fy[k + 1]])
+        p, q = distinct(x[fx[k] : fx[k + 1]]), distinct(y[fy[k] : fy[k + 1]])
         if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
             continue
         inter = len(np.intersect1d(p, q, assume_unique=True))
@@ -192,86 +195,6 @@ def _texts(docs: DataFrame, bits) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "key long, doc_id long, at int, line binary")
 
 
-def _sets(batch: pa.RecordBatch):
-    """Parts of a batch of lines, with the shingle set of each."""
-    for part in parts(batch, "line", limit=1 << 19):
-        h, first = shingles(part["line"].to_pylist())
-        yield part, [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-
-
-def frequencies(lines: DataFrame) -> np.ndarray:
-    """How many (line, shingle) pairs fall into each cell."""
-
-    def run(batch):
-        for _, sets in _sets(batch):
-            cell, n = np.unique(np.concatenate(sets) >> np.uint64(44), return_counts=True)
-            yield {"cell": cell.astype(np.int32), "n": n}
-
-    got = map_arrow(lines.select("line"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.uint32)
-    out[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), (1 << 32) - 1)
-    return out
-
-
-def prefixes(lines: DataFrame, cells: np.ndarray, percent: int) -> DataFrame:
-    """(shingle, key, n, at): the shingles by which a line may have to be found, their places in the common order, and the size of the set.
-
-    A set of n shingles shares at least percent n / 100 with each that it links with, so one of its first n - percent n / 100 + 1, rounded,
-    is shared. A shingle that is alone in its cell is no other line's.
-    """
-    sent = lines.sparkSession.sparkContext.broadcast(cells)
-
-    def run(batch):
-        for part, sets in _sets(batch):
-            sh, key, size, at = [], [], [], []
-            for k, s in zip(part["key"].to_pylist(), sets, strict=True):
-                n = len(s)
-                held = sent.value[(s >> np.uint64(44)).astype(np.int64)]
-                order = np.lexsort((s, (s >> np.uint64(44)), held))[: n - -(-percent * n // 100) + 1]
-                place = np.flatnonzero(held[order] > 1)
-                sh.append(s[order[place]])
-                at.append(place)
-                key.append(np.full(len(place), k, np.int64))
-                size.append(np.full(len(place), n))
-            yield {"shingle": np.concatenate(sh).view(np.int64), "key": np.concatenate(key), "n": np.concatenate(size).astype(np.int32), "at": np.concatenate(at).astype(np.int32)}
-
-    return map_arrow(lines.select("key", "line"), run, "shingle long, key long, n int, at int")
-
-
-def partners(t: pa.Table, low: int, high: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of lines of different components that share a shingle and are low to high - 1 apart in its list by size of set.
-
-    Pairs that are too different in size go, and those in which one line has too few shingles from the shared one on: if they link, an earlier one is shared.
-    """
-    sh, n, key, root, at = (t[c].to_numpy() for c in ("shingle", "n", "key", "root", "at"))
-    order = np.lexsort((key, n, sh))
-    sh, n, key, root, at = (x[order].astype(np.int64) for x in (sh, n, key, root, at))
-    out = [np.zeros((0, 2), np.int64)]
-    held = 0
-    starts = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
-    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    end = np.append(starts[1:], len(sh))
-    last = np.repeat(end, end - starts)
-    x = np.flatnonzero(np.repeat(mixed, end - starts))
-    for d in range(low, high):
-        x = x[x + d < last[x]]
-        x = x[100 * n[x] >= percent * n[x + d]]
-        if not len(x):
-            break
-        y = x + d
-        least = -(-percent * (n[x] + n[y]) // (100 + percent))
-        hit = (root[x] != root[y]) & (n[x] - at[x] >= least) & (n[y] - at[y] >= least)
-        a, b = key[x[hit]], key[y[hit]]
-        if len(a):
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            held += len(a)
-            if held > 1 << 21:
-                out = [np.unique(np.concatenate(out), axis=0)]
-                held = 0
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
 def confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of keys those whose lines are alike."""
     both = pairs.join(lines.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
@@ -284,41 +207,59 @@ def confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), verify, "a long, b long")
 
 
-def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Keys of the lines in groups of (met, a, b) that are in more than one component."""
-    stars = met.where("met <> 0")
-    for c in ("a", "b"):
-        stars = stars.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    apart = stars.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("met").distinct()
-    rows = met.join(apart, "met", "left_semi")
-    return rows.select(F.col("a").alias("key")).unionByName(rows.select(F.col("b").alias("key"))).distinct()
+def blocks(met: np.ndarray, key: np.ndarray, pivot: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, side, key): of each large group the lines that its pivots leave apart from most others (side 1) against all (side 2), by blocks.
 
-
-def settled(lines: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """roots (node, root) with the components united that have linked lines among these (key, line).
-
-    Every pair of lines is linked by others, or tried, or excluded by a bound. Rounds reach further and further down the lists of shingles, as
-    what has become one component by then needs no pairs.
+    Rows are a group's lines with each of its pivots, and whether they link.
     """
-    grams = materialise(prefixes(lines, frequencies(lines), percent))
+    out = [(np.zeros(0, np.int64),) * 3]
+    order = np.lexsort((key, met))
+    met, key, pivot, hit = met[order], key[order], pivot[order], hit[order]
+    cuts = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1], [True]]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        names, own = np.unique(key[a:b], return_inverse=True)
+        at = hit[a:b]
+        root = union(len(names), own[at].tolist(), np.searchsorted(names, pivot[a:b][at]).tolist())
+        apart = names[root != np.bincount(root).argmax()]
+        for i in range(0, len(apart), BLOCK):
+            for j in range(0, len(names), BLOCK):
+                cell = xxhash.xxh3_64_intdigest(b"%d %d %d" % (met[a], i, j)) - (1 << 63)
+                for side, some in ((1, apart[i : i + BLOCK]), (2, names[j : j + BLOCK])):
+                    out.append((np.full(len(some), cell), np.full(len(some), side), some))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def compared(cells: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), enough to connect all that are connected, within the cells of rows (cell, side, key): all pairs, or side 1 against 2."""
     spark = lines.sparkSession
-    total, longest = grams.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1").agg(F.sum("m"), F.max("m")).first()
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) * 32 // BUCKET_BYTES + 1)
-    low, high = 1, REACH
+    rows = cells.join(lines, "key")
+    total = rows.agg(F.sum(F.octet_length("line"))).first()[0] or 0
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (BUCKET_BYTES // 3) + 1)
 
     def meet(t: pa.Table) -> pa.Table:
-        a, b = partners(t, low, high, percent)
-        return pa.table({"a": a, "b": b})
-
-    while low < (longest or 0):
-        own = grams.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        own = own.withColumn("bin", F.pmod(F.xxhash64("shingle"), F.lit(bins))).select("bin", "shingle", "key", "n", "at", "root")
-        pairs = own.groupBy("bin").applyInArrow(meet, "a long, b long").distinct()
-        links = materialise(confirmed(pairs, lines, percent))
-        if not links.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        low, high = high, high * GROWTH
-    return roots
+        t = t.sort_by([("cell", "ascending"), ("key", "ascending")])
+        cell, side, key = (t[c].to_numpy() for c in ("cell", "side", "key"))
+        line = t["line"].to_pylist()
+        cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        cuts = cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist()
+        a, b = [], []
+        held: list[np.ndarray] = []  # sets of the lines from `begin` on
+        begin = 0
+        for i, j in zip(*cuts, strict=True):
+            if j > begin + len(held):
+                begin, size, k = i, 0, i
+                while k < j or (k < len(line) and size < 1 << 18):
+                    size += len(line[k])
+                    k += 1
+                h, first = shingles(line[i:k])
+                held = [distinct(h[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            x, y = links_within(held[i - begin : j - begin], percent, side[i:j])
+            a.append(key[i:j][x])
+            b.append(key[i:j][y])
+        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins))).select("bin", "cell", "side", "key", "line")
+    return rows.groupBy("bin").applyInArrow(meet, "a long, b long")
 
 
 def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -327,24 +268,36 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     seen = materialise(occurrences(docs))
     reps = seen.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), seen.count() * BANDS * 12 // BUCKET_BYTES + 1)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(shuffles, seen.count() * BANDS * 12 // BUCKET_BYTES + 1)
 
     def meet(t: pa.Table) -> pa.Table:
-        met, a, b = candidates(t["payload"].to_pylist())
-        return pa.table({"met": met, "a": a, "b": b})
+        met, key, pivot, large = groups(t["payload"].to_pylist())
+        return pa.table({"met": met, "key": key, "pivot": pivot, "large": large})
 
-    met = materialise(bands(docs, buckets).groupBy("bucket").applyInArrow(meet, "met long, a long, b long").distinct())
-    pairs = met.select("a", "b").distinct()
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    met = materialise(bands(docs, buckets).groupBy("bucket").applyInArrow(meet, "met long, key long, pivot long, large boolean").distinct())
+    nodes = met.select("key").distinct()
     bits = spark.sparkContext.broadcast(bitmap(nodes, "key"))
     wanted = nodes.join(reps, "key").select(F.col("key").alias("k"), "first")
     found = _texts(docs, bits)
     lines = found.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
     lines = materialise(lines.groupBy("key").agg(F.first("line").alias("line")))
-    roots = components(confirmed(pairs, lines, percent))
-    rest = materialise(lines.join(unsettled(met, roots), "key"))
-    if not rest.isEmpty():
-        roots = settled(rest, roots, percent)
+    cells = met.where(~F.col("large")).select(F.col("met").alias("cell"), F.lit(0).alias("side"), "key")
+    star = met.where("large")
+    links = None
+    if not star.isEmpty():
+        pairs = star.select(F.col("pivot").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
+        links = materialise(confirmed(pairs, lines, percent))
+        hits = links.select(F.col("a").alias("pivot"), F.col("b").alias("key"), F.lit(True).alias("hit"))
+        marked = star.join(hits, ["pivot", "key"], "left").select(F.pmod(F.xxhash64("met"), F.lit(buckets)).alias("bin"), "met", "key", "pivot", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+        def deal(t: pa.Table) -> pa.Table:
+            cell, side, key = blocks(*(t[c].to_numpy(zero_copy_only=False) if c == "hit" else t[c].to_numpy() for c in ("met", "key", "pivot", "hit")))
+            return pa.table({"cell": cell, "side": side.astype(np.int32), "key": key})
+
+        cells = cells.unionByName(marked.groupBy("bin").applyInArrow(deal, "cell long, side int, key long"))
+    tried = materialise(compared(materialise(cells), lines, percent))
+    roots = components(tried if links is None else tried.unionByName(links))
     rooted = seen.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("root", "key"))
     rooted = materialise(rooted.select("key", "doc_id", "at", "cluster"))
     firsts = rooted.groupBy("cluster").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("cluster", "first")
@@ -353,26 +306,32 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rooted.join(firsts, "cluster").where(other).select("key", "doc_id", "at", F.col("first.doc_id").alias("kept_doc"), F.col("first.at").alias("kept_at"))
 
 
+ADDED = ("n_lines", "n_kept", "kept_in")
+
+
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with text replaced, and n_lines, n_kept, kept_in added.
 
     Of each component of alike lines the first stays, by doc_id (null first) and position; the others go from their texts, whose other
     lines keep their order. Blank lines stay. kept_in lists the documents that hold the lines for which others went here. Rows with equal
     doc_id count as one document, so repeated rows keep the same lines. A null text stays null with 0 lines, an empty one is one blank
-    line; no rows give none. Columns of docs with the added names are replaced.
+    line; no rows give none. Columns of docs with the added names are replaced; other columns may have any name.
     """
-    gone = clusters(docs, percent).groupBy("doc_id").agg(F.collect_set("at").alias("_gone"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_kept", "kept_in")]
-    out = docs.select(*names).join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    out = out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-
-    def rest(text: Column) -> Column:
-        return F.array_join(F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(F.col("_gone"), at)), "\n")
-
-    n = F.coalesce(F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    out = out.withColumn("n_lines", n).withColumn("n_kept", F.col("n_lines") - F.size("_gone"))
-    out = out.withColumn("text", F.when(F.size("_gone") > 0, rest(F.col("text"))).otherwise(F.col("text")))
-    return out.select(*names, "n_lines", "n_kept", F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
+    gone = clusters(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
+    names = [c for c in docs.columns if c not in ADDED]
+    out = packed(docs.select(*names), "doc_id", "text").join(gone.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+
+    def since(g: Column, k: Column) -> Column:
+        """How many lines stay between a line that goes, the k-th of them, and the one that went before."""
+        return g - F.when(k > 0, F.get("gone", k - 1)).otherwise(-1) - 1
+
+    # whether each line goes, from the places of those that go, in linear time
+    marks = F.flatten(F.transform("gone", lambda g, k: F.concat(F.array_repeat(F.lit(False), since(g, k)), F.array(F.lit(True)))))
+    left = F.array_join(F.zip_with(F.split("text", "\n"), marks, lambda line, goes: F.when(~F.coalesce(goes, F.lit(False)), line)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    n = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    out = out.select("rest", "doc_id", text.alias("text"), n.alias("n_lines"), (n - F.coalesce(F.size("gone"), F.lit(0))).alias("n_kept"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
+    return unpacked(out, names, "doc_id", "text").select(*names, *ADDED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mix64
+from .common import distinct, mix64
+from .components import union
 
 WORDS = 5
 _SPACE = np.zeros(256, bool)
@@ -54,9 +55,51 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(all_[a : b - words + 1]))
+            out.append(distinct(all_[a : b - words + 1]))
         elif b > a:
             out.append(mix64((h[a:b] * _FACTORS[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many items each of the sets at `left` shares with each at `right`, exactly: products of 0/1 matrices, some columns at a time."""
+    n = np.array([len(s) for s in sets])
+    items = np.concatenate(sets)
+    order = np.argsort(items)
+    items = items[order]
+    same = items[1:] == items[:-1]
+    some = np.concatenate([[False], same]) | np.concatenate([same, [False]])  # what one set alone has goes
+    fresh = np.concatenate([[True], ~same])[some]
+    col = np.cumsum(fresh) - 1
+    row = np.repeat(np.arange(len(sets)), n)[order][some]
+    out = np.zeros((len(left), len(right)))
+    step = max(64, (1 << 21) // len(sets))
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        a, b = np.searchsorted(col, (c, c + step))
+        x = np.zeros((len(sets), min(step, int(col[-1]) + 1 - c)), np.float32)
+        x[row[a:b], col[a:b] - c] = 1
+        out += x[left] @ x[right].T
+    return out
+
+
+def links_within(sets: list[np.ndarray], percent: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets (positions) by exact Jaccard similarity, enough to connect all that are connected; of sides 1 and 2 only across."""
+    left, right = (np.arange(len(sets)),) * 2 if not side[0] else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    n = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        inter = np.array([[len(np.intersect1d(sets[0], sets[1], assume_unique=True))]])
+        left, right = np.array([0]), np.array([1])
+    else:
+        inter = shared(sets, left, right)
+    hit = 100 * inter >= percent * (n[left][:, None] + n[right][None] - inter)
+    x, y = np.nonzero(hit)
+    x, y = left[x], right[y]
+    some = x != y
+    x, y = x[some], y[some]
+    if len(x) < len(sets):
+        return x, y
+    root = union(len(sets), x.tolist(), y.tolist())
+    other = np.flatnonzero(root != np.arange(len(sets)))
+    return root[other], other

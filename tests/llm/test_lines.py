@@ -13,7 +13,8 @@ def brute(rows):
     for i, text in rows:
         for k, line in enumerate(lines.split((text or "").encode())):
             if line.strip():
-                sets.setdefault(line, {line[j : j + 8] for j in range(len(line) - 7)} or {line})
+                own = line.decode()
+                sets.setdefault(line, {own[j : j + 8] for j in range(len(own) - 7)} or {own})
                 order.setdefault(line, []).append((i is not None, i or 0, k))
     keys = list(sets)
     parent = {k: k for k in keys}
@@ -99,3 +100,44 @@ def test_templates_against_all_pairs(spark):
     dropped = sum(len(a.split("\n")) for _, a in rows) - sum(len(a.split("\n")) for _, a in expected)
     assert 100 < dropped < 1000
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(expected)
+
+
+def near(n, vary, seed):
+    """n lines of one template, each with some of its words replaced."""
+    rng = random.Random(seed)
+    words = prose(seed, 40).replace("\n", " ").lower().split()
+    out = []
+    for _ in range(n):
+        own = list(words)
+        for k in rng.sample(range(len(own)), rng.randint(*vary)):
+            own[k] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(len(own[k])))
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("n", "vary"), [(300, (2, 4)), (300, (1, 4)), (400, (0, 3))])
+def test_recall_within_groups(spark, n, vary, capsys):
+    """Groups above the size of a block, of lines that link, don't link, or link by way of others: the share of all links whose ends are one component."""
+    texts = near(n, vary, n + vary[1])
+    rows = [(k, "\n".join(texts[k * 10 : k * 10 + 10])) for k in range(n // 10)]
+    expected = brute(rows)
+    got = sorted((r.doc_id, r.text) for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kept, true = (sum(len([x for x in t.split("\n") if x]) for _, t in out) for out in (got, expected))
+    recall = (n - kept) / (n - true)
+    with capsys.disabled():
+        print(f"lines {n}, kept {kept}, by all pairs {true}, recall of dropped lines {recall:.3f}")
+    assert n > true and 0.99 <= recall <= 1
+
+
+def test_characters_not_bytes():
+    """A shingle is as many characters in any script."""
+    a = "日本語の文章がここにあります".encode()
+    h, first = lines.shingles([a, b"short", "日本".encode()])
+    assert first.tolist() == [0, 14 - 7, 8, 9] and len(set(h.tolist())) == 9
+
+
+def test_other_columns_keep_their_names(spark):
+    rows = [(1, "one line of this text stays here\nanother", "a", 5, None), (2, "one line of this text stays here", "b", 6, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, key int, gone string").withColumn("id", F.lit(9)).withColumn("rest", F.lit("r"))
+    got = lines.deduplicate(docs).orderBy("doc_id").collect()
+    assert [(r._id, r.key, r.gone, r.id, r.rest, r.text, r.n_kept) for r in got] == [("a", 5, None, 9, "r", rows[0][1], 2), ("b", 6, "z", 9, "r", "", 0)]
