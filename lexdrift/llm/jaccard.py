@@ -1,14 +1,19 @@
 """Exact Jaccard join of documents by their word shingles, in a metric space.
 
-Jaccard distance is a metric, in which nearly all documents are at distance 1 from each other, so pivots are found where documents
-meet. A single shingle is a pivot too: the documents that hold it are its region. A document has to be replicated into the regions
-of so many of its shingles, rarest first, as leave no linked document out: beyond that window the two sets differ too much (the
-prefix bound of Jaccard similarity). Regions that share documents are united; those with one document go.
+Jaccard distance is a metric, in which nearly all documents are at distance 1 from each other: there the triangle inequality excludes nothing,
+and Voronoi regions of document pivots would each hold all documents. So the space is first cut where it is empty, by the prefix bound of
+Jaccard similarity: a document meets others in the lists of so many of its shingles, rarest first, as leave no linked document out.
+Documents that meet are one region, and single documents go.
 
-A region is joined by document pivots, recursively and exactly. What lies within the link distance e of a pivot p is linked to p and so to
-each other. A document y outside can link with such an x only if d(y, p) <= 2 e, and only if d(x, p) >= d(y, p) - e: the boundary
-documents of that ring are replicated into the pivot's region and also stay for the next pivots. Regions above LIMIT shingles are cut
-this way by a distributed round, smaller ones within a task.
+Regions are joined by document pivots, recursively and exactly. With e the link distance, a document belongs to its nearest pivot (its Voronoi
+region); within e it is linked to it, and pivots that link with the same document are one component. A document y outside p's component can
+link with an x of p's region only if d(y, p) <= 2 e, and only if d(x, p) >= d(y, p) - e: the documents of that ring are replicated into the
+component's cell, opposite the boundary of its regions. What links with no pivot is a region of its own, smaller by the pivots and all they link
+with, and goes on to the next round. If more than half of a region goes on, pivots don't divide it, and its rows are compared by blocks, as are
+the two sides of a cell. Regions of up to REGION_ROWS documents are joined by the same steps within a task.
+
+A round deals each region over many tasks, so that a large group of near copies is no task's alone. Pairs that pivots neither link, connect nor
+exclude are compared, at a cost that is quadratic in their number, but without rows for pairs: BLOCK_ROWS documents meet as many at a time.
 
 Documents with equal sets are one class. 64-bit hashes stand for shingles and for classes.
 """
@@ -24,16 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_slots, flat, map_arrow, map_batches, materialise, parts, small_batches, table
-from .components import components
-from .shingles import WORDS, shingle_sets
+from .common import bitmap, bitmap_slots, chunks, flat, map_arrow, map_batches, materialise, packed, parts, small_batches, table, unpacked
+from .components import components, union
+from .shingles import WORDS, links_within, shared, shingle_sets
 
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Cells of the sketch of shingle frequencies that orders shingles (any order is right; rarest first is fast): 4 MB to 8 MB, whatever the input.
+#: Cells of the sketch of shingle frequencies that orders shingles (any order is right; rarest first is fast): 16 MB, whatever the input.
 CELLS, BLOCK = 1 << 22, 1 << 12
-#: Shingles of a region that is joined within a task; bytes of replicated shingles in a bucket.
-LIMIT, BUCKET_BYTES = 4_000_000, 24 << 20
+#: Bytes of replicated shingles in a bucket.
+BUCKET_BYTES = 24 << 20
+#: Documents and shingles of a region that is joined within a task, and of a block of a larger one; documents that a task compares with pivots.
+REGION_ROWS, REGION_ITEMS, BLOCK_ROWS, BLOCK_ITEMS, DEALT = 256, 1 << 18, 1024, 1 << 20, 512
 PIVOTS = 8
 
 
@@ -58,15 +65,25 @@ def members(docs: DataFrame, words: int) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """How many (document, shingle) pairs fall into each cell, saturated at 65535."""
+    """How many (document, shingle) pairs fall into each cell, up to 2^32 - 1.
+
+    Where cells hold many shingles each, a frequent one still stands out, by far more than the others of its cell vary.
+    """
+
+    def sent(x: np.ndarray) -> bytes:
+        return x.astype(np.uint16 if x.max() < 1 << 16 else np.uint32).tobytes()
+
+    def got(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, np.uint16 if len(x) == 2 * BLOCK else np.uint32)
+
 
     def run(batches):
-        total, held, size = np.zeros(CELLS, np.uint32), [], 0
+        total, held, size = np.zeros(CELLS, np.int64), [], 0
 
         def settle():
             nonlocal held, size
             if held:
-                total[:] += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                total[:] += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=CELLS)
             held, size = [], 0
 
         for batch in batches:
@@ -76,22 +93,22 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
                 if size > 1 << 21:
                     settle()
         settle()
-        out = np.minimum(total, 65535).astype(np.uint16).reshape(-1, BLOCK)
+        out = np.minimum(total, (1 << 32) - 1).reshape(-1, BLOCK)
         task = TaskContext.get().partitionId() % 32
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array([task] * len(out), pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], names=["block", "salt", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array([task] * len(out), pa.int32()), pa.array([sent(x) for x in out], pa.binary())], names=["block", "salt", "cells"])
 
     def add(t: pa.Table) -> pa.Table:
         x = np.zeros(BLOCK, np.int64)
         for c in t["cells"].to_pylist():
-            x += np.frombuffer(c, np.uint16)
-        return pa.table({"block": t["block"].slice(0, 1), "salt": t["salt"].slice(0, 1), "cells": pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes()], pa.binary())})
+            x += got(c)
+        return pa.table({"block": t["block"].slice(0, 1), "salt": t["salt"].slice(0, 1), "cells": pa.array([sent(np.minimum(x, (1 << 32) - 1))], pa.binary())})
 
     schema = "block int, salt int, cells binary"
     some = map_batches(docs.select("text"), run, schema).groupBy("block", "salt").applyInArrow(add, schema)
-    got = some.groupBy("block").applyInArrow(add, schema).toArrow()
-    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint16)
-    for b, c in zip(got["block"].to_pylist(), got["cells"].to_pylist(), strict=True):
-        out[b] = np.frombuffer(c, np.uint16)
+    blocks = some.groupBy("block").applyInArrow(add, schema).toArrow()
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint32)
+    for b, c in zip(blocks["block"].to_pylist(), blocks["cells"].to_pylist(), strict=True):
+        out[b] = got(c)
     return out.ravel()
 
 
@@ -193,24 +210,7 @@ def unite(payloads: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[other]], nodes[other]
 
 
-def union(n: int, a: list[int], b: list[int]) -> np.ndarray:
-    """The least member of each one's component."""
-    parent = list(range(n))
-    for x, y in zip(a, b, strict=True):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    for x in range(n):
-        parent[x] = parent[parent[x]]
-    return np.array(parent, np.int64)
-
-
-def shared(pivot: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def held(pivot: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many shingles of a pivot each of several sets (not empty) holds; items are their shingles."""
     at = np.searchsorted(pivot, items)
     at[at == len(pivot)] = 0
@@ -228,7 +228,7 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
     def measure(p: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Jaccard distance of p to others, and whether they link."""
         own = [sets[i] for i in others]
-        inter = shared(sets[p], np.concatenate(own), np.concatenate([[0], np.cumsum(n_all[others])]))
+        inter = held(sets[p], np.concatenate(own), np.concatenate([[0], np.cumsum(n_all[others])]))
         either = n_all[p] + n_all[others] - inter
         return 1 - inter / either, 100 * inter >= percent * either
 
@@ -255,86 +255,142 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
     return links
 
 
-def _cut(regions: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One distributed round over large regions (region, class, n, own): links (a, b), and the regions that remain.
-
-    Each region gets about k pivots. A document within e of a pivot is linked to it and belongs to the nearest one's region; it is replicated
-    into the regions of pivots whose ring it lies in. Documents without a pivot nearby form the region that goes on. The regions of
-    pivots whose ring is empty are done.
-    """
+def _nearest(rows: pa.Table, pivots: pa.Table, percent: int) -> pa.Table:
+    """Each row with the nearest pivot, its distance, the pivots that it links with, and those in whose ring it lies."""
     e = 1 - percent / 100
-    h = F.xxhash64("class", F.lit(77))
-    pivots = regions.groupBy("region", F.pmod(h, F.lit(k)).alias("salt")).agg(F.min(F.struct(h.alias("h"), "class", "own")).alias("p"))
-    pivots = materialise(pivots.groupBy("region").agg(F.collect_list(F.struct("p.class", "p.own")).alias("pivots")))
-    joined = regions.join(pivots, "region")
-
-    def run(batch):
-        out = {x: [] for x in ("region", "class", "n", "own", "part", "d", "linked")}
-        for row in batch.to_pylist():
-            own = np.frombuffer(row["own"], np.uint64)
-            found, home = [], None
-            for q in sorted(row["pivots"], key=lambda q: q["class"]):
-                p = np.frombuffer(q["own"], np.uint64)
-                inter = len(np.intersect1d(own, p, assume_unique=True))
-                either = len(own) + len(p) - inter
-                d, link = 1 - inter / either, 100 * inter >= percent * either
-                if d <= 2 * e + 1e-9:
-                    found.append((q["class"], d, link))
-                    if link and (home is None or d < home[1]):
-                        home = (q["class"], d)
-            keep = [(c, d, link) for c, d, link in found if link or home is None or c != home[0]]
-            if home is None:
-                keep.append((None, 1.0, False))
-            for c, d, link in keep:
-                for name, value in zip(out, (row["region"], row["class"], row["n"], row["own"], c, d, link), strict=True):
-                    out[name].append(value)
-        yield out
-
-    marked = materialise(map_arrow(joined.select("region", "class", "n", "own", "pivots"), run, "region long, class long, n long, own binary, part long, d double, linked boolean"))
-    links = marked.where("linked and part <> class").select(F.col("part").alias("a"), F.col("class").alias("b"))
-    ring = marked.where("part is not null and not linked").groupBy("region", "part").agg(F.min("d").alias("least"))
-    inner = marked.where("part is not null").join(ring, ["region", "part"]).where(F.col("d") >= F.col("least") - e - 1e-9)
-    inner = inner.select(F.xxhash64("region", "part").alias("region"), "class", "n", "own")
-    outer = marked.where("part is null").select(F.xxhash64("region", F.lit("rest")).alias("region"), "class", "n", "own")
-    return links, materialise(inner.unionByName(outer))
-
-
-def link_regions(regions: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Links (a, b) between classes, from rows (region, class, n, own), by rounds over large regions and tasks over the others."""
-    links: DataFrame | None = None
-    k = PIVOTS
+    pivots = pivots.sort_by("pivot")
+    names = pivots["pivot"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in rows["own"].to_pylist() + pivots["own"].to_pylist()]
+    n = np.array([len(x) for x in sets])
+    k = len(rows)
+    inter = np.concatenate([shared(sets[a:b] + sets[k:], np.arange(b - a), np.arange(b - a, b - a + len(names))) for a, b in chunks(np.concatenate([[0], np.cumsum(n[:k])]), BLOCK_ITEMS)])
+    either = n[:k, None] + n[k:] - inter
+    d = 1 - inter / either
+    linked = 100 * inter >= percent * either
+    ring = ~linked & (d <= 2 * e + 1e-9)
+    home = d.argmin(1)
+    return rows.select(["region", "class", "n", "own"]).append_column("home", pa.array(names[home])).append_column("d", pa.array(d[np.arange(k), home])).append_column(
+        "linked", pa.array([names[x].tolist() for x in linked], pa.list_(pa.int64()))
+    ).append_column("ring", pa.array([[{"pivot": names[j], "d": d[i, j]} for j in np.flatnonzero(x)] for i, x in enumerate(ring)], pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64())]))))
+
+
+def _pivoted(regions: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A round over regions of rows (region, class, n, own, rows): links (a, b), two-sided cells (cell, side, class, n, own), and what goes on."""
+    e = 1 - percent / 100
+    hashed = F.xxhash64("class", F.lit(77))
+    salts = F.ceil(F.col("rows") / DEALT).cast("int")
+    dealt = regions.withColumn("salt", F.pmod(F.xxhash64("class", F.lit(78)), salts))
+    pivots = regions.groupBy("region", F.pmod(hashed, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(hashed.alias("h"), "class", "own")).alias("p"), F.max(salts).alias("salts"))
+    pivots = pivots.select("region", F.col("p.class").alias("pivot"), F.col("p.own").alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    schema = "region long, class long, n long, own binary, home long, d double, linked array<bigint>, ring array<struct<pivot: bigint, d: double>>"
+    met = dealt.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt"))
+    marked = materialise(met.applyInArrow(lambda rows, near: _nearest(rows, near, percent), schema))
+
+    links = marked.select(F.explode("linked").alias("a"), F.col("class").alias("b")).where("a <> b")
+    # pivots of a region that a document links with are one component; at most PIVOTS ** 2 pairs a region
+    both = marked.where(F.size("linked") > 1).select("region", F.col("linked")[0].alias("a"), F.explode("linked").alias("b")).distinct()
+    alone = marked.where(F.size("linked") > 0).select("region", F.explode("linked").alias("a")).distinct().select("region", "a", F.col("a").alias("b"))
+
+    def name(t: pa.Table) -> pa.Table:
+        a, b = t["a"].to_numpy(), t["b"].to_numpy()
+        names = np.unique(a)
+        root = union(len(names), np.searchsorted(names, a).tolist(), np.searchsorted(names, b).tolist())
+        return pa.table({"region": pa.array([t["region"][0].as_py()] * len(names), pa.int64()), "pivot": names, "part": names[root]})
+
+    parts_ = materialise(both.unionByName(alone).groupBy("region").applyInArrow(name, "region long, pivot long, part long"))
+    own = parts_.select("region", F.col("pivot").alias("own_pivot"), F.col("part").alias("own_part"))
+    named = marked.join(own, (marked["region"] == own["region"]) & (F.get("linked", F.lit(0)) == F.col("own_pivot")), "left").drop(own["region"])
+    around = named.select("region", "class", "own_part", F.explode("ring").alias("x")).select("region", "class", "own_part", "x.pivot", "x.d")
+    around = around.join(parts_, ["region", "pivot"]).where(~F.col("own_part").eqNullSafe(F.col("part")))
+    around = materialise(around.select("region", "pivot", "part", "class", "d"))
+    least = around.groupBy("region", "pivot").agg(F.min("d").alias("least"))
+    inner = named.where(F.size("linked") > 0).join(least.withColumnRenamed("pivot", "home"), ["region", "home"]).where(F.col("d") >= F.col("least") - e - 1e-9)
+    inner = inner.select(F.xxhash64("region", "own_part").alias("cell"), F.lit(2).alias("side"), "class", "n", "own")
+    outer = around.select("region", "part", "class").distinct().join(marked.select("region", "class", "n", "own"), ["region", "class"])
+    outer = outer.select(F.xxhash64("region", "part").alias("cell"), F.lit(1).alias("side"), "class", "n", "own")
+    further = marked.where(F.size("linked") == 0).select("region", "class", "n", "own")
+    return links, inner.unionByName(outer), further
+
+
+def _blocks(rows: DataFrame, cell: str) -> DataFrame:
+    """Rows (cell, side, class, n, own) dealt into blocks, so that each pair of blocks meets once: of sides 1 and 2 across, of side 0 all."""
+    rows = rows.withColumnRenamed(cell, "wide")
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int")
+    sizes = rows.groupBy("wide").pivot("side", [0, 1, 2]).agg(many).na.fill(0)
+    block = F.pmod(F.xxhash64("class", F.lit(79)), F.element_at(F.array("0", "1", "2"), F.col("side") + 1))
+    rows = rows.join(sizes, "wide").withColumn("i", block)
+    within = F.transform(F.sequence(F.lit(0), F.col("0") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), F.when(F.col("i") == j, 0).when(F.col("i") < j, 1).otherwise(2).alias("side")))
+    first = F.transform(F.sequence(F.lit(0), F.col("2") - 1), lambda j: F.struct(F.col("i").alias("x"), j.alias("y"), F.lit(1).alias("side")))
+    second = F.transform(F.sequence(F.lit(0), F.col("1") - 1), lambda j: F.struct(j.alias("x"), F.col("i").alias("y"), F.lit(2).alias("side")))
+    meets = F.when(F.col("side") == 0, within).when((F.col("1") == 0) | (F.col("2") == 0), F.slice(within, 1, 0)).when(F.col("side") == 1, first).otherwise(second)
+    rows = rows.select("wide", "class", "n", "own", F.explode(meets).alias("m"))
+    return rows.select(F.xxhash64("wide", "m.x", "m.y").alias("cell"), F.col("m.side").alias("side"), "class", "n", "own")
+
+
+def _within_tasks(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in each cell of rows (cell, side, class, n, own): side 0 as a region, 1 against 2 by comparison."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    bins = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // REGION_ITEMS))
+
+    def join(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("cell", "ascending"), ("class", "ascending")])
+        cell, side, cl = t["cell"].to_numpy(), t["side"].to_numpy(), t["class"].to_numpy()
+        own = t["own"].to_pylist()
+        cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            sets = [np.frombuffer(x, np.uint64) for x in own[i:j]]
+            if side[i] or j - i > REGION_ROWS:
+                x, y = links_within(sets, percent, side[i:j])
+            else:
+                x, y = np.array(join_region(sets, percent), np.int64).reshape(-1, 2).T
+            a.append(cl[i:j][x])
+            b.append(cl[i:j][y])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    dealt = rows.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins))).select("bin", "cell", "side", "class", "own")
+    return materialise(dealt.groupBy("bin").applyInArrow(join, "a long, b long"))
+
+
+def link_regions(regions: DataFrame, percent: int, rows: int = REGION_ROWS, items: int = REGION_ITEMS) -> DataFrame:
+    """Links (a, b) between classes, enough to connect all that are connected, from rows (region, class, n, own); a round halves what goes on."""
+    links: list[DataFrame] = []
+    before = None  # rows of the region that a region is what remained of
     while True:
-        weight = materialise(regions.groupBy("region").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-        total, most = weight.agg(F.sum("weight"), F.max("weight")).first()
-        if not total:
+        size = regions.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items")).where("rows > 1")
+        tagged = regions.join(size, "region")
+        if before is None:
+            tagged = tagged.withColumn("was", F.lit(None).cast("long"))
+        else:
+            tagged = tagged.join(before, "region")
+        tagged = materialise(tagged)
+        if tagged.isEmpty():
             break
-        bins = max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * 2 // limit))
-        small = regions.join(weight.where(F.col("weight") <= limit).select("region"), "region").withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
-
-        def join(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("region", "ascending"), ("class", "ascending")])
-            region, cl = t["region"].to_numpy(), t["class"].to_numpy()
-            own = t["own"].to_pylist()
-            cuts = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]])
-            a, b = [], []
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                keep = [x for x in range(i, j) if x == i or cl[x] != cl[x - 1]]
-                for x, y in join_region([np.frombuffer(own[z], np.uint64) for z in keep], percent):
-                    a.append(int(cl[keep[x]]))
-                    b.append(int(cl[keep[y]]))
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        here = materialise(small.select("bin", "region", "class", "own").groupBy("bin").applyInArrow(join, "a long, b long"))
-        links = here if links is None else links.unionByName(here)
-        if most <= limit:
+        small = (F.col("rows") <= rows) & (F.col("items") <= items)
+        links.append(_within_tasks(tagged.where(small).select(F.col("region").alias("cell"), F.lit(0).alias("side"), "class", "n", "own"), percent))
+        large = tagged.where(~small)
+        stuck = F.coalesce(F.col("rows") * 2 > F.col("was"), F.lit(False))
+        undivided = large.where(stuck).select(F.col("region").alias("cell"), F.lit(0).alias("side"), "class", "n", "own")
+        large = large.where(~stuck)
+        if not large.isEmpty():
+            more, cells, regions = _pivoted(large, percent)
+            undivided = undivided.unionByName(cells)
+            links.append(more)
+            before = large.select("region", F.col("rows").alias("was")).distinct()
+        met = materialise(_blocks(undivided, "cell"))
+        if not met.isEmpty():
+            links.append(_within_tasks(met, percent))
+        if large.isEmpty():
             break
-        more, regions = _cut(regions.join(weight.where(F.col("weight") > limit).select("region"), "region"), k, percent)
-        links = links.unionByName(more)
-        k *= 2
-    return links if links is not None else regions.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    if not links:
+        return regions.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-def _linked(docs: DataFrame, words: int, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, words: int, percent: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class, n) of every row, and of each class with words (class, doc, root): its least doc_id and the least class of its component."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
@@ -358,12 +414,12 @@ def _linked(docs: DataFrame, words: int, percent: int, limit: int) -> tuple[Data
         keyed = _candidates(docs, words, bits)
         here = keyed.join(wanted, keyed["class"] == wanted["class"]).where(F.col("doc").eqNullSafe(F.col("doc_id")))
         here = materialise(here.select("region", wanted["class"], "n", "own"))
-        found = components(link_regions(here, percent, limit))
+        found = components(link_regions(here, percent, rows))
     top = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
     return every, top
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = REGION_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for rows (doc_id, text).
 
     component_id is the least doc_id reachable over links, the own one included. A document's set is its distinct shingles; a text with
@@ -371,7 +427,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int
     Repeated rows are documents with equal sets and link. A null doc_id is greater than all others. No rows give none; other columns are
     ignored. Groups of equal sets are one class throughout, and groups of near copies are settled against a pivot, without all their pairs.
     """
-    every, top = _linked(docs, words, percent, limit)
+    every, top = _linked(docs, words, percent, rows)
     least = top.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = top.join(least, "root").select("class", "component_id")
     out = every.join(named, "class", "left")
@@ -392,31 +448,31 @@ def _candidates(docs: DataFrame, words: int, bits) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, class long, n long, own binary")
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = REGION_ROWS) -> DataFrame:
     """The documents with their columns, one of each component: one with the least id, a null id being greater than all others.
 
     Components are those of texts, whatever their ids: unlinked texts all stay, with a null or the same id too. Texts without words link with
     nothing; those that share an id, which isn't null, are one. Of rows with one id and equal sets, one with the greatest text stays.
     """
-    top = materialise(_linked(docs, words, percent, limit)[1])
+    top = materialise(_linked(docs, words, percent, rows)[1])
     chosen = top.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "class")).alias("c"))
-    chosen = chosen.select(F.col("c.class").alias("_class"), F.col("c.doc").alias("_doc"))
+    chosen = chosen.select(F.col("c.class").alias("class"), F.col("c.doc").alias("doc"))
 
     @F.arrow_udf("long")
     def key(text: pa.Array) -> pa.Array:
         return pa.array([class_key(s) for _, sets in _sets(pa.RecordBatch.from_arrays([text], names=["text"]), words) for s in sets], pa.int64())
 
     small_batches(docs.sparkSession)
-    rows = docs.withColumn("_key", key("text")).withColumn("_part", F.spark_partition_id())
-    bare = F.col("_key") == class_key(np.zeros(0, np.uint64))
-    kept = rows.join(chosen, (F.col("_key") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    kept = kept.where(F.col("_class").isNotNull() | bare)
+    kept = packed(docs, "doc_id", "text").withColumn("key", key("text")).withColumn("part", F.spark_partition_id())
+    bare = F.col("key") == class_key(np.zeros(0, np.uint64))
+    kept = kept.join(chosen, (F.col("key") == F.col("class")) & F.col("doc_id").eqNullSafe(F.col("doc")), "left")
+    kept = kept.where(F.col("class").isNotNull() | bare)
     # rows without words and id are told apart by a number of their own; a part's equal rows go first, so that many of them don't meet in one task
-    kept = kept.withColumn("_row", F.when(bare & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    for by in (["_key", "doc_id", "_row", "_part"], ["_key", "doc_id", "_row"]):
+    kept = kept.withColumn("row", F.when(bare & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    for by in (["key", "doc_id", "row", "part"], ["key", "doc_id", "row"]):
         first = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("text").desc_nulls_last()))
-        kept = kept.withColumn("_k", first).where(F.col("_k") == 1).drop("_k")
-    return kept.select(*docs.columns)
+        kept = kept.withColumn("k", first).where(F.col("k") == 1).drop("k")
+    return unpacked(kept, docs.columns, "doc_id", "text").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

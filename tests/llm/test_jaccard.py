@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.llm import jaccard
 from lexdrift.llm.common import flat
-from lexdrift.llm.components import components
+from lexdrift.llm.components import components, union
 from lexdrift.llm.shingles import shingle_sets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,10 +65,10 @@ def test_odd_documents(spark):
     assert {(r.doc_id, r.n_shingles) for r in jaccard.join(blank).collect()} == {(r.doc_id, 0) for r in blank.collect()}
 
 
-@pytest.mark.parametrize("limit", [jaccard.LIMIT, 1500])
-def test_chains(spark, limit):
+@pytest.mark.parametrize("rows", [jaccard.REGION_ROWS, 5])
+def test_chains(spark, rows):
     docs = family(spark)
-    same(jaccard.join(docs, limit=limit), [tuple(r) for r in docs.collect()])
+    same(jaccard.join(docs, rows=rows), [tuple(r) for r in docs.collect()])
 
 
 def test_regions_join_exactly():
@@ -84,7 +84,7 @@ def test_regions_join_exactly():
         links = jaccard.join_region(sets)
         true = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
         assert all((max(x), min(x)) in set(true) for x in links), seed
-        a, b = (jaccard.union(40, [x for x, _ in e], [y for _, y in e]) for e in (links, true))
+        a, b = (union(40, [x for x, _ in e], [y for _, y in e]) for e in (links, true))
         assert (a == b).all()
 
 
@@ -159,4 +159,60 @@ def linked(rows):
     """The component of each row, by all pairs."""
     sets = [shingles(t) for _, t in rows]
     true = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
-    return jaccard.union(len(rows), [i for i, _ in true], [j for _, j in true]).tolist()
+    return union(len(rows), [i for i, _ in true], [j for _, j in true]).tolist()
+
+
+def template(n, seed=0, length=200, most=39):
+    """n sets around one template, 2 to `most` of their items replaced."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, length).astype(np.uint64)
+    out = []
+    for _ in range(n):
+        own = base.copy()
+        at = rng.choice(length, rng.integers(2, most + 1), replace=False)
+        own[at] = rng.integers(0, 1 << 60, len(at)).astype(np.uint64)
+        out.append(np.unique(own))
+    return out
+
+
+def as_regions(spark, sets):
+    return spark.createDataFrame([(1, k, len(s), bytearray(s.tobytes())) for k, s in enumerate(sets)], "region long, class long, n long, own binary")
+
+
+def test_rounds_divide_a_template(spark):
+    """A round's rows stay a small multiple of the region's, and what goes on is at most half of it."""
+    sets = template(300)
+    rows = as_regions(spark, sets).withColumn("rows", F.lit(300).cast("long"))
+    links, cells, rest = jaccard._pivoted(rows, 75)
+    on, made = rest.count(), cells.count()
+    assert on <= 150 and made <= 3 * 300
+    met = jaccard._blocks(cells, "cell")
+    assert met.count() == made  # below a block, none is replicated
+    found = jaccard.link_regions(as_regions(spark, sets), 75, rows=20).collect()
+    true = [(i, j) for i in range(300) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    assert all((max(a, b), min(a, b)) in set(true) for a, b in found)
+    x, y = (union(300, [a for a, _ in e], [b for _, b in e]) for e in (found, true))
+    assert (x == y).all()
+
+
+def test_many_near_copies_in_bounded_rows(spark, monkeypatch):
+    made = []
+    real = jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda rows, cell: (lambda df: made.append(df.count()) or df)(real(rows, cell)))
+    sets = template(10_000)
+    found = jaccard.link_regions(as_regions(spark, sets), 75).collect()
+    assert sum(made) < 12 * 10_000, made
+    root = union(len(sets), [a for a, _ in found], [b for _, b in found])
+    # by each set's nearest: those with few changes are one component, and the others are in it if any of it is alike
+    core = np.flatnonzero(root == np.bincount(root).argmax())
+    apart = np.setdiff1d(np.arange(len(sets)), core)[:60]
+    for i in apart.tolist():
+        inter = jaccard.held(sets[i], np.concatenate([sets[j] for j in core]), np.concatenate([[0], np.cumsum([len(sets[j]) for j in core])]))
+        either = len(sets[i]) + np.array([len(sets[j]) for j in core]) - inter
+        assert not (100 * inter >= 75 * either).any()
+
+
+def test_other_columns_keep_their_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "a", 5), (2, "one two three four five six", "b", 6)], "doc_id long, text string, _id string, key int")
+    docs = docs.withColumn("class", F.lit("c")).withColumn("rest", F.lit(1)).withColumn("k", F.lit(0))
+    assert [tuple(r) for r in jaccard.deduplicate(docs).collect()] == [(1, "one two three four five six", "a", 5, "c", 1, 0)]
