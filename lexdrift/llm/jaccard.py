@@ -258,8 +258,12 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
 def _nearest(rows: pa.Table, pivots: pa.Table, percent: int) -> pa.Table:
     """Each row with the nearest pivot, its distance, the pivots that it links with, and those in whose ring it lies."""
     e = 1 - percent / 100
+    shape = [("home", pa.int64()), ("d", pa.float64()), ("linked", pa.list_(pa.int64())), ("ring", pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64())])))]
+    rows = rows.select(["region", "class", "n", "own"])
     pivots = pivots.sort_by("pivot")
     names = pivots["pivot"].to_numpy()
+    if not len(rows):  # a salt that no document has; none is without pivots, as a region has at least one
+        return pa.table([*rows.columns, *[pa.array([], kind) for _, kind in shape]], names=[*rows.column_names, *[name for name, _ in shape]])
     sets = [np.frombuffer(x, np.uint64) for x in rows["own"].to_pylist() + pivots["own"].to_pylist()]
     n = np.array([len(x) for x in sets])
     k = len(rows)
@@ -269,9 +273,10 @@ def _nearest(rows: pa.Table, pivots: pa.Table, percent: int) -> pa.Table:
     linked = 100 * inter >= percent * either
     ring = ~linked & (d <= 2 * e + 1e-9)
     home = d.argmin(1)
-    return rows.select(["region", "class", "n", "own"]).append_column("home", pa.array(names[home])).append_column("d", pa.array(d[np.arange(k), home])).append_column(
-        "linked", pa.array([names[x].tolist() for x in linked], pa.list_(pa.int64()))
-    ).append_column("ring", pa.array([[{"pivot": names[j], "d": d[i, j]} for j in np.flatnonzero(x)] for i, x in enumerate(ring)], pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64())]))))
+    found = (names[home], d[np.arange(k), home], [names[x].tolist() for x in linked], [[{"pivot": names[j], "d": d[i, j]} for j in np.flatnonzero(x)] for i, x in enumerate(ring)])
+    for (name, kind), x in zip(shape, found, strict=True):
+        rows = rows.append_column(name, pa.array(x, kind))
+    return rows
 
 
 def _pivoted(regions: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -279,7 +284,7 @@ def _pivoted(regions: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Da
     e = 1 - percent / 100
     hashed = F.xxhash64("class", F.lit(77))
     salts = F.ceil(F.col("rows") / DEALT).cast("int")
-    dealt = regions.withColumn("salt", F.pmod(F.xxhash64("class", F.lit(78)), salts))
+    dealt = regions.withColumn("salt", F.pmod(F.xxhash64("class", F.lit(78)), salts).cast("int"))
     pivots = regions.groupBy("region", F.pmod(hashed, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(hashed.alias("h"), "class", "own")).alias("p"), F.max(salts).alias("salts"))
     pivots = pivots.select("region", F.col("p.class").alias("pivot"), F.col("p.own").alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     schema = "region long, class long, n long, own binary, home long, d double, linked array<bigint>, ring array<struct<pivot: bigint, d: double>>"
