@@ -1,11 +1,12 @@
 """Language-model scores from a subword lattice.
 
-A word's probability is the sum over all its segmentations into the pieces of an existing vocabulary, by a forward recursion in log
-space; pieces have one probability each, and a stop ends the word. The vocabulary's own scores give the first probabilities, two rounds
-of expectation-maximisation over all distinct training words the final ones. A word that was counted in training is an arc of its own
-across the whole lattice: with absolute discounting, P(w) = max(c - d, 0) / N + d V / N * lattice(w). A text is its words and an end.
+The pieces of an existing vocabulary have one probability each, by the vocabulary's own scores, and an end has one too. A text's probability is
+the sum over all its segmentations into pieces, by a forward recursion in log space, times that of the end. White space stands as one space
+before each word, and pieces hold a space at most at their start, so the lattice of a text falls apart into those of its words, each of which
+is scored once for all texts that hold it. What training texts give is the share of ends, and the counts behind the base score.
 
-The counts of all words stay distributed. The HOT most frequent ones, of bounded length, are broadcast; the others are joined.
+The counts of all words stay distributed. The HOT most frequent words are broadcast; the others are joined. Words of more than
+LONG_BYTES bytes go by a 128-bit digest there.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, materialise, parts, table
+from .common import fold, map_arrow, map_batches, materialise, parts, table
 from .pieces import SPACE, model_path
 
-#: Words that are broadcast, of at most HOT_BYTES bytes; words a worker counts before it passes them on.
-HOT, HOT_BYTES, COUNTED = 100_000, 48, 200_000
-ROUNDS = 2
+#: Words that are broadcast; words a worker counts before it passes them on; bytes of a word that stands for itself.
+HOT, COUNTED, LONG_BYTES = 100_000, 200_000, 48
+#: Bytes of a word from which its lattice is gone through in windows.
+WINDOW = 4096
 LN10 = math.log(10)
 MASK, SALT = (1 << 64) - 1, 0xD6E8FEB86659FD93
 
@@ -36,7 +38,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Pieces as bytes, a space for the word start, single bytes last; and first log probabilities by the rank of their scores."""
+    """Pieces as bytes, a space for the word start, single bytes last; and their log probabilities, which sum to 1.
+
+    The scores of a vocabulary of the unigram type are log probabilities. Those of the merge type are ranks, which count as Zipf's law has
+    it: 1 / (10 + rank). A byte that is no piece has a probability far below all others, so that every text has segmentations.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -46,20 +52,25 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
             p = sp.id_to_piece(i).replace(SPACE, " ").encode()
             if b" " not in p[1:]:
                 own[p] = sp.get_score(i)
-    rank = {s: k for k, s in enumerate(sorted(set(own.values()), reverse=True))}
-    weight = {p: 1 / (10 + rank[s]) for p, s in own.items()}
+    ranks = sorted(set(own.values()), reverse=True)
+    if all(s == int(s) for s in ranks):
+        rank = {s: k for k, s in enumerate(ranks)}
+        weight = {p: 1 / (10 + rank[s]) for p, s in own.items()}
+    else:
+        weight = {p: math.exp(s) for p, s in own.items()}
+    least = min(weight.values()) / 10
     for b in range(256):
-        weight.setdefault(bytes([b]), 1e-6)
+        weight.setdefault(bytes([b]), least)
     names = list(weight)
     p = np.array([weight[x] for x in names])
-    return names, np.log(p / p.sum() * 0.8)
+    return names, np.log(p / p.sum())
 
 
 class Lattice:
     """Marginal log probabilities of words over all segmentations, for many words at once."""
 
-    def __init__(self, names: list[bytes], logp: np.ndarray, stop: float):
-        self.names, self.logp, self.stop = names, np.append(logp, -np.inf), stop
+    def __init__(self, names: list[bytes], logp: np.ndarray):
+        self.names, self.logp = names, np.append(logp, -np.inf)
         self.longest = max(map(len, names))
         self.factor = np.uint64(0x9E3779B97F4A7C15 | 1)
         self.powers = np.ones(self.longest + 1, np.uint64)
@@ -123,194 +134,199 @@ class Lattice:
             yield own, np.frombuffer(b"".join([b" " + words[i] for i in own]), np.uint8).reshape(b - a, size + 1)
             a = b
 
+    def long(self, word: bytes) -> float:
+        """The log probability of one word, in windows: what is held doesn't grow with the word."""
+        text = np.frombuffer(b" " + word, np.uint8)
+        alpha = np.zeros(1)  # of the last positions before the window, the latest last
+        for a in range(0, len(text), WINDOW):
+            back = len(alpha) - 1
+            arcs = self.arcs(text[None, a - back : a + WINDOW])
+            lp = self.logp[arcs[0]]
+            size = len(lp)
+            held = np.concatenate([alpha, np.full(size - back, -np.inf)])
+            for j in range(back + 1, size + 1):
+                ks = np.arange(1, min(j, lp.shape[1]) + 1)
+                t = held[j - ks] + lp[j - ks, ks - 1]
+                m = t.max()
+                if m > -np.inf:
+                    held[j] = m + math.log(np.exp(t - m).sum())
+            alpha = held[-(min(size, self.longest) + 1) :]
+        return float(alpha[-1])
+
     def score(self, words: list[bytes]) -> np.ndarray:
-        """Natural log probability of each word."""
+        """Natural log probability of each word and the space before it."""
         out = np.zeros(len(words))
-        for own, x in self.groups(words):
-            out[own] = self.forward(self.arcs(x))[0][:, -1] + self.stop
+        short = [k for k, w in enumerate(words) if len(w) < WINDOW]
+        for own, x in self.groups([words[k] for k in short]):
+            out[np.array(short)[own]] = self.forward(self.arcs(x))[0][:, -1]
+        for k, w in enumerate(words):
+            if len(w) >= WINDOW:
+                out[k] = self.long(w)
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected number of each piece over the segmentations of the words, each word once; the stops stand last."""
-        total = np.zeros(len(self.names) + 1)
-        for _, x in self.groups(words):
-            arcs = self.arcs(x)
-            alpha, lp = self.forward(arcs)
-            n, length, most = arcs.shape
-            beta = np.full((n, length + 1), -np.inf)
-            beta[:, -1] = 0
-            for i in range(length - 1, -1, -1):
-                ks = np.arange(1, min(length - i, most) + 1)
-                t = lp[:, i, : len(ks)] + beta[:, i + ks]
-                m = t.max(1)
-                m = np.where(np.isfinite(m), m, 0)
-                with np.errstate(divide="ignore"):
-                    beta[:, i] = m + np.log(np.exp(t - m[:, None]).sum(1))
-            for k in range(1, most + 1):
-                w = np.exp(alpha[:, : length + 1 - k] + lp[:, : length + 1 - k, k - 1] + beta[:, k:] - alpha[:, -1:])
-                total += np.bincount(arcs[:, : length + 1 - k, k - 1].ravel(), w.ravel(), minlength=len(total))
-        total[-1] = len(words)
-        return total
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, counted within tasks first."""
+
+def key_of(word: bytes) -> bytes:
+    """The word, or what stands for a long one."""
+    return word if len(word) <= LONG_BYTES and word[0] else b"\x00" + xxhash.xxh3_128_hexdigest(word).encode()
+
+
+def _scored(lattice: Lattice, words: list[bytes]) -> list[float]:
+    return [x for a in range(0, len(words), 4096) for x in lattice.score(words[a : a + 4096]).tolist()]
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], rows: int = 1 << 14) -> Iterable[pa.RecordBatch]:
+    """The batches, of rows of bounded size, some at a time: lattices of many words of one length take little longer than those of a few."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def count_words(docs: DataFrame, pieces: tuple) -> DataFrame:
+    """(word, n, lattice) over all texts, counted within tasks first; lattice is the word's natural log probability."""
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
         own: Counter[bytes] = Counter()
+        long: dict[bytes, bytes] = {}
         for batch in batches:
             for part in parts(batch):
                 for text in part["text"].cast(pa.binary()).to_pylist():
-                    own.update(words_of(text or b""))
-                if len(own) > COUNTED:
-                    yield out(own)
-                    own = Counter()
+                    words = words_of(text or b"")
+                    own.update(map(key_of, words))
+                    long.update((key_of(w), w) for w in words if key_of(w) is not w)
+                if len(own) > COUNTED or sum(map(len, long.values())) > 1 << 24:
+                    yield out(own, long)
+                    own, long = Counter(), {}
         if own:
-            yield out(own)
+            yield out(own, long)
+
+    def out(own: Counter, long: dict) -> pa.RecordBatch:
+        scores = dict(zip(long, _scored(Lattice(*sent.value), list(long.values())), strict=True)) if long else {}
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(own.values(), pa.int64()), pa.array([scores.get(w) for w in own], pa.float64())], names=["word", "n", "lattice"])
+
+    counted = map_batches(docs.select("text"), run, "word string, n long, lattice double").groupBy("word").agg(F.sum("n").alias("n"), F.max("lattice").alias("lattice"))
 
-    def out(own: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(own.values(), pa.int64())], names=["word", "n"])
+    def complete(batches):
+        lattice = Lattice(*sent.value)
+        for batch in _gathered(batches):
+            words, known = batch["word"].cast(pa.binary()).to_pylist(), batch["lattice"].to_pylist()
+            fresh = iter(_scored(lattice, [w for w, x in zip(words, known, strict=True) if x is None]))
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.array([next(fresh) if x is None else x for x in known])], names=["word", "n", "lattice"])
 
-    return map_batches(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(counted, complete, "word string, n long, lattice double")
 
 
 class Model:
-    """What is learned: distributed counts, totals, the frequent words, and the piece probabilities."""
-
-    def __init__(self, train: DataFrame, path: str | None = None, rounds: int = ROUNDS):
-        spark = train.sparkSession
-        self.counts = materialise(count_words(train))
-        ends = train.count()
-        total = self.counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("n") == 1, 1)), F.sum(F.when(F.col("n") == 2, 1))).first()
-        tokens, types, once, twice = (x or 0 for x in total)
-        self.n, self.v, self.ends = tokens + ends, types + (ends > 0), ends
-        self.discount = once / (once + 2 * twice) if once else 0.5
-        hot = self.counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT).toArrow()
-        names, logp = vocabulary(path or model_path())
-        stop = math.log(0.2)
-        for _ in range(rounds if types else 0):
-            sent = spark.sparkContext.broadcast((names, logp, stop))
-
-            def expect(batches, sent=sent):
-                lattice, sums = Lattice(*sent.value), None
-                for batch in batches:
-                    words = batch["word"].cast(pa.binary()).to_pylist()
-                    for a in range(0, len(words), 4096):
-                        e = lattice.expected(words[a : a + 4096])
-                        sums = e if sums is None else sums + e
-                if sums is not None:
-                    at = np.flatnonzero(sums)
-                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["piece", "e"])
-
-            got = map_batches(self.counts.select("word"), expect, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toArrow()
-            e = np.full(len(names) + 1, 1e-3)
-            e[got["piece"].to_numpy()] += got["e"].to_numpy()
-            e = np.log(e / e.sum())
-            logp, stop = e[:-1], float(e[-1])
-        self.pieces = (names, logp, stop)
-        words = hot["word"].to_pylist()
-        raw = [w.encode() for w in words]
-        lattice = Lattice(*self.pieces)
-        scores = np.concatenate([lattice.score(raw[a : a + 4096]) for a in range(0, len(raw), 4096)] or [np.zeros(0)])
-        c = hot["n"].to_numpy()
-        self.hot = dict(zip(raw, zip(self.base(c).tolist(), self.word(c, scores).tolist(), strict=True), strict=True))
+    """The vocabulary's pieces, and what is learned: distributed counts, totals, the frequent words."""
+
+    def __init__(self, train: DataFrame, path: str | None = None):
+        self.pieces = vocabulary(path or model_path())
+        self.counts = materialise(count_words(train, self.pieces))
+        self.ends = train.count()
+        tokens, types = (x or 0 for x in self.counts.agg(F.sum("n"), F.count(F.lit(1))).first())
+        self.n, self.v = tokens + self.ends, types + (self.ends > 0)
+        hot = self.counts.orderBy(F.desc("n"), "word").limit(HOT).toArrow()
+        names = [w.encode() for w in hot["word"].to_pylist()]
+        self.hot = dict(zip(names, zip(self.base(hot["n"].to_numpy()).tolist(), (hot["lattice"].to_numpy() / LN10).tolist(), strict=True), strict=True))
 
     def base(self, c: np.ndarray | int) -> np.ndarray:
         """log10 of the smoothed share of a token."""
         return np.log10((np.asarray(c, float) + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def word(self, c: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        """log10 probability of words with counts c and log lattice probabilities."""
-        if not self.n:
-            return lattice / LN10
-        types = self.v - (self.ends > 0)
-        back = math.log(self.discount * types / self.n) if types else math.log(0.5 / self.n)
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(np.maximum(np.asarray(c, float) - self.discount, 0) / self.n), back + lattice) / LN10
-
     @property
     def end(self) -> float:
-        return math.log10(self.ends / self.n) if self.n else math.log10(0.5)
+        """log10 probability of an end, its smoothed share of the training tokens."""
+        return math.log10((self.ends + 0.5) / (self.n + 1))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for rows (doc_id, text).
 
-    A null or empty text is its end alone. Each row stands alone: repeated rows give repeated results, no rows none; other columns are
-    ignored. Without training texts every token is unknown and words have their lattice probability by the vocabulary's scores alone.
+    score is the log10 of the marginal probability of the text over all its segmentations, and of the end. A null or empty text is its end
+    alone. Repeated rows give repeated results, no rows none; other columns are ignored. Without training texts every token is unknown.
+    Rows are told apart by doc_id and a 64-bit hash of the text, not by where they stand, so that a task that runs again changes nothing.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.hot, model.pieces))
-    n, v, ends, discount, end = model.n, model.v, model.ends, model.discount, model.end
+    n, v, ends = model.n, model.v, model.ends
 
-    def run(batches):
+    def run(batch):
         hot, pieces = sent.value
-        lattice = Lattice(*pieces)
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in parts(batch):
-                keys, ids, tokens, known, base, model_score = [], [], [], [], [], []
-                rare: list[bytes] = []
-                rare_rows, rare_tf = [], []
-                for i, text in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), strict=True):
-                    words = words_of(text or b"")
-                    k, b, m = 0, 0.0, 0.0
-                    for w, t in Counter(words).items():
-                        if (x := hot.get(w)) is not None:
-                            k += t
-                            b += t * x[0]
-                            m += t * x[1]
-                        else:
-                            rare.append(w)
-                            rare_rows.append(row)
-                            rare_tf.append(t)
-                    keys.append(row)
-                    ids.append(i)
-                    tokens.append(len(words) + 1)
-                    known.append(k)
-                    base.append(b)
-                    model_score.append(m)
-                    row += 1
-                distinct = list(dict.fromkeys(rare))
-                scores = dict(zip(distinct, lattice.score(distinct).tolist(), strict=True)) if distinct else {}
-                own, more = len(keys), len(rare)
-                # a row for the document itself, whose key no word has, as it holds a space; and one for each rare word of it
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys + rare_rows, pa.int64()),
-                        pa.array([b" %d" % k for k in keys] + rare, pa.binary()).cast(pa.string()),
-                        pa.array(ids + [None] * more, pa.int64()),
-                        pa.array(tokens + [None] * more, pa.int64()),
-                        pa.array(known + [None] * more, pa.int64()),
-                        pa.array(base + [0.0] * more),
-                        pa.array(model_score + [0.0] * more),
-                        pa.array([None] * own + rare_tf, pa.int64()),
-                        pa.array([None] * own + [scores[w] for w in rare], pa.float64()),
-                    ],
-                    names=["row", "word", "doc_id", "n_tokens", "known", "base", "model", "tf", "lattice"],
-                )
-
-    rows = map_batches(docs.select("doc_id", "text"), run, "row long, word string, doc_id long, n_tokens long, known long, base double, model double, tf long, lattice double")
-    joined = rows.join(model.counts, "word", "left")
-    c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
-    types = v - (ends > 0)
+        for part in parts(batch):
+            heads: dict[str, list] = {x: [] for x in ("doc_id", "mark", "word", "n_tokens", "known", "base", "model")}
+            rare: dict[str, list] = {x: [] for x in ("doc_id", "mark", "word", "tf", "lattice")}
+            lattice = None
+            for i, text in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), strict=True):
+                words = words_of(text or b"")
+                mark = xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
+                k, b, m = 0, 0.0, 0.0
+                for w, t in Counter(words).items():
+                    name = key_of(w)
+                    if (x := hot.get(name)) is not None:
+                        k += t
+                        b += t * x[0]
+                        m += t * x[1]
+                        continue
+                    if name is not w:
+                        lattice = lattice or Lattice(*pieces)
+                    for x, value in zip(rare, (i, mark, name, t, None if name is w else float(lattice.score([w])[0])), strict=True):
+                        rare[x].append(value)
+                # a row for the document itself, whose word is none, as it holds a space
+                for x, value in zip(heads, (i, mark, b" %d" % mark, len(words) + 1, k, b, m), strict=True):
+                    heads[x].append(value)
+            own, more = len(heads["word"]), len(rare["word"])
+            yield {
+                "doc_id": heads["doc_id"] + rare["doc_id"],
+                "mark": heads["mark"] + rare["mark"],
+                "word": pa.array(heads["word"] + rare["word"], pa.binary()).cast(pa.string()),
+                "n_tokens": heads["n_tokens"] + [None] * more,
+                "known": heads["known"] + [0] * more,
+                "base": heads["base"] + [0.0] * more,
+                "model": heads["model"] + [0.0] * more,
+                "tf": [None] * own + rare["tf"],
+                "own_lattice": [None] * own + rare["lattice"],
+            }
+
+    schema = "doc_id long, mark long, word string, n_tokens long, known long, base double, model double, tf long, own_lattice double"
+    joined = map_arrow(docs.select("doc_id", "text"), run, schema).join(model.counts, "word", "left")
+
+    def unseen(batches):
+        lattice = Lattice(*sent.value[1])
+        for batch in _gathered(batches):
+            tf, seen = batch["tf"].to_pylist(), batch["lattice"].to_pylist()
+            own = batch["own_lattice"].to_pylist()
+            words = batch["word"].cast(pa.binary()).to_pylist()
+            fresh = list({w for w, t, x, y in zip(words, tf, seen, own, strict=True) if t is not None and x is None and y is None})
+            found = dict(zip(fresh, _scored(lattice, fresh), strict=True))
+            ln = [0.0 if t is None else x if x is not None else y if y is not None else found[w] for w, t, x, y in zip(words, tf, seen, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("doc_id", "mark", "n_tokens", "known", "base", "model", "tf", "n")], pa.array(ln, pa.float64())], names=["doc_id", "mark", "n_tokens", "known", "base", "model", "tf", "n", "ln"])
+
+    rows = map_batches(joined, unseen, "doc_id long, mark long, n_tokens long, known long, base double, model double, tf long, n long, ln double")
+    c, tf = F.coalesce("n", F.lit(0)).cast("double"), F.coalesce("tf", F.lit(0))
     base = F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    if n:
-        back = discount * types / n if types else 0.5 / n
-        # at least the smallest normal double, far below which the lattice alone counts
-        whole = F.greatest(c - discount, F.lit(0.0)) / n
-        ln = F.when(whole > 0, F.log(whole + F.exp(F.col("lattice")) * back)).otherwise(F.col("lattice") + math.log(back))
-    else:
-        ln = F.col("lattice")
-    is_word = F.col("tf").isNotNull()
-    summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
+    summed = rows.groupBy("doc_id", "mark").agg(
+        F.count("n_tokens").alias("copies"),  # repeated rows come as often each, and sum up
         F.max("n_tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("known", F.lit(0))) + F.sum(F.when(is_word & (c > 0), F.col("tf")).otherwise(0)) + int(ends > 0)).alias("n_known"),
-        (F.sum(F.col("base") + F.when(is_word, F.col("tf") * base).otherwise(0.0)) + float(model.base(ends))).alias("base_score"),
-        (F.sum(F.col("model") + F.when(is_word, F.col("tf") * ln / LN10).otherwise(0.0)) + end).alias("score"),
+        F.sum(F.col("known") + F.when(c > 0, tf).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base") + tf * base).alias("base_score"),
+        F.sum(F.col("model") + tf * F.col("ln") / LN10).alias("score"),
+    )
+    per = F.col("copies").cast("double")
+    out = summed.select(
+        "doc_id",
+        "n_tokens",
+        (F.floor(F.col("n_known") / F.col("copies")) + int(ends > 0)).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base_score") / per + float(model.base(ends))).alias("base_score"),
+        (F.col("score") / per + model.end).alias("score"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     )
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.drop("copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

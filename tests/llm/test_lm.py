@@ -9,38 +9,54 @@ from helpers import documents, empty
 from lexdrift.llm import lm
 
 
-def brute(names, logp, stop, word):
+def brute(names, logp, text):
+    """The log probability of a whole text, by all its segmentations."""
     p = dict(zip(names, logp, strict=True))
-    text, total = b" " + word, 0.0
-    for k in range(len(text)):
+    text, total = b"".join(b" " + w for w in lm.words_of(text)), 0.0
+    for k in range(max(len(text), 1)):
         for cuts in itertools.combinations(range(1, len(text)), k):
-            parts = [text[a:b] for a, b in zip((0, *cuts), (*cuts, len(text)), strict=True)]
+            parts = [text[a:b] for a, b in zip((0, *cuts), (*cuts, len(text)), strict=True)] if text else []
             if all(x in p for x in parts):
                 total += math.exp(sum(p[x] for x in parts))
-    return math.log(total) + stop
+    return math.log(total)
+
+
+NAMES = [b" ", b" a", b"a", b"b", b"ab", b"ba", b"abb", b" ab", b"\xc3\xa9"]
 
 
 def test_lattice():
-    names = [b" ", b" a", b"a", b"b", b"ab", b"ba", b"abb", b" ab", b"\xc3\xa9"]
-    logp = np.log(np.linspace(0.05, 0.2, len(names)))
-    lattice = lm.Lattice(names, logp, -0.7)
+    logp = np.log(np.linspace(0.05, 0.2, len(NAMES)))
+    lattice = lm.Lattice(NAMES, logp)
     words = [b"a", b"ab", b"abba", b"abbab", b"bbabba", "aé".encode(), b"a"]
-    assert np.allclose(lattice.score(words), [brute(names, logp, -0.7, w) for w in words])
+    assert np.allclose(lattice.score(words), [brute(NAMES, logp, w) for w in words])
     assert lattice.score([b"zz"])[0] == -np.inf
-    # expected numbers are derivatives of the log probabilities
-    e = lattice.expected(words)
-    for k in range(len(names)):
-        up, down = logp.copy(), logp.copy()
-        up[k] += 1e-5
-        down[k] -= 1e-5
-        d = (lm.Lattice(names, up, -0.7).score(words).sum() - lm.Lattice(names, down, -0.7).score(words).sum()) / 2e-5
-        assert abs(d - e[k]) < 1e-4
-    assert e[-1] == len(words)
+
+
+def test_windows(monkeypatch):
+    names, logp = lm.vocabulary(lm.model_path())
+    lattice = lm.Lattice(names, logp)
+    word = ("thequickbrownfox" * 30).encode()[:401]
+    whole = lattice.score([word])[0]
+    for window in (1, 7, 50, 400, 402, 500):
+        monkeypatch.setattr(lm, "WINDOW", window)
+        assert abs(lattice.long(word) - whole) < 1e-8 * abs(whole)
+
+
+def test_whole_texts_by_all_segmentations(spark, monkeypatch):
+    """The query's score is the marginal of the whole text, and of its end."""
+    logp = np.log(np.linspace(0.05, 0.2, len(NAMES)) / 2)
+    monkeypatch.setattr(lm, "vocabulary", lambda path: (NAMES, logp))
+    texts = ["a ab", "AB  ba\ta", "abba b", "", None, "a", "b ab a ba"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.Model(docs.where("doc_id < 3"))
+    for r in lm.score(docs, model).collect():
+        t = (texts[r.doc_id] or "").encode()
+        assert r.score == pytest.approx((brute(NAMES, logp, t) if t else 0.0) / math.log(10) + math.log10(3.5 / (model.n + 1)))
 
 
 def test_every_word_has_a_probability():
     names, logp = lm.vocabulary(lm.model_path())
-    s = lm.Lattice(names, logp, -1.0).score([bytes(range(128, 140)), b"\x00", "日本語".encode(), b"x" * 3000])
+    s = lm.Lattice(names, logp).score([bytes(range(128, 140)), b"\x00", "日本語".encode(), b"x" * 3000, b"y" * 9000])
     assert np.isfinite(s).all() and (s < 0).all()
 
 
@@ -49,23 +65,20 @@ def test_scores(spark, monkeypatch, hot):
     monkeypatch.setattr(lm, "HOT", hot)
     docs = documents(spark)
     train = docs.where("at is null or at % 5 <> 1")
-    model = lm.Model(train, rounds=1)
+    model = lm.Model(train)
     got = lm.score(docs, model).collect()
     counts, ends = Counter(), 0
     for r in train.collect():
         counts.update(lm.words_of((r.text or "").encode()))
         ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
-    names, logp, stop = model.pieces
-    lattice = lm.Lattice(names, logp, stop)
+    lattice = lm.Lattice(*model.pieces)
     base = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     expected = []
     for r in docs.collect():
         words = lm.words_of((r.text or "").encode())
         b = sum(base(counts[w]) for w in words) + base(ends)
-        s = math.log10(ends / n)
-        for w in words:
-            s += math.log10(max(counts[w] - model.discount, 0) / n + math.exp(lattice.score([w])[0]) * model.discount * (v - 1) / n) if len(w) < 200 else float(model.word(counts[w], lattice.score([w])[0]))
+        s = math.log10((ends + 0.5) / (n + 1)) + sum(lattice.score([w])[0] for w in words) / math.log(10)
         expected.append((r.doc_id or -1, len(words) + 1, sum(counts[w] > 0 for w in words) + 1, n, b, s))
     got = sorted((r.doc_id or -1, *list(r)[1:]) for r in got)
     for a, b in zip(got, sorted(expected), strict=True):
