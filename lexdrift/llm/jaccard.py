@@ -40,7 +40,7 @@ CELLS, BLOCK = 1 << 22, 1 << 12
 #: Bytes of replicated shingles in a bucket.
 BUCKET_BYTES = 24 << 20
 #: Documents and shingles of a region that is joined within a task, and of a block of a larger one; documents that a task compares with pivots.
-REGION_ROWS, REGION_ITEMS, BLOCK_ROWS, BLOCK_ITEMS, DEALT = 256, 1 << 18, 1024, 1 << 20, 512
+REGION_ROWS, REGION_ITEMS, BLOCK_ROWS, BLOCK_ITEMS, DEALT = 256, 1 << 18, 512, 1 << 19, 512
 PIVOTS = 8
 
 
