@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, fold, map_arrow, map_batches, parts, table
+from .common import chunks, flat, fold, map_arrow, map_batches, materialise, parts, table
 
 PASSAGE = 384
 HIDDEN, GATES = 24, 16
-#: Labelled documents that are learned from, and their passages, of which long documents give evenly spaced ones (scoring takes all).
-SAMPLE, TRAIN_PASSAGES = 5000, 24
+#: Labelled documents that are learned from at most, and the bytes of their texts. Of each one every passage counts.
+SAMPLE, SAMPLE_BYTES = 5000, 24 << 20
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 3e-3, 1e-4
 ACCEPT = 0.3
 
@@ -55,6 +55,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         x[:, KINDS * KINDS : WIDTH - 2] = np.bincount((p[:-2] * HASHED + h)[same], minlength=first[-1] * HASHED).reshape(-1, HASHED)
     size = np.bincount(p, minlength=first[-1])[:, None]
     x = np.sqrt(x / np.maximum(size, 1)).astype(np.float32)
+    x[:, -1] = 0.5
     if len(data) > 3:
         # words that repeat within a passage: the share of its 4-grams that are new, and how far that is below the usual
         h = ((data[:-3].astype(np.uint32) << 24 | data[1:-2].astype(np.uint32) << 16 | data[2:-1].astype(np.uint32) << 8 | data[3:]) * np.uint32(2654435761)) >> np.uint32(22)
@@ -125,21 +126,28 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 3) -> Mod
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from documents (doc_id, text) that have labels (doc_id, quality); null labels don't count, several are averaged."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from documents (doc_id, text) that have labels (doc_id, quality); null labels don't count, several are averaged.
+
+    The sample is the first documents by a hash of their id, of equal ids by one of the text: at most `sample` of them, and no more when their
+    texts pass `sample_bytes`; one always counts. Equal rows are one. What the driver gets is bounded by both.
+    """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample))  # at most `sample` rows
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    rows = materialise(rows)
+    first = rows.select("doc_id", "mark", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "mark").limit(sample).toArrow()
+    n = max(1, int((np.cumsum(first["size"].to_numpy()) <= sample_bytes).sum()))
+    wanted = docs.sparkSession.sparkContext.broadcast(set(zip(first["doc_id"].to_pylist()[:n], first["mark"].to_pylist()[:n], strict=True)))
 
     def encode(batch):
-        for part in parts(batch, limit=1 << 18):
+        own = [x in wanted.value for x in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), strict=True)]
+        for part in parts(batch.filter(pa.array(own)), limit=1 << 18):
             x, first = passages(*flat(part["text"]))
-            for k, (i, y) in enumerate(zip(part["doc_id"].to_pylist(), part["y"].to_pylist(), strict=True)):
-                a, b = first[k], first[k + 1]
-                at = np.arange(a, b) if b - a <= TRAIN_PASSAGES else np.linspace(a, b - 1, TRAIN_PASSAGES).astype(int)
-                yield {"doc_id": [i], "y": [y], "n": [len(at)], "x": pa.array([x[at].astype(np.float16).tobytes()], pa.binary())}
+            x = x.astype(np.float16)
+            yield {"doc_id": part["doc_id"], "mark": part["mark"], "y": part["y"], "n": np.diff(first), "x": [x[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]}
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "y")
-    got = map_arrow(rows, encode, "doc_id long, y double, n int, x binary").orderBy("doc_id").toArrow()
+    got = map_arrow(rows.select("doc_id", "mark", "text", "y"), encode, "doc_id long, mark long, y double, n int, x binary").orderBy("doc_id", "mark").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
     return train(x, np.concatenate([[0], np.cumsum(got["n"].to_numpy())]).astype(np.int64), got["y"].to_numpy().astype(np.float32))
 
