@@ -129,8 +129,11 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from rows (doc_id, text, lang); null texts or languages don't count. Centroids are fitted on at most `sample` texts."""
+def fit(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, features: int = KEPT) -> Model:
+    """Learn from rows (doc_id, text, lang); null texts or languages don't count. Centroids are fitted on at most `sample` texts.
+
+    Of the hashed n-grams, the `features` that most labelled texts hold count. The driver holds the centroids, so a few rows for each language.
+    """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = dict(sorted((r[0], r[1]) for r in rows.groupBy("lang").count().collect()))
     languages = list(counts)
@@ -148,27 +151,29 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGU
     df = map_batches(rows.select("text"), seen, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(BUCKETS, np.int64)
     n[df["bucket"].to_numpy()] = df["n"].to_numpy()
-    kept = np.sort(np.lexsort((np.arange(BUCKETS), -n))[:KEPT])
+    kept = np.sort(np.lexsort((np.arange(BUCKETS), -n))[:features])
     index = np.full(BUCKETS, len(kept), np.int64)
     index[kept] = np.arange(len(kept))
     idf = (np.log((1 + sum(counts.values())) / (1 + n[kept])) + 0.05).astype(np.float32)
     model = Model(languages, index, idf, np.zeros((0, len(kept)), np.float32), np.zeros(0, int), np.zeros(0))
     most = max(CENTROIDS, min(per_language, sample // len(languages)))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 11).cast("double") / float(1 << 53)
-    share = F.lit(0.0)
-    for lang, m in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, most / m)).otherwise(share)
-    # thinned by hash to about `most` texts a language; the limit makes the bound exact
-    chosen = rows.where(u < share).orderBy(F.xxhash64("doc_id", F.lit(2))).limit(max(sample, most * len(languages)))
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count(F.lit(1))).alias("share"))
+    # thinned by hash to about `most` texts a language; the limit makes the bound exact, and equal ids are told apart by their texts
+    chosen = rows.join(share, "lang").where(u < F.col("share")).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id", F.xxhash64("text")).limit(max(sample, most * len(languages)))
 
     def vectors(batch):
         for part in parts(batch, limit=CHUNK):
-            data, offsets = flat(part["text"])
-            c = np.minimum(model.counts(data, offsets), 65535).astype(np.uint16)
-            yield {"lang": part["lang"], "counts": [x.tobytes() for x in c]}
-
-    got = map_arrow(chosen.select("lang", "text"), vectors, "lang string, counts binary").toArrow()
-    x = model.vectors(np.frombuffer(b"".join(got["counts"].to_pylist()), np.uint16).reshape(-1, len(kept)).astype(np.int64))
+            c = model.counts(*flat(part["text"]))
+            at = [np.flatnonzero(x) for x in c]
+            yield {"lang": part["lang"], "at": [x.astype(np.int32).tobytes() for x in at], "counts": [x[k].tobytes() for x, k in zip(c, at, strict=True)]}
+
+    got = map_arrow(chosen.select("lang", "text"), vectors, "lang string, at binary, counts binary").toArrow()
+    x = np.zeros((len(got), len(kept)), np.float32)
+    for k, (at, c) in enumerate(zip(got["at"].to_pylist(), got["counts"].to_pylist(), strict=True)):
+        row = np.zeros((1, len(kept)), np.int64)
+        row[0, np.frombuffer(at, np.int32)] = np.frombuffer(c, np.int64)
+        x[k] = model.vectors(row)[0]
     lang = np.array(got["lang"].to_pylist())
     centroids, of, floor = [], [], []
     for i, name in enumerate(languages):

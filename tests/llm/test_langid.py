@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 from helpers import documents, empty, prose
 from pyspark.sql import functions as F
@@ -44,3 +48,27 @@ def test_vectors_by_definition(spark):
     row, bucket = langid.ngrams(data, np.array([0, len(data)]))
     assert len(bucket) == 2 * len(clean) - 3
     assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+
+
+def test_predictions_by_definition(spark):
+    """Language and score by the formula, an n-gram at a time."""
+    docs = documents(spark)
+    model = langid.fit(docs, features=900)
+    for r in langid.identify(docs, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        text = (r.text or "").encode()
+        if r.lang_pred == "und":
+            continue
+        clean = re.sub(rb" +", b" ", b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text) + b" ")
+        tf = Counter()
+        for k in range(len(clean) - 1):
+            two = (clean[k] << 8 | clean[k + 1]) * 2654435761 % (1 << 32)
+            tf[two >> 16] += 1
+            if k + 2 < len(clean):
+                tf[((two ^ clean[k + 2] * 0x9E3779B1 % (1 << 32)) * 2246822519 % (1 << 32)) >> 16] += 1
+        v = np.zeros(len(model.idf))
+        for bucket, n in tf.items():
+            if model.index[bucket] < len(v):
+                v[model.index[bucket]] = (1 + math.log(n)) * model.idf[model.index[bucket]]
+        cos = model.centroids @ (v / max(np.linalg.norm(v), 1e-12))
+        assert abs(r.score - min(max(cos.max(), 0), 1)) < 1e-4
+        assert r.lang_pred == model.languages[model.of[cos.argmax()]] or np.sort(cos)[-1] - np.sort(cos)[-2] < 1e-5
