@@ -344,6 +344,7 @@ COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def features(ids: pa.Array, n_bytes, media: list[bytes]) -> dict:
+    """The columns of COLUMNS, of media that can be read."""
     out: dict[str, list] = {k.split()[0]: [] for k in COLUMNS.split(", ")[2:]}
     for data, images in zip(media, decode(media), strict=True):
         payload = payload_of(images)
@@ -362,13 +363,32 @@ def features(ids: pa.Array, n_bytes, media: list[bytes]) -> dict:
 
 
 def inspect(stored: DataFrame) -> DataFrame:
-    """What is read back from rows (doc_id, n_bytes, media): payload digests, dimensions and thumbnail hashes."""
+    """What is read back from rows (doc_id, n_bytes, media): payload digests, dimensions and thumbnail hashes.
+
+    Media that is null, empty, cut short or no baseline JPEG gives nulls, and the reason in `error`, which is null elsewhere. Repeated rows
+    give repeated results, no rows none; other columns are ignored.
+    """
+    names = [c.split()[0] for c in COLUMNS.split(", ")[2:]]
 
     def run(batch):
         for part in parts(batch, "media"):
-            yield features(part["doc_id"], part["n_bytes"], part["media"].to_pylist())
-
-    return map_arrow(stored.select("doc_id", "n_bytes", "media"), run, COLUMNS)
+            media = part["media"].to_pylist()
+            try:
+                if not all(media):
+                    raise ValueError("no media")
+                yield features(part["doc_id"], part["n_bytes"], media) | {"error": [None] * len(media)}
+            except Exception:  # one of them is damaged: each is read by itself
+                rows = []
+                for data in media:
+                    try:
+                        if not data:
+                            raise ValueError("no media")
+                        rows.append({c: x[0] for c, x in features(None, None, [data]).items() if c in names} | {"error": None})
+                    except Exception as e:  # whatever a damaged file leads to
+                        rows.append(dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"})
+                yield {"doc_id": part["doc_id"], "n_bytes": part["n_bytes"]} | {c: [r[c] for r in rows] for c in (*names, "error")}
+
+    return map_arrow(stored.select("doc_id", "n_bytes", "media"), run, f"{COLUMNS}, error string")
 
 
 def store_and_inspect(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from lexdrift.llm import media
 
 def test_payloads_come_back(spark):
     docs = documents(spark)
-    two = media.inspect(media.store(docs)).collect()
+    two = media.inspect(media.store(docs)).where("error is null").drop("error").collect()
     one = media.store_and_inspect(docs).collect()
     assert sorted(one, key=str) == sorted(two, key=str)
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
@@ -128,3 +128,15 @@ def test_any_baseline_file(interval, colour):
 def test_not_baseline():
     with pytest.raises(ValueError):
         media.parse(b"\xff\xd8" + media._segment(0xC2, bytes(15)))
+
+
+def test_media_that_cannot_be_read(spark):
+    """Null, empty, cut and foreign media have a reason each, and leave the other rows of their batch alone."""
+    whole = media.store(spark.createDataFrame([(1, "a text that is stored")], "doc_id long, text string")).first().media
+    given = [bytes(whole), None, b"", bytes(whole[: len(whole) // 2]), bytes(whole[:-1]), b"not a picture", b"\xff\xd8", bytes(whole)]
+    rows = spark.createDataFrame([(k, 5, None if x is None else bytearray(x)) for k, x in enumerate(given)], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in media.inspect(rows.withColumn("error", rows.doc_id)).collect()}
+    assert len(got) == len(given) and got[0].error is None and got[0].payload_sha256 == got[7].payload_sha256
+    for k in (1, 2, 3, 5, 6):
+        assert got[k].error and got[k].payload_sha256 is None and got[k].feature is None and got[k].n_bytes == 5, (k, got[k])
+    assert media.inspect(rows.limit(0)).count() == 0
