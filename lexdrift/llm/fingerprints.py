@@ -142,7 +142,8 @@ def _pairs(docs: DataFrame) -> DataFrame:
     extra = F.broadcast(spark.createDataFrame(donors, "donor long, to int"))
     rows = keyed.join(extra, F.col("key") == F.col("donor"), "left").withColumn("own", bucket(F.col("key")))
     rows = rows.withColumn("x", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ghost")))).otherwise(F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ghost")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("ghost"))))))
-    return rows.select("x.bucket", "x.ghost", "doc_id", "text", "key").repartition(n, "bucket")
+    # each range is a partition of its own, where a hash of their numbers would leave some partitions empty and give others several
+    return rows.select("x.bucket", "x.ghost", "doc_id", "text", "key").repartitionById(len(tops) and max(r[0] for r in tops) + 1, "bucket")
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
