@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 
 #: query -> module with query(spark, sf_dir) and perhaps ORACLE_SQL.
 MODULES = {
@@ -19,6 +20,15 @@ MODULES = {
 }
 
 
+#: Libraries that the operators build on, besides numpy and pyarrow.
+NEEDED = ["ahocorasick", "regex", "sentencepiece", "tiktoken", "xxhash"]
+
+
+def missing() -> list[str]:
+    """Those that aren't installed."""
+    return [name for name in NEEDED if importlib.util.find_spec(name) is None]
+
+
 def queries() -> dict:
     return {name: importlib.import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
 
