@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALMOST_ONE = 0.9999999999999999
+#: Below this a difference of two frequencies is what rounding leaves of 0.
+ROUNDING = 1e-9
 
 
 def smoothed(n: Column, total: Column) -> Column:
@@ -14,7 +16,8 @@ def smoothed(n: Column, total: Column) -> Column:
 
 
 def ratio(q: Column, p: Column) -> Column:
-    return F.try_divide(q, p)
+    """q / p; null where p is 0 but for rounding."""
+    return F.when(F.abs(p) >= ROUNDING, q / p)
 
 
 def gap(q: Column, p: Column) -> Column:
@@ -22,8 +25,13 @@ def gap(q: Column, p: Column) -> Column:
 
 
 def usage(q: Column, p: Column) -> Column:
-    """Lower bound of the share of papers written with help: (q - p) / (1 - p); null where p is 1."""
-    return F.try_divide(q - p, 1 - p)
+    """Lower bound of the share of papers written with help: (q - p) / (1 - p); null where p is 1 but for rounding."""
+    return F.when(F.abs(1 - p) >= ROUNDING, (q - p) / (1 - p))
+
+
+def band(x: Column, error: Column) -> tuple[Column, Column]:
+    """The interval of an estimate: one error below and above."""
+    return x - error, x + error
 
 
 def binomial_variance(p: Column, n: Column) -> Column:

@@ -116,6 +116,41 @@ COUNTRY_ALIASES = {
     "Brasil": "BRA",
 }
 
+# Official English country names that differ from those in use, by code.
+OFFICIAL_COUNTRIES = {
+    "BOL": "Bolivia, Plurinational State of",
+    "BRN": "Brunei Darussalam",
+    "COD": "Congo, Democratic Republic of the",
+    "COG": "Congo",
+    "CPV": "Cabo Verde",
+    "CZE": "Czechia",
+    "FLK": "Falkland Islands (Malvinas)",
+    "FSM": "Micronesia, Federated States of",
+    "GBR": "United Kingdom of Great Britain and Northern Ireland",
+    "HKG": "Hong Kong",
+    "IRN": "Iran, Islamic Republic of",
+    "KOR": "Korea, Republic of",
+    "LAO": "Lao People's Democratic Republic",
+    "MAC": "Macao",
+    "MDA": "Moldova, Republic of",
+    "MMR": "Myanmar",
+    "PRK": "Korea, Democratic People's Republic of",
+    "PSE": "Palestine",
+    "RUS": "Russian Federation",
+    "STP": "Sao Tome and Principe",
+    "SWZ": "Eswatini",
+    "SYR": "Syrian Arab Republic",
+    "TUR": "Türkiye",
+    "TWN": "Taiwan",
+    "TZA": "Tanzania, United Republic of",
+    "USA": "United States of America",
+    "VAT": "Holy See",
+    "VEN": "Venezuela, Bolivarian Republic of",
+    "VGB": "Virgin Islands, British",
+    "VIR": "Virgin Islands, U.S.",
+    "VNM": "Viet Nam",
+}
+
 # Discipline keywords; of equal positions the earlier one wins.
 DISCIPLINES = [
     "cancer", "neuroscience", "cardiology", "ecology", "bioinformatics", "chemistry", "surgery", "environment", "material", "microbiology", "pediatric",
@@ -135,14 +170,6 @@ IGNORED_WORDS = [
 # The group of frequent marker words.
 COMMON_MARKERS = ["exhibited", "crucial", "additionally", "within", "notably", "insights", "comprehensive", "across", "particularly", "enhancing"]
 
-# Place names among the candidates for marker words, and words whose use is uncertain.
-GEO_WORDS = [
-    "arabia", "barcelona", "daegu", "fudan", "ghana", "henan", "hubei", "israel", "italy", "jeddah", "joanna", "jordanian", "kyoto", "lebanon",
-    "liberia", "lombardy", "macedonia", "oxford", "peking", "pittsburgh", "qinghai", "riyadh", "saudi", "syrian", "taipei", "tibetan", "tongji",
-    "wuhan",
-]
-UNCERTAIN_WORDS = ["keywords", "objective", "online", "please"]
-
 # Lemmas that stand before any dictionary's.
 LEMMAS = {
     "chatbots": "chatbot",

@@ -10,8 +10,8 @@ from .lists import DISCIPLINES, SECTION_TITLES
 
 def tokens(text: Column, least: int = 4) -> Column:
     """Distinct lower-case words of ASCII letters only, `least` or longer. A word is a maximal run of letters, digits and underscores."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    return F.array_distinct(F.filter(words, lambda w: w.rlike(f"^[a-z]{{{least},}}$")))
+    word = rf"(?<![\p{{L}}\p{{N}}_])[a-z]{{{least},}}+(?![\p{{L}}\p{{N}}_])"
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))
 
 
 def words(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import ARTICLE_TYPES
-from ..functions.text import full_text, has_sections
+from ..functions.text import full_text, has_sections, standard_sections
 
 LEAST_CHARS = 250
 
@@ -37,10 +37,11 @@ def infer_language(papers: DataFrame, declared: str = "language", short: str = "
 
 
 def stages(language: str = "en", first: int = 2000, last: int = 2025) -> list[tuple[str, Column]]:
-    """The funnel's predicates in order, each of which has to hold besides those before it."""
+    """The funnel's predicates in order, each of which has to hold besides those before it. Titles that are null count as an empty list."""
+    none = F.array().cast("array<string>")
     return [
         ("article_type", F.col("article_type").isin(ARTICLE_TYPES)),
-        ("sections", F.size(F.coalesce("sections", F.array().cast("array<string>"))) > 1),
+        ("sections", F.size(standard_sections(F.coalesce("section_titles", none), F.coalesce("sections", none))) > 0),
         ("abstract", F.length("abstract") >= LEAST_CHARS),
         ("language", F.col("language") == language),
         ("date", F.col("date").isNotNull() & F.year("date").between(first, last)),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.estimate import smoothed
+from ..functions.estimate import ratio, smoothed
 from ..functions.text import tokens
 
 
-def postings(papers: DataFrame, text: str = "abstract", keep: tuple[str, ...] = ("doc_id", "year", "month"), words: list[str] | None = None) -> DataFrame:
-    """A row for each paper and distinct word in it. A list of words is applied before the arrays are exploded."""
-    found = tokens(F.col(text))
+def postings(papers: DataFrame, keep: tuple[str, ...] = ("doc_id", "year", "month"), words: list[str] | None = None) -> DataFrame:
+    """A row for each paper and distinct word in its `words`, or in its abstract where it has none. A list of words is applied before the arrays are exploded."""
+    found = F.col("words") if "words" in papers.columns else tokens(F.col("abstract"))
     if words is not None:
         found = F.array_intersect(found, F.array(*[F.lit(w) for w in words]))
     return papers.select(*keep, F.explode(found).alias("word"))
@@ -43,6 +43,13 @@ def calendar(papers: DataFrame, first: int, last: int, monthly: bool = False) ->
     return years.join(papers_per(papers, *keys), keys, "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0).cast("long")))
 
 
+def calendar_of(papers: DataFrame, first: int, last: int, key: str) -> DataFrame:
+    """calendar() of each value of a key, such as the sections: every year of each."""
+    years = papers.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    n = papers.groupBy(key, "year").agg(F.count(F.lit(1)).alias("n_papers"))
+    return n.select(key).distinct().crossJoin(F.broadcast(years)).join(n, [key, "year"], "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0).cast("long")))
+
+
 def grid(counts: DataFrame, keys: list[str], periods: DataFrame, period: tuple[str, ...] = ("year",), known: DataFrame | None = None) -> DataFrame:
     """All keys (those known, or that have counts) in all periods, with n = 0 where there is no count, and the smoothed frequency."""
     dense = (counts.select(*keys).distinct() if known is None else known.select(*keys)).crossJoin(F.broadcast(periods))
@@ -50,6 +57,31 @@ def grid(counts: DataFrame, keys: list[str], periods: DataFrame, period: tuple[s
     return out.withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
 
 
+def yearly(rows: DataFrame, first: int, last: int, keys: tuple[str, ...] = ("word",)) -> DataFrame:
+    """(keys, doc_freq, year, n) for all years of each key, with zeros: one aggregation by key that counts the years side by side."""
+    each = [F.count_if(F.col("year") == y) for y in range(first, last + 1)]
+    wide = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_freq"), F.array(*each).alias("_n"))
+    return wide.select(*keys, "doc_freq", F.posexplode("_n").alias("_at", "n")).select(*keys, "doc_freq", (F.col("_at") + first).cast("int").alias("year"), "n")
+
+
+def with_frequency(counts: DataFrame, periods: DataFrame, *period: str) -> DataFrame:
+    """Counts (n) with the papers of their period and the smoothed frequency."""
+    return counts.join(F.broadcast(periods), list(period)).withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
+
+
+def group_hits(papers: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """papers (words) with a column for each group: whether the paper has a word of its list, by the paper's own array."""
+    return papers.select("*", *[F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(words)]).cast("array<string>")).alias(name) for name, words in groups.items()])
+
+
+def group_frequency(papers: DataFrame, groups: dict[str, list[str]], periods: DataFrame, *period: str) -> DataFrame:
+    """(grp, period, n, n_papers, freq): papers with at least one word of each group's list, in all periods. Nothing but the counts is shuffled."""
+    hits = group_hits(papers.select(*period, "words"), groups)
+    n = hits.groupBy(*period).agg(*[F.count_if(g).alias(g) for g in groups])
+    wide = periods.join(n, list(period), "left").na.fill(0, list(groups))
+    return wide.unpivot([*period, "n_papers"], list(groups), "grp", "n").withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
+
+
 def group_counts(rows: DataFrame, groups: DataFrame, *period: str) -> DataFrame:
     """(grp, period, n): papers with at least one word of each group (word, grp); groups may share words."""
     hits = rows.join(F.broadcast(groups), "word").select("grp", "doc_id", *period).distinct()
@@ -61,6 +93,19 @@ def yearly_mean(monthly: DataFrame, *keys: str) -> DataFrame:
     return monthly.groupBy(*keys, "year").agg(F.avg("freq").alias("mean_freq"))
 
 
+def mean_of_months(rows: DataFrame, months: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """yearly_mean() of all keys of postings (key, year, month) in all years, without a grid of months.
+
+    A month adds (n + 1) / (n_papers + 1): what the year's months add without any count is a constant, and each posting adds 1 / (n_papers + 1).
+    """
+    share = months.select("year", "month", (1 / (F.col("n_papers") + 1)).alias("_share"))
+    base = share.where(F.col("year").between(first, last)).groupBy("year").agg(F.avg("_share").alias("_base"), F.count(F.lit(1)).alias("_months"))
+    each = [F.sum(F.when(F.col("year") == y, F.col("_share")).otherwise(0.0)) for y in range(first, last + 1)]
+    wide = rows.join(F.broadcast(share), ["year", "month"]).groupBy(key).agg(F.array(*each).alias("_sums"))
+    dense = wide.select(key, F.posexplode("_sums").alias("_at", "_sum")).withColumn("year", (F.col("_at") + first).cast("int"))
+    return dense.join(F.broadcast(base), "year").select(key, "year", (F.col("_base") + F.col("_sum") / F.col("_months")).alias("mean_freq"))
+
+
 def floor_mean(monthly: DataFrame, value: str, *keys: str, time: str = "time") -> DataFrame:
     """Mean per key and whole year of rows on a continuous month axis."""
     return monthly.groupBy(*keys, F.floor(time).cast("int").alias("year")).agg(F.avg(value).alias(value))
@@ -77,7 +122,7 @@ def lag_projection(yearly: DataFrame, key: str, freq: str = "mean_freq", least:
     w = Window.partitionBy(key).orderBy("year")
     two, three = F.lag(freq, 2).over(w), F.lag(freq, 3).over(w)
     out = yearly.withColumn("projection", two + F.when(three.isNotNull(), F.greatest(2 * (two - three), F.lit(0.0)))).where(F.col("projection").isNotNull())
-    out = out.withColumn("ratio", F.try_divide(F.col(freq), F.col("projection"))).withColumn("gap", F.col(freq) - F.col("projection"))
+    out = out.withColumn("ratio", ratio(F.col(freq), F.col("projection"))).withColumn("gap", F.col(freq) - F.col("projection"))
     return out.where(F.col("year") >= least) if least else out
 
 
@@ -92,18 +137,22 @@ def regression(series: DataFrame, keys: list[str], index: str, value: str, end:
     """
     t = (F.col(index) - (end - length)).cast("double")
     rows = series.withColumn("t", t).where("t >= 0")
-    train = rows.where(F.col("t") < length).groupBy(*keys).agg(
-        F.regr_slope(value, "t").alias("_b"),
-        F.regr_intercept(value, "t").alias("_a"),
-        F.regr_syy(value, "t").alias("_syy"),
-        F.regr_sxy(value, "t").alias("_sxy"),
-        F.regr_sxx(value, "t").alias("_sxx"),
-        F.avg("t").alias("_mean"),
-        F.count(F.lit(1)).alias("_k"),
-    )
+    each = Window.partitionBy(*keys)
+    x, y = (F.when(F.col("t") < length, F.col(c).cast("double")) for c in ("t", value))
+
+    def over(f) -> Column:
+        return f(y, x).over(each)
+
+    fit = {"_b": F.regr_slope, "_a": F.regr_intercept, "_syy": F.regr_syy, "_sxy": F.regr_sxy, "_sxx": F.regr_sxx, "_mean": F.regr_avgx, "_k": F.regr_count}
+    rows = rows.select("*", *[over(f).alias(name) for name, f in fit.items()])
     sse = F.greatest(F.col("_syy") - F.try_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx")), F.lit(0.0))
     sigma2 = F.try_divide(sse, F.col("_k") - 2)
     lever = 1 + F.try_divide(F.lit(1.0), F.col("_k")) + F.try_divide((F.col("t") - F.col("_mean")) * (F.col("t") - F.col("_mean")), F.col("_sxx"))
-    out = rows.join(train, keys).withColumn("projection", F.col("_a") + F.col("_b") * F.col("t")).withColumn("sdev", F.sqrt(sigma2 * lever))
-    out = out.withColumn("ratio", F.try_divide(F.col(value), F.col("projection"))).withColumn("gap", F.col(value) - F.col("projection"))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    out = rows.withColumn("projection", F.col("_a") + F.col("_b") * F.col("t")).withColumn("sdev", F.sqrt(sigma2 * lever))
+    out = out.withColumn("ratio", ratio(F.col(value), F.col("projection"))).withColumn("gap", F.col(value) - F.col("projection"))
+    return out.drop(*fit)
+
+
+def without_partial(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows (year, month) of the months from first to last (year * 12 + month - 1, both included): partly collected months at the ends go."""
+    return rows.where(period_index(F.col("year"), F.col("month")).between(first, last))

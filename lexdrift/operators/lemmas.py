@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lists import LEMMAS
+
+
+def lemma_table(words: DataFrame, rule: Column, first: Mapping[str, str] = LEMMAS) -> DataFrame:
+    """(word, new) of the words that change: by a fixed list, else by a rule, which is null or the word itself where it has none."""
+    fixed = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col("word")) if first else F.lit(None)
+    return words.select("word", F.coalesce(fixed, rule).alias("new")).where(F.col("new").isNotNull() & (F.col("new") != F.col("word")))
+
 
 def rename(counts: DataFrame, spellings: DataFrame, lemmas: DataFrame) -> DataFrame:
     """word -> american spelling -> lemma, where the tables (word, new) have them. Lemmas are those of the words as they were written."""
-    out = counts.join(F.broadcast(spellings.withColumnRenamed("new", "_a")), "word", "left").withColumn("_w", F.coalesce("_a", "word"))
-    return out.join(F.broadcast(lemmas.select(F.col("word").alias("_w"), F.col("new").alias("_l"))), "_w", "left").withColumn("lemma", F.coalesce("_l", "_w")).drop("_a", "_w", "_l")
+    out = counts.join(spellings.withColumnRenamed("new", "_a"), "word", "left").withColumn("_w", F.coalesce("_a", "word"))
+    return out.join(lemmas.select(F.col("word").alias("_w"), F.col("new").alias("_l")), "_w", "left").withColumn("lemma", F.coalesce("_l", "_w")).drop("_a", "_w", "_l")
 
 
 def count_sum(renamed: DataFrame, *period: str, least: int = 4) -> DataFrame:
@@ -24,4 +34,4 @@ def count_union(renamed_postings: DataFrame, *period: str, least: int = 4) -> Da
 
 def surface_words(kept: DataFrame, lemmas: DataFrame) -> DataFrame:
     """The kept lemmas and all words that have one of them as lemma."""
-    return kept.select("word").unionByName(lemmas.join(F.broadcast(kept.select(F.col("word").alias("new"))), "new").select("word")).distinct()
+    return kept.select("word").unionByName(lemmas.join(kept.select(F.col("word").alias("new")), "new").select("word")).distinct()

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.estimate import smoothed
+from ..functions.lists import COMMON_COUNTRIES, ENGLISH_SPEAKING
 from ..functions.text import last_label
 
 
-def memberships(country: Column, common: list[str], english: list[str]) -> Column:
+def memberships(country: Column, common: list[str] = COMMON_COUNTRIES, english: list[str] = ENGLISH_SPEAKING) -> Column:
     """The groups of a paper's country: itself if common, and english or non-english; none for null."""
     own = F.when(country.isin(common), F.array(country)).otherwise(F.array().cast("array<string>"))
     side = F.when(country.isin(english), F.array(F.lit("english"))).when(country.isNotNull(), F.array(F.lit("non-english"))).otherwise(F.array().cast("array<string>"))
     return F.concat(own, side)
 
 
-def overlapping_frequency(papers: DataFrame, hits: DataFrame, groups: Column, *period: str) -> DataFrame:
-    """(grp, period, n_papers, n, freq) of papers that occur in hits (doc_id), in groups that may overlap, against the group's own papers."""
-    marked = papers.join(hits.select("doc_id").distinct().withColumn("_hit", F.lit(1)), "doc_id", "left")
-    out = marked.select(*period, "_hit", F.explode(groups).alias("grp")).groupBy("grp", *period).agg(F.count(F.lit(1)).alias("n_papers"), F.count("_hit").alias("n"))
+def overlapping_frequency(papers: DataFrame, hit: Column, groups: Column, *period: str) -> DataFrame:
+    """(grp, period, n_papers, n, freq) of papers for which hit holds, in groups that may overlap, against the group's own papers."""
+    marked = papers.select(*period, hit.alias("_hit"), F.explode(groups).alias("grp"))
+    out = marked.groupBy("grp", *period).agg(F.count(F.lit(1)).alias("n_papers"), F.count_if("_hit").alias("n"))
     return out.withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
 
 
@@ -37,9 +40,12 @@ def with_other(counts: DataFrame, key: str, n: str, small: Column) -> DataFrame:
     return counts.withColumn(key, F.when(small, F.lit("Other")).otherwise(F.col(key))).groupBy(key).agg(F.sum(n).alias(n))
 
 
-def turnover(present: DataFrame, step: int) -> DataFrame:
-    """(year, key) rows whose key isn't there `step` years on (negative: before), where that year has any keys."""
-    other = present.select((F.col("year") - step).alias("year"), "key")
+def turnover(present: DataFrame, step: int, more_than: int = 0) -> DataFrame:
+    """(year, key) rows whose key isn't there `step` years on (negative: before), where that year has any keys. Keys with up to `more_than` papers (n) don't count as theirs."""
+    other = present
+    if more_than:
+        present = present.where(F.col("n") > more_than).select("year", "key")
+    other = other.select((F.col("year") - step).alias("year"), "key")
     years = other.select("year").distinct()
     return present.join(F.broadcast(years), "year", "left_semi").join(other, ["year", "key"], "left_anti")
 
@@ -50,6 +56,16 @@ def null_shares(rows: DataFrame, columns: list[str]) -> DataFrame:
     return wide.unpivot([], columns, "column", "null_share")
 
 
+def remapped(value: Column, names: Mapping[str, str]) -> Column:
+    """The value by another name where a table has one, else as it is: spellings of journals, display names of countries."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value), value)
+
+
+def section_order(section: Column, order: list[str]) -> Column:
+    """The place of a section in the order of a paper, after all others if it is none of them."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in order]), section), F.lit(0)), F.lit(len(order) + 1)).cast("int")
+
+
 def pivoted(rows: DataFrame, key: str, column: str, values: list, value: str) -> DataFrame:
     return rows.groupBy(key).pivot(column, values).agg(F.first(value))
 

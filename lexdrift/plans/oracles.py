@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.lists import CUTOFFS, IGNORED_WORDS
+from ..functions.lists import COMMON_MARKERS, CUTOFFS, IGNORED_WORDS, LEMMAS
 from ..operators.cleaning import STOP_WORDS
-from .queries import COMMON, END, FIRST, LAST, LENGTH, MARKER_LEAST, MARKER_MOST, MOST_SE
+from .queries import ADDRESSES, COMMON, END, FIRST, LAST, LENGTH, LOW_CUTOFF, MARKER_LEAST, MARKER_MOST, MEANS, MOST_SE
 
 PAPERS = """papers AS (
     SELECT d.doc_id, (2000 + d.doc_id % 26)::INTEGER AS year, (1 + (d.doc_id // 26) % 12)::INTEGER AS month,
@@ -31,14 +31,17 @@ WORD_YEAR = """wy AS (
 WORD_MONTH = """wm AS (
     SELECT k.word, y.year, y.month, y.n_papers, count(p.doc_id) AS n, (count(p.doc_id) + 1.0::DOUBLE) / (y.n_papers + 1) AS freq
     FROM markers k CROSS JOIN months y LEFT JOIN postings p ON p.word = k.word AND p.year = y.year AND p.month = y.month GROUP BY k.word, y.year, y.month, y.n_papers)"""
-MEAN = "wmean AS (SELECT word, year, avg(freq) AS mean_freq FROM wm GROUP BY ALL)"
+MEAN = f"""wmean AS (
+    SELECT w.word, m.year, avg((coalesce(c.n, 0) + 1.0::DOUBLE) / (m.n_papers + 1)) AS mean_freq
+    FROM (SELECT DISTINCT word FROM postings) w CROSS JOIN months m LEFT JOIN (SELECT word, year, month, count(*) AS n FROM postings GROUP BY ALL) c ON c.word = w.word AND c.year = m.year AND c.month = m.month
+    WHERE m.year >= {MEANS} GROUP BY w.word, m.year)"""
 LAGGED = """lagged AS (
-    SELECT word, year, freq, projection, freq / nullif(projection, 0) AS ratio, freq - projection AS gap FROM (
-        SELECT *, lag(freq, 2) OVER w + greatest(2 * (lag(freq, 2) OVER w - lag(freq, 3) OVER w), 0.0) AS projection
-        FROM wy WINDOW w AS (PARTITION BY word ORDER BY year)) WHERE projection IS NOT NULL AND year >= 2013)"""
+    SELECT word, year, mean_freq AS freq, projection, mean_freq / nullif(projection, 0) AS ratio, mean_freq - projection AS gap FROM (
+        SELECT *, lag(mean_freq, 2) OVER w + greatest(2 * (lag(mean_freq, 2) OVER w - lag(mean_freq, 3) OVER w), 0.0) AS projection, lag(mean_freq, 3) OVER w AS third
+        FROM wmean WINDOW w AS (PARTITION BY word ORDER BY year)) WHERE third IS NOT NULL)"""
 EXCESS = f"""excess AS (
-    SELECT word, year, ratio, gap FROM lagged WHERE word NOT IN ({", ".join(repr(w) for w in IGNORED_WORDS)}) AND freq >= 0.001
-        AND (log10(ratio) > log10(2) - (log10(freq) + 4) * log10(2) / 4 OR gap > 0.01))"""
+    SELECT word, year, ratio, gap FROM lagged WHERE word NOT IN ({", ".join(repr(w) for w in IGNORED_WORDS)}) AND round(freq, 9) >= 0.001
+        AND (log10(round(ratio, 9)) > log10(2) - (log10(round(freq, 9)) + 4) * log10(2) / 4 OR round(gap, 9) > 0.01))"""
 
 
 def groups(period: str) -> str:
@@ -52,17 +55,18 @@ def regression(source: str, keys: str, index: str, end: int, length: int) -> str
     return f"""rows_t AS (SELECT *, ({index} - {end - length})::DOUBLE AS t FROM {source} WHERE {index} >= {end - length}),
     fit AS (SELECT {keys}, regr_slope(freq, t) AS b, regr_intercept(freq, t) AS a, regr_syy(freq, t) AS syy, regr_sxy(freq, t) AS sxy,
         regr_sxx(freq, t) AS sxx, avg(t) AS mt, count(*) AS k FROM rows_t WHERE t < {length} GROUP BY {keys}),
-    proj AS (SELECT *, freq / nullif(projection, 0) AS ratio, freq - projection AS gap, CASE WHEN projection < 0.999 THEN (freq - projection) / nullif(1 - projection, 0) END AS usage FROM (
+    proj AS (SELECT *, CASE WHEN abs(projection) >= 1e-9 THEN freq / projection END AS ratio, freq - projection AS gap, CASE WHEN abs(1 - projection) >= 1e-9 THEN (freq - projection) / (1 - projection) END AS usage FROM (
         SELECT r.*, a + b * t AS projection, sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0) / nullif(k - 2, 0) * (1 + 1.0 / k + (t - mt) * (t - mt) / nullif(sxx, 0))) AS sdev
         FROM rows_t r JOIN fit USING ({keys})))"""
 
 
 def variance(p: str, q: str, n: str, version: str, function: str) -> str:
+    """The square of the standard error."""
     var = {"binomial": f"{p} * (1 - {p}) / {n}", "regression": "sdev * sdev", "both": f"(sdev * sdev + {p} * (1 - {p}) / {n})"}[version]
     own = f"{q} * (1 - {q}) / {n}"
     if function == "gap":
-        return f"sqrt({var} + {own})"
-    return f"sqrt((({q} - 1) / ((1 - {p}) * (1 - {p}))) ** 2 * ({var}) + {own} / ((1 - {p}) * (1 - {p})))"
+        return f"({var} + {own})"
+    return f"((({q} - 1) / ((1 - {p}) * (1 - {p}))) ** 2 * ({var}) + {own} / ((1 - {p}) * (1 - {p})))"
 
 
 GROUP_YEAR = f"{groups('years')}, {regression('groups', 'grp', 'year', END, LENGTH)}"
@@ -80,15 +84,16 @@ SWEEP = """swept AS (
     FROM cuts c CROSS JOIN years y LEFT JOIN (SELECT p.doc_id, p.year, f.freq AS f FROM postings p JOIN f2024 f USING (word)) h ON h.year = y.year AND h.f < c.cutoff GROUP BY c.cutoff, c.step, y.year, y.n_papers)"""
 ESTIMATED = f"""{regression('swept', 'cutoff, step', 'year', END, LENGTH)},
     est AS (SELECT * FROM (SELECT *, max(projection) OVER (PARTITION BY step) AS top,
-        {variance("(CASE WHEN projection >= 1 THEN 0.9999999999999999::DOUBLE ELSE projection END)", "(CASE WHEN freq = 1 THEN 0.9999999999999999::DOUBLE ELSE freq END)", "n_papers", "regression", "usage")} AS se FROM proj) WHERE top < 0.999)"""
+        sqrt({variance("(CASE WHEN projection >= 1 THEN 0.9999999999999999::DOUBLE ELSE projection END)", "(CASE WHEN freq = 1 THEN 0.9999999999999999::DOUBLE ELSE freq END)", "n_papers", "regression", "usage")}) AS se FROM proj) WHERE top < 0.999)"""
 ALL_CUTS = f"{BASE}, {WORD_YEAR}, {F2024}, {CUTS}, {SWEEP}, {ESTIMATED}"
-BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY round(usage, 9) DESC, step) AS rk FROM (
-    SELECT *, min(CASE WHEN se > {MOST_SE} THEN step END) OVER (PARTITION BY year) AS bad FROM est WHERE year >= 2023) WHERE bad IS NULL OR step < bad) WHERE rk = 1)"""
+BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY most_se, year ORDER BY round(usage, 9) DESC, step) AS rk FROM (
+    SELECT *, min(CASE WHEN se > most_se THEN step END) OVER (PARTITION BY most_se, year) AS bad FROM est CROSS JOIN (VALUES {", ".join(f"({b}::DOUBLE)" for b in MOST_SE)}) l(most_se) WHERE year >= 2023)
+    WHERE bad IS NULL OR step < bad) WHERE rk = 1)"""
 
 SECTIONS = """secs AS (
     SELECT doc_id, year, section, string_agg(line, ' ' ORDER BY i) AS text FROM (
         SELECT doc_id, year, i, ['introduction', 'methods', 'results', 'discussion'][(i - 1) % 4 + 1] AS section, lines[i] AS line
-        FROM papers, unnest(range(1, len(lines) + 1)) u(i)) GROUP BY ALL)"""
+        FROM papers, unnest(range(1, len(lines) + 1)) u(i) WHERE doc_id % 9 <> 4) GROUP BY ALL)"""
 WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
 COUNTRY = """rare AS (SELECT DISTINCT p.doc_id FROM postings p JOIN markers m USING (word) WHERE m.grp = 'rare'),
     member AS (
@@ -99,21 +104,44 @@ RAW_JOURNAL = "CASE doc_id % 6 WHEN 0 THEN 'Journal of Neurology' WHEN 1 THEN 'N
 LABEL = "CASE doc_id % 6 WHEN 0 THEN 'neurology' WHEN 2 THEN 'biochemistry' WHEN 3 THEN 'cancer' WHEN 4 THEN 'material' END"
 SKEWED = "sk AS (SELECT year, CASE WHEN doc_id % 2 = 0 THEN 'big' || (doc_id % 3) ELSE journal END AS journal FROM papers)"
 PRESENT = "present AS (SELECT DISTINCT year, journal || (doc_id % 7) AS key FROM papers)"
+_FIXED = ", ".join(repr(w) for w in LEMMAS)
 RENAMED = """vocab AS (SELECT DISTINCT word FROM postings),
-    renamed AS (SELECT p.doc_id, p.year, CASE WHEN a.w LIKE '%s' AND a.w IN (SELECT word FROM vocab) THEN left(a.w, len(a.w) - 1) ELSE a.w END AS lemma
-        FROM postings p JOIN (SELECT word, replace(word, 'our', 'or') AS w FROM vocab) a USING (word))"""
+    renamed AS (SELECT p.doc_id, p.year, CASE WHEN a.w IN (SELECT word FROM vocab) AND a.w IN ({fixed}) THEN {fixed_map} WHEN a.w LIKE '%s' AND a.w IN (SELECT word FROM vocab) THEN left(a.w, len(a.w) - 1) ELSE a.w END AS lemma
+        FROM postings p JOIN (SELECT word, replace(word, 'our', 'or') AS w FROM vocab) a USING (word))""".format(fixed=_FIXED, fixed_map="CASE a.w " + " ".join(f"WHEN '{w}' THEN '{x}'" for w, x in LEMMAS.items()) + " END")
 
 
 def r(x: str, name: str = "") -> str:
     return f"round({x}, 6) + 0.0 AS {name or x}"
 
 
+LEMMA_SWEEP = f"""{PAPERS}, {POSTINGS.replace("postings AS", "raw AS")}, vocab AS (SELECT DISTINCT word FROM raw),
+    postings AS (SELECT DISTINCT doc_id, year, month, CASE WHEN word IN ({_FIXED}) THEN CASE word {" ".join(f"WHEN '{w}' THEN '{x}'" for w, x in LEMMAS.items())} END WHEN word LIKE '%s' THEN left(word, len(word) - 1) ELSE word END AS word FROM raw),
+    {MARKERS}, {YEARS}, {WORD_YEAR}, {F2024}, {cuts_of([0.02, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0])}, {SWEEP}"""
+BY_SECTION = rf"""{BASE}, {SECTIONS},
+    parts AS (SELECT doc_id, year, section, text FROM secs
+        UNION ALL SELECT doc_id, year, 'full', string_agg(text, '' ORDER BY list_position(['introduction', 'methods', 'results', 'discussion'], section)) FROM secs GROUP BY doc_id, year),
+    sp AS (SELECT doc_id, year, section, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{4,}}')))) AS word FROM parts),
+    sm AS (SELECT sp.* FROM sp JOIN markers USING (word)),
+    sy AS (SELECT s.section, y.year, count(p.doc_id) AS n_papers FROM (SELECT DISTINCT section FROM parts) s CROSS JOIN years y LEFT JOIN parts p ON p.section = s.section AND p.year = y.year GROUP BY s.section, y.year),
+    sf AS (SELECT k.section, k.word, y.year, y.n_papers, count(p.doc_id) AS n, (count(p.doc_id) + 1.0::DOUBLE) / (y.n_papers + 1) AS freq
+        FROM (SELECT DISTINCT section, word FROM sm) k JOIN sy y ON y.section = k.section LEFT JOIN sm p ON p.section = k.section AND p.word = k.word AND p.year = y.year GROUP BY k.section, k.word, y.year, y.n_papers)"""
+SECTION_SWEEP = f"""{BY_SECTION}, {CUTS},
+    sh AS (SELECT p.section, p.doc_id, p.year, min(f.freq) AS f FROM sm p JOIN sf f ON f.section = p.section AND f.word = p.word AND f.year = 2024 GROUP BY p.section, p.doc_id, p.year),
+    swept AS (SELECT y.section, c.cutoff, c.step, y.year, y.n_papers, count(h.doc_id) AS n, (count(h.doc_id) + 1.0::DOUBLE) / (y.n_papers + 1) AS freq
+        FROM cuts c CROSS JOIN sy y LEFT JOIN sh h ON h.section = y.section AND h.year = y.year AND h.f < c.cutoff GROUP BY y.section, c.cutoff, c.step, y.year, y.n_papers)"""
+SECTION_BEST = f"""{SECTION_SWEEP}, {ESTIMATED.replace("cutoff, step", "section, cutoff, step").replace("PARTITION BY step", "PARTITION BY section, step")},
+    {BEST.replace("PARTITION BY most_se", "PARTITION BY section, most_se")}"""
+#: What each of ADDRESSES names, by the official list of countries.
+COUNTRIES_OF_ADDRESSES = [
+    "Korea, Republic of", "Germany", "Russian Federation", "Viet Nam", "Ireland", "New Zealand", "South Africa", "Austria", "Czechia", "Venezuela, Bolivarian Republic of", "China",
+    "United Kingdom of Great Britain and Northern Ireland", None, "Türkiye", None,
+]
 _STAGES = ["before_prep", "after_article_type", "after_sections", "after_abstract", "after_language", "after_date"]
 ORACLES = {
-    "corpus_funnel": f"""WITH {PAPERS}, s AS (SELECT article_type IN ('research-article', 'review-article', 'case-report') AS a, len(lines) > 1 AS b, length(abstract) >= 250 AS c, language = 'en' AS d FROM papers)
+    "corpus_funnel": f"""WITH {PAPERS}, s AS (SELECT article_type IN ('research-article', 'review-article', 'case-report') AS a, doc_id % 9 <> 4 AS b, length(abstract) >= 250 AS c, language = 'en' AS d FROM papers)
         SELECT count(*) AS before_prep, count_if(a)::BIGINT AS after_article_type, count_if(a AND b)::BIGINT AS after_sections, count_if(a AND b AND c)::BIGINT AS after_abstract,
         count_if(a AND b AND c AND d)::BIGINT AS after_language, count_if(a AND b AND c AND d)::BIGINT AS after_date FROM s""",
-    "funnel_discarded": f"""WITH {PAPERS}, s AS (SELECT journal, count(*) AS n, count_if(article_type <> 'editorial' AND len(lines) > 1 AND length(abstract) >= 250 AND language = 'en') AS k FROM papers GROUP BY journal)
+    "funnel_discarded": f"""WITH {PAPERS}, s AS (SELECT journal, count(*) AS n, count_if(article_type <> 'editorial' AND doc_id % 9 <> 4 AND length(abstract) >= 250 AND language = 'en') AS k FROM papers GROUP BY journal)
         SELECT sum(n)::BIGINT AS before_prep, sum(k)::BIGINT AS after_prep, round(avg(1 - k / n), 6) AS mean_discarded, round(quantile_cont(1 - k / n, 0.5), 6) AS median_discarded FROM s""",
     "dedupe_latest": f"WITH {PAPERS} SELECT doc_id, year, journal, 1::INTEGER AS load FROM papers",
     "language_inferred": f"""WITH {PAPERS}, w AS (SELECT doc_id, language, regexp_split_to_array(lower(abstract), '[^\\p{{L}}]+') AS w FROM papers),
@@ -139,32 +167,42 @@ ORACLES = {
     "mean_papers_per_month": f"WITH {PAPERS}, m AS (SELECT count(*) AS n FROM papers GROUP BY year, month) SELECT round(avg(n), 6) AS mean_papers, max(n) AS most FROM m",
     "word_year_freq": f"WITH {BASE}, {WORD_YEAR} SELECT word, year, n, n_papers, {r('freq')} FROM wy",
     "word_month_grid": f"WITH {BASE}, {WORD_MONTH} SELECT word, year, month, n, {r('freq')}, round(year + (month - 1) / 12, 6) AS time FROM wm WHERE year >= 2018",
-    "yearly_mean_freq": f"WITH {BASE}, {WORD_MONTH}, {MEAN} SELECT word, year, {r('mean_freq')} FROM wmean",
-    "lag_projection": f"WITH {BASE}, {WORD_YEAR}, {LAGGED} SELECT word, year, {r('projection')}, {r('ratio')}, {r('gap')} FROM lagged",
-    "excess_words": f"WITH {BASE}, {WORD_YEAR}, {LAGGED}, {EXCESS} SELECT word, year, {r('ratio')}, {r('gap')} FROM excess",
-    "excess_count_per_year": f"WITH {BASE}, {WORD_YEAR}, {LAGGED}, {EXCESS} SELECT year, count(*) AS n_words FROM excess GROUP BY year",
-    "excess_distinct": f"WITH {BASE}, {WORD_YEAR}, {LAGGED}, {EXCESS} SELECT DISTINCT word FROM excess",
-    "ratio_filter": f"""WITH {BASE}, {WORD_MONTH}, {MEAN}, two AS (SELECT word, max(CASE WHEN year = 2022 THEN mean_freq END) AS a, max(CASE WHEN year = 2024 THEN mean_freq END) AS b FROM wmean GROUP BY word)
-        SELECT word, round(b / nullif(a, 0), 6) AS ratio FROM two WHERE b / nullif(a, 0) > 1.1""",
+    "yearly_mean_freq": f"WITH {PAPERS}, {POSTINGS}, {MONTHS}, {MEAN} SELECT word, year, {r('mean_freq')} FROM wmean",
+    "lag_projection": f"WITH {PAPERS}, {POSTINGS}, {MONTHS}, {MEAN}, {LAGGED} SELECT word, year, {r('projection')}, {r('ratio')}, {r('gap')} FROM lagged",
+    "excess_words": f"WITH {PAPERS}, {POSTINGS}, {MONTHS}, {MEAN}, {LAGGED}, {EXCESS} SELECT word, year, {r('ratio')}, {r('gap')} FROM excess",
+    "excess_count_per_year": f"WITH {PAPERS}, {POSTINGS}, {MONTHS}, {MEAN}, {LAGGED}, {EXCESS} SELECT year, count(*) AS n_words FROM excess GROUP BY year",
+    "excess_distinct": f"WITH {PAPERS}, {POSTINGS}, {MONTHS}, {MEAN}, {LAGGED}, {EXCESS} SELECT DISTINCT word FROM excess",
+    "ratio_filter": f"""WITH {PAPERS}, {POSTINGS}, {MONTHS}, {MEAN}, two AS (SELECT word, max(CASE WHEN year = 2022 THEN mean_freq END) AS a, max(CASE WHEN year = 2024 THEN mean_freq END) AS b FROM wmean GROUP BY word)
+        SELECT word, round(b / nullif(a, 0), 6) AS ratio FROM two WHERE round(b / nullif(a, 0), 9) > 1.1""",
     "two_groups_year": f"WITH {BASE}, {groups('years')} SELECT grp, year, n, n_papers, {r('freq')} FROM groups",
     "two_groups_month": f"WITH {BASE}, {groups('months')} SELECT grp, year, month, n, {r('freq')} FROM groups",
     "ols_projection": f"WITH {BASE}, {GROUP_YEAR} SELECT grp, year, {r('freq')}, {r('projection')}, {r('sdev')} FROM proj",
     "gap_ratio_usage": f"WITH {BASE}, {GROUP_YEAR} SELECT grp, year, {r('gap')}, {r('ratio')}, {r('usage')} FROM proj",
     "word_projection": f"""WITH {BASE}, {WORD_YEAR}, {regression('wy', 'word', 'year', END, LENGTH)}
-        SELECT word, year, {r('freq')}, {r('projection')}, {r('gap')}, round(CASE WHEN abs(projection) > 1e-6 THEN ratio END, 6) + 0.0 AS ratio, {r('sdev')}, {r('usage')} FROM proj WHERE year >= 2020""",
+        SELECT word, year, {r('freq')}, {r('projection')}, {r('gap')}, {r('ratio')}, {r('sdev')}, {r('usage')} FROM proj WHERE year >= 2020""",
     "month_projection": f"WITH {BASE}, {GROUP_MONTH} SELECT grp, year, month, {r('projection')}, {r('sdev')}, {r('usage')} FROM proj WHERE year >= 2022",
     "last_usage": f"WITH {BASE}, {GROUP_MONTH} SELECT grp, round(arg_max(usage, i), 6) AS usage FROM proj GROUP BY grp",
-    "standard_errors": f"""WITH {BASE}, {GROUP_YEAR}, c AS (SELECT * REPLACE (CASE WHEN freq = 1 THEN 0.9999999999999999::DOUBLE ELSE freq END AS freq) FROM proj WHERE projection > 0 AND projection < 0.99 AND freq < 0.99)
-        SELECT grp, year, {", ".join(f"round({variance('projection', 'freq', 'n_papers', v, f)}, 6) + 0.0 AS {f}_{v}" for f in ("usage", "gap") for v in ("binomial", "regression", "both"))} FROM c""",
+    "standard_errors": f"""WITH {BASE}, {WORD_YEAR}, {groups('years')}, both_kinds AS (SELECT word, year, n_papers, freq FROM wy UNION ALL SELECT grp, year, n_papers, freq FROM groups), {regression('both_kinds', 'word', 'year', END, LENGTH)},
+        c AS (SELECT word, year, n_papers, sdev, CASE WHEN freq = 1 THEN 0.9999999999999999::DOUBLE ELSE freq END AS q,
+            CASE WHEN round(projection, 12) >= 1 THEN 0.9999999999999999::DOUBLE ELSE round(projection, 12) END AS p FROM proj WHERE sdev > 1e-6)
+        SELECT word, year, {", ".join(f"CASE WHEN {x} >= 0 THEN printf('%.5e', sqrt(greatest({x}, 0))) END AS {f}_{v}" for f in ("usage", "gap") for v in ("binomial", "regression", "both") for x in [variance('p', 'q', 'n_papers', v, f)])} FROM c""",
+    "usage_band": f"""WITH {BASE}, {GROUP_YEAR}, b AS (SELECT grp, year, usage, sqrt({variance('projection', 'freq', 'n_papers', 'regression', 'usage')}) AS se FROM proj WHERE year >= 2018 AND usage IS NOT NULL AND projection < 1)
+        SELECT grp, year, {r('usage')}, {r('usage - se', 'low')}, {r('usage + se', 'high')} FROM b""",
+    "low_frequency_month": f"""WITH {BASE}, {WORD_YEAR}, low AS (SELECT word FROM wy WHERE year = 2024 AND round(freq, 9) < {LOW_CUTOFF}), h AS (SELECT DISTINCT doc_id, year, month FROM postings JOIN low USING (word)),
+        g AS (SELECT 'low' AS grp, m.year, m.month, m.n_papers, m.year * 12 + m.month - 1 AS i, count(h.doc_id) AS n, (count(h.doc_id) + 1.0::DOUBLE) / (m.n_papers + 1) AS freq
+            FROM months m LEFT JOIN h USING (year, month) WHERE m.year * 12 + m.month - 1 <= {LAST * 12 + 9} GROUP BY m.year, m.month, m.n_papers), {regression('g', 'grp', 'i', 2022 * 12 + 10, 60)}
+        SELECT year, month, n, {r('freq')}, {r('projection')}, {r('sdev')}, {r('gap')} FROM proj""",
+    "common_markers_freq": f"""WITH {PAPERS}, {POSTINGS}, {YEARS} SELECT y.year, count(DISTINCT p.doc_id) AS n, y.n_papers, round((count(DISTINCT p.doc_id) + 1) / (y.n_papers + 1), 6) AS freq
+        FROM years y LEFT JOIN (SELECT * FROM postings WHERE word IN ({", ".join(repr(w) for w in COMMON_MARKERS)})) p USING (year) GROUP BY y.year, y.n_papers""",
     "error_band": f"WITH {BASE}, {GROUP_YEAR} SELECT grp, year, round(projection - sdev, 6) + 0.0 AS low, round(projection + sdev, 6) AS high FROM proj WHERE year >= 2018",
     "cutoff_lists": f"WITH {BASE}, {WORD_YEAR}, {F2024}, {CUTS} SELECT cutoff, count(*) AS n_words FROM f2024 JOIN cuts ON freq < cutoff GROUP BY cutoff",
     "cutoff_sweep": f"WITH {BASE}, {WORD_YEAR}, {F2024}, {CUTS}, {SWEEP} SELECT cutoff, year, n, {r('freq')} FROM swept WHERE year >= 2018",
     "sweep_filtered": f"WITH {ALL_CUTS} SELECT cutoff, year, {r('projection')}, {r('gap')}, {r('usage')}, round(freq * (1 - freq) / n_papers, 6) AS binomial_var FROM est",
-    "optimal_cutoff": f"WITH {ALL_CUTS}, {BEST} SELECT year, cutoff, {r('usage')} FROM best",
-    "fixed_cutoff": f"WITH {ALL_CUTS}, {BEST} SELECT cutoff, year, {r('usage')} FROM est WHERE step = (SELECT step FROM best WHERE year = 2025)",
-    "chosen_words": f"WITH {ALL_CUTS}, {BEST} SELECT word FROM f2024 WHERE freq < (SELECT cutoff FROM best WHERE year = 2025)",
+    "optimal_cutoff": f"WITH {ALL_CUTS}, {BEST} SELECT most_se, year, cutoff, {r('usage')} FROM best",
+    "fixed_cutoff": f"WITH {ALL_CUTS}, {BEST} SELECT b.most_se, e.cutoff, e.year, {r('e.usage', 'usage')} FROM est e JOIN best b ON e.step = b.step AND b.year = 2025",
+    "chosen_words": f"WITH {ALL_CUTS}, {BEST} SELECT b.most_se, f.word FROM f2024 f JOIN best b ON f.freq < b.cutoff AND b.year = 2025",
     "neighbour_cutoffs": f"WITH {CUTS} SELECT cutoff, step, lag(cutoff, 1) OVER (ORDER BY step) AS lower, lag(cutoff, 2) OVER (ORDER BY step) AS second_lower FROM cuts",
-    "marker_order": f"WITH {BASE}, {WORD_YEAR} SELECT word, {r('freq')} FROM (SELECT word, freq FROM wy WHERE year = 2024 ORDER BY freq DESC, word LIMIT 50)",
+    "marker_order": f"WITH {BASE}, {WORD_YEAR} SELECT word, {r('freq')} FROM wy WHERE year = 2024",
     "country_freq": f"WITH {BASE}, {COUNTRY} SELECT grp, year, n_papers, n, {r('freq')} FROM cf",
     "country_pivot": f"WITH {BASE}, {COUNTRY} SELECT grp, {', '.join(f'max(CASE WHEN year = {y} THEN round(freq, 6) END) AS y{y}' for y in range(2022, 2026))} FROM cf WHERE year >= 2022 GROUP BY grp",
     "country_compare": f"""WITH {BASE}, {COUNTRY} SELECT a.grp, CASE WHEN a.grp IN ('english', 'NATION_2') THEN 'NES' ELSE 'NNES' END AS side, round(a.freq, 6) AS before, round(b.freq, 6) AS after, round(b.freq - a.freq, 6) + 0.0 AS change
@@ -182,15 +220,18 @@ ORACLES = {
         SELECT year, CASE WHEN n * 20 < t THEN 'Other' ELSE journal END AS journal, sum(n)::BIGINT AS n, round(sum(n) / max(t), 6) AS share FROM c GROUP BY 1, 2""",
     "journals_removed": f"WITH {PAPERS}, {PRESENT} SELECT year, key FROM present a WHERE year + 1 IN (SELECT year FROM present) AND NOT EXISTS (SELECT 1 FROM present b WHERE b.year = a.year + 1 AND b.key = a.key)",
     "journals_added": f"WITH {PAPERS}, {PRESENT} SELECT year, key FROM present a WHERE year - 1 IN (SELECT year FROM present) AND NOT EXISTS (SELECT 1 FROM present b WHERE b.year = a.year - 1 AND b.key = a.key)",
+    "journals_removed_often": f"""WITH {PAPERS}, c AS (SELECT year, journal || (doc_id % 3) AS key, count(*) AS n FROM papers GROUP BY ALL)
+        SELECT year, key FROM c a WHERE n > 1 AND year + 1 IN (SELECT year FROM c) AND NOT EXISTS (SELECT 1 FROM c b WHERE b.year = a.year + 1 AND b.key = a.key)""",
+    "journal_names": "SELECT CASE WHEN source IN ('src0', 'src3', 'src6', 'src9', 'src12', 'src15', 'src18') THEN replace(source, 'src', 'Source ') ELSE source END AS journal, count(*) AS n FROM documents GROUP BY 1",
     "journals_per_year": f"WITH {PAPERS} SELECT year, count(DISTINCT journal) AS journals, count(DISTINCT country) AS countries FROM papers GROUP BY year",
     "null_share": f"""WITH {PAPERS}, s AS (SELECT avg((doc_id IS NULL)::INTEGER) AS a, avg((doc_id % 5 = 0 OR country IS NULL)::INTEGER) AS b, avg((doc_id % 3 = 0 OR language IS NULL)::INTEGER) AS c, avg((journal IS NULL)::INTEGER) AS d FROM papers)
         SELECT 'doc_id' AS "column", round(a, 6) AS null_share FROM s UNION ALL SELECT 'country', round(b, 6) FROM s UNION ALL SELECT 'language', round(c, 6) FROM s UNION ALL SELECT 'journal', round(d, 6) FROM s""",
     "dup_ids": "SELECT doc_id % 400 AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "lemma_sum": f"WITH {PAPERS}, {POSTINGS}, {RENAMED} SELECT lemma, year, count(*) AS n FROM renamed WHERE year >= 2024 AND length(lemma) >= 4 GROUP BY lemma, year",
-    "lemma_union": f"WITH {PAPERS}, {POSTINGS}, {RENAMED} SELECT lemma, year, count(DISTINCT doc_id) AS n FROM renamed WHERE year >= 2024 AND length(lemma) >= 4 GROUP BY lemma, year",
+    "lemma_sum": f"WITH {PAPERS}, {POSTINGS}, {RENAMED} SELECT lemma, year, count(*) AS n FROM renamed WHERE length(lemma) >= 4 GROUP BY lemma, year",
+    "lemma_union": f"WITH {PAPERS}, {POSTINGS}, {RENAMED} SELECT lemma, year, count(DISTINCT doc_id) AS n FROM renamed WHERE length(lemma) >= 4 GROUP BY lemma, year",
     "delemmatize": f"""WITH {BASE}, v AS (SELECT DISTINCT word FROM postings) SELECT word FROM markers
         UNION SELECT word FROM v WHERE word LIKE '%s' AND left(word, len(word) - 1) IN (SELECT word FROM markers)""",
-    "layout_topk": f"""WITH {PAPERS}, l AS (SELECT article_type, array_to_string(list_sort(['introduction', 'methods', 'results', 'discussion'][:least(len(lines), 4)]), '|') AS layout FROM papers)
+    "layout_topk": f"""WITH {PAPERS}, l AS (SELECT article_type, array_to_string(list_sort(['introduction', 'methods', 'results', 'discussion'][:least(len(lines) - (doc_id % 9 = 4)::INTEGER, 4)]), '|') AS layout FROM papers)
         SELECT article_type, layout, count(*) AS n FROM l GROUP BY ALL ORDER BY n DESC, article_type, layout LIMIT 5""",
     "title_counts": """WITH x AS (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
         SELECT ['introduction', 'methods', 'results and analysis', 'discussion', 'related work', 'funding', 'summary and outlook', 'materials and methods'][(i - 1) % 8 + 1] AS title,
@@ -198,11 +239,26 @@ ORACLES = {
     "substring_probe": f"WITH {PAPERS} SELECT year, count_if(contains(lower(abstract), 'tion the'))::BIGINT AS n FROM papers GROUP BY year",
     "crop_words": f"WITH {PAPERS} SELECT doc_id, least({WORDS.format('abstract')}, 50)::BIGINT AS n_words, true AS contained FROM papers",
     "sample_words": f"WITH {PAPERS} SELECT doc_id, least({WORDS.format('abstract')}, 50)::BIGINT AS n_words FROM papers",
-    "floor_year_mean": f"WITH {BASE}, {WORD_MONTH}, {MEAN} SELECT word, year, round(mean_freq, 6) + 0.0 AS freq FROM wmean",
-    "aligned_counts": f"WITH {PAPERS}, {POSTINGS} SELECT word, count_if(year = 2000)::BIGINT AS left_n, count_if(year = 2025)::BIGINT AS right_n FROM postings WHERE year IN (2000, 2025) GROUP BY word",
-    "lemma_sweep": f"""WITH {PAPERS}, {POSTINGS.replace("postings AS", "raw AS")}, vocab AS (SELECT DISTINCT word FROM raw),
-        postings AS (SELECT DISTINCT doc_id, year, month, CASE WHEN word LIKE '%s' THEN left(word, len(word) - 1) ELSE word END AS word FROM raw),
-        {MARKERS}, {YEARS}, {WORD_YEAR}, {F2024}, {cuts_of([0.02, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0])}, {SWEEP} SELECT cutoff, year, n, {r('freq')} FROM swept WHERE year >= 2018""",
+    "floor_year_mean": f"WITH {BASE}, {WORD_MONTH} SELECT word, year, round(avg(freq), 6) + 0.0 AS freq FROM wm GROUP BY word, year",
+    "aligned_counts": f"WITH {PAPERS}, {POSTINGS} SELECT word, count_if(year < 2013)::BIGINT AS left_n, count_if(year >= 2013)::BIGINT AS right_n FROM postings GROUP BY word",
+    "lemma_sweep": f"WITH {LEMMA_SWEEP} SELECT cutoff, year, n, {r('freq')} FROM swept WHERE year >= 2018",
+    "lemma_usage": f"""WITH {LEMMA_SWEEP}, {regression('swept', 'cutoff, step', 'year', END, LENGTH)}, x AS (SELECT *, max(projection) OVER (PARTITION BY step) AS top FROM proj)
+        SELECT cutoff, year, {r('projection')}, {r('gap')}, {r('usage')} FROM x WHERE top < 0.95""",
+    "section_year_freq": f"WITH {BY_SECTION} SELECT section, list_position(['introduction', 'methods', 'results', 'discussion', 'full'], section)::INTEGER AS place, word, year, n, n_papers, {r('freq')} FROM sf",
+    "section_projection": f"WITH {BY_SECTION}, {regression('sf', 'section, word', 'year', END, LENGTH)} SELECT section, word, year, {r('projection')}, {r('sdev')}, {r('gap')}, {r('ratio')} FROM proj WHERE year >= 2023",
+    "section_sweep": f"WITH {SECTION_SWEEP} SELECT section, cutoff, year, n, {r('freq')} FROM swept WHERE year >= 2018",
+    "section_optimum": f"WITH {SECTION_BEST} SELECT most_se, section, year, cutoff, {r('usage')}, {r('se')} FROM best",
+    "subopt_lists": f"""WITH {SECTION_BEST} SELECT b.section, k.kind, c.cutoff, f.word FROM best b CROSS JOIN (VALUES ('opt', 0), ('subopt', 1), ('subsubopt', 2)) k(kind, down)
+        JOIN cuts c ON c.step = b.step - k.down JOIN sf f ON f.section = b.section AND f.year = 2024 AND f.freq < c.cutoff WHERE b.year = 2025 AND b.most_se = {MOST_SE[1]}""",
+    "xml_records": rf"""WITH d AS (SELECT *, regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[^\x09\x0A\x20-\x{{D7FF}}\x{{E000}}-\x{{FFFD}}]', '', 'g') AS t FROM documents),
+        s AS (SELECT *, string_split(t, chr(10))[:3] AS l FROM d),
+        n AS (SELECT *, len(l) AS m, doc_id % 7 = 0 AS bare, doc_id % 4 = 0 AND len(l) > 1 AS untitled FROM s)
+        SELECT doc_id, 'research-article' AS article_type, 'en' AS language, coalesce(source, 'none') AS journal, CASE WHEN doc_id % 2 = 0 THEN (doc_id + 7)::VARCHAR END AS pmid,
+            'A  title  of ' || doc_id AS title, [{", ".join("NULL" if c is None else repr(c) for c in COUNTRIES_OF_ADDRESSES)}][doc_id % {len(ADDRESSES)} + 1] AS country,
+            CASE WHEN doc_id % 5 = 0 THEN '' ELSE '3-4-' END || (2000 + doc_id % 26) AS date, 'yes ' || doc_id AS abstract,
+            CASE WHEN bare THEN '' ELSE array_to_string(list_filter(['Intro', CASE WHEN untitled THEN NULL ELSE 'Methods' END, 'Results'][:m] || [CASE WHEN doc_id % 3 = 0 AND NOT untitled THEN 'Introduction' END], lambda x: x IS NOT NULL), '|') END AS titles,
+            CASE WHEN bare THEN 0 ELSE (CASE WHEN doc_id % 3 = 0 AND NOT untitled THEN 7 ELSE 0 END) + list_sum([CASE WHEN untitled AND i = 2 THEN 0 ELSE length(['Intro', 'Methods', 'Results'][i]) + length(l[i]) + (l[i] <> '')::INTEGER END for i in range(1, m + 1)]) END::BIGINT AS section_chars
+        FROM n""",
     "html_titles": r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '[ \t\r\n]+', ' ', 'g')), '') AS title FROM pages""",
 }
 ORACLES["funnel_transposed"] = f"WITH f AS ({ORACLES['corpus_funnel']}) " + " UNION ALL ".join(f"SELECT '{k}' AS measure, {k} AS value FROM f" for k in _STAGES)

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import estimate
 from ..functions.dates import month_axis, parse_date
-from ..functions.lists import CUTOFFS, IGNORED_WORDS
+from ..functions.lists import COMMON_MARKERS, CUTOFFS, IGNORED_WORDS
 from ..functions.text import canonical_title, clean_title, crop, sample, standard_sections, word_count
 from ..operators import cleaning, cutoffs, frequency, lemmas, reports, simulation
-from ..sources.corpus import TITLES, papers, table
-from ..sources.xml import html_title
+from ..sources.corpus import FIRST_YEAR, TITLES, YEARS, papers, section_tokens, table, tokenised
+from ..sources.xml import country_table, html_title, parse_articles
 
-FIRST, LAST = 2000, 2025
+FIRST, LAST = FIRST_YEAR, FIRST_YEAR + YEARS - 1
+#: The yearly means of months begin here.
+MEANS = 2010
 #: Training ends before this year and takes so many years.
 END, LENGTH = 2023, 5
 #: Share of papers (percent) that a marker word is in, at least and at most; from COMMON on it is a common one.
 MARKER_LEAST, MARKER_MOST, COMMON = 2, 10, 5
+#: Cutoff of the low-frequency group; on a corpus of millions of papers 0.0038 is usual.
+LOW_CUTOFF = 0.04
 RAW_TITLES = ["1. Introduction", "METHODS:", "Results & analysis", "3 Discussion", "Related Work", "Funding", "Summary and\nOutlook", "2.1 Materials and Methods"]
 RAW_JOURNALS = ["Journal of Neurology", "Neurological Journal", "Journal of Cancer Biochemistry", "The Biochemistry of Cancer", "Biomaterials", "Annals of Things"]
 
@@ -30,31 +32,26 @@ def r(c: Column | str) -> Column:
 
 
 def _band(df: DataFrame, p: DataFrame) -> DataFrame:
-    """(word, doc_freq, grp) of words in a band of document frequencies. At most the mean number of words of a paper / 2 % of them."""
+    """Rows with a doc_freq in a band, and their grp. The words are at most the mean number of words of a paper / 2 %."""
     df = df.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("_n"))))
     df = df.where((F.col("doc_freq") * 100 >= MARKER_LEAST * F.col("_n")) & (F.col("doc_freq") * 100 <= MARKER_MOST * F.col("_n")))
     return df.withColumn("grp", F.when(F.col("doc_freq") * 100 >= COMMON * F.col("_n"), "common").otherwise("rare")).drop("_n")
 
 
-def _use() -> Column:
-    """The usage where the projection is clear of 1, next to which only rounding decides."""
-    return F.when(F.col("projection") < 0.999, estimate.usage(F.col("freq"), F.col("projection")))
-
-
 def _markers(rows: DataFrame, p: DataFrame) -> DataFrame:
     return _band(frequency.document_frequency(rows), p)
 
 
-def _counted(p: DataFrame, rows: DataFrame, *period: str, every: bool = False) -> DataFrame:
-    """Counts and frequencies of the marker words, or of every word, in all periods. Texts are split once: document frequencies are sums of the counts, whose
-    shuffle is used again."""
-    counts = frequency.word_counts(rows, *period)
-    words = None if every else _band(counts.groupBy("word").agg(F.sum("n").alias("doc_freq")), p).select("word")
-    return frequency.grid(counts, ["word"], frequency.calendar(p, FIRST, LAST, "month" in period), period, words)
+def _lists(p: DataFrame) -> dict[str, list[str]]:
+    """The marker words of each group. The band bounds their number, whatever the size of the corpus, so the driver can hold them as a published list."""
+    found: dict[str, list[str]] = {"common": [], "rare": []}
+    for word, grp in _markers(frequency.postings(p), p).select("word", "grp").collect():
+        found[grp].append(word)
+    return found
 
 
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = papers(spark, sf_dir)
+    p = tokenised(spark, sf_dir)
     return p, frequency.postings(p)
 
 
@@ -146,8 +143,9 @@ def mean_papers_per_month(spark, sf_dir):
     return frequency.papers_per(papers(spark, sf_dir), "year", "month").agg(r(F.avg("n_papers")).alias("mean_papers"), F.max("n_papers").alias("most"))
 
 
-def _yearly(p: DataFrame, rows: DataFrame, every: bool = False) -> DataFrame:
-    return _counted(p, rows, "year", every=every)
+def _yearly(p: DataFrame, rows: DataFrame) -> DataFrame:
+    counts = _band(frequency.yearly(rows, FIRST, LAST), p)
+    return frequency.with_frequency(counts, frequency.calendar(p, FIRST, LAST), "year").select("word", "year", "n", "n_papers", "freq")
 
 
 def word_year_freq(spark, sf_dir):
@@ -156,8 +154,12 @@ def word_year_freq(spark, sf_dir):
     return _yearly(p, rows).select("word", "year", "n", "n_papers", r("freq").alias("freq"))
 
 
-def _monthly(p, rows, every=False):
-    return _counted(p, rows, "year", "month", every=every)
+def _monthly(p, rows):
+    """The marker words in all months."""
+    months = frequency.calendar(p, FIRST, LAST, monthly=True)
+    words = _markers(rows, p).select("word")
+    counts = frequency.word_counts(rows.join(F.broadcast(words), "word", "left_semi"), "year", "month")
+    return frequency.grid(counts, ["word"], months, ("year", "month"), words)
 
 
 def word_month_grid(spark, sf_dir):
@@ -165,51 +167,51 @@ def word_month_grid(spark, sf_dir):
     return g.where("year >= 2018").select("word", "year", "month", "n", r("freq").alias("freq"), r(month_axis(F.col("year"), F.col("month"))).alias("time"))
 
 
-def _mean(spark, sf_dir, every=False):
-    return frequency.yearly_mean(_monthly(*_base(spark, sf_dir), every), "word")
+def _mean(spark, sf_dir):
+    """Yearly means of the months' frequencies, of every word."""
+    p, rows = _base(spark, sf_dir)
+    return frequency.mean_of_months(rows, frequency.calendar(p, FIRST, LAST, monthly=True), "word", MEANS, LAST)
 
 
-def yearly_mean_freq(spark, sf_dir, every=False):
-    return _mean(spark, sf_dir, every).select("word", "year", r("mean_freq").alias("mean_freq"))
+def yearly_mean_freq(spark, sf_dir):
+    return _mean(spark, sf_dir).select("word", "year", r("mean_freq").alias("mean_freq"))
 
 
-def _lagged(spark, sf_dir, every=False):
-    p, rows = _base(spark, sf_dir)
-    return frequency.lag_projection(_yearly(p, rows, every), "word", "freq", 2013)
+def _lagged(spark, sf_dir):
+    return frequency.lag_projection(_mean(spark, sf_dir), "word", "mean_freq", MEANS + 3)
 
 
-def lag_projection(spark, sf_dir, every=False):
-    return _lagged(spark, sf_dir, every).select("word", "year", r("projection").alias("projection"), r("ratio").alias("ratio"), r("gap").alias("gap"))
+def lag_projection(spark, sf_dir):
+    return _lagged(spark, sf_dir).select("word", "year", r("projection").alias("projection"), r("ratio").alias("ratio"), r("gap").alias("gap"))
 
 
-def _excess(spark, sf_dir, every=False):
-    rows = _lagged(spark, sf_dir, every).where(~F.col("word").isin(IGNORED_WORDS))
-    return rows.where(estimate.is_excess(F.col("ratio"), F.col("gap"), F.col("freq")))
+def _excess(spark, sf_dir):
+    rows = _lagged(spark, sf_dir).where(~F.col("word").isin(IGNORED_WORDS))
+    # rounded, as a word that is just as frequent as the rule asks is in or out by the last bit
+    return rows.where(estimate.is_excess(F.round("ratio", 9), F.round("gap", 9), F.round("mean_freq", 9)))
 
 
-def excess_words(spark, sf_dir, every=False):
-    return _excess(spark, sf_dir, every).select("word", "year", r("ratio").alias("ratio"), r("gap").alias("gap"))
+def excess_words(spark, sf_dir):
+    return _excess(spark, sf_dir).select("word", "year", r("ratio").alias("ratio"), r("gap").alias("gap"))
 
 
-def excess_count_per_year(spark, sf_dir, every=False):
-    return _excess(spark, sf_dir, every).groupBy("year").agg(F.count(F.lit(1)).alias("n_words"))
+def excess_count_per_year(spark, sf_dir):
+    return _excess(spark, sf_dir).groupBy("year").agg(F.count(F.lit(1)).alias("n_words"))
 
 
-def excess_distinct(spark, sf_dir, every=False):
-    return _excess(spark, sf_dir, every).select("word").distinct()
+def excess_distinct(spark, sf_dir):
+    return _excess(spark, sf_dir).select("word").distinct()
 
 
-def ratio_filter(spark, sf_dir, every=False):
-    m = _mean(spark, sf_dir, every)
-    two = m.where("year in (2022, 2024)").groupBy("word").agg(F.max(F.when(F.col("year") == 2022, F.col("mean_freq"))).alias("a"), F.max(F.when(F.col("year") == 2024, F.col("mean_freq"))).alias("b"))
-    return two.where(F.try_divide("b", "a") > 1.1).select("word", r(F.try_divide("b", "a")).alias("ratio"))
+def ratio_filter(spark, sf_dir):
+    m = _mean(spark, sf_dir).where("year in (2022, 2024)")
+    two = m.groupBy("word").agg(F.max(F.when(F.col("year") == 2022, F.col("mean_freq"))).alias("a"), F.max(F.when(F.col("year") == 2024, F.col("mean_freq"))).alias("b"))
+    return two.where(F.round(estimate.ratio(F.col("b"), F.col("a")), 9) > 1.1).select("word", r(estimate.ratio(F.col("b"), F.col("a"))).alias("ratio"))
 
 
 def _groups(spark, sf_dir, monthly=False):
-    p, rows = _base(spark, sf_dir)
-    period = ("year", "month") if monthly else ("year",)
-    n = frequency.group_counts(rows, _markers(rows, p).select("word", "grp"), *period)
-    return frequency.grid(n, ["grp"], frequency.calendar(p, FIRST, LAST, monthly), period)
+    p = tokenised(spark, sf_dir)
+    return frequency.group_frequency(p, _lists(p), frequency.calendar(p, FIRST, LAST, monthly), *(("year", "month") if monthly else ("year",)))
 
 
 def two_groups_year(spark, sf_dir):
@@ -220,6 +222,13 @@ def two_groups_month(spark, sf_dir):
     return _groups(spark, sf_dir, True).select("grp", "year", "month", "n", r("freq").alias("freq"))
 
 
+def common_markers_freq(spark, sf_dir):
+    """The published group of common marker words."""
+    p = tokenised(spark, sf_dir)
+    f = frequency.group_frequency(p, {"common": COMMON_MARKERS}, frequency.calendar(p, FIRST, LAST), "year")
+    return f.select("year", "n", "n_papers", r("freq").alias("freq"))
+
+
 def _projected(spark, sf_dir):
     return frequency.regression(_groups(spark, sf_dir), ["grp"], "year", "freq", END, LENGTH)
 
@@ -230,36 +239,60 @@ def ols_projection(spark, sf_dir):
 
 def gap_ratio_usage(spark, sf_dir):
     x = _projected(spark, sf_dir)
-    return x.select("grp", "year", r("gap").alias("gap"), r("ratio").alias("ratio"), r(_use()).alias("usage"))
+    return x.select("grp", "year", r("gap").alias("gap"), r("ratio").alias("ratio"), r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
 
 
 def word_projection(spark, sf_dir):
     """Tidy report per marker word: frequency, projection, gap, ratio, error, usage of the years from 2020."""
     p, rows = _base(spark, sf_dir)
     x = frequency.regression(_yearly(p, rows), ["word"], "year", "freq", END, LENGTH).where("year >= 2020")
-    return x.select("word", "year", *[r(c).alias(c) for c in ("freq", "projection", "gap", "sdev")], r(F.when(F.abs("projection") > 1e-6, F.col("ratio"))).alias("ratio"), r(_use()).alias("usage"))
+    return x.select("word", "year", *[r(c).alias(c) for c in ("freq", "projection", "gap", "sdev")], r("ratio").alias("ratio"), r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
 
 
 def month_projection(spark, sf_dir):
     """Monthly groups, trained on the 24 months before November 2022, from 2022 on."""
     g = _groups(spark, sf_dir, True).withColumn("i", frequency.period_index(F.col("year"), F.col("month")))
     x = frequency.regression(g, ["grp"], "i", "freq", 2022 * 12 + 10, 24).where("year >= 2022")
-    return x.select("grp", "year", "month", r("projection").alias("projection"), r("sdev").alias("sdev"), r(_use()).alias("usage"))
+    return x.select("grp", "year", "month", r("projection").alias("projection"), r("sdev").alias("sdev"), r(estimate.usage(F.col("freq"), F.col("projection"))).alias("usage"))
 
 
 def last_usage(spark, sf_dir):
     g = _groups(spark, sf_dir, True).withColumn("i", frequency.period_index(F.col("year"), F.col("month")))
     x = frequency.regression(g, ["grp"], "i", "freq", 2022 * 12 + 10, 24)
-    x = x.withColumn("usage", _use())
+    x = x.withColumn("usage", estimate.usage(F.col("freq"), F.col("projection")))
     return x.groupBy("grp").agg(r(F.max_by("usage", "i")).alias("usage"))
 
 
+def digits(c: Column) -> Column:
+    """Six significant digits, for values of any size."""
+    return F.when(c.isNotNull(), F.format_string("%.5e", c))
+
+
 def standard_errors(spark, sf_dir):
-    x = _projected(spark, sf_dir)
-    args = F.col("projection"), F.col("freq"), F.col("n_papers")
-    cols = {f"{f}_{v}": estimate.standard_error(*args, v, F.col("sdev"), f) for f in ("usage", "gap") for v in ("binomial", "regression", "both")}
-    x = x.where((F.col("projection") > 0) & (F.col("projection") < 0.99) & (F.col("freq") < 0.99))
-    return x.select("grp", "year", *[r(c).alias(name) for name, c in cols.items()])
+    """All errors of both groups and of each marker word, with projections of 1 and more, which the clamps bring below 1."""
+    p, rows = _base(spark, sf_dir)
+    x = frequency.regression(_yearly(p, rows), ["word"], "year", "freq", END, LENGTH).select("word", "year", "freq", "n_papers", "projection", "sdev")
+    x = _projected(spark, sf_dir).select(F.col("grp").alias("word"), "year", "freq", "n_papers", "projection", "sdev").unionByName(x)
+    p_ = F.round("projection", 12)  # what is 1 but for rounding is 1
+    cols = {f"{f}_{v}": estimate.standard_error(p_, F.col("freq"), F.col("n_papers"), v, F.col("sdev"), f) for f in ("usage", "gap") for v in ("binomial", "regression", "both")}
+    return x.where("sdev > 1e-6").select("word", "year", *[digits(c).alias(name) for name, c in cols.items()])
+
+
+def usage_band(spark, sf_dir):
+    """Usage of the groups with its error, an interval."""
+    x = _projected(spark, sf_dir).where("year >= 2018").withColumn("usage", estimate.usage(F.col("freq"), F.col("projection")))
+    low, high = estimate.band(F.col("usage"), estimate.standard_error(F.col("projection"), F.col("freq"), F.col("n_papers"), "regression", F.col("sdev")))
+    return x.where("usage is not null and projection < 1").select("grp", "year", r("usage").alias("usage"), r(low).alias("low"), r(high).alias("high"))
+
+
+def low_frequency_month(spark, sf_dir):
+    """The group of words that are rarer than a cutoff in 2024, month by month, with a projection from 60 months, partly collected months left out."""
+    p, rows = _base(spark, sf_dir)
+    words = [w for (w,) in _yearly(p, rows).where("year = 2024").where(F.round("freq", 9) < LOW_CUTOFF).select("word").collect()]
+    g = frequency.group_frequency(p, {"low": words}, frequency.calendar(p, FIRST, LAST, monthly=True), "year", "month")
+    g = frequency.without_partial(g, FIRST * 12, LAST * 12 + 9).withColumn("i", frequency.period_index(F.col("year"), F.col("month")))
+    x = frequency.regression(g, ["grp"], "i", "freq", 2022 * 12 + 10, 60)
+    return x.select("year", "month", "n", r("freq").alias("freq"), r("projection").alias("projection"), r("sdev").alias("sdev"), r("gap").alias("gap"))
 
 
 def error_band(spark, sf_dir):
@@ -297,52 +330,108 @@ def sweep_filtered(spark, sf_dir):
     return x.select("cutoff", "year", *[r(k).alias(k) for k in ("projection", "gap", "usage", "binomial_var")])
 
 
-#: Errors on a thousand papers are far above those of a million; with them the threshold is wider.
-MOST_SE = 5.0
+#: Bounds of the standard error before which the best cutoff is sought: the published one, which some forty papers a year hardly meet, and a wide one.
+MOST_SE = [0.025, 0.8]
+
+
+def _best(x: DataFrame, *by: str) -> DataFrame:
+    """The best cutoff of each year (and `by`) from 2023 on, for each bound of the error."""
+    bounds = F.broadcast(x.sparkSession.createDataFrame([(b,) for b in MOST_SE], "most_se double"))
+    return cutoffs.optimum(x.where("year >= 2023").crossJoin(bounds), F.col("most_se"), by=("most_se", *by))
 
 
 def optimal_cutoff(spark, sf_dir):
-    best = cutoffs.optimum(_estimated(spark, sf_dir)[0].where("year >= 2023"), MOST_SE)
-    return best.select("year", "cutoff", r("usage").alias("usage"))
+    return _best(_estimated(spark, sf_dir)[0]).select("most_se", "year", "cutoff", r("usage").alias("usage"))
 
 
 def fixed_cutoff(spark, sf_dir):
+    """The best cutoff of 2025 in all years."""
     x = _estimated(spark, sf_dir)[0]
-    best = cutoffs.optimum(x.where("year = 2025"), MOST_SE)
-    return x.join(F.broadcast(best.select("step")), "step").select("cutoff", "year", r("usage").alias("usage"))
+    best = _best(x).where("year = 2025").select("most_se", "step")
+    return x.join(F.broadcast(best), "step").select("most_se", "cutoff", "year", r("usage").alias("usage"))
 
 
 def chosen_words(spark, sf_dir):
     x, y, c = _estimated(spark, sf_dir)
-    best = cutoffs.optimum(x.where("year = 2025"), MOST_SE)
-    return cutoffs.chosen_words(best, cutoffs.cutoff_lists(y, c))
+    best = _best(x).where("year = 2025").select("most_se", "step")
+    return cutoffs.cutoff_lists(y, c).join(F.broadcast(best), "step").select("most_se", "word")
 
 
 def neighbour_cutoffs(spark, sf_dir):
     return cutoffs.neighbours(cutoffs.cutoff_table(spark, CUTOFFS))
 
 
-def marker_order_all(spark, sf_dir):
+def marker_order(spark, sf_dir):
     """Every marker word with its frequency of 2024, the rarest first."""
     _, _, y, _ = _cutoffs(spark, sf_dir)
     return y.orderBy("freq", "word").select("word", r("freq").alias("freq"))
 
 
-def marker_order(spark, sf_dir):
-    """The 50 most frequent of them, as the SQL has it."""
-    _, _, y, _ = _cutoffs(spark, sf_dir)
-    return y.orderBy(F.desc("freq"), "word").limit(50).select("word", r("freq").alias("freq"))
+def _section_base(spark, sf_dir):
+    """Sections, and their postings of the papers' marker words."""
+    p = tokenised(spark, sf_dir)
+    words = [w for group in _lists(p).values() for w in group]
+    sections = section_tokens(spark, sf_dir)
+    return sections, frequency.postings(sections, ("section", "doc_id", "year"), words)
+
+
+def _section_years(sections):
+    return frequency.calendar_of(sections, FIRST, LAST, "section")
+
+
+def _section_freq(sections, rows):
+    return frequency.with_frequency(frequency.yearly(rows, FIRST, LAST, ("section", "word")), _section_years(sections), "section", "year")
+
+
+def section_year_freq(spark, sf_dir):
+    """Smoothed yearly frequency of the marker words in each section."""
+    f = _section_freq(*_section_base(spark, sf_dir))
+    return f.select("section", reports.section_order(F.col("section"), [*TITLES, "full"]).alias("place"), "word", "year", "n", "n_papers", r("freq").alias("freq"))
+
+
+def section_projection(spark, sf_dir):
+    """Projection of each marker word in each section."""
+    x = frequency.regression(_section_freq(*_section_base(spark, sf_dir)), ["section", "word"], "year", "freq", END, LENGTH).where("year >= 2023")
+    return x.select("section", "word", "year", *[r(c).alias(c) for c in ("projection", "sdev", "gap", "ratio")])
+
+
+def _section_swept(spark, sf_dir):
+    sections, rows = _section_base(spark, sf_dir)
+    y = _section_freq(sections, rows).where("year = 2024").select("section", "word", "freq")
+    c = cutoffs.cutoff_table(spark, CUTOFFS)
+    return cutoffs.sweep(rows, y, c, _section_years(sections), ("section",)), y, c
+
+
+def section_sweep(spark, sf_dir):
+    return _section_swept(spark, sf_dir)[0].where("year >= 2018").select("section", "cutoff", "year", "n", r("freq").alias("freq"))
+
+
+def _section_best(spark, sf_dir):
+    s, y, c = _section_swept(spark, sf_dir)
+    x = cutoffs.without_saturated(cutoffs.estimated(s, ["section", "cutoff", "step"], END, LENGTH), by=("section",))
+    return _best(x, "section"), y, c
+
+
+def section_optimum(spark, sf_dir):
+    return _section_best(spark, sf_dir)[0].select("most_se", "section", "year", "cutoff", r("usage").alias("usage"), r("se").alias("se"))
+
+
+def subopt_lists(spark, sf_dir):
+    """The words of the section's best cutoff of 2025, and of those one and two steps lower, by the wide bound."""
+    best, y, c = _section_best(spark, sf_dir)
+    return cutoffs.chosen_lists(best.where((F.col("year") == 2025) & (F.col("most_se") == MOST_SE[1])), cutoffs.cutoff_lists(y, c), ("section",))
 
 
 def _hits(spark, sf_dir):
-    p, rows = _base(spark, sf_dir)
-    return p, rows.join(F.broadcast(_markers(rows, p).where("grp = 'rare'").select("word")), "word", "left_semi")
+    """The papers, and whether each has a rare marker word."""
+    p = tokenised(spark, sf_dir)
+    return frequency.group_hits(p, {"rare": _lists(p)["rare"]}), F.col("rare")
 
 
 def _countries(spark, sf_dir):
-    p, hits = _hits(spark, sf_dir)
+    p, hit = _hits(spark, sf_dir)
     groups = reports.memberships(F.col("country"), ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"], ["NATION_2", "NATION_7", "NATION_12"])
-    return reports.overlapping_frequency(p, hits, groups, "year")
+    return reports.overlapping_frequency(p, hit, groups, "year")
 
 
 def country_freq(spark, sf_dir):
@@ -362,31 +451,30 @@ def country_compare(spark, sf_dir):
 
 
 def region_freq(spark, sf_dir):
-    p, hits = _hits(spark, sf_dir)
-    return reports.overlapping_frequency(p, hits, F.array("region"), "year").select("grp", "year", "n_papers", "n", r("freq").alias("freq"))
+    p, hit = _hits(spark, sf_dir)
+    return reports.overlapping_frequency(p, hit, F.array("region"), "year").select("grp", "year", "n_papers", "n", r("freq").alias("freq"))
 
 
-def _labelled(spark, sf_dir):
-    p = papers(spark, sf_dir)
+def _labelled(p):
     return p.withColumn("journal", F.element_at(F.array(*[F.lit(x) for x in RAW_JOURNALS]), (F.col("doc_id") % 6 + 1).cast("int")))
 
 
 def discipline_label(spark, sf_dir):
-    return reports.journal_labels(_labelled(spark, sf_dir))
+    return reports.journal_labels(_labelled(papers(spark, sf_dir)))
 
 
 def discipline_freq(spark, sf_dir):
-    p = _labelled(spark, sf_dir)
-    _, hits = _hits(spark, sf_dir)
-    p = p.join(F.broadcast(reports.journal_labels(p)), "journal")
+    p, hit = _hits(spark, sf_dir)
+    p = _labelled(p)
+    p = p.join(reports.journal_labels(p), "journal")
     large = reports.large_groups(p, "label", 50)
-    x = reports.overlapping_frequency(p.join(F.broadcast(large.select("label")), "label", "left_semi"), hits, F.array("label"), "year")
+    x = reports.overlapping_frequency(p.join(F.broadcast(large.select("label")), "label", "left_semi"), hit, F.array("label"), "year")
     return x.select("grp", "year", "n_papers", "n", r("freq").alias("freq"))
 
 
 def discipline_share(spark, sf_dir):
-    p = _labelled(spark, sf_dir)
-    p = p.join(F.broadcast(reports.journal_labels(p)), "journal")
+    p = _labelled(papers(spark, sf_dir))
+    p = p.join(reports.journal_labels(p), "journal")
     return p.agg(r(F.avg(F.col("label").isNotNull().cast("int"))).alias("labelled"), F.countDistinct("label").alias("labels"))
 
 
@@ -424,6 +512,18 @@ def journals_added(spark, sf_dir):
     return reports.turnover(_present(spark, sf_dir), -1)
 
 
+def journals_removed_often(spark, sf_dir):
+    """Journals with more than one paper in a year that have none in the next."""
+    p = papers(spark, sf_dir).groupBy("year", F.concat("journal", (F.col("doc_id") % 3).cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return reports.turnover(p, 1, more_than=1)
+
+
+def journal_names(spark, sf_dir):
+    """Papers by journal, of which some have another spelling."""
+    names = {f"src{k}": f"Source {k}" for k in range(0, 20, 3)}
+    return papers(spark, sf_dir).groupBy(reports.remapped(F.col("journal"), names).alias("journal")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def journals_per_year(spark, sf_dir):
     return papers(spark, sf_dir).groupBy("year").agg(F.countDistinct("journal").alias("journals"), F.countDistinct("country").alias("countries"))
 
@@ -438,30 +538,26 @@ def dup_ids(spark, sf_dir):
     return p.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _renames(spark):
-    # every word that ends in s stands for the word without it; every word with `our` is British
-    return lambda rows: (
-        rows.select("word").distinct().where(F.contains("word", F.lit("our"))).select("word", F.replace(F.col("word"), F.lit("our"), F.lit("or")).alias("new")),
-        rows.select("word").distinct().where(F.col("word").endswith("s")).select("word", F.expr("substring(word, 1, length(word) - 1)").alias("new")),
-    )
+def _renames(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the words of a table, British spellings (every word with `our`) and lemmas (of every word that ends in s the word without it, besides the fixed ones)."""
+    known = words.select("word").distinct()
+    british = known.where(F.contains("word", F.lit("our"))).select("word", F.replace(F.col("word"), F.lit("our"), F.lit("or")).alias("new"))
+    return british, lemmas.lemma_table(known, F.when(F.col("word").endswith("s"), F.expr("substring(word, 1, length(word) - 1)")))
 
 
 def lemma_sum(spark, sf_dir):
-    _, rows = _base(spark, sf_dir)
-    british, own = _renames(spark)(rows)
-    return lemmas.count_sum(lemmas.rename(frequency.word_counts(rows, "year"), british, own), "year").where("year >= 2024")
+    counts = frequency.word_counts(_base(spark, sf_dir)[1], "year")
+    return lemmas.count_sum(lemmas.rename(counts, *_renames(counts)), "year")
 
 
 def lemma_union(spark, sf_dir):
     _, rows = _base(spark, sf_dir)
-    british, own = _renames(spark)(rows)
-    return lemmas.count_union(lemmas.rename(rows.where("year >= 2024"), british, own), "year")
+    return lemmas.count_union(lemmas.rename(rows.select("doc_id", "year", "word"), *_renames(rows)), "year")
 
 
 def delemmatize(spark, sf_dir):
     p, rows = _base(spark, sf_dir)
-    _, own = _renames(spark)(rows)
-    return lemmas.surface_words(_markers(rows, p).select("word"), own)
+    return lemmas.surface_words(_markers(rows, p).select("word"), _renames(rows)[1])
 
 
 def layout_topk(spark, sf_dir):
@@ -506,8 +602,10 @@ def floor_year_mean(spark, sf_dir):
 
 
 def aligned_counts(spark, sf_dir):
+    """Words of the earlier and of the later half of the years side by side."""
     _, rows = _base(spark, sf_dir)
-    first, last = (frequency.word_counts(rows.where(F.col("year") == y)) for y in (2000, 2025))
+    half = FIRST + YEARS // 2
+    first, last = (frequency.word_counts(rows.where(x)) for x in (F.col("year") < half, F.col("year") >= half))
     return frequency.aligned(first, last, ["word"], "n")
 
 
@@ -516,29 +614,75 @@ def funnel_transposed(spark, sf_dir):
     return reports.transposed(f, f.columns)
 
 
-def lemma_sweep(spark, sf_dir):
-    """The sweep over lemmas: words that begin alike up to a final s are one."""
+def _lemma_swept(spark, sf_dir):
+    """The sweep over lemmas: words that are alike up to a final s are one."""
     p, rows = _base(spark, sf_dir)
-    _, own = _renames(spark)(rows)
     none = spark.createDataFrame([], "word string, new string")
-    renamed = lemmas.rename(rows, none, own).select("doc_id", "year", F.col("lemma").alias("word")).distinct()
+    renamed = lemmas.rename(rows, none, _renames(rows)[1]).select("doc_id", "year", F.col("lemma").alias("word")).distinct()
     y = _yearly(p, renamed).where("year = 2024").select("word", "freq")
     c = cutoffs.cutoff_table(spark, [0.02, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0])
-    return cutoffs.sweep(renamed, y, c, frequency.calendar(p, FIRST, LAST)).where("year >= 2018").select("cutoff", "year", "n", r("freq").alias("freq"))
+    return cutoffs.sweep(renamed, y, c, frequency.calendar(p, FIRST, LAST))
+
+
+def lemma_sweep(spark, sf_dir):
+    return _lemma_swept(spark, sf_dir).where("year >= 2018").select("cutoff", "year", "n", r("freq").alias("freq"))
+
+
+def lemma_usage(spark, sf_dir):
+    """Projection and usage of the sweep over lemmas, of cutoffs whose projection stays below 0.95."""
+    x = cutoffs.without_saturated(cutoffs.estimated(_lemma_swept(spark, sf_dir), ["cutoff", "step"], END, LENGTH), most=0.95)
+    return x.select("cutoff", "year", *[r(k).alias(k) for k in ("projection", "gap", "usage")])
+
+
+#: Addresses that the made articles end with, in turn: names, other spellings, codes, several words, none.
+ADDRESSES = [
+    "Dept. of Things, Seoul, South Korea.", "University of Berlin, Germany", "Moscow, Russia;", "Hanoi, Vietnam", "Dublin, Ireland", "Auckland, New Zealand", "Cape Town, South Africa",
+    "Vienna, Austria.", "Prague, Czech Republic", "Caracas, Venezuela", "Beijing, CHN", "London, UK", "somewhere in Boston", "Ankara, Turkey", "Nowhere, Atlantis",
+]
+
+
+def xml_articles(spark, sf_dir):
+    """Article files (path, content) made of the documents: metadata by doc_id, the lines as sections, of which each fourth document's second has no title."""
+    k = F.col("doc_id")
+    esc = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"[^\x{9}\x{A}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\r"), F.lit(""))
+    lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 3)
+    titles = F.array(*[F.lit(x) for x in ("Intro", "Methods", "Results")])
+    sec = F.transform(lines, lambda x, i: F.concat(F.lit("<sec>"), F.when((i == 1) & (k % 4 == 0), "").otherwise(F.concat(F.lit("<title>"), F.get(titles, i), F.lit("</title>"))), F.lit("<p>"), esc(x), F.lit("</p></sec>")))
+    address = F.get(F.array(*[F.lit(x) for x in ADDRESSES]), (k % len(ADDRESSES)).cast("int"))
+    body = F.concat(F.when(k % 3 == 0, "<p>Before.</p>").otherwise(""), F.array_join(sec, ""))
+    date = F.concat(F.lit("<year>"), (2000 + k % 26).cast("string"), F.lit("</year>"))
+    xml = F.concat(
+        F.lit('<article article-type="research-article" xml:lang="en"><front><journal-meta><journal-title-group><journal-title>'), F.coalesce("source", F.lit("none")),
+        F.lit('</journal-title></journal-title-group></journal-meta><article-meta><article-id pub-id-type="pmc">'), k.cast("string"), F.lit("</article-id>"),
+        F.when(k % 2 == 0, F.concat(F.lit('<article-id pub-id-type="pmid">'), (k + 7).cast("string"), F.lit("</article-id>"))).otherwise(""),
+        F.lit("<title-group><article-title>A <i>title</i> of "), k.cast("string"), F.lit("</article-title></title-group><contrib-group><aff>"), address, F.lit("</aff></contrib-group>"),
+        F.when(k % 5 == 0, F.concat(F.lit('<pub-date pub-type="ppub">'), date, F.lit("</pub-date>"))).otherwise(F.concat(F.lit('<pub-date pub-type="epub"><day>3</day><month>4</month>'), date, F.lit("</pub-date>"))),
+        F.lit('<abstract abstract-type="graphical">no</abstract><abstract>yes '), k.cast("string"), F.lit("</abstract></article-meta></front>"),
+        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("<body>"), body, F.lit("</body>"))), F.lit("</article>"),
+    )
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("PMC"), k.cast("string"), F.lit(".xml")).alias("path"), xml.cast("binary").alias("content"))
+
+
+def xml_records(spark, sf_dir):
+    """Records of the made articles: attributes, ids, title, country, date, abstract, sections."""
+    x = parse_articles(xml_articles(spark, sf_dir), country_table(spark))
+    chars = F.aggregate("sections", F.lit(0).cast("long"), lambda n, t: n + F.length(t))
+    return x.where("_corrupt is null").select(
+        F.col("pmc-id").cast("long").alias("doc_id"), F.col("article-type").alias("article_type"), "language", "journal", "pmid", "title", "country", "date", "abstract",
+        F.array_join("section_titles", "|").alias("titles"), chars.alias("section_chars"),
+    )
 
 
 NAMES = [
     "corpus_funnel", "funnel_discarded", "dedupe_latest", "language_inferred", "section_standardize", "section_set_filter", "section_length_quantiles",
     "melt_lengths", "date_normalize", "token_docfreq", "docfreq_floor", "papers_per_month", "mean_papers_per_month", "word_year_freq", "word_month_grid",
     "yearly_mean_freq", "lag_projection", "excess_words", "excess_count_per_year", "excess_distinct", "ratio_filter", "two_groups_year",
-    "two_groups_month", "ols_projection", "gap_ratio_usage", "word_projection", "month_projection", "last_usage", "standard_errors", "error_band",
-    "cutoff_lists", "cutoff_sweep", "sweep_filtered", "optimal_cutoff", "fixed_cutoff", "chosen_words", "neighbour_cutoffs", "marker_order", "marker_order_all",
+    "two_groups_month", "common_markers_freq", "ols_projection", "gap_ratio_usage", "word_projection", "month_projection", "last_usage", "standard_errors", "error_band",
+    "cutoff_lists", "cutoff_sweep", "sweep_filtered", "optimal_cutoff", "fixed_cutoff", "chosen_words", "neighbour_cutoffs", "marker_order", "usage_band", "low_frequency_month", "section_year_freq", "section_projection", "section_sweep",
+    "section_optimum", "subopt_lists", "lemma_usage", "journals_removed_often", "journal_names", "xml_records",
     "country_freq", "country_pivot", "country_compare", "region_freq", "discipline_label", "discipline_freq", "discipline_share", "journal_counts",
     "journal_other", "journal_share", "journals_removed", "journals_added", "journals_per_year", "null_share", "dup_ids", "lemma_sum", "lemma_union",
     "delemmatize", "layout_topk", "title_counts", "substring_probe", "crop_words", "sample_words", "html_titles", "simulated_recovery",
     "floor_year_mean", "aligned_counts", "funnel_transposed", "lemma_sweep",
 ]
 QUERIES = {name: globals()[name] for name in NAMES}
-#: Over every word that any paper has, as in the published procedure; the ones without _all are held to SQL over the marker words.
-EVERY_WORD = ["lag_projection", "yearly_mean_freq", "ratio_filter", "excess_words", "excess_count_per_year", "excess_distinct"]
-QUERIES |= {f"{name}_all": partial(globals()[name], every=True) for name in EVERY_WORD}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import standard_sections, tokens
+
 FIRST_YEAR, YEARS = 2000, 26
 TITLES = ["introduction", "methods", "results", "discussion"]
 
@@ -73,8 +77,65 @@ def baseline_packages(names: DataFrame, suffix: str = "tar.gz") -> DataFrame:
     return rows.withColumn("baseline_date", F.nullif(F.regexp_extract("name", r"\d{4}-\d{2}-\d{2}", 0), F.lit("")))
 
 
+def read_metadata(spark: SparkSession, path: str) -> dict:
+    """The parameters that write_metadata() kept."""
+    import json
+
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without, and gets one of its own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _stamp(spark: SparkSession, path: str) -> list[str]:
+    """Name, length and time of the files of a table: other files are other data."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(at))
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that all queries of a session share, kept in its shared folder as long as its driver runs."""
+    folder = f"{shared_folder(spark)}/corpus"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return compute_or_load(spark, folder, name, {t: _stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "nation", "region")}, make)
+
+
+def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers without their texts, with the distinct words of the abstract. Texts are split once, for all queries of a session."""
+
+    def make() -> DataFrame:
+        return papers(spark, sf_dir).select("doc_id", "year", "month", "article_type", "country", "region", "journal", tokens(F.col("abstract")).alias("words"))
+
+    return _kept(spark, sf_dir, "tokens", make)
+
+
+def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, year, month, section, words) of each section of each paper, and of all of them joined in their order, as `full`."""
+
+    def make() -> DataFrame:
+        p = papers(spark, sf_dir).withColumn("m", standard_sections(F.col("section_titles"), F.col("sections"))).where(F.size("m") > 0)
+        full = F.concat(*[F.coalesce(F.element_at("m", t), F.lit("")) for t in TITLES])
+        p = p.select("doc_id", "year", "month", F.explode(F.map_concat("m", F.create_map(F.lit("full"), full))).alias("section", "text"))
+        return p.select("doc_id", "year", "month", "section", tokens(F.col("text")).alias("words"))
+
+    return _kept(spark, sf_dir, "sections", make)
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as papers: dates, types, countries and section titles follow from doc_id, sections are the text's lines in turn.
+    Some papers have a title less than they have sections.
 
     doc_id, year, month, date, article_type, country, region, journal, language, abstract, section_titles, sections.
     """
@@ -82,6 +143,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     places = places.select(F.col("n_nationkey").cast("long").alias("_n"), F.col("n_name").alias("country"), F.col("r_name").alias("region"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    titles = F.transform(lines, lambda _, i: F.element_at(F.array(*[F.lit(x) for x in TITLES]), (i % 4 + 1).cast("int")))
     k = F.col("doc_id")
     out = docs.select(
         "doc_id",
@@ -91,7 +153,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("journal"),
         F.col("lang").alias("language"),
         F.col("text").alias("abstract"),
-        F.transform(lines, lambda _, i: F.element_at(F.array(*[F.lit(x) for x in TITLES]), (i % 4 + 1).cast("int"))).alias("section_titles"),
+        F.slice(titles, F.lit(1), F.size(lines) - F.when(k % 9 == 4, 1).otherwise(0)).alias("section_titles"),
         lines.alias("sections"),
         (k % 25).alias("_n"),
     )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.operators import cleaning, cutoffs, frequency, lemmas, reports, simulation
 from lexdrift.sources import corpus
-from lexdrift.sources.xml import country_at_end, parse_articles, read_articles
+from lexdrift.sources.xml import body_sections, country_at_end, country_table, parse_articles, read_articles
 
 
 def papers(spark):
@@ -117,7 +117,33 @@ def test_xml(spark, tmp_path):
     assert (r["article-type"], r["language"], r["journal"], r["pmc-id"], r["country"], r["date"], r["abstract"]) == ("research-article", "en", "J", "1", "Korea, Republic of", "1-2-2021", "yes")
     # the second of two equal titles replaces the first, which then isn't there and counts as the introduction
     assert r["section_titles"] == ["Methods", "Introduction"] and [s.split()[1] for s in r["sections"]] == ["n", "m"]
-    assert country_at_end("x, UK") == "United Kingdom of Great Britain and Northern Ireland" and country_at_end(None) is None
+
+
+def test_countries(spark):
+    table = country_table(spark)
+    cases = {
+        "x, UK": "United Kingdom of Great Britain and Northern Ireland", "Moscow, Russia": "Russian Federation", "Hanoi, Vietnam": "Viet Nam", "Dublin, Ireland": "Ireland",
+        "Auckland, New Zealand.": "New Zealand", "Cape Town, South Africa": "South Africa", "Graz, Austria;": "Austria", "Brno, Czech Republic": "Czechia", "Sarajevo, Bosnia and Herzegovina": "Bosnia and Herzegovina",
+        "Caracas, Venezuela": "Venezuela, Bolivarian Republic of", "Beijing CHN": "China", "germany": "Germany", "Nowhere": None, "": None, "Seoul, South Korea.": "Korea, Republic of",
+    }
+    assert {a: country_at_end(a, table) for a in cases} == cases and country_at_end(None, table) is None
+    two = {"GUINEA": "Guinea", "NEW GUINEA": "New Guinea"}
+    assert country_at_end("Papua New Guinea", two) == "Guinea" and country_at_end("Papua New Guinea", two, longest=True) == "New Guinea"
+
+
+def test_sections_of_a_body():
+    import xml.etree.ElementTree as ET
+
+    def sections(body):
+        return body_sections(ET.fromstring(f"<article>{body}</article>").find("body"))
+
+    assert sections("") == {} and sections("<body/>") == {}
+    assert sections("<body><p>a</p><p>b</p></body>") == {"Introduction": "ab"}
+    assert sections("<body><p>a</p><sec><title>T</title><p>x</p></sec><p>z</p></body>") == {"T": "T x", "Introduction": "a"}
+    assert sections("<body><p>a</p><sec><p>x</p></sec><sec><title>T</title></sec></body>") == {"T": "T", "Introduction": "x"}
+    assert sections("<body><p>a</p><sec><title>T</title></sec><sec><p>x</p></sec></body>") == {"T": "T"}
+    assert sections("<body><sec><title>Introduction</title>old</sec><p>a</p></body>") == {"Introduction": "Introduction old"}
+    assert sections("<body>lost<sec><p>x</p></sec></body>") == {}
 
 
 def test_sinks(spark, small, tmp_path):
@@ -133,7 +159,7 @@ def test_sinks(spark, small, tmp_path):
         corpus.compute_or_load(spark, str(tmp_path), "x", {"a": 1}, lambda: calls.append(1) or report)
     assert calls == [1]
     corpus.write_metadata(spark, str(tmp_path / "m"), sections=["a"], most=3)
-    assert spark.read.text(str(tmp_path / "m")).first()[0] == '{"most": 3, "sections": ["a"]}'
+    assert corpus.read_metadata(spark, str(tmp_path / "m")) == {"most": 3, "sections": ["a"]}
 
 
 @pytest.mark.parametrize("time", [None, "seen"])
@@ -161,3 +187,79 @@ def test_overlay_and_alignment(spark):
     assert {tuple(r) for r in frequency.aligned(a, b, ["word"], "n").collect()} == {("apple", 1, 2), ("berry", 3, 0), ("peach", 0, 3)}
     wide = reports.transposed(spark.createDataFrame([("x", 1, 2), ("y", 3, 4)], "k string, p int, q int"), ["p", "q"], "k", ["x", "y"])
     assert {tuple(r) for r in wide.collect()} == {("p", 1, 3), ("q", 2, 4)}
+
+
+def test_draws_by_brute_force(spark):
+    """A crop is a run of the text's words and a sample some of its words in any order, each drawn anew by key and the same in reruns."""
+    from collections import Counter
+
+    from lexdrift.functions.text import crop, sample
+
+    texts = [" ".join(f"w{k % 7}" for k in range(n)) for n in (0, 3, 9, 10, 11, 40, 200)] + ["  a\tb \n c  " + "d " * 30]
+    df = spark.createDataFrame([(k, t) for k in range(20) for t in texts], "k long, t string")
+    drawn = df.select("t", "k", crop(F.col("t"), 10, F.col("k")).alias("c"), sample(F.col("t"), 10, F.col("k")).alias("s"))
+    rows = drawn.collect()
+    for r in rows:
+        w = r.t.split()
+        if len(w) <= 10:
+            assert r.c == r.s == r.t
+            continue
+        assert r.c.split() in [w[k : k + 10] for k in range(len(w) - 9)]
+        assert len(r.s.split()) == 10 and not Counter(r.s.split()) - Counter(w)
+    long = [r for r in rows if len(r.t.split()) == 200]
+    assert len({r.s for r in long}) > 10 and len({r.c for r in long}) > 3
+    assert sorted(rows, key=str) == sorted(drawn.collect(), key=str)
+
+
+def test_means_without_a_grid(spark, small):
+    p = corpus.tokenised(spark, small)
+    rows = frequency.postings(p).where("word like 'th%'")
+    months = frequency.calendar(p, 2000, 2025, monthly=True)
+    dense = frequency.yearly_mean(frequency.grid(frequency.word_counts(rows, "year", "month"), ["word"], months, ("year", "month")), "word").where("year >= 2010")
+    sparse = frequency.mean_of_months(rows, months, "word", 2010, 2025)
+    both = dense.join(sparse.withColumnRenamed("mean_freq", "other"), ["word", "year"], "full").collect()
+    assert len(both) > 100 and all(abs(r.mean_freq - r.other) < 1e-12 for r in both)
+
+
+def test_groups_by_the_papers_own_words(spark, small):
+    p = corpus.tokenised(spark, small)
+    words = [r.word for r in frequency.document_frequency(frequency.postings(p)).orderBy(F.desc("doc_freq"), "word").limit(9).collect()]
+    groups = {"a": words[:3], "b": words[2:], "none": []}
+    got = {(r.grp, r.year): r.n for r in frequency.group_frequency(p, groups, frequency.calendar(p, 2000, 2025), "year").collect()}
+    own = p.select("year", "words").collect()
+    assert got == {(g, y): sum(r.year == y and not set(w).isdisjoint(r.words) for r in own) for g, w in groups.items() for y in range(2000, 2026)}
+
+
+def test_partial_months_names_and_order(spark):
+    df = spark.createDataFrame([(2024, 1), (2024, 12), (2025, 9), (2025, 12)], "year int, month int")
+    assert [tuple(r) for r in frequency.without_partial(df, 2024 * 12 + 1, 2025 * 12 + 9).collect()] == [(2024, 12), (2025, 9)]
+    names = spark.createDataFrame([("J. of X",), ("Y",), (None,)], "j string").select(reports.remapped(F.col("j"), {"J. of X": "Journal of X"}))
+    assert [r[0] for r in names.collect()] == ["Journal of X", "Y", None]
+    s = spark.createDataFrame([("methods",), ("other",)], "s string").select(reports.section_order(F.col("s"), ["introduction", "methods"]))
+    assert [r[0] for r in s.collect()] == [2, 3]
+
+
+def test_fixed_lemmas_come_first(spark):
+    df = spark.createDataFrame([("chatbots",), ("coronaviruses",), ("showcasing",), ("cats",), ("dog",)], "word string")
+    rule = F.when(F.col("word").endswith("s"), F.expr("substring(word, 1, length(word) - 1)"))
+    assert {tuple(r) for r in lemmas.lemma_table(df, rule).collect()} == {("chatbots", "chatbot"), ("coronaviruses", "coronavirus"), ("showcasing", "showcase"), ("cats", "cat")}
+
+
+def test_lists_of_the_best_and_the_next(spark):
+    best = spark.createDataFrame([("a", 2), ("b", 0)], "section string, step int")
+    lists = spark.createDataFrame([("a", s, s / 10, f"w{s}") for s in range(4)] + [("b", 0, 0.0, "x")], "section string, step int, cutoff double, word string")
+    got = {(r.section, r.kind, r.word) for r in cutoffs.chosen_lists(best, lists, ("section",)).collect()}
+    assert got == {("a", "opt", "w2"), ("a", "subopt", "w1"), ("a", "subsubopt", "w0"), ("b", "opt", "x")}
+
+
+def test_languages_of_long_texts(spark):
+    df = spark.createDataFrame([(None, "zzz", "der Hund und die Katze"), (None, None, None)], "language string, abstract string, full string")
+    assert [r.language for r in cleaning.infer_language(df, long="full").collect()] == ["de", None]
+
+
+def test_usage_next_to_one(spark):
+    from lexdrift.functions import estimate
+
+    df = spark.createDataFrame([(0.5, 1.0), (0.5, 1 - 1e-12), (0.9999, 0.9995), (0.5, 1.2)], "q double, p double")
+    got = [r[0] for r in df.select(estimate.usage(F.col("q"), F.col("p"))).collect()]
+    assert got[:2] == [None, None] and abs(got[2] - 0.8) < 1e-9 and abs(got[3] - 3.5) < 1e-9

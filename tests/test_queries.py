@@ -40,3 +40,31 @@ def test_query(spark, duck, small, name):
 def test_entry(spark):
     assert driver.entry(spark).limit(1).count() == 1
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+HEADLINE = ["word_year_freq", "token_docfreq", "two_groups_month", "ols_projection", "excess_words", "cutoff_sweep", "optimal_cutoff", "country_freq", "lemma_sum"]
+
+
+@pytest.mark.parametrize("name", HEADLINE)
+def test_texts_are_not_read_again(spark, small, name):
+    """Headline queries read the kept words of the papers, never the documents, and don't split texts."""
+    df = QUERIES[name](spark, small)
+    files = df.inputFiles()
+    assert files and all("/corpus/tokens-" in f for f in files)
+    assert "regexp" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entry_without_a_dependency(monkeypatch):
+    """Without a library that the subpackage builds on, or without the pipeline, the other queries are there."""
+    import importlib
+    import sys
+
+    llm = pytest.importorskip("lexdrift.llm.registry")
+    monkeypatch.setattr(llm, "missing", lambda: ["xxhash"])
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    try:
+        alone = importlib.reload(driver)
+        assert set(alone.queries()) == set(QUERIES) and set(alone.oracle_sql()) == set(ORACLES)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(driver)
