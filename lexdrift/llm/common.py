@@ -39,6 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Intermediate tables that this driver has written and not dropped yet.
+_written: list[str] = []
+
+
+def written_tables() -> int:
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the intermediate tables written from the since-th on, but for the last `keep`."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    gone = _written[since : max(since, len(_written) - keep)]
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+    _written[since : since + len(gone)] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: its lineage ends there, and lost executors lose nothing of it."""
     spark = df.sparkSession
@@ -47,6 +65,7 @@ def materialise(df: DataFrame) -> DataFrame:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(at)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,10 +10,10 @@ rest, whose means that keeps: a source ends off its target by less than 1/BIG of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table
+from .common import WORD, materialise, packed, table, unpacked
 
 #: Fixed by the contract.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
@@ -28,22 +28,43 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranged(rows: DataFrame, *order: Column) -> tuple[DataFrame, WindowSpec]:
+    """The rows dealt into ranges of an order, with the number of the range (part), and a window over each range in that order."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    return materialise(dealt), Window.partitionBy("part").orderBy(*order)
+
+
+def _with_before(rows: DataFrame, **sums: Column) -> DataFrame:
+    """Ranged rows with, for each name, the sum over all ranges before the row's: what has to be ordered is one row for each range."""
+    parts = rows.groupBy("part").agg(*[F.sum(x).alias(name) for name, x in sums.items()])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in sums])
+    return rows.join(F.broadcast(parts), "part")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """source, source_size, n, target from rows (source, size). Sources by code point, null last, get the weights in turn.
 
     Targets are min(cap * size, level * weight) with the level at which they sum to the share of all words; that is where giving the
-    excess over the caps to the others by weight ends. One row per source is ordered, after aggregation.
+    excess over the caps to the others by weight ends. Sources are ranked by ranges, however many there are.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int")))
-    s = s.withColumn("cap", F.col("source_size") * float(cap))
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("w").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(whole) * share - before) / left)
-    s = s.withColumn("water", F.max(F.when(F.col("cap") / F.col("w") > F.col("level"), F.col("level"))).over(whole))
+    s, own = _ranged(s, F.col("source").asc_nulls_last())
+    s = _with_before(s, first=F.lit(1))
+    rank = F.col("first") + F.row_number().over(own) - 1
+    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int")))
+    s = s.withColumn("cap", F.col("source_size") * float(cap)).drop("part", "first")
+    s, own = _ranged(s.withColumn("ratio", F.col("cap") / F.col("w")), F.col("ratio"), F.col("source").asc_nulls_last())
+    s = _with_before(s, caps=F.col("cap"), ws=F.col("w"))
+    ahead = own.rowsBetween(Window.unboundedPreceding, -1)
+    all_ = s.agg(F.sum("source_size").alias("words"), F.sum("w").alias("weight"))
+    s = s.crossJoin(F.broadcast(all_))
+    before = F.col("caps") + F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))
+    left = F.col("weight") - F.col("ws") - F.coalesce(F.sum("w").over(ahead), F.lit(0.0))
+    s = s.withColumn("level", (F.col("words") * share - before) / left)
+    water = s.agg(F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).alias("water"))
+    s = s.crossJoin(F.broadcast(water))
     return s.select("source", "source_size", "n", F.least("cap", F.coalesce(F.col("water") * F.col("w"), F.col("cap"))).alias("target"))
 
 
@@ -52,13 +73,13 @@ def _uniform(*keys: Column) -> Column:
 
 
 def _fold(units: Column) -> Column:
-    """Sequential pivotal rounding over an array of units (u, h, doc_id, size, p, r): each comes back, all but the last integral."""
+    """Sequential pivotal rounding over an array of units (h, doc_id, size, k, p, r): each comes back, all but the last integral."""
 
     def step(acc: Column, x: Column) -> Column:
         cur = acc["cur"]
 
         def unit(of: Column, p: Column) -> Column:
-            return F.struct(*[of[k].alias(k) for k in ("h", "doc_id", "size")], p.cast("double").alias("p"), of["r"].alias("r"))
+            return F.struct(*[of[k].alias(k) for k in ("h", "doc_id", "size", "k")], p.cast("double").alias("p"), of["r"].alias("r"))
 
         up = F.least(cur["size"] * (1 - cur["p"]), x["size"] * x["p"])  # words that may go from x to cur
         down = F.least(cur["size"] * cur["p"], x["size"] * (1 - x["p"]))
@@ -81,23 +102,35 @@ def _fold(units: Column) -> Column:
     return F.aggregate(F.slice(units, F.lit(2), F.size(units)), start, step, lambda acc: F.concat(acc["out"], F.array(acc["cur"])))
 
 
+#: Equal rows that are numbered at a time.
+EQUAL = 10_000
+
+
+def _numbered(units: DataFrame) -> DataFrame:
+    """The rows with a number k that tells equal ones apart, so that many of them don't share a group; they are counted before that."""
+    rows = units.groupBy("source", "doc_id", "size", "p", "n").agg(F.count(F.lit(1)).alias("m"))
+    rows = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(EQUAL).cast("long"))))
+    return rows.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + EQUAL, "m") - 1))).drop("m", "from")
+
+
 def rounded(units: DataFrame, largest: int, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """source, doc_id, size, chosen from rows (source, doc_id, size > 0, p in (0, 1), n); largest: the largest n of a source."""
     done = []
     level, groups = 0, -(-largest // group)
-    at = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("n") / group))
-    rows = units.select("source", "doc_id", "size", "p", at.cast("long").alias("g"))
+    at = F.pmod(F.xxhash64("doc_id", "size", "k", F.lit(seed)), F.ceil(F.col("n") / group))
+    rows = _numbered(units).select("source", "doc_id", "size", "k", "p", at.cast("long").alias("g"))
     while True:
-        unit = F.struct(F.xxhash64("doc_id", "size", F.lit(seed + 1 + level)).alias("h"), "doc_id", "size", "p", _uniform(F.col("doc_id"), F.col("size"), F.lit(seed + 101 + level)).alias("r"))
+        drawn = _uniform(F.col("doc_id"), F.col("size"), F.col("k"), F.lit(seed + 101 + level))
+        unit = F.struct(F.xxhash64("doc_id", "size", "k", F.lit(seed + 1 + level)).alias("h"), "doc_id", "size", "k", "p", drawn.alias("r"))
         folded = rows.groupBy("source", "g").agg(F.sort_array(F.collect_list(unit)).alias("u")).select("source", "g", F.explode(_fold(F.col("u"))).alias("x"))
-        folded = materialise(folded.select("source", "g", "x.doc_id", "x.size", "x.p"))
+        folded = materialise(folded.select("source", "g", "x.doc_id", "x.size", "x.k", "x.p"))
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(folded.where(~open_).select("source", "doc_id", "size", (F.col("p") >= 1).alias("chosen")))
         rows = folded.where(open_).withColumn("g", F.floor(F.col("g") / group))
         if groups <= 1:
             break
         level, groups = level + 1, -(-groups // group)
-    done.append(rows.select("source", "doc_id", "size", (_uniform(F.col("doc_id"), F.lit(seed + 999)) < F.col("p")).alias("chosen")))
+    done.append(rows.select("source", "doc_id", "size", (_uniform(F.col("doc_id"), F.col("k"), F.lit(seed + 999)) < F.col("p")).alias("chosen")))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -133,17 +166,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it, with their columns."""
-    names = docs.columns
-    low = F.lit(-(1 << 63))
-    unit = F.struct("source", "size", "copies")
-    plan = mix(docs, **options).groupBy(F.coalesce("doc_id", low).alias("_id")).agg(F.sort_array(F.collect_list(unit)).alias("_units"))
-    plan = plan.where(F.exists("_units", lambda u: u["copies"] > 0))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", low)).withColumn("_size", word_count(F.col("text"))).join(plan, "_id")
-    # of rows with equal ids, the k-th by source and size is the k-th unit
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(F.col("source").cast("string"), "_size", "text")))
-    rows = rows.withColumn("_copies", F.element_at("_units", F.col("_k"))["copies"].cast("int")).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    """The documents themselves, each as many times as the mix takes it, with their columns, which may have any names.
+
+    Rows with equal id, source and size are alike to the mix: of c copies that m such rows have, each gets c / m, and the first by a hash of the
+    text one more where that isn't whole.
+    """
+    key = ["doc_id", "source", "size"]
+    plan = mix(docs, **options).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("m")).where("copies > 0")
+    plan = plan.select(*[F.col(c).alias(f"plan_{c}") for c in key], "copies", "m")
+    rows = packed(docs, "doc_id", "text").withColumn("size", word_count(F.col("text"))).withColumn("own_source", F.col("rest")["source"].cast("string"))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("doc_id", "plan_doc_id"), ("own_source", "plan_source"), ("size", "plan_size"))]
+    rows = rows.join(plan, same[0] & same[1] & same[2])
+    # only equal rows have to be told apart; one by itself, as nearly all are, gets its copies without a place
+    place = F.row_number().over(Window.partitionBy("doc_id", "own_source", "size").orderBy(F.xxhash64("text"))) - 1
+    own = F.when(F.col("m") == 1, F.col("copies")).otherwise(F.floor(F.col("copies") / F.col("m")) + F.when(place < F.col("copies") % F.col("m"), 1).otherwise(0))
+    rows = rows.withColumn("own", own.cast("int")).where("own > 0")
+    rows = rows.select("doc_id", "text", "rest", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("copy"))
+    return unpacked(rows, docs.columns, "doc_id", "text").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

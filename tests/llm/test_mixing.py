@@ -76,3 +76,26 @@ def test_apply(spark):
         found[r.doc_id] = found.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
     assert found == {k: v for k, v in expected.items() if v}
     assert mixing.mix(empty(spark)).count() == 0 and mixing.apply(empty(spark)).count() == 0
+
+
+def test_repeated_rows_are_units_of_their_own(spark):
+    """Many equal rows are dealt over groups, and the mix takes some of them."""
+    rows = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    docs = rows.unionByName(spark.createDataFrame([(k, f"word {k}", "b") for k in range(300)], "doc_id long, text string, source string"))
+    got = mixing.mix(docs).groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.source: r.n for r in got} == {"a": 30_000, "b": 300}
+    assert all(abs(r.taken - r.target) <= 6 for r in got)
+    assert mixing.apply(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).orderBy("source").collect() == sorted((r.source, r.taken) for r in got)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k:04}": k % 97 + 1 for k in range(700)} | {None: 40}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+    exp = water(sizes)
+    assert len(got) == 701 and all(r.target == pytest.approx(exp[r.source]) for r in got)
+
+
+def test_other_columns_keep_their_names(spark):
+    docs = documents(spark, 45).select("doc_id", "text", "source", *[F.lit("mine").alias(c) for c in ("_id", "_size", "_k", "_copy", "size", "copies", "m", "rest", "own_source", "n")])
+    got = mixing.apply(docs)
+    assert got.columns == docs.columns and got.count() > 0 and got.select("_id", "_size", "_k", "_copy", "size", "copies", "m", "rest", "own_source", "n").distinct().count() == 1
