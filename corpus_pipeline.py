@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexdrift.llm import jaccard, lines, mixing, pieces, quality
-from lexdrift.llm.common import fold, materialise, table
+from lexdrift.llm.common import drop_tables, fold, materialise, packed, table, unpacked, written_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of alike lines, one stays in one document. Documents stay, with n_chars of the text that is left."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # kept apart from the columns that the operator adds
-    out = lines.deduplicate(docs.select("doc_id", "text", F.struct(*rest).alias("_rest")) if rest else docs)
+    out = unpacked(lines.deduplicate(packed(docs, "doc_id", "text")), docs.columns, "doc_id", "text")  # whatever the other columns are called
     length = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
-    return out.select(*[F.col(c) if c in ("doc_id", "text") else length.alias(c) if c == "n_chars" else F.col("_rest")[c].alias(c) for c in docs.columns])
+    return out.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; a stage's own tables go when its result is written."""
+    before = written_tables()
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs)
+            drop_tables(spark, before)
     return docs
