@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bitmap, bitmap_slots, chunks, flat, map_arrow, map_batches, materialise, packed, parts, small_batches, table, unpacked
@@ -468,15 +468,14 @@ def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, row
         return pa.array([class_key(s) for _, sets in _sets(pa.RecordBatch.from_arrays([text], names=["text"]), words) for s in sets], pa.int64())
 
     small_batches(docs.sparkSession)
-    kept = packed(docs, "doc_id", "text").withColumn("key", key("text")).withColumn("part", F.spark_partition_id())
+    kept = packed(docs, "doc_id", "text").withColumn("key", key("text"))
     bare = F.col("key") == class_key(np.zeros(0, np.uint64))
     kept = kept.join(chosen, (F.col("key") == F.col("class")) & F.col("doc_id").eqNullSafe(F.col("doc")), "left")
     kept = kept.where(F.col("class").isNotNull() | bare)
-    # rows without words and id are told apart by a number of their own; a part's equal rows go first, so that many of them don't meet in one task
+    # rows without words and id are told apart by a number of their own; equal rows are thinned before the shuffle, so that many of them don't meet in one task
     kept = kept.withColumn("row", F.when(bare & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    for by in (["key", "doc_id", "row", "part"], ["key", "doc_id", "row"]):
-        first = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("text").desc_nulls_last()))
-        kept = kept.withColumn("k", first).where(F.col("k") == 1).drop("k")
+    whole, order = F.struct("doc_id", "text", "rest"), F.struct(F.col("text").isNotNull().alias("some"), F.col("text"))
+    kept = kept.groupBy("key", F.col("doc_id").alias("id"), "row").agg(F.max_by(whole, order).alias("x")).select("x.*")
     return unpacked(kept, docs.columns, "doc_id", "text").select(*docs.columns)
 
 

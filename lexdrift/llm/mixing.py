@@ -171,14 +171,17 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     Rows with equal id, source and size are alike to the mix: of c copies that m such rows have, each gets c / m, and the first by a hash of the
     text one more where that isn't whole.
     """
-    key = ["doc_id", "source", "size"]
-    plan = mix(docs, **options).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("m")).where("copies > 0")
-    plan = plan.select(*[F.col(c).alias(f"plan_{c}") for c in key], "copies", "m")
-    rows = packed(docs, "doc_id", "text").withColumn("size", word_count(F.col("text"))).withColumn("own_source", F.col("rest")["source"].cast("string"))
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("doc_id", "plan_doc_id"), ("own_source", "plan_source"), ("size", "plan_size"))]
-    rows = rows.join(plan, same[0] & same[1] & same[2])
+
+    def keyed(rows: DataFrame, source: Column) -> DataFrame:
+        """The rows with a key without nulls, by which the join and the places below share one shuffle."""
+        parts = {"key_id": F.coalesce("doc_id", F.lit(0).cast("long")), "key_none": F.col("doc_id").isNull(), "key_source": F.coalesce(source, F.lit("")), "key_bare": source.isNull()}
+        return rows.withColumns(parts)
+
+    key = ["key_id", "key_none", "key_source", "key_bare", "size"]
+    plan = keyed(mix(docs, **options), F.col("source")).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("m")).where("copies > 0")
+    rows = keyed(packed(docs, "doc_id", "text").withColumn("size", word_count(F.col("text"))), F.col("rest")["source"].cast("string")).join(plan, key)
     # only equal rows have to be told apart; one by itself, as nearly all are, gets its copies without a place
-    place = F.row_number().over(Window.partitionBy("doc_id", "own_source", "size").orderBy(F.xxhash64("text"))) - 1
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))) - 1
     own = F.when(F.col("m") == 1, F.col("copies")).otherwise(F.floor(F.col("copies") / F.col("m")) + F.when(place < F.col("copies") % F.col("m"), 1).otherwise(0))
     rows = rows.withColumn("own", own.cast("int")).where("own > 0")
     rows = rows.select("doc_id", "text", "rest", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("copy"))
