@@ -41,7 +41,7 @@ CELLS, BLOCK = 1 << 22, 1 << 12
 BUCKET_BYTES = 24 << 20
 #: Documents and shingles of a region that is joined within a task, and of a block of a larger one; documents that a task compares with pivots.
 REGION_ROWS, REGION_ITEMS, BLOCK_ROWS, BLOCK_ITEMS, DEALT = 256, 1 << 18, 512, 1 << 19, 512
-PIVOTS = 8
+PIVOTS = 16
 
 
 def _sets(batch: pa.RecordBatch, words: int, limit: int = 1 << 20):
@@ -309,10 +309,12 @@ def _pivoted(regions: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Da
     around = around.join(parts_, ["region", "pivot"]).where(~F.col("own_part").eqNullSafe(F.col("part")))
     around = materialise(around.select("region", "pivot", "part", "class", "d"))
     least = around.groupBy("region", "pivot").agg(F.min("d").alias("least"))
-    inner = named.where(F.size("linked") > 0).join(least.withColumnRenamed("pivot", "home"), ["region", "home"]).where(F.col("d") >= F.col("least") - e - 1e-9)
-    inner = inner.select(F.xxhash64("region", "own_part").alias("cell"), F.lit(2).alias("side"), "class", "n", "own")
-    outer = around.select("region", "part", "class").distinct().join(marked.select("region", "class", "n", "own"), ["region", "class"])
-    outer = outer.select(F.xxhash64("region", "part").alias("cell"), F.lit(1).alias("side"), "class", "n", "own")
+    # a pivot itself has been compared with all
+    inner = named.where((F.size("linked") > 0) & (F.col("class") != F.col("home"))).join(least.withColumnRenamed("pivot", "home"), ["region", "home"])
+    inner = inner.where(F.col("d") >= F.col("least") - e - 1e-9)
+    inner = materialise(inner.select(F.xxhash64("region", "own_part").alias("cell"), F.lit(2).alias("side"), "class", "n", "own"))
+    outer = around.select("region", F.xxhash64("region", "part").alias("cell"), "class").distinct().join(inner.select("cell").distinct(), "cell", "left_semi")
+    outer = outer.join(marked.select("region", "class", "n", "own"), ["region", "class"]).select("cell", F.lit(1).alias("side"), "class", "n", "own")
     further = marked.where(F.size("linked") == 0).select("region", "class", "n", "own")
     return links, inner.unionByName(outer), further
 
