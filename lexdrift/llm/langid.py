@@ -158,9 +158,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGU
     model = Model(languages, index, idf, np.zeros((0, len(kept)), np.float32), np.zeros(0, int), np.zeros(0))
     most = max(CENTROIDS, min(per_language, sample // len(languages)))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 11).cast("double") / float(1 << 53)
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count(F.lit(1))).alias("share"))
+    shares = F.create_map(*[F.lit(x) for lang, m in counts.items() for x in (lang, min(1.0, most / m))])
     # thinned by hash to about `most` texts a language; the limit makes the bound exact, and equal ids are told apart by their texts
-    chosen = rows.join(share, "lang").where(u < F.col("share")).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id", F.xxhash64("text")).limit(max(sample, most * len(languages)))
+    chosen = rows.where(u < F.element_at(shares, F.col("lang"))).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id", F.xxhash64("text")).limit(max(sample, most * len(languages)))
 
     def vectors(batch):
         for part in parts(batch, limit=CHUNK):
