@@ -159,16 +159,19 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGU
     most = max(CENTROIDS, min(per_language, sample // len(languages)))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 11).cast("double") / float(1 << 53)
     shares = F.create_map(*[F.lit(x) for lang, m in counts.items() for x in (lang, min(1.0, most / m))])
-    # thinned by hash to about `most` texts a language; the limit makes the bound exact, and equal ids are told apart by their texts
-    chosen = rows.where(u < F.element_at(shares, F.col("lang"))).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id", F.xxhash64("text")).limit(max(sample, most * len(languages)))
+    # thinned by hash to about `most` texts a language; texts become counts, of bounded size, where they are read. The limit makes the bound
+    # exact, and equal ids are told apart by their texts
+    keys = (F.xxhash64("doc_id", F.lit(2)).alias("draw"), "doc_id", F.xxhash64("text").alias("digest"))
+    thinned = rows.where(u < F.element_at(shares, F.col("lang"))).select(*keys, "lang", "text")
 
     def vectors(batch):
         for part in parts(batch, limit=CHUNK):
             c = model.counts(*flat(part["text"]))
             at = [np.flatnonzero(x) for x in c]
-            yield {"lang": part["lang"], "at": [x.astype(np.int32).tobytes() for x in at], "counts": [x[k].tobytes() for x, k in zip(c, at, strict=True)]}
+            yield {**{k: part[k] for k in ("draw", "doc_id", "digest", "lang")}, "at": [x.astype(np.int32).tobytes() for x in at], "counts": [x[k].tobytes() for x, k in zip(c, at, strict=True)]}
 
-    got = map_arrow(chosen.select("lang", "text"), vectors, "lang string, at binary, counts binary").toArrow()
+    drawn = map_arrow(thinned, vectors, f"draw long, doc_id {dict(rows.dtypes)['doc_id']}, digest long, lang string, at binary, counts binary")
+    got = drawn.orderBy("draw", "doc_id", "digest").limit(max(sample, most * len(languages))).select("lang", "at", "counts").toArrow()
     x = np.zeros((len(got), len(kept)), np.float32)
     for k, (at, c) in enumerate(zip(got["at"].to_pylist(), got["counts"].to_pylist(), strict=True)):
         row = np.zeros((1, len(kept)), np.int64)
