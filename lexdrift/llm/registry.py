@@ -17,6 +17,9 @@ MODULES = {
     "op8_metric_jaccard": "jaccard",
     "op9_minhash_lines": "lines",
     "op10_pivotal_mixing": "mixing",
+    "op11_tiled_simhash": "simhash",
+    "op12_filter_lattice": "audit",
+    "op13_elkan_clusters": "kmeans",
 }
 
 
