@@ -180,6 +180,39 @@ LEMMAS = {
     "showcasing": "showcase",
 }
 
+# Endings of inflected verbs and nouns, and what stands for each in the base form (the published rules of suffix detachment).
+DETACHED = {
+    "verb": [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")],
+    "noun": [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")],
+}
+# a doubled consonant before an ending is a single one in the base form
+DETACHED["verb"] += [(c + c + ending, c) for c in "bdgmnprt" for ending in ("ed", "ing")]
+
+# Irregular forms that endings don't lead back from.
+IRREGULAR = {
+    "arisen": "arise", "arose": "arise", "became": "become", "been": "be", "began": "begin", "begun": "begin", "broke": "break", "broken": "break",
+    "brought": "bring", "built": "build", "came": "come", "chose": "choose", "chosen": "choose", "dealt": "deal", "done": "do", "drawn": "draw", "drew": "draw",
+    "driven": "drive", "drove": "drive", "fallen": "fall", "fell": "fall", "felt": "feel", "found": "find", "gave": "give", "given": "give", "gone": "go",
+    "grew": "grow", "grown": "grow", "heard": "hear", "held": "hold", "kept": "keep", "knew": "know", "known": "know", "lost": "lose", "made": "make",
+    "meant": "mean", "paid": "pay", "risen": "rise", "said": "say", "seen": "see", "sent": "send", "shown": "show", "sought": "seek", "spent": "spend",
+    "stood": "stand", "taken": "take", "taught": "teach", "thought": "think", "took": "take", "undergone": "undergo", "understood": "understand",
+    "underwent": "undergo", "went": "go", "were": "be", "written": "write", "wrote": "write",
+    "children": "child", "criteria": "criterion", "feet": "foot", "hypotheses": "hypothesis", "indices": "index", "lives": "life", "matrices": "matrix",
+    "mice": "mouse", "people": "person", "phenomena": "phenomenon", "teeth": "tooth", "vertices": "vertex",
+}
+
+# Families of British spellings, and the American ones. Stems are long enough not to take in words such as four or filling.
+SPELLINGS = [
+    (r"^([a-z]{2,})our(|s|ed|ing|al|able|ful|less|ite|ites|ist|ists|ally)$", r"\1or\2"),
+    (r"^([a-z]{2,})is(e|es|ed|ing|er|ers|ation|ations|able)$", r"\1iz\2"),
+    (r"^([a-z]{2,})ys(e|es|ed|ing|er|ers)$", r"\1yz\2"),
+    (r"^([a-z]+[bt])re(|s|d)$", r"\1er\2"),
+    (r"^([a-z]{2,})ogue(|s|d)$", r"\1og\2"),
+    (r"^([a-z]*)(?:ae|oe)([a-z]{3,})$", r"\1e\2"),
+    (r"^([a-z]*[aeiou][a-z]*[^aeiou][aeiou])ll(ed|ing|er|ers|ation)$", r"\1l\2"),
+    (r"^([a-z]{2,})ence(|s)$", r"\1ense\2"),
+]
+
 # The cutoffs of the sweep.
 CUTOFFS = [0.0002, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0]
 

@@ -49,9 +49,12 @@ def stages(language: str = "en", first: int = 2000, last: int = 2025) -> list[tu
 
 
 def funnel(papers: DataFrame, by: str | None = None, steps: list[tuple[str, Column]] | None = None) -> DataFrame:
-    """Papers left after each stage, of all or of each group, in one pass."""
+    """Papers left after each stage, of all or of each group, in one pass. Where languages were inferred (language_by), it counts those that couldn't be told
+    among the papers that came to that stage."""
     counts, left = [F.count(F.lit(1)).alias("before_prep")], F.lit(True)
     for name, keep in steps or stages():
+        if name == "language" and "language_by" in papers.columns:
+            counts.append(F.count_if(left & (F.col("language_by") == "failed")).alias("language_failures"))
         left = left & F.coalesce(keep, F.lit(False))
         counts.append(F.count_if(left).alias(f"after_{name}"))
     return papers.groupBy(by).agg(*counts) if by else papers.agg(*counts)

@@ -49,13 +49,16 @@ def without_saturated(rows: DataFrame, key: str = "step", most: float = 0.999, b
     return rows.withColumn("_top", F.max("projection").over(Window.partitionBy(key, *by))).where(F.col("_top") < most).drop("_top")
 
 
+def prefix(rows: DataFrame, most_se: float | Column = 0.025, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per year the cutoffs before the first whose error exceeds most_se."""
+    first_bad = F.min(F.when(F.col("se") > most_se, F.col("step"))).over(Window.partitionBy("year", *by))
+    return rows.withColumn("_bad", first_bad).where(F.col("_bad").isNull() | (F.col("step") < F.col("_bad"))).drop("_bad")
+
+
 def optimum(rows: DataFrame, most_se: float | Column = 0.025, by: tuple[str, ...] = ()) -> DataFrame:
     """Per year the cutoff with the greatest usage, the lowest of those equal to nine decimals, among those before the first whose error exceeds most_se."""
-    year = Window.partitionBy("year", *by)
-    first_bad = F.min(F.when(F.col("se") > most_se, F.col("step"))).over(year)
-    prefix = rows.withColumn("_bad", first_bad).where(F.col("_bad").isNull() | (F.col("step") < F.col("_bad")))
-    rank = F.row_number().over(year.orderBy(F.round("usage", 9).desc(), F.asc("step")))
-    return prefix.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_bad")
+    rank = F.row_number().over(Window.partitionBy("year", *by).orderBy(F.round("usage", 9).desc(), F.asc("step")))
+    return prefix(rows, most_se, by).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def neighbours(cutoffs: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from ..functions.estimate import ratio, smoothed
 from ..functions.text import tokens
 
 
+#: A fit that leaves no more than this share of the variance is exact.
+EXACT = 1e-9
+
+
 def postings(papers: DataFrame, keep: tuple[str, ...] = ("doc_id", "year", "month"), words: list[str] | None = None) -> DataFrame:
     """A row for each paper and distinct word in its `words`, or in its abstract where it has none. A list of words is applied before the arrays are exploded."""
     found = F.col("words") if "words" in papers.columns else tokens(F.col("abstract"))
@@ -145,7 +149,9 @@ def regression(series: DataFrame, keys: list[str], index: str, value: str, end:
 
     fit = {"_b": F.regr_slope, "_a": F.regr_intercept, "_syy": F.regr_syy, "_sxy": F.regr_sxy, "_sxx": F.regr_sxx, "_mean": F.regr_avgx, "_k": F.regr_count}
     rows = rows.select("*", *[over(f).alias(name) for name, f in fit.items()])
-    sse = F.greatest(F.col("_syy") - F.try_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx")), F.lit(0.0))
+    left = F.col("_syy") - F.try_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx"))
+    # below this share of the variance, what is left is what rounding leaves of 0
+    sse = F.when(left > EXACT * F.col("_syy"), left).when(left.isNotNull(), 0.0)
     sigma2 = F.try_divide(sse, F.col("_k") - 2)
     lever = 1 + F.try_divide(F.lit(1.0), F.col("_k")) + F.try_divide((F.col("t") - F.col("_mean")) * (F.col("t") - F.col("_mean")), F.col("_sxx"))
     out = rows.withColumn("projection", F.col("_a") + F.col("_b") * F.col("t")).withColumn("sdev", F.sqrt(sigma2 * lever))

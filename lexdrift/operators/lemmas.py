@@ -1,19 +1,80 @@
-"""Renaming of words to American spellings and lemmas, on vocabularies and not on texts."""
+"""Renaming of words to American spellings and lemmas, on vocabularies and not on texts.
+
+A dictionary isn't at hand, so the corpus is its own: an ending is taken off only where what is left is a word of the vocabulary. Words
+meet their base forms in a join on the vocabulary, of any size.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lists import LEMMAS
+from ..functions.lists import DETACHED, IRREGULAR, LEMMAS, SPELLINGS
+
+
+def _fixed(word: Column, names: Mapping[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), word) if names else F.lit(None).cast("string")
+
+
+def _shortest(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, new): of each word's candidates that are known words the shortest, and the first by alphabet of equally short ones."""
+    found = candidates.join(known.select(F.col("word").alias("base")), "base", "left_semi")
+    return found.groupBy("word").agg(F.min(F.struct(F.length("base").alias("n"), "base"))["base"].alias("new"))
+
+
+def detached(words: DataFrame, known: DataFrame, rules: list[tuple[str, str]], rounds: int = 2) -> DataFrame:
+    """(word, new) of the words (word) that become a known word (word) when one of the endings in rules is taken off.
+
+    Where no ending leads to a known word, endings are taken off what is left, in so many rounds.
+    """
+
+    def cut(base: Column) -> Column:
+        each = [F.when(base.endswith(old) & (F.length(base) > len(old)), F.concat(F.substring(base, F.lit(1), F.length(base) - len(old)), F.lit(new))) for old, new in rules]
+        return F.explode(F.array_compact(F.array_distinct(F.array(*each))))
+
+    left = words.select("word", F.col("word").alias("base"))
+    out = []
+    for k in range(rounds):
+        left = left.select("word", cut(F.col("base")).alias("base"))
+        out.append(_shortest(left, known))
+        if k + 1 < rounds:
+            left = left.join(out[-1].select("word"), "word", "left_anti")
+    return reduce(DataFrame.unionByName, out)
+
+
+def lemma_table(words: DataFrame, known: DataFrame, exceptions: DataFrame | None = None, first: Mapping[str, str] = LEMMAS, irregular: Mapping[str, str] = IRREGULAR) -> DataFrame:
+    """(word, new) of the words that aren't their own lemma.
+
+    A lemma is that of a fixed list, else of a given table of exceptions (word, lemma), else of the irregular forms, else the base form of the
+    word as a verb, else as a noun. known: the words (word) that may be base forms. Exceptions that name a word itself keep it as it is.
+    """
+    w = words.select("word").distinct()
+    own = w.withColumn("given", _fixed(F.col("word"), first))
+    if exceptions is not None:
+        told = exceptions.groupBy("word").agg(F.min("lemma").alias("_e"))
+        own = own.join(told, "word", "left").select("word", F.coalesce("given", "_e").alias("given"))
+    own = own.withColumn("given", F.coalesce("given", _fixed(F.col("word"), irregular)))
+    free = own.where(F.col("given").isNull())
+    verbs = detached(free, known, DETACHED["verb"])
+    nouns = detached(free.join(verbs, "word", "left_anti"), known, DETACHED["noun"])
+    out = own.where(F.col("given").isNotNull()).select("word", F.col("given").alias("new")).unionByName(verbs).unionByName(nouns)
+    return out.where("new <> word")
 
 
-def lemma_table(words: DataFrame, rule: Column, first: Mapping[str, str] = LEMMAS) -> DataFrame:
-    """(word, new) of the words that change: by a fixed list, else by a rule, which is null or the word itself where it has none."""
-    fixed = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col("word")) if first else F.lit(None)
-    return words.select("word", F.coalesce(fixed, rule).alias("new")).where(F.col("new").isNotNull() & (F.col("new") != F.col("word")))
+def spelling_table(words: DataFrame, known: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(word, new) of the words with a British spelling: by a given table (word, new), else by the first of the rules that leads to a known word."""
+    rows = words.select("word").distinct()
+    fixed = None
+    if given is not None:
+        fixed = given.join(rows, "word", "left_semi").groupBy("word").agg(F.min("new").alias("new"))
+        rows = rows.join(fixed.select("word"), "word", "left_anti")
+    each = [F.when(F.col("word").rlike(old), F.struct(F.lit(k).alias("k"), F.regexp_replace("word", old, new.replace("\\", "$")).alias("base"))) for k, (old, new) in enumerate(SPELLINGS)]
+    found = rows.select("word", F.explode(F.array_compact(F.array(*each))).alias("x")).select("word", "x.k", "x.base")
+    found = found.join(known.select(F.col("word").alias("base")), "base", "left_semi").groupBy("word").agg(F.min(F.struct("k", "base"))["base"].alias("new"))
+    return (found if fixed is None else fixed.unionByName(found)).where("new <> word")
 
 
 def rename(counts: DataFrame, spellings: DataFrame, lemmas: DataFrame) -> DataFrame:

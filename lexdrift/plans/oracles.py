@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.lists import COMMON_MARKERS, CUTOFFS, IGNORED_WORDS, LEMMAS
+from ..functions.lists import COMMON_MARKERS, CUTOFFS, DETACHED, IGNORED_WORDS, IRREGULAR, LEMMAS, SPELLINGS
 from ..operators.cleaning import STOP_WORDS
-from .queries import ADDRESSES, COMMON, END, FIRST, LAST, LENGTH, LOW_CUTOFF, MARKER_LEAST, MARKER_MOST, MEANS, MOST_SE
+from ..operators.frequency import EXACT
+from ..operators.language import LEAST, PROFILE
+from .queries import ADDRESSES, COMMON, END, FIRST, LAST, LENGTH, LOW_CUTOFF, MARKER_LEAST, MARKER_MOST, MEANS, MOST_SE, POOL, POOLED, PUBLISHED_SE
 
 PAPERS = """papers AS (
     SELECT d.doc_id, (2000 + d.doc_id % 26)::INTEGER AS year, (1 + (d.doc_id // 26) % 12)::INTEGER AS month,
@@ -56,7 +58,7 @@ def regression(source: str, keys: str, index: str, end: int, length: int) -> str
     fit AS (SELECT {keys}, regr_slope(freq, t) AS b, regr_intercept(freq, t) AS a, regr_syy(freq, t) AS syy, regr_sxy(freq, t) AS sxy,
         regr_sxx(freq, t) AS sxx, avg(t) AS mt, count(*) AS k FROM rows_t WHERE t < {length} GROUP BY {keys}),
     proj AS (SELECT *, CASE WHEN abs(projection) >= 1e-9 THEN freq / projection END AS ratio, freq - projection AS gap, CASE WHEN abs(1 - projection) >= 1e-9 THEN (freq - projection) / (1 - projection) END AS usage FROM (
-        SELECT r.*, a + b * t AS projection, sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0) / nullif(k - 2, 0) * (1 + 1.0 / k + (t - mt) * (t - mt) / nullif(sxx, 0))) AS sdev
+        SELECT r.*, a + b * t AS projection, sqrt(CASE WHEN syy - sxy * sxy / nullif(sxx, 0) > {EXACT} * syy THEN syy - sxy * sxy / sxx WHEN sxx > 0 THEN 0 END / nullif(k - 2, 0) * (1 + 1.0 / k + (t - mt) * (t - mt) / nullif(sxx, 0))) AS sdev
         FROM rows_t r JOIN fit USING ({keys})))"""
 
 
@@ -90,6 +92,29 @@ BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mos
     SELECT *, min(CASE WHEN se > most_se THEN step END) OVER (PARTITION BY most_se, year) AS bad FROM est CROSS JOIN (VALUES {", ".join(f"({b}::DOUBLE)" for b in MOST_SE)}) l(most_se) WHERE year >= 2023)
     WHERE bad IS NULL OR step < bad) WHERE rk = 1)"""
 
+#: The sweep over pooled years: the last period's cutoffs with their errors, and the first whose error is too large.
+POOLED_SWEEP = f"""{BASE}, {WORD_YEAR}, {F2024}, {CUTS},
+    pp AS (SELECT doc_id, (year - {FIRST}) // {POOL} AS year FROM papers WHERE year < {FIRST + POOL * (POOLED + 1)}),
+    py AS (SELECT year::INTEGER AS year, count(*) AS n_papers FROM pp GROUP BY year),
+    ph AS (SELECT pp.doc_id, pp.year, min(f.freq) AS f FROM pp JOIN postings p USING (doc_id) JOIN f2024 f USING (word) GROUP BY pp.doc_id, pp.year),
+    swept AS (SELECT c.cutoff, c.step, y.year, y.n_papers, count(h.doc_id) AS n, (count(h.doc_id) + 1.0::DOUBLE) / (y.n_papers + 1) AS freq
+        FROM cuts c CROSS JOIN py y LEFT JOIN ph h ON h.year = y.year AND h.f < c.cutoff GROUP BY c.cutoff, c.step, y.year, y.n_papers),
+    {ESTIMATED.replace(str(END - LENGTH), "0").replace(f"t < {LENGTH}", f"t < {POOLED}")},
+    pe AS (SELECT *, min(CASE WHEN se > {PUBLISHED_SE} THEN step END) OVER () AS bad FROM est WHERE year = {POOLED})"""
+#: Every other paper without its language; the profiles of the declared ones, and what the others are nearest to.
+GRAMS = r"""unnest(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}]+'), lambda w: len(w) > 0), lambda w: list_transform(range(1, len(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)))))"""
+ENOUGH = r"coalesce(list_sum(list_transform(regexp_split_to_array(lower({0}), '[^\p{{L}}]+'), lambda w: len(w))), 0) >= {1}"
+LANGUAGES = f"""undeclared AS (SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN language END AS language), lines[1] AS head FROM papers),
+    lg AS (SELECT language, gram, count(*) AS n FROM (SELECT language, {GRAMS.format("abstract")} AS gram FROM undeclared WHERE language IS NOT NULL) GROUP BY ALL),
+    known AS (SELECT language, gram, place FROM (SELECT *, (row_number() OVER (PARTITION BY language ORDER BY n DESC, gram))::INTEGER AS place FROM lg) WHERE place <= {PROFILE}),
+    chosen AS (SELECT doc_id, CASE WHEN {ENOUGH.format("head", LEAST)} THEN 'head' WHEN {ENOUGH.format("abstract", LEAST)} THEN 'abstract' END AS told_by, head, abstract FROM undeclared WHERE language IS NULL),
+    og AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, {GRAMS.format("CASE c.told_by WHEN 'head' THEN head WHEN 'abstract' THEN abstract END")} AS gram FROM chosen c) GROUP BY ALL),
+    own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS place FROM og) WHERE place <= {PROFILE}),
+    dist AS (SELECT o.doc_id, l.lang, sum(coalesce(abs(o.place - k.place), {PROFILE})) AS distance, count(k.place) AS hits FROM own o CROSS JOIN (SELECT DISTINCT language AS lang FROM known) l
+        LEFT JOIN known k ON k.language = l.lang AND k.gram = o.gram GROUP BY o.doc_id, l.lang),
+    nearest AS (SELECT doc_id, min(struct_pack(d := distance, l := lang)) AS m FROM dist WHERE hits > 0 GROUP BY doc_id),
+    detected AS (SELECT c.doc_id, m.l AS lang, CASE WHEN m IS NOT NULL THEN c.told_by END AS told_by, m.d::BIGINT AS distance FROM chosen c LEFT JOIN nearest n ON n.doc_id = c.doc_id)"""
+
 SECTIONS = """secs AS (
     SELECT doc_id, year, section, string_agg(line, ' ' ORDER BY i) AS text FROM (
         SELECT doc_id, year, i, ['introduction', 'methods', 'results', 'discussion'][(i - 1) % 4 + 1] AS section, lines[i] AS line
@@ -104,18 +129,40 @@ RAW_JOURNAL = "CASE doc_id % 6 WHEN 0 THEN 'Journal of Neurology' WHEN 1 THEN 'N
 LABEL = "CASE doc_id % 6 WHEN 0 THEN 'neurology' WHEN 2 THEN 'biochemistry' WHEN 3 THEN 'cancer' WHEN 4 THEN 'material' END"
 SKEWED = "sk AS (SELECT year, CASE WHEN doc_id % 2 = 0 THEN 'big' || (doc_id % 3) ELSE journal END AS journal FROM papers)"
 PRESENT = "present AS (SELECT DISTINCT year, journal || (doc_id % 7) AS key FROM papers)"
-_FIXED = ", ".join(repr(w) for w in LEMMAS)
-RENAMED = """vocab AS (SELECT DISTINCT word FROM postings),
-    renamed AS (SELECT p.doc_id, p.year, CASE WHEN a.w IN (SELECT word FROM vocab) AND a.w IN ({fixed}) THEN {fixed_map} WHEN a.w LIKE '%s' AND a.w IN (SELECT word FROM vocab) THEN left(a.w, len(a.w) - 1) ELSE a.w END AS lemma
-        FROM postings p JOIN (SELECT word, replace(word, 'our', 'or') AS w FROM vocab) a USING (word))""".format(fixed=_FIXED, fixed_map="CASE a.w " + " ".join(f"WHEN '{w}' THEN '{x}'" for w, x in LEMMAS.items()) + " END")
+
+
+def detached(kind: str, source: str) -> str:
+    """(word, new) for each word of a source, as the table `kind`: what the rules lead to among the known words, in two rounds."""
+    rules = ", ".join(f"('{old}', '{new}')" for old, new in DETACHED[kind])
+    cut = "left({0}, len({0}) - len(old)) || new"
+    return f"""{kind}_rules AS (SELECT * FROM (VALUES {rules}) r(old, new)),
+    {kind}_c1 AS (SELECT word, {cut.format('word')} AS base FROM {source} JOIN {kind}_rules ON ends_with(word, old) AND len(word) > len(old)),
+    {kind}_1 AS (SELECT word, min(struct_pack(n := len(base), base := base)).base AS new FROM {kind}_c1 WHERE base IN (SELECT word FROM known) GROUP BY word),
+    {kind}_c2 AS (SELECT word, {cut.format('base')} AS base FROM {kind}_c1 JOIN {kind}_rules ON ends_with(base, old) AND len(base) > len(old) WHERE word NOT IN (SELECT word FROM {kind}_1)),
+    {kind} AS (SELECT * FROM {kind}_1 UNION ALL SELECT word, min(struct_pack(n := len(base), base := base)).base FROM {kind}_c2 WHERE base IN (SELECT word FROM known) GROUP BY word)"""
+
+
+_GIVEN = ", ".join(f"('{w}', '{x}')" for w, x in (IRREGULAR | LEMMAS).items())
+#: The words that change: lemma (word, new) and spelling (word, new).
+RENAMES = rf"""known AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(abstract), '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}'))) AS word FROM papers),
+    given AS (SELECT * FROM (VALUES {_GIVEN}) g(word, new)),
+    free AS (SELECT word FROM known WHERE len(word) >= 4 AND word NOT IN (SELECT word FROM given)),
+    {detached("verb", "free")},
+    noun_words AS (SELECT word FROM free WHERE word NOT IN (SELECT word FROM verb)),
+    {detached("noun", "noun_words")},
+    lemma AS (SELECT * FROM given WHERE word IN (SELECT word FROM known) UNION ALL SELECT * FROM verb UNION ALL SELECT * FROM noun),
+    spelling AS (SELECT word, arg_min(base, k) AS new FROM (SELECT word, r.k, regexp_replace(word, r.old, r.new) AS base FROM known JOIN (VALUES {", ".join(f"({k}, '{old}', '{new}')" for k, (old, new) in enumerate(SPELLINGS))}) r(k, old, new)
+        ON len(word) >= 4 AND regexp_matches(word, r.old)) WHERE base IN (SELECT word FROM known) AND base <> word GROUP BY word)"""
+RENAMED = f"""{RENAMES}, american AS (SELECT p.*, coalesce(s.new, p.word) AS w FROM postings p LEFT JOIN spelling s USING (word)),
+    renamed AS (SELECT a.doc_id, a.year, a.month, coalesce(l.new, a.w) AS lemma FROM american a LEFT JOIN lemma l ON l.word = a.w)"""
 
 
 def r(x: str, name: str = "") -> str:
     return f"round({x}, 6) + 0.0 AS {name or x}"
 
 
-LEMMA_SWEEP = f"""{PAPERS}, {POSTINGS.replace("postings AS", "raw AS")}, vocab AS (SELECT DISTINCT word FROM raw),
-    postings AS (SELECT DISTINCT doc_id, year, month, CASE WHEN word IN ({_FIXED}) THEN CASE word {" ".join(f"WHEN '{w}' THEN '{x}'" for w, x in LEMMAS.items())} END WHEN word LIKE '%s' THEN left(word, len(word) - 1) ELSE word END AS word FROM raw),
+LEMMA_SWEEP = f"""{PAPERS}, {POSTINGS.replace("postings AS", "raw AS")}, {RENAMED.replace("FROM postings p", "FROM raw p")},
+    postings AS (SELECT DISTINCT doc_id, year, month, lemma AS word FROM renamed WHERE len(lemma) >= 4),
     {MARKERS}, {YEARS}, {WORD_YEAR}, {F2024}, {cuts_of([0.02, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0])}, {SWEEP}"""
 BY_SECTION = rf"""{BASE}, {SECTIONS},
     parts AS (SELECT doc_id, year, section, text FROM secs
@@ -136,6 +183,13 @@ COUNTRIES_OF_ADDRESSES = [
     "Korea, Republic of", "Germany", "Russian Federation", "Viet Nam", "Ireland", "New Zealand", "South Africa", "Austria", "Czechia", "Venezuela, Bolivarian Republic of", "China",
     "United Kingdom of Great Britain and Northern Ireland", None, "Türkiye", None,
 ]
+#: The title of the i-th line's section of the made articles.
+TITLE_OF_LINE = "coalesce(['Intro', 'Methods', 'Results'][i], 'Part ' || i)"
+#: Made articles: their sections' lines, and what the records have of them.
+MADE = r"""d AS (SELECT *, regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[^\x09\x0A\x20-\x{D7FF}\x{E000}-\x{FFFD}]', '', 'g') AS t FROM documents),
+        s AS (SELECT *, string_split(t, chr(10)) AS l FROM d),
+        n AS (SELECT *, len(l) AS m, doc_id % 7 = 0 AS bare, doc_id % 4 = 0 AND len(l) > 1 AS untitled FROM s)"""
+CHARS = f"""CASE WHEN bare THEN 0 ELSE (CASE WHEN doc_id % 3 = 0 AND NOT untitled THEN 7 ELSE 0 END) + list_sum([CASE WHEN untitled AND i = 2 THEN 0 ELSE length({TITLE_OF_LINE}) + length(l[i]) + (l[i] <> '')::INTEGER END for i in range(1, m + 1)]) END::BIGINT"""
 _STAGES = ["before_prep", "after_article_type", "after_sections", "after_abstract", "after_language", "after_date"]
 ORACLES = {
     "corpus_funnel": f"""WITH {PAPERS}, s AS (SELECT article_type IN ('research-article', 'review-article', 'case-report') AS a, doc_id % 9 <> 4 AS b, length(abstract) >= 250 AS c, language = 'en' AS d FROM papers)
@@ -184,10 +238,12 @@ ORACLES = {
     "last_usage": f"WITH {BASE}, {GROUP_MONTH} SELECT grp, round(arg_max(usage, i), 6) AS usage FROM proj GROUP BY grp",
     "standard_errors": f"""WITH {BASE}, {WORD_YEAR}, {groups('years')}, both_kinds AS (SELECT word, year, n_papers, freq FROM wy UNION ALL SELECT grp, year, n_papers, freq FROM groups), {regression('both_kinds', 'word', 'year', END, LENGTH)},
         c AS (SELECT word, year, n_papers, sdev, CASE WHEN freq = 1 THEN 0.9999999999999999::DOUBLE ELSE freq END AS q,
-            CASE WHEN round(projection, 12) >= 1 THEN 0.9999999999999999::DOUBLE ELSE round(projection, 12) END AS p FROM proj WHERE sdev > 1e-6)
+            CASE WHEN round(projection, 12) >= 1 THEN 0.9999999999999999::DOUBLE ELSE round(projection, 12) END AS p FROM proj)
         SELECT word, year, {", ".join(f"CASE WHEN {x} >= 0 THEN printf('%.5e', sqrt(greatest({x}, 0))) END AS {f}_{v}" for f in ("usage", "gap") for v in ("binomial", "regression", "both") for x in [variance('p', 'q', 'n_papers', v, f)])} FROM c""",
-    "usage_band": f"""WITH {BASE}, {GROUP_YEAR}, b AS (SELECT grp, year, usage, sqrt({variance('projection', 'freq', 'n_papers', 'regression', 'usage')}) AS se FROM proj WHERE year >= 2018 AND usage IS NOT NULL AND projection < 1)
-        SELECT grp, year, {r('usage')}, {r('usage - se', 'low')}, {r('usage + se', 'high')} FROM b""",
+    "usage_band": f"""WITH {BASE}, {GROUP_YEAR}, c AS (SELECT grp, year, usage, n_papers, sdev, CASE WHEN freq = 1 THEN 0.9999999999999999::DOUBLE ELSE freq END AS q,
+            CASE WHEN round(projection, 12) >= 1 THEN 0.9999999999999999::DOUBLE ELSE round(projection, 12) END AS p FROM proj WHERE year >= 2018),
+        b AS (SELECT grp, year, usage, {variance('p', 'q', 'n_papers', 'regression', 'usage')} AS v FROM c), e AS (SELECT *, CASE WHEN v >= 0 THEN sqrt(greatest(v, 0)) END AS se FROM b)
+        SELECT grp, year, {", ".join(f"CASE WHEN {x} IS NOT NULL THEN printf('%.5e', {x}) END AS {n}" for n, x in (("usage", "usage"), ("low", "usage - se"), ("high", "usage + se")))} FROM e""",
     "low_frequency_month": f"""WITH {BASE}, {WORD_YEAR}, low AS (SELECT word FROM wy WHERE year = 2024 AND round(freq, 9) < {LOW_CUTOFF}), h AS (SELECT DISTINCT doc_id, year, month FROM postings JOIN low USING (word)),
         g AS (SELECT 'low' AS grp, m.year, m.month, m.n_papers, m.year * 12 + m.month - 1 AS i, count(h.doc_id) AS n, (count(h.doc_id) + 1.0::DOUBLE) / (m.n_papers + 1) AS freq
             FROM months m LEFT JOIN h USING (year, month) WHERE m.year * 12 + m.month - 1 <= {LAST * 12 + 9} GROUP BY m.year, m.month, m.n_papers), {regression('g', 'grp', 'i', 2022 * 12 + 10, 60)}
@@ -229,8 +285,8 @@ ORACLES = {
     "dup_ids": "SELECT doc_id % 400 AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "lemma_sum": f"WITH {PAPERS}, {POSTINGS}, {RENAMED} SELECT lemma, year, count(*) AS n FROM renamed WHERE length(lemma) >= 4 GROUP BY lemma, year",
     "lemma_union": f"WITH {PAPERS}, {POSTINGS}, {RENAMED} SELECT lemma, year, count(DISTINCT doc_id) AS n FROM renamed WHERE length(lemma) >= 4 GROUP BY lemma, year",
-    "delemmatize": f"""WITH {BASE}, v AS (SELECT DISTINCT word FROM postings) SELECT word FROM markers
-        UNION SELECT word FROM v WHERE word LIKE '%s' AND left(word, len(word) - 1) IN (SELECT word FROM markers)""",
+    "delemmatize": f"WITH {BASE}, {RENAMES} SELECT word FROM markers UNION SELECT word FROM lemma WHERE new IN (SELECT word FROM markers)",
+    "word_lemmas": f"WITH {PAPERS}, {RENAMES} SELECT word, new, 'lemma' AS kind FROM lemma UNION ALL SELECT word, new, 'spelling' FROM spelling",
     "layout_topk": f"""WITH {PAPERS}, l AS (SELECT article_type, array_to_string(list_sort(['introduction', 'methods', 'results', 'discussion'][:least(len(lines) - (doc_id % 9 = 4)::INTEGER, 4)]), '|') AS layout FROM papers)
         SELECT article_type, layout, count(*) AS n FROM l GROUP BY ALL ORDER BY n DESC, article_type, layout LIMIT 5""",
     "title_counts": """WITH x AS (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
@@ -250,15 +306,46 @@ ORACLES = {
     "section_optimum": f"WITH {SECTION_BEST} SELECT most_se, section, year, cutoff, {r('usage')}, {r('se')} FROM best",
     "subopt_lists": f"""WITH {SECTION_BEST} SELECT b.section, k.kind, c.cutoff, f.word FROM best b CROSS JOIN (VALUES ('opt', 0), ('subopt', 1), ('subsubopt', 2)) k(kind, down)
         JOIN cuts c ON c.step = b.step - k.down JOIN sf f ON f.section = b.section AND f.year = 2024 AND f.freq < c.cutoff WHERE b.year = 2025 AND b.most_se = {MOST_SE[1]}""",
-    "xml_records": rf"""WITH d AS (SELECT *, regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[^\x09\x0A\x20-\x{{D7FF}}\x{{E000}}-\x{{FFFD}}]', '', 'g') AS t FROM documents),
-        s AS (SELECT *, string_split(t, chr(10))[:3] AS l FROM d),
-        n AS (SELECT *, len(l) AS m, doc_id % 7 = 0 AS bare, doc_id % 4 = 0 AND len(l) > 1 AS untitled FROM s)
+    "xml_records": rf"""WITH {MADE}
         SELECT doc_id, 'research-article' AS article_type, 'en' AS language, coalesce(source, 'none') AS journal, CASE WHEN doc_id % 2 = 0 THEN (doc_id + 7)::VARCHAR END AS pmid,
             'A  title  of ' || doc_id AS title, [{", ".join("NULL" if c is None else repr(c) for c in COUNTRIES_OF_ADDRESSES)}][doc_id % {len(ADDRESSES)} + 1] AS country,
             CASE WHEN doc_id % 5 = 0 THEN '' ELSE '3-4-' END || (2000 + doc_id % 26) AS date, 'yes ' || doc_id AS abstract,
-            CASE WHEN bare THEN '' ELSE array_to_string(list_filter(['Intro', CASE WHEN untitled THEN NULL ELSE 'Methods' END, 'Results'][:m] || [CASE WHEN doc_id % 3 = 0 AND NOT untitled THEN 'Introduction' END], lambda x: x IS NOT NULL), '|') END AS titles,
-            CASE WHEN bare THEN 0 ELSE (CASE WHEN doc_id % 3 = 0 AND NOT untitled THEN 7 ELSE 0 END) + list_sum([CASE WHEN untitled AND i = 2 THEN 0 ELSE length(['Intro', 'Methods', 'Results'][i]) + length(l[i]) + (l[i] <> '')::INTEGER END for i in range(1, m + 1)]) END::BIGINT AS section_chars
+            CASE WHEN bare THEN '' ELSE array_to_string(list_filter([CASE WHEN untitled AND i = 2 THEN NULL ELSE {TITLE_OF_LINE} END for i in range(1, m + 1)] || [CASE WHEN doc_id % 3 = 0 AND NOT untitled THEN 'Introduction' END], lambda x: x IS NOT NULL), '|') END AS titles,
+            {CHARS} AS section_chars
         FROM n""",
+    "xml_ingest": f"""WITH {MADE}, f AS (SELECT doc_id, 's' || (doc_id % 8) AS segment, {CHARS} AS c FROM n), twice AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE doc_id % 24 = 1)
+        SELECT segment, count(*) AS n_papers, count(DISTINCT doc_id) AS n_ids, sum(c)::BIGINT AS section_chars, (SELECT count(*) FROM f) AS read_1, 0::BIGINT AS read_2, (SELECT count(*) FROM twice WHERE segment = 's1') AS read_3
+        FROM twice GROUP BY segment""",
+    "upsert_by_key": f"""WITH {PAPERS}, a AS (SELECT doc_id, year, journal, 1::INTEGER AS load FROM papers WHERE doc_id % 3 <> 0)
+        SELECT * FROM a UNION ALL SELECT doc_id, year, journal || 'x', 2::INTEGER FROM papers WHERE year >= 2020 AND doc_id NOT IN (SELECT doc_id FROM a)""",
+    "language_profiles": f"WITH {PAPERS}, {LANGUAGES} SELECT language, gram, place FROM known",
+    "language_detected": f"WITH {PAPERS}, {LANGUAGES} SELECT doc_id, lang AS language, told_by, distance FROM detected",
+    "funnel_language": f"""WITH {PAPERS}, {LANGUAGES}, s AS (SELECT u.doc_id, article_type IN ('research-article', 'review-article', 'case-report') AS a, u.doc_id % 9 <> 4 AS b, length(abstract) >= 250 AS c,
+            coalesce(language, lang) = 'en' AS d, language IS NULL AND lang IS NULL AS failed FROM undeclared u LEFT JOIN detected USING (doc_id))
+        SELECT count(*) AS before_prep, count_if(a)::BIGINT AS after_article_type, count_if(a AND b)::BIGINT AS after_sections, count_if(a AND b AND c)::BIGINT AS after_abstract, count_if(a AND b AND c AND failed)::BIGINT AS language_failures,
+        count_if(a AND b AND c AND d)::BIGINT AS after_language, count_if(a AND b AND c AND d)::BIGINT AS after_date FROM s""",
+    "pooled_errors": f"""WITH {POOLED_SWEEP} SELECT cutoff, {r('freq')}, {r('projection')}, {r('usage')}, {r('se')}, bad IS NULL OR step < bad AS "within" FROM pe""",
+    "pooled_optimum": f"""WITH {POOLED_SWEEP} SELECT cutoff, {r('usage')}, {r('se')} FROM pe WHERE bad IS NULL OR step < bad ORDER BY round(usage, 9) DESC, step LIMIT 1""",
     "html_titles": r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '[ \t\r\n]+', ' ', 'g')), '') AS title FROM pages""",
 }
 ORACLES["funnel_transposed"] = f"WITH f AS ({ORACLES['corpus_funnel']}) " + " UNION ALL ".join(f"SELECT '{k}' AS measure, {k} AS value FROM f" for k in _STAGES)
+
+
+def _in_two_steps(sql: str) -> str:
+    """round(x, 6) as the queries do it: to nine digits, then to six."""
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 1, start + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[start + len("round(") : end - 1]
+        if inner.endswith(", 6"):
+            out += f"{sql[at:start]}round(round({_in_two_steps(inner[:-3])}, 9), 6)"
+        else:
+            out += f"{sql[at:start]}round({_in_two_steps(inner)})"
+        at = end
+    return out + sql[at:]
+
+
+ORACLES = {name: _in_two_steps(sql) for name, sql in ORACLES.items()}

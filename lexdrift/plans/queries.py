@@ -9,8 +9,9 @@ from ..functions import estimate
 from ..functions.dates import month_axis, parse_date
 from ..functions.lists import COMMON_MARKERS, CUTOFFS, IGNORED_WORDS
 from ..functions.text import canonical_title, clean_title, crop, sample, standard_sections, word_count
-from ..operators import cleaning, cutoffs, frequency, lemmas, reports, simulation
-from ..sources.corpus import FIRST_YEAR, TITLES, YEARS, papers, section_tokens, table, tokenised
+from ..operators import cleaning, cutoffs, frequency, language, lemmas, reports, simulation
+from ..sources import ingest
+from ..sources.corpus import FIRST_YEAR, TITLES, YEARS, papers, renames, scratch, section_tokens, table, tokenised
 from ..sources.xml import country_table, html_title, parse_articles
 
 FIRST, LAST = FIRST_YEAR, FIRST_YEAR + YEARS - 1
@@ -27,8 +28,8 @@ RAW_JOURNALS = ["Journal of Neurology", "Neurological Journal", "Journal of Canc
 
 
 def r(c: Column | str) -> Column:
-    """Rounded for comparison; + 0.0 turns a negative zero into zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    """Rounded for comparison: to nine digits first, as a value on the edge of the sixth would go up or down by its last bit; + 0.0 turns a negative zero into zero."""
+    return F.round(F.round(F.col(c) if isinstance(c, str) else c, 9), 6) + F.lit(0.0)
 
 
 def _band(df: DataFrame, p: DataFrame) -> DataFrame:
@@ -70,11 +71,45 @@ def dedupe_latest(spark, sf_dir):
     return cleaning.keep_first(p.unionByName(again), "doc_id", "load").select("doc_id", F.year("date").alias("year"), "journal", "load")
 
 
+def upsert_by_key(spark, sf_dir):
+    """Papers merged by doc_id in two loads: of those that are in both, the first stays. The second load has some years only."""
+    p = papers(spark, sf_dir).select("doc_id", "year", "journal")
+    path = scratch(spark)
+    ingest.upsert(spark, path, p.where("doc_id % 3 <> 0").withColumn("load", F.lit(1)), "doc_id", "year")
+    ingest.upsert(spark, path, p.where("year >= 2020").withColumn("load", F.lit(2)).withColumn("journal", F.concat("journal", F.lit("x"))), "doc_id", "year")
+    return ingest.merged(spark, path).select("doc_id", F.col("year").cast("int").alias("year"), "journal", "load")
+
+
 def language_inferred(spark, sf_dir):
     p = papers(spark, sf_dir).withColumn("language", F.when(F.col("doc_id") % 2 == 0, F.col("language")))
     return cleaning.infer_language(p).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _undeclared(spark, sf_dir):
+    """The papers, of which every other one declares no language, and the first line of each as a short text."""
+    p = papers(spark, sf_dir).withColumn("declared", F.col("language")).withColumn("language", F.when(F.col("doc_id") % 2 == 0, F.col("language")))
+    return p.withColumn("head", F.get("sections", F.lit(0)))
+
+
+def language_profiles(spark, sf_dir):
+    """The most frequent letter n-grams of each declared language, in order."""
+    return language.profiles(_undeclared(spark, sf_dir))
+
+
+def language_detected(spark, sf_dir):
+    """The language of every paper that declares none, by its first line, or by the whole text where the line is too short."""
+    p = _undeclared(spark, sf_dir)
+    return language.detect(p.where("language is null"), language.profiles(p), short="head", long="abstract")
+
+
+def funnel_language(spark, sf_dir):
+    """The cleaning funnel with languages inferred where none is declared, only of the papers that come to that stage, and the failures."""
+    p, steps = _undeclared(spark, sf_dir), cleaning.stages()
+    came = language.inferred(cleaning.clean(p, steps[:3]), language.profiles(p), short="head", long="abstract")
+    first, rest = cleaning.funnel(p, steps=steps[:3]), cleaning.funnel(came, steps=steps[3:])
+    return first.crossJoin(F.broadcast(rest.drop("before_prep")))  # two single rows
+
+
 def _titled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
@@ -275,14 +310,14 @@ def standard_errors(spark, sf_dir):
     x = _projected(spark, sf_dir).select(F.col("grp").alias("word"), "year", "freq", "n_papers", "projection", "sdev").unionByName(x)
     p_ = F.round("projection", 12)  # what is 1 but for rounding is 1
     cols = {f"{f}_{v}": estimate.standard_error(p_, F.col("freq"), F.col("n_papers"), v, F.col("sdev"), f) for f in ("usage", "gap") for v in ("binomial", "regression", "both")}
-    return x.where("sdev > 1e-6").select("word", "year", *[digits(c).alias(name) for name, c in cols.items()])
+    return x.select("word", "year", *[digits(c).alias(name) for name, c in cols.items()])
 
 
 def usage_band(spark, sf_dir):
-    """Usage of the groups with its error, an interval."""
+    """Usage of the groups with its error, an interval. A projection of 1 and more counts as just below 1 in the error, which then is large: six digits are compared."""
     x = _projected(spark, sf_dir).where("year >= 2018").withColumn("usage", estimate.usage(F.col("freq"), F.col("projection")))
-    low, high = estimate.band(F.col("usage"), estimate.standard_error(F.col("projection"), F.col("freq"), F.col("n_papers"), "regression", F.col("sdev")))
-    return x.where("usage is not null and projection < 1").select("grp", "year", r("usage").alias("usage"), r(low).alias("low"), r(high).alias("high"))
+    low, high = estimate.band(F.col("usage"), estimate.standard_error(F.round("projection", 12), F.col("freq"), F.col("n_papers"), "regression", F.col("sdev")))
+    return x.select("grp", "year", digits(F.col("usage")).alias("usage"), digits(low).alias("low"), digits(high).alias("high"))
 
 
 def low_frequency_month(spark, sf_dir):
@@ -538,26 +573,25 @@ def dup_ids(spark, sf_dir):
     return p.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _renames(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the words of a table, British spellings (every word with `our`) and lemmas (of every word that ends in s the word without it, besides the fixed ones)."""
-    known = words.select("word").distinct()
-    british = known.where(F.contains("word", F.lit("our"))).select("word", F.replace(F.col("word"), F.lit("our"), F.lit("or")).alias("new"))
-    return british, lemmas.lemma_table(known, F.when(F.col("word").endswith("s"), F.expr("substring(word, 1, length(word) - 1)")))
+def word_lemmas(spark, sf_dir):
+    """The lemma of every word that isn't its own, and the American spelling of every word with a British one."""
+    spellings, lemma = renames(spark, sf_dir)
+    return lemma.withColumn("kind", F.lit("lemma")).unionByName(spellings.withColumn("kind", F.lit("spelling")))
 
 
 def lemma_sum(spark, sf_dir):
     counts = frequency.word_counts(_base(spark, sf_dir)[1], "year")
-    return lemmas.count_sum(lemmas.rename(counts, *_renames(counts)), "year")
+    return lemmas.count_sum(lemmas.rename(counts, *renames(spark, sf_dir)), "year")
 
 
 def lemma_union(spark, sf_dir):
     _, rows = _base(spark, sf_dir)
-    return lemmas.count_union(lemmas.rename(rows.select("doc_id", "year", "word"), *_renames(rows)), "year")
+    return lemmas.count_union(lemmas.rename(rows.select("doc_id", "year", "word"), *renames(spark, sf_dir)), "year")
 
 
 def delemmatize(spark, sf_dir):
     p, rows = _base(spark, sf_dir)
-    return lemmas.surface_words(_markers(rows, p).select("word"), _renames(rows)[1])
+    return lemmas.surface_words(_markers(rows, p).select("word"), renames(spark, sf_dir)[1])
 
 
 def layout_topk(spark, sf_dir):
@@ -615,10 +649,9 @@ def funnel_transposed(spark, sf_dir):
 
 
 def _lemma_swept(spark, sf_dir):
-    """The sweep over lemmas: words that are alike up to a final s are one."""
+    """The sweep over lemmas: words of one lemma are one."""
     p, rows = _base(spark, sf_dir)
-    none = spark.createDataFrame([], "word string, new string")
-    renamed = lemmas.rename(rows, none, _renames(rows)[1]).select("doc_id", "year", F.col("lemma").alias("word")).distinct()
+    renamed = lemmas.rename(rows, *renames(spark, sf_dir)).select("doc_id", "year", F.col("lemma").alias("word")).where(F.length("word") >= 4).distinct()
     y = _yearly(p, renamed).where("year = 2024").select("word", "freq")
     c = cutoffs.cutoff_table(spark, [0.02, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0])
     return cutoffs.sweep(renamed, y, c, frequency.calendar(p, FIRST, LAST))
@@ -645,8 +678,8 @@ def xml_articles(spark, sf_dir):
     """Article files (path, content) made of the documents: metadata by doc_id, the lines as sections, of which each fourth document's second has no title."""
     k = F.col("doc_id")
     esc = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"[^\x{9}\x{A}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\r"), F.lit(""))
-    lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 3)
-    titles = F.array(*[F.lit(x) for x in ("Intro", "Methods", "Results")])
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    titles = F.transform(lines, lambda _, i: F.coalesce(F.get(F.array(*[F.lit(x) for x in ("Intro", "Methods", "Results")]), i), F.concat(F.lit("Part "), (i + 1).cast("string"))))
     sec = F.transform(lines, lambda x, i: F.concat(F.lit("<sec>"), F.when((i == 1) & (k % 4 == 0), "").otherwise(F.concat(F.lit("<title>"), F.get(titles, i), F.lit("</title>"))), F.lit("<p>"), esc(x), F.lit("</p></sec>")))
     address = F.get(F.array(*[F.lit(x) for x in ADDRESSES]), (k % len(ADDRESSES)).cast("int"))
     body = F.concat(F.when(k % 3 == 0, "<p>Before.</p>").otherwise(""), F.array_join(sec, ""))
@@ -673,6 +706,53 @@ def xml_records(spark, sf_dir):
     )
 
 
+def xml_ingest(spark, sf_dir):
+    """Article files in eight directories, one for each document, read in three runs: all of them, none as nothing has changed, and one directory that got more files."""
+    folder, path = scratch(spark), scratch(spark)
+    articles = xml_articles(spark, sf_dir).select(F.col("content").cast("string").alias("value"), F.regexp_extract("path", r"\d+", 0).cast("long").alias("k"))
+
+    def land(rows: DataFrame) -> None:
+        rows.select("value", F.concat(F.lit("s"), (F.col("k") % 8).cast("string")).alias("segment")).write.mode("append").partitionBy("segment").option("maxRecordsPerFile", 1).text(folder)
+
+    def run() -> dict[str, int]:
+        return ingest.ingest(spark, folder, path, lambda files: parse_articles(files, country_table(spark), ("segment",)), glob="part-*.txt", pattern=r"part-.*\.txt")
+
+    land(articles)
+    runs = [run(), run()]
+    land(articles.where("k % 24 = 1"))
+    runs.append(run())
+    chars = F.aggregate("sections", F.lit(0).cast("long"), lambda n, t: n + F.length(t))
+    found = spark.read.parquet(path).groupBy("segment").agg(F.count(F.lit(1)).alias("n_papers"), F.countDistinct("pmc-id").alias("n_ids"), F.sum(chars).alias("section_chars"))
+    return found.select("*", *[F.lit(x["files"]).cast("long").alias(f"read_{k}") for k, x in enumerate(runs, 1)])
+
+
+#: Years of a pooled period, periods that are trained on, and the published bound of the error.
+POOL, POOLED, PUBLISHED_SE = 5, 4, 0.025
+
+
+def _pooled(spark, sf_dir):
+    """The sweep over periods of five years with its estimates, of the cutoffs that aren't saturated."""
+    p, _, y, c = _cutoffs(spark, sf_dir)
+    pool = lambda rows: rows.where(F.col("year") < FIRST + POOL * (POOLED + 1)).withColumn("year", (F.floor((F.col("year") - FIRST) / POOL)).cast("int"))
+    own = pool(p)
+    swept = cutoffs.sweep(frequency.postings(own, ("doc_id", "year")), y, c, frequency.calendar(own, 0, POOLED))
+    return cutoffs.without_saturated(cutoffs.estimated(swept, ["cutoff", "step"], POOLED, POOLED))
+
+
+def pooled_errors(spark, sf_dir):
+    """Usage and error of each cutoff in the last period, and whether it lies before the first whose error exceeds the published bound."""
+    x = _pooled(spark, sf_dir).where(F.col("year") == POOLED)
+    within = cutoffs.prefix(x, PUBLISHED_SE).select(F.col("step").alias("_s"))
+    x = x.join(F.broadcast(within), F.col("step") == F.col("_s"), "left")  # at most one row for each cutoff
+    return x.select("cutoff", r("freq").alias("freq"), r("projection").alias("projection"), r("usage").alias("usage"), r("se").alias("se"), F.col("_s").isNotNull().alias("within"))
+
+
+def pooled_optimum(spark, sf_dir):
+    """The cutoff with the greatest usage among those within the published bound of the error."""
+    best = cutoffs.optimum(_pooled(spark, sf_dir).where(F.col("year") == POOLED), PUBLISHED_SE)
+    return best.select("cutoff", r("usage").alias("usage"), r("se").alias("se"))
+
+
 NAMES = [
     "corpus_funnel", "funnel_discarded", "dedupe_latest", "language_inferred", "section_standardize", "section_set_filter", "section_length_quantiles",
     "melt_lengths", "date_normalize", "token_docfreq", "docfreq_floor", "papers_per_month", "mean_papers_per_month", "word_year_freq", "word_month_grid",
@@ -683,6 +763,7 @@ NAMES = [
     "country_freq", "country_pivot", "country_compare", "region_freq", "discipline_label", "discipline_freq", "discipline_share", "journal_counts",
     "journal_other", "journal_share", "journals_removed", "journals_added", "journals_per_year", "null_share", "dup_ids", "lemma_sum", "lemma_union",
     "delemmatize", "layout_topk", "title_counts", "substring_probe", "crop_words", "sample_words", "html_titles", "simulated_recovery",
-    "floor_year_mean", "aligned_counts", "funnel_transposed", "lemma_sweep",
+    "floor_year_mean", "aligned_counts", "funnel_transposed", "lemma_sweep", "word_lemmas",
+    "language_profiles", "language_detected", "funnel_language", "upsert_by_key", "xml_ingest", "pooled_errors", "pooled_optimum",
 ]
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import standard_sections, tokens
+from ..operators.lemmas import lemma_table, spelling_table
 
 FIRST_YEAR, YEARS = 2000, 26
 TITLES = ["introduction", "methods", "results", "discussion"]
@@ -97,6 +98,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for as long as the driver runs."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def _stamp(spark: SparkSession, path: str) -> list[str]:
     """Name, length and time of the files of a table: other files are other data."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -133,6 +144,23 @@ def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "sections", make)
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, doc_freq) of all words of two letters and more, which may be base forms of longer ones."""
+
+    def make() -> DataFrame:
+        rows = papers(spark, sf_dir).select(F.explode(tokens(F.col("abstract"), 2)).alias("word"))
+        return rows.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
+
+    return _kept(spark, sf_dir, "vocabulary", make)
+
+
+def renames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(word, new) of the corpus's words of four letters and more: American spellings, and lemmas. Found once for all queries of a session."""
+    known = vocabulary(spark, sf_dir)
+    words = known.where(F.length("word") >= 4)
+    return _kept(spark, sf_dir, "spellings", lambda: spelling_table(words, known)), _kept(spark, sf_dir, "lemmas", lambda: lemma_table(words, known))
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as papers: dates, types, countries and section titles follow from doc_id, sections are the text's lines in turn.
     Some papers have a title less than they have sections.

@@ -239,12 +239,6 @@ def test_partial_months_names_and_order(spark):
     assert [r[0] for r in s.collect()] == [2, 3]
 
 
-def test_fixed_lemmas_come_first(spark):
-    df = spark.createDataFrame([("chatbots",), ("coronaviruses",), ("showcasing",), ("cats",), ("dog",)], "word string")
-    rule = F.when(F.col("word").endswith("s"), F.expr("substring(word, 1, length(word) - 1)"))
-    assert {tuple(r) for r in lemmas.lemma_table(df, rule).collect()} == {("chatbots", "chatbot"), ("coronaviruses", "coronavirus"), ("showcasing", "showcase"), ("cats", "cat")}
-
-
 def test_lists_of_the_best_and_the_next(spark):
     best = spark.createDataFrame([("a", 2), ("b", 0)], "section string, step int")
     lists = spark.createDataFrame([("a", s, s / 10, f"w{s}") for s in range(4)] + [("b", 0, 0.0, "x")], "section string, step int, cutoff double, word string")
