@@ -62,3 +62,10 @@ def is_excess(ratio_: Column, gap_: Column, frequency: Column, factor: float = 2
     """Whether a word is in excess: its ratio above a line in log-log space, or its gap large; rare words never are."""
     line = F.log10(F.lit(factor)) - (F.log10(frequency) + 4) * F.log10(F.lit(factor)) / 4
     return ((F.log10(ratio_) > line) | (gap_ > least_gap)) & (frequency >= least)
+
+
+def label_rule(ratio_: Column, gap_: Column, frequency: Column, factor: float = 2.2, least_gap: float = 0.011, most_ratio: float = 90, most_gap: float = 0.049) -> dict[str, Column]:
+    """What a plot of excess words shows of a word: its ratio and gap, clipped, and whether it is labelled by the one (above a line in log-log space) and by the other."""
+    clipped, below = F.least(ratio_, F.lit(most_ratio)), F.least(gap_, F.lit(most_gap))
+    line = F.log10(F.lit(factor)) - (F.log10(frequency) + 4) * F.log10(F.lit(2.0)) / 4
+    return {"ratio": clipped, "gap": below, "by_ratio": F.coalesce(F.log10(clipped) > line, F.lit(False)), "by_gap": F.coalesce(below > least_gap, F.lit(False))}

@@ -1,4 +1,4 @@
-"""Fixed values that results depend on. Longer lists (marker words, lemmas, spellings) are parameters: see read_words()."""
+"""Fixed values that results depend on. Longer lists (marker words, lemmas, spellings) are parameters: see read_words() and corpus.read_word_table()."""
 
 from __future__ import annotations
 
@@ -118,6 +118,7 @@ COUNTRY_ALIASES = {
 
 # Official English country names that differ from those in use, by code.
 OFFICIAL_COUNTRIES = {
+    "BES": "Bonaire, Sint Eustatius and Saba",
     "BOL": "Bolivia, Plurinational State of",
     "BRN": "Brunei Darussalam",
     "COD": "Congo, Democratic Republic of the",
@@ -128,21 +129,28 @@ OFFICIAL_COUNTRIES = {
     "FSM": "Micronesia, Federated States of",
     "GBR": "United Kingdom of Great Britain and Northern Ireland",
     "HKG": "Hong Kong",
+    "HMD": "Heard Island and McDonald Islands",
     "IRN": "Iran, Islamic Republic of",
     "KOR": "Korea, Republic of",
     "LAO": "Lao People's Democratic Republic",
     "MAC": "Macao",
+    "MAF": "Saint Martin (French part)",
     "MDA": "Moldova, Republic of",
     "MMR": "Myanmar",
+    "PCN": "Pitcairn",
     "PRK": "Korea, Democratic People's Republic of",
     "PSE": "Palestine",
     "RUS": "Russian Federation",
+    "SGS": "South Georgia and the South Sandwich Islands",
+    "SHN": "Saint Helena, Ascension and Tristan da Cunha",
     "STP": "Sao Tome and Principe",
     "SWZ": "Eswatini",
+    "SXM": "Sint Maarten (Dutch part)",
     "SYR": "Syrian Arab Republic",
     "TUR": "Türkiye",
     "TWN": "Taiwan",
     "TZA": "Tanzania, United Republic of",
+    "UMI": "United States Minor Outlying Islands",
     "USA": "United States of America",
     "VAT": "Holy See",
     "VEN": "Venezuela, Bolivarian Republic of",
@@ -151,6 +159,9 @@ OFFICIAL_COUNTRIES = {
     "VNM": "Viet Nam",
 }
 
+# Journals that are preprint servers.
+PREPRINTS = ["bioRxiv", "medRxiv", "arXiv", "Research Square"]
+
 # Discipline keywords; of equal positions the earlier one wins.
 DISCIPLINES = [
     "cancer", "neuroscience", "cardiology", "ecology", "bioinformatics", "chemistry", "surgery", "environment", "material", "microbiology", "pediatric",

@@ -60,6 +60,16 @@ def funnel(papers: DataFrame, by: str | None = None, steps: list[tuple[str, Colu
     return papers.groupBy(by).agg(*counts) if by else papers.agg(*counts)
 
 
+def of_type(papers: DataFrame, kind: str = "all") -> DataFrame:
+    """Papers of one article type; `all` takes every one, those without a type too."""
+    return papers if kind == "all" else papers.where(F.col("article_type") == kind)
+
+
+def since(papers: DataFrame, day: str) -> DataFrame:
+    """Papers of a day (yyyy-mm-dd) and later; those without a date go."""
+    return papers.where(F.col("date") >= F.lit(day).cast("date"))
+
+
 def clean(papers: DataFrame, steps: list[tuple[str, Column]] | None = None) -> DataFrame:
     for _, keep in steps or stages():
         papers = papers.where(keep)

@@ -29,6 +29,23 @@ def document_frequency(rows: DataFrame, papers: DataFrame | None = None, least_s
     return df.crossJoin(F.broadcast(papers.agg(F.count(F.lit(1)).alias("_n")))).where(F.col("doc_freq") >= least_share * F.col("_n")).drop("_n")
 
 
+#: Buckets of the sketch that sorts out rare words, whatever the size of the corpus.
+BUCKETS = 1 << 20
+
+
+def frequent(rows: DataFrame, papers: DataFrame, least_share: float = 1e-6, buckets: int = BUCKETS) -> DataFrame:
+    """(word, doc_freq) of the words in at least a share of the papers, as document_frequency() gives them, without a shuffle of the rare ones.
+
+    Tasks count postings by a hash of the word first, in a fixed number of buckets whose sums are merged. No word is in more papers than its bucket has postings, so
+    words of buckets below the floor are out before they are counted one by one, and no word above it is lost. The full buckets, a bounded number, are broadcast.
+    """
+    at = F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("_at")
+    n = F.broadcast(papers.agg((F.count(F.lit(1)) * least_share).alias("_least")))
+    sketch = rows.groupBy(at).agg(F.count(F.lit(1)).alias("_c")).crossJoin(n).where(F.col("_c") >= F.col("_least")).select("_at")
+    left = rows.select("word", at).join(F.broadcast(sketch), "_at", "left_semi")
+    return left.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq")).crossJoin(n).where(F.col("doc_freq") >= F.col("_least")).drop("_least")
+
+
 def papers_per(papers: DataFrame, *period: str) -> DataFrame:
     return papers.groupBy(*period).agg(F.count(F.lit(1)).alias("n_papers"))
 
@@ -68,6 +85,15 @@ def yearly(rows: DataFrame, first: int, last: int, keys: tuple[str, ...] = ("wor
     return wide.select(*keys, "doc_freq", F.posexplode("_n").alias("_at", "n")).select(*keys, "doc_freq", (F.col("_at") + first).cast("int").alias("year"), "n")
 
 
+def monthly(rows: DataFrame, first: int, last: int, keys: tuple[str, ...] = ("word",)) -> DataFrame:
+    """(keys, i, n) for all months from first to last (period_index()) of each key, with zeros, counted side by side as yearly() does."""
+    at = period_index(F.col("year"), F.col("month"))
+    counts = rows.where(at.between(first, last)).groupBy(*keys, (at - first).cast("int").alias("_i")).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_n"))).alias("_m"))  # a month each at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(last - first)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long")))
+    return found.select(*keys, F.posexplode(dense).alias("_at", "n")).select(*keys, (F.col("_at") + first).cast("long").alias("i"), "n")
+
+
 def with_frequency(counts: DataFrame, periods: DataFrame, *period: str) -> DataFrame:
     """Counts (n) with the papers of their period and the smoothed frequency."""
     return counts.join(F.broadcast(periods), list(period)).withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
@@ -86,12 +112,6 @@ def group_frequency(papers: DataFrame, groups: dict[str, list[str]], periods: Da
     return wide.unpivot([*period, "n_papers"], list(groups), "grp", "n").withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
 
 
-def group_counts(rows: DataFrame, groups: DataFrame, *period: str) -> DataFrame:
-    """(grp, period, n): papers with at least one word of each group (word, grp); groups may share words."""
-    hits = rows.join(F.broadcast(groups), "word").select("grp", "doc_id", *period).distinct()
-    return hits.groupBy("grp", *period).agg(F.count(F.lit(1)).alias("n"))
-
-
 def yearly_mean(monthly: DataFrame, *keys: str) -> DataFrame:
     """Mean of the monthly frequencies of each year, which isn't the frequency of the year."""
     return monthly.groupBy(*keys, "year").agg(F.avg("freq").alias("mean_freq"))

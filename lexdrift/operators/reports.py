@@ -79,7 +79,17 @@ def transposed(rows: DataFrame, columns: list[str], key: str | None = None, valu
 
 def overlay(report: DataFrame, published: DataFrame, months: int = 6) -> DataFrame:
     """Published estimates (date, section, estimate, mode, method) beside the report's rows (date, section, usage) of the same section, within
-    some months of each other. The table of published estimates is small and given."""
-    p = F.broadcast(published.withColumnRenamed("date", "published_on").withColumnRenamed("section", "_s"))
-    near = F.abs(F.months_between("date", "published_on")) <= months
-    return report.join(p, (F.col("section") == F.col("_s")) & near).drop("_s")
+    some months of each other.
+
+    An interval join: each estimate goes to the months that it may lie near, so that rows meet by section and month, and the distance is tested after that.
+    """
+    index = lambda d: F.year(d) * 12 + F.month(d)
+    p = published.withColumnRenamed("date", "published_on").withColumn("_i", F.explode(F.sequence(index(F.col("published_on")) - months - 1, index(F.col("published_on")) + months + 1)))
+    out = report.withColumn("_i", index(F.col("date"))).join(p, ["section", "_i"])
+    return out.where(F.abs(F.months_between("date", "published_on")) <= months).drop("_i")
+
+
+def listed_share(papers: DataFrame, listed: list[str], *by: str, column: str = "journal") -> DataFrame:
+    """(by, n_papers, n, share) of papers whose value is in a list, such as the preprint servers among the journals."""
+    out = papers.groupBy(*by).agg(F.count(F.lit(1)).alias("n_papers"), F.count_if(F.coalesce(F.col(column).isin(listed), F.lit(False))).alias("n"))
+    return out.withColumn("share", F.col("n") / F.col("n_papers"))

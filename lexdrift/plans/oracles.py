@@ -6,7 +6,9 @@ from ..functions.lists import COMMON_MARKERS, CUTOFFS, DETACHED, IGNORED_WORDS,
 from ..operators.cleaning import STOP_WORDS
 from ..operators.frequency import EXACT
 from ..operators.language import LEAST, PROFILE
-from .queries import ADDRESSES, COMMON, END, FIRST, LAST, LENGTH, LOW_CUTOFF, MARKER_LEAST, MARKER_MOST, MEANS, MOST_SE, POOL, POOLED, PUBLISHED_SE
+from .queries import (
+    ADDRESSES, COMMON, END, FIRST, FLOOR, LAST, LENGTH, LOW_CUTOFF, MARKER_LEAST, MARKER_MOST, MEANS, MOST_COUNTRY_SE, MOST_SE, POOL, POOLED, POOLED_CUTOFFS, PUBLISHED_FLOOR, PUBLISHED_SE,
+)
 
 PAPERS = """papers AS (
     SELECT d.doc_id, (2000 + d.doc_id % 26)::INTEGER AS year, (1 + (d.doc_id // 26) % 12)::INTEGER AS month,
@@ -92,11 +94,12 @@ BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mos
     SELECT *, min(CASE WHEN se > most_se THEN step END) OVER (PARTITION BY most_se, year) AS bad FROM est CROSS JOIN (VALUES {", ".join(f"({b}::DOUBLE)" for b in MOST_SE)}) l(most_se) WHERE year >= 2023)
     WHERE bad IS NULL OR step < bad) WHERE rk = 1)"""
 
-#: The sweep over pooled years: the last period's cutoffs with their errors, and the first whose error is too large.
-POOLED_SWEEP = f"""{BASE}, {WORD_YEAR}, {F2024}, {CUTS},
-    pp AS (SELECT doc_id, (year - {FIRST}) // {POOL} AS year FROM papers WHERE year < {FIRST + POOL * (POOLED + 1)}),
-    py AS (SELECT year::INTEGER AS year, count(*) AS n_papers FROM pp GROUP BY year),
-    ph AS (SELECT pp.doc_id, pp.year, min(f.freq) AS f FROM pp JOIN postings p USING (doc_id) JOIN f2024 f USING (word) GROUP BY pp.doc_id, pp.year),
+#: The first lines' words, and the sweep over pooled years: the last period's cutoffs with their errors, and the first whose error is too large.
+HEADS = rf"""pp AS (SELECT doc_id, ((year - {FIRST}) // {POOL})::INTEGER AS year, country, lines[1] AS head FROM papers WHERE year < {FIRST + POOL * (POOLED + 1)}),
+    hp AS (SELECT * FROM (SELECT doc_id, year, unnest(list_distinct(list_filter(regexp_split_to_array(lower(head), '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{4,}}')))) AS word FROM pp) JOIN markers USING (word))"""
+POOLED_SWEEP = f"""{BASE}, {cuts_of(POOLED_CUTOFFS)}, {HEADS}, py AS (SELECT year, count(*) AS n_papers FROM pp GROUP BY year),
+    fl AS (SELECT word, (count(*) + 1.0::DOUBLE) / ((SELECT count(*) FROM pp) + 1) AS freq FROM hp WHERE grp = 'common' GROUP BY word),
+    ph AS (SELECT doc_id, year, min(freq) AS f FROM hp JOIN fl USING (word) GROUP BY doc_id, year),
     swept AS (SELECT c.cutoff, c.step, y.year, y.n_papers, count(h.doc_id) AS n, (count(h.doc_id) + 1.0::DOUBLE) / (y.n_papers + 1) AS freq
         FROM cuts c CROSS JOIN py y LEFT JOIN ph h ON h.year = y.year AND h.f < c.cutoff GROUP BY c.cutoff, c.step, y.year, y.n_papers),
     {ESTIMATED.replace(str(END - LENGTH), "0").replace(f"t < {LENGTH}", f"t < {POOLED}")},
@@ -324,6 +327,40 @@ ORACLES = {
             coalesce(language, lang) = 'en' AS d, language IS NULL AND lang IS NULL AS failed FROM undeclared u LEFT JOIN detected USING (doc_id))
         SELECT count(*) AS before_prep, count_if(a)::BIGINT AS after_article_type, count_if(a AND b)::BIGINT AS after_sections, count_if(a AND b AND c)::BIGINT AS after_abstract, count_if(a AND b AND c AND failed)::BIGINT AS language_failures,
         count_if(a AND b AND c AND d)::BIGINT AS after_language, count_if(a AND b AND c AND d)::BIGINT AS after_date FROM s""",
+    "matrix_counts": f"WITH {PAPERS}, {POSTINGS} SELECT word, count(*) AS doc_freq FROM postings GROUP BY word",
+    "matrix_rows": f"""WITH {PAPERS}, {POSTINGS}, v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM (SELECT DISTINCT word FROM postings)),
+        x AS (SELECT doc_id, count(*)::INTEGER AS n, min(i) AS a, max(i) AS b, sum(i)::BIGINT AS s FROM postings JOIN v USING (word) GROUP BY doc_id)
+        SELECT p.doc_id, row_number() OVER (ORDER BY p.doc_id) - 1 AS row, coalesce(n, 0)::INTEGER AS n_words, a AS first_id, b AS last_id, coalesce(s, 0) AS id_sum FROM papers p LEFT JOIN x USING (doc_id)""",
+    "frequent_words": f"WITH {PAPERS}, {POSTINGS} SELECT word, count(*) AS doc_freq FROM postings GROUP BY word HAVING count(*) >= {FLOOR}::DOUBLE * (SELECT count(*) FROM papers)",
+    "published_floor": f"WITH {PAPERS}, {POSTINGS} SELECT word, count(*) AS doc_freq FROM postings GROUP BY word HAVING count(*) >= {PUBLISHED_FLOOR}::DOUBLE * (SELECT count(*) FROM papers)",
+    "section_length_ranks": f"""WITH {PAPERS}, {SECTIONS}, n AS (SELECT section, {WORDS.format('text')} AS n FROM secs)
+        SELECT section, floor(quantile_cont(n, 0.05) + 1e-9)::BIGINT AS p05, floor(quantile_cont(n, 0.5) + 1e-9)::BIGINT AS median, floor(quantile_cont(n, 0.95) + 1e-9)::BIGINT AS p95 FROM n GROUP BY section""",
+    "section_docfreq": f"""WITH {BY_SECTION}, n AS (SELECT p.section, avg(coalesce(k, 0)) AS mean FROM parts p LEFT JOIN (SELECT doc_id, section, count(*) AS k FROM sp GROUP BY ALL) c USING (doc_id, section) GROUP BY p.section)
+        SELECT section, word, count(*) AS n FROM sp WHERE year >= 2018 AND section IN (SELECT section FROM n WHERE mean < (SELECT max(mean) FROM n)) GROUP BY section, word""",
+    "literature_overlay": f"""WITH {BASE}, {GROUP_MONTH}, r AS (SELECT make_date(year, month, 1) AS date, grp AS section, usage FROM proj WHERE year >= 2022),
+        e AS (SELECT (date_trunc('day', ts) + to_months((event_id % 36 - 12)::INTEGER))::DATE AS date, CASE WHEN event_id % 2 = 0 THEN 'common' ELSE 'rare' END AS section, value, event_type AS mode FROM events),
+        m AS (SELECT r.section, r.date, e.mode, e.value, r.usage, (year(r.date) - year(e.date)) * 12 + month(r.date) - month(e.date) AS whole, day(r.date) - day(e.date) AS days,
+            day(r.date) = day(last_day(r.date)) AND day(e.date) = day(last_day(e.date)) AS ends FROM r JOIN e ON r.section = e.section)
+        SELECT section, strftime(date, '%Y-%m') AS month, mode, count(*) AS n, {r('avg(value)', 'mean_estimate')}, {r('max(usage)', 'usage')} FROM m
+        WHERE abs(whole + CASE WHEN ends THEN 0 ELSE days / 31.0::DOUBLE END) <= 6 GROUP BY section, date, mode""",
+    "excess_labels": f"""WITH {PAPERS}, {POSTINGS}, {MONTHS}, {MEAN}, {LAGGED}, x AS (SELECT word, freq, least(round(ratio, 9), 90) AS ratio, least(round(gap, 9), 0.049) AS gap, round(freq, 9) AS f FROM lagged
+            WHERE year = 2024 AND word NOT IN ({", ".join(repr(w) for w in IGNORED_WORDS)}) AND round(freq, 9) >= 0.001)
+        SELECT word, {r('freq')}, {r('ratio')}, {r('gap')}, coalesce(log10(ratio) > log10(2.2) - (log10(f) + 4) * log10(2) / 4, false) AS by_ratio, coalesce(gap > 0.011, false) AS by_gap FROM x""",
+    "country_precise": f"""WITH {BASE}, {HEADS}, {COUNTRY.replace("FROM postings p JOIN markers m USING (word) WHERE m.grp", "FROM hp p WHERE p.grp").replace("FROM papers", "FROM pp")}, {regression('cf', 'grp', 'year', POOLED, POOLED)},
+        s AS (SELECT grp, n_papers, usage, sqrt({variance("(CASE WHEN projection >= 1 THEN 0.9999999999999999::DOUBLE ELSE projection END)", "(CASE WHEN freq = 1 THEN 0.9999999999999999::DOUBLE ELSE freq END)", "n_papers", "regression", "usage")}) AS se FROM proj WHERE year = {POOLED})
+        SELECT most_se, grp, n_papers, {r('usage')}, {r('se')} FROM s CROSS JOIN (VALUES {", ".join(f"({x}::DOUBLE)" for x in MOST_COUNTRY_SE)}) l(most_se) WHERE round(se, 9) < most_se""",
+    "preprint_share": f"""WITH {PAPERS} SELECT year, count(*) AS n_papers, count_if(coalesce(journal IN ('src1', 'src2', 'src4', 'src5'), false))::BIGINT AS n,
+        round(count_if(coalesce(journal IN ('src1', 'src2', 'src4', 'src5'), false)) / count(*), 6) AS share FROM papers GROUP BY year""",
+    "papers_by_type": f"""WITH {PAPERS}, p AS (SELECT * FROM papers WHERE year * 12 + month >= 2020 * 12 + 11) SELECT year, count(*) AS n, 'all' AS kind FROM p GROUP BY year
+        UNION ALL SELECT year, count(*), 'review-article' FROM p WHERE article_type = 'review-article' GROUP BY year""",
+    "section_month_projection": "WITH " + BY_SECTION.replace("SELECT doc_id, year, section", "SELECT doc_id, year, month, section").replace("SELECT doc_id, year, 'full'", "SELECT doc_id, year, month, 'full'").replace("GROUP BY doc_id, year)", "GROUP BY doc_id, year, month)").replace("SELECT doc_id, year, i,", "SELECT doc_id, year, month, i,") + f""",
+        i AS (SELECT unnest(range({2022 * 12 + 10 - 60}, {LAST * 12 + 12})) AS i),
+        mn AS (SELECT section, year * 12 + month - 1 AS i, count(*) AS n_papers FROM parts GROUP BY ALL), mc AS (SELECT section, word, year * 12 + month - 1 AS i, count(*) AS n FROM sm GROUP BY ALL),
+        grid AS (SELECT k.section, k.word, i.i, (coalesce(c.n, 0) + 1.0::DOUBLE) / (coalesce(m.n_papers, 0) + 1) AS freq FROM (SELECT DISTINCT section, word FROM mc WHERE i >= {2022 * 12 + 10 - 60}) k CROSS JOIN i
+            LEFT JOIN mc c ON c.section = k.section AND c.word = k.word AND c.i = i.i LEFT JOIN mn m ON m.section = k.section AND m.i = i.i)""" + "".join(
+        f""", p{k} AS (WITH {regression('grid', 'section, word', 'i', 2022 * 12 + 10, k)} SELECT {k}::INTEGER AS months, section, word, (i % 12 + 1)::INTEGER AS month, {r('freq')}, {r('projection')}, {r('sdev')}, {r('gap')} FROM proj WHERE i >= {LAST * 12})""" for k in (24, 60)
+    ) + " SELECT * FROM p24 UNION ALL SELECT * FROM p60",
+    "listed_sweep": f"WITH {BASE}, {WORD_YEAR}, f2024 AS (SELECT word, freq FROM wy JOIN markers USING (word) WHERE year = 2024 AND grp = 'common'), {CUTS}, {SWEEP} SELECT cutoff, year, n, {r('freq')} FROM swept WHERE year >= 2018",
     "pooled_errors": f"""WITH {POOLED_SWEEP} SELECT cutoff, {r('freq')}, {r('projection')}, {r('usage')}, {r('se')}, bad IS NULL OR step < bad AS "within" FROM pe""",
     "pooled_optimum": f"""WITH {POOLED_SWEEP} SELECT cutoff, {r('usage')}, {r('se')} FROM pe WHERE bad IS NULL OR step < bad ORDER BY round(usage, 9) DESC, step LIMIT 1""",
     "html_titles": r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '[ \t\r\n]+', ' ', 'g')), '') AS title FROM pages""",
@@ -332,7 +369,7 @@ ORACLES["funnel_transposed"] = f"WITH f AS ({ORACLES['corpus_funnel']}) " + " UN
 
 
 def _in_two_steps(sql: str) -> str:
-    """round(x, 6) as the queries do it: to nine digits, then to six."""
+    """round(x, 6) as the queries do it: to nine digits, off the edge, then to six."""
     out, at = "", 0
     while (start := sql.find("round(", at)) >= 0:
         depth, end = 1, start + len("round(")
@@ -341,7 +378,7 @@ def _in_two_steps(sql: str) -> str:
             end += 1
         inner = sql[start + len("round(") : end - 1]
         if inner.endswith(", 6"):
-            out += f"{sql[at:start]}round(round({_in_two_steps(inner[:-3])}, 9), 6)"
+            out += f"{sql[at:start]}round(round({_in_two_steps(inner[:-3])}, 9) + 1e-10, 6)"
         else:
             out += f"{sql[at:start]}round({_in_two_steps(inner)})"
         at = end

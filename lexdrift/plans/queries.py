@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import estimate
 from ..functions.dates import month_axis, parse_date
-from ..functions.lists import COMMON_MARKERS, CUTOFFS, IGNORED_WORDS
+from ..functions.lists import COMMON_MARKERS, CUTOFFS, IGNORED_WORDS, PREPRINTS
 from ..functions.text import canonical_title, clean_title, crop, sample, standard_sections, word_count
-from ..operators import cleaning, cutoffs, frequency, language, lemmas, reports, simulation
+from ..operators import cleaning, cutoffs, frequency, language, lemmas, matrix, quantiles, reports, simulation
 from ..sources import ingest
-from ..sources.corpus import FIRST_YEAR, TITLES, YEARS, papers, renames, scratch, section_tokens, table, tokenised
-from ..sources.xml import country_table, html_title, parse_articles
+from ..sources.articles import read_records
+from ..sources.corpus import FIRST_YEAR, TITLES, YEARS, head_tokens, materialised, papers, read_word_table, renames, scratch, section_parts, section_tokens, table, tokenised
+from ..sources.xml import country_table, html_title
 
 FIRST, LAST = FIRST_YEAR, FIRST_YEAR + YEARS - 1
 #: The yearly means of months begin here.
@@ -28,8 +29,9 @@ RAW_JOURNALS = ["Journal of Neurology", "Neurological Journal", "Journal of Canc
 
 
 def r(c: Column | str) -> Column:
-    """Rounded for comparison: to nine digits first, as a value on the edge of the sixth would go up or down by its last bit; + 0.0 turns a negative zero into zero."""
-    return F.round(F.round(F.col(c) if isinstance(c, str) else c, 9), 6) + F.lit(0.0)
+    """Rounded for comparison. A value on the edge of the sixth digit would go up or down by its last bit: it is rounded to nine digits first, and moved off the edge.
+    + 0.0 turns a negative zero into zero."""
+    return F.round(F.round(F.col(c) if isinstance(c, str) else c, 9) + F.lit(1e-10), 6) + F.lit(0.0)
 
 
 def _band(df: DataFrame, p: DataFrame) -> DataFrame:
@@ -407,7 +409,7 @@ def _section_base(spark, sf_dir):
     p = tokenised(spark, sf_dir)
     words = [w for group in _lists(p).values() for w in group]
     sections = section_tokens(spark, sf_dir)
-    return sections, frequency.postings(sections, ("section", "doc_id", "year"), words)
+    return sections, frequency.postings(sections, ("section", "doc_id", "year", "month"), words)
 
 
 def _section_years(sections):
@@ -698,7 +700,7 @@ def xml_articles(spark, sf_dir):
 
 def xml_records(spark, sf_dir):
     """Records of the made articles: attributes, ids, title, country, date, abstract, sections."""
-    x = parse_articles(xml_articles(spark, sf_dir), country_table(spark))
+    x = read_records(xml_articles(spark, sf_dir), country_table(spark))
     chars = F.aggregate("sections", F.lit(0).cast("long"), lambda n, t: n + F.length(t))
     return x.where("_corrupt is null").select(
         F.col("pmc-id").cast("long").alias("doc_id"), F.col("article-type").alias("article_type"), "language", "journal", "pmid", "title", "country", "date", "abstract",
@@ -715,7 +717,7 @@ def xml_ingest(spark, sf_dir):
         rows.select("value", F.concat(F.lit("s"), (F.col("k") % 8).cast("string")).alias("segment")).write.mode("append").partitionBy("segment").option("maxRecordsPerFile", 1).text(folder)
 
     def run() -> dict[str, int]:
-        return ingest.ingest(spark, folder, path, lambda files: parse_articles(files, country_table(spark), ("segment",)), glob="part-*.txt", pattern=r"part-.*\.txt")
+        return ingest.ingest(spark, folder, path, lambda files: read_records(files, country_table(spark), ("segment",)), glob="part-*.txt", pattern=r"part-.*\.txt")
 
     land(articles)
     runs = [run(), run()]
@@ -728,14 +730,25 @@ def xml_ingest(spark, sf_dir):
 
 #: Years of a pooled period, periods that are trained on, and the published bound of the error.
 POOL, POOLED, PUBLISHED_SE = 5, 4, 0.025
+#: The cutoffs of the pooled sweep: the usual ones and some between, as errors of small corpora exceed the bound early.
+POOLED_CUTOFFS = sorted([*CUTOFFS, 0.0025, 0.003, 0.004])
+
+
+def _pool(rows: DataFrame) -> DataFrame:
+    """Rows of the whole periods of five years, by period in place of the year."""
+    return rows.where(F.col("year") < FIRST + POOL * (POOLED + 1)).withColumn("year", F.floor((F.col("year") - FIRST) / POOL).cast("int"))
 
 
 def _pooled(spark, sf_dir):
-    """The sweep over periods of five years with its estimates, of the cutoffs that aren't saturated."""
-    p, _, y, c = _cutoffs(spark, sf_dir)
-    pool = lambda rows: rows.where(F.col("year") < FIRST + POOL * (POOLED + 1)).withColumn("year", (F.floor((F.col("year") - FIRST) / POOL)).cast("int"))
-    own = pool(p)
-    swept = cutoffs.sweep(frequency.postings(own, ("doc_id", "year")), y, c, frequency.calendar(own, 0, POOLED))
+    """The sweep over the common marker words of the papers' first lines in periods of five years, of the cutoffs that aren't saturated. Words are cut by their
+    frequency in all periods, as few lines of a period have any one of them."""
+    p, base = _base(spark, sf_dir)
+    heads = _pool(head_tokens(spark, sf_dir))
+    rows = frequency.postings(heads, ("doc_id", "year")).join(_markers(base, p).where("grp = 'common'").select("word"), "word", "left_semi")
+    periods = frequency.calendar(heads, 0, POOLED)
+    all_ = F.broadcast(periods.agg(F.sum("n_papers").alias("n_papers")))
+    y = frequency.document_frequency(rows).crossJoin(all_).select("word", estimate.smoothed(F.col("doc_freq"), F.col("n_papers")).alias("freq"))
+    swept = cutoffs.sweep(rows, y, cutoffs.cutoff_table(spark, POOLED_CUTOFFS), periods)
     return cutoffs.without_saturated(cutoffs.estimated(swept, ["cutoff", "step"], POOLED, POOLED))
 
 
@@ -753,6 +766,125 @@ def pooled_optimum(spark, sf_dir):
     return best.select("cutoff", r("usage").alias("usage"), r("se").alias("se"))
 
 
+def matrix_counts(spark, sf_dir):
+    """Papers of each word, by the column sums of the incidence matrix that is written and read again."""
+    path = scratch(spark)
+    matrix.write_matrix(tokenised(spark, sf_dir), path)
+    words, packed = matrix.read_matrix(spark, path)
+    return matrix.column_sums(packed).join(words, "word_id").select("word", F.col("n").alias("doc_freq"))
+
+
+def matrix_rows(spark, sf_dir):
+    """Each paper's row of the incidence matrix: its place, its number of words, and the first, the last and the sum of their ids."""
+    p = tokenised(spark, sf_dir)
+    rows = matrix.incidence(p, materialised(matrix.dictionary(frequency.postings(p))))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "row", F.size("ids").alias("n_words"), F.get("ids", F.lit(0)).alias("first_id"), F.try_element_at("ids", F.lit(-1)).alias("last_id"), total.alias("id_sum"))
+
+
+#: Share of the papers that a frequent word is in at least; the published one is for a corpus of millions.
+FLOOR, PUBLISHED_FLOOR = 0.002, 1e-6
+
+
+def frequent_words(spark, sf_dir):
+    """Words in at least a share of the papers; a sketch sorts out the rare ones before they are counted."""
+    p, rows = _base(spark, sf_dir)
+    return frequency.frequent(rows, p, FLOOR)
+
+
+def published_floor(spark, sf_dir):
+    """The same with the published share, which no word of a small corpus falls below."""
+    p, rows = _base(spark, sf_dir)
+    return frequency.frequent(rows, p, PUBLISHED_FLOOR)
+
+
+def section_length_ranks(spark, sf_dir):
+    """Exact quantiles of the sections' lengths by ranges of values; the interpolated ones cut to whole numbers."""
+    s = _sections_long(spark, sf_dir).select("section", word_count(F.col("text")).alias("n"))
+    q = quantiles.quantiles(materialised(s), ["section"], "n", [0.05, 0.5, 0.95])
+    of = lambda share: F.max(F.when(F.col("share") == share, F.floor(F.col("quantile") + 1e-9))).cast("long")
+    return q.groupBy("section").agg(of(0.05).alias("p05"), of(0.5).alias("median"), of(0.95).alias("p95"))
+
+
+def section_docfreq(spark, sf_dir):
+    """Papers of each word since 2018 in the sections that are shorter than the longest one: the others' directories are left out when the query runs."""
+    parts = section_parts(spark, sf_dir)
+    sizes = parts.groupBy("section").agg(F.avg(F.size("words")).alias("mean"))
+    chosen = sizes.crossJoin(F.broadcast(sizes.agg(F.max("mean").alias("most")))).where("mean < most").select("section")
+    rows = parts.where("year >= 2018").join(F.broadcast(chosen), "section").select("section", F.explode("words").alias("word"))  # a row for each section
+    return rows.groupBy("section", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def literature_overlay(spark, sf_dir):
+    """Events as dated estimates, each beside the groups' monthly usage within six months: how many, and their mean, for each month and mode."""
+    g = _groups(spark, sf_dir, True).withColumn("i", frequency.period_index(F.col("year"), F.col("month")))
+    x = frequency.regression(g, ["grp"], "i", "freq", 2022 * 12 + 10, 24).withColumn("usage", estimate.usage(F.col("freq"), F.col("projection")))
+    report = x.where("year >= 2022").select(F.make_date("year", "month", F.lit(1)).alias("date"), F.col("grp").alias("section"), "usage")
+    e = table(spark, sf_dir, "events")
+    # the events of one month, spread over three years
+    day = F.add_months(F.to_date("ts"), (F.col("event_id") % 36 - 12).cast("int"))
+    published = e.select(day.alias("date"), F.when(F.col("event_id") % 2 == 0, "common").otherwise("rare").alias("section"), F.col("value").alias("estimate"), F.col("event_type").alias("mode"))
+    near = reports.overlay(report, published).groupBy("section", "date", "mode").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("estimate"))).alias("mean_estimate"), r(F.max("usage")).alias("usage"))
+    return near.select("section", F.date_format("date", "yyyy-MM").alias("month"), "mode", "n", "mean_estimate", "usage")
+
+
+def excess_labels(spark, sf_dir):
+    """What the plot of a year's excess words shows of each word that isn't ignored and frequent enough."""
+    rows = _lagged(spark, sf_dir).where(~F.col("word").isin(IGNORED_WORDS)).where((F.col("year") == 2024) & (F.round("mean_freq", 9) >= 1e-3))
+    shown = estimate.label_rule(F.round("ratio", 9), F.round("gap", 9), F.round("mean_freq", 9))
+    return rows.select("word", r("mean_freq").alias("freq"), *[(r(c) if k in ("ratio", "gap") else c).alias(k) for k, c in shown.items()])
+
+
+#: Bounds of the error of a country's usage: the published one, and a wide one.
+MOST_COUNTRY_SE = [0.07, 0.2]
+
+
+def country_precise(spark, sf_dir):
+    """Usage of the country groups in the last period of five years, by the first lines' rare marker words, of those whose error is below each bound."""
+    marked = frequency.group_hits(_pool(head_tokens(spark, sf_dir)), {"rare": _lists(tokenised(spark, sf_dir))["rare"]})
+    groups = reports.memberships(F.col("country"), ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"], ["NATION_2", "NATION_7", "NATION_12"])
+    x = frequency.regression(reports.overlapping_frequency(marked, F.col("rare"), groups, "year"), ["grp"], "year", "freq", POOLED, POOLED)
+    se = estimate.standard_error(F.col("projection"), F.col("freq"), F.col("n_papers"), "regression", F.col("sdev"))
+    x = x.where(F.col("year") == POOLED).select("grp", "n_papers", estimate.usage(F.col("freq"), F.col("projection")).alias("usage"), se.alias("se"))
+    bounds = F.broadcast(spark.createDataFrame([(b,) for b in MOST_COUNTRY_SE], "most_se double"))
+    kept = x.crossJoin(bounds).where(F.round("se", 9) < F.col("most_se"))
+    return kept.select("most_se", "grp", "n_papers", r("usage").alias("usage"), r("se").alias("se"))
+
+
+def preprint_share(spark, sf_dir):
+    """Share of each year's papers from preprint servers, which some of the sources stand for."""
+    names = {"src1": "bioRxiv", "src2": "medRxiv", "src4": "arXiv", "src5": "Research Square"}
+    p = papers(spark, sf_dir).withColumn("journal", reports.remapped(F.col("journal"), names))
+    return reports.listed_share(p, PREPRINTS, "year").withColumn("share", r("share"))
+
+
+def papers_by_type(spark, sf_dir):
+    """Papers by year since November 2020, of all types and of one."""
+    p = cleaning.since(papers(spark, sf_dir), "2020-11-01")
+    each = [cleaning.of_type(p, t).groupBy("year").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(t)) for t in ("all", "review-article")]
+    return each[0].unionByName(each[1])
+
+
+def section_month_projection(spark, sf_dir):
+    """Monthly projection of each marker word in each section, from the 24 and from the 60 months before November 2022, for 2025."""
+    sections, rows = _section_base(spark, sf_dir)
+    end, last = 2022 * 12 + 10, LAST * 12 + 11
+    counts = frequency.monthly(rows, end - 60, last, ("section", "word"))
+    n = sections.groupBy("section", frequency.period_index(F.col("year"), F.col("month")).alias("i")).agg(F.count(F.lit(1)).alias("n_papers"))  # a row for each section and month
+    x = counts.join(F.broadcast(n), ["section", "i"], "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0).cast("long"))).withColumn("freq", estimate.smoothed(F.col("n"), F.col("n_papers")))
+    out = [frequency.regression(x, ["section", "word"], "i", "freq", end, k).where(F.col("i") >= LAST * 12).withColumn("months", F.lit(k)) for k in (24, 60)]
+    return out[0].unionByName(out[1]).select("months", "section", "word", (F.col("i") % 12 + 1).cast("int").alias("month"), *[r(c).alias(c) for c in ("freq", "projection", "sdev", "gap")])
+
+
+def listed_sweep(spark, sf_dir):
+    """The sweep over a list of marker words that is read from a file: here the common ones, written out first."""
+    p, rows, y, c = _cutoffs(spark, sf_dir)
+    path = scratch(spark)
+    _markers(rows, p).where("grp = 'common'").select("word").write.text(path)
+    listed = y.join(F.broadcast(read_word_table(spark, path)), "word", "left_semi")  # a published list
+    return cutoffs.sweep(rows, listed, c, frequency.calendar(p, FIRST, LAST)).where("year >= 2018").select("cutoff", "year", "n", r("freq").alias("freq"))
+
+
 NAMES = [
     "corpus_funnel", "funnel_discarded", "dedupe_latest", "language_inferred", "section_standardize", "section_set_filter", "section_length_quantiles",
     "melt_lengths", "date_normalize", "token_docfreq", "docfreq_floor", "papers_per_month", "mean_papers_per_month", "word_year_freq", "word_month_grid",
@@ -765,5 +897,7 @@ NAMES = [
     "delemmatize", "layout_topk", "title_counts", "substring_probe", "crop_words", "sample_words", "html_titles", "simulated_recovery",
     "floor_year_mean", "aligned_counts", "funnel_transposed", "lemma_sweep", "word_lemmas",
     "language_profiles", "language_detected", "funnel_language", "upsert_by_key", "xml_ingest", "pooled_errors", "pooled_optimum",
+    "matrix_counts", "matrix_rows", "frequent_words", "published_floor", "section_length_ranks", "section_docfreq", "literature_overlay", "excess_labels",
+    "country_precise", "preprint_share", "papers_by_type", "section_month_projection", "listed_sweep",
 ]
 QUERIES = {name: globals()[name] for name in NAMES}

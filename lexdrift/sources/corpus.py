@@ -52,6 +52,11 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def read_word_table(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a text file with a word a line, or of a folder of such files: published marker words and the like. Blank lines and repeats go."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+
+
 def write_metadata(spark: SparkSession, path: str, **parameters) -> None:
     """The parameters of a run as a JSON file beside its tables."""
     import json
@@ -59,8 +64,8 @@ def write_metadata(spark: SparkSession, path: str, **parameters) -> None:
     spark.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def compute_or_load(spark: SparkSession, folder: str, name: str, parameters: dict, make) -> DataFrame:
-    """A result kept as a table under a hash of its parameters: computed once, then read. Other parameters are another table."""
+def compute_or_load(spark: SparkSession, folder: str, name: str, parameters: dict, make, by: tuple[str, ...] = ()) -> DataFrame:
+    """A result kept as a table under a hash of its parameters: computed once, then read. Other parameters are another table. by: what it is partitioned by."""
     import hashlib
     import json
 
@@ -68,10 +73,21 @@ def compute_or_load(spark: SparkSession, folder: str, name: str, parameters: dic
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        make().write.mode("overwrite").parquet(path)
+        rows = make()
+        (rows.hint("rebalance", *by).write.partitionBy(*by) if by else rows.write).mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def partitions_of(spark: SparkSession, path: str, key: str) -> list[str]:
+    """The values of a partitioned table's first key, by its directories: nothing is read."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()]
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return sorted(unescape(n.removeprefix(f"{key}=")) for n in names if n.startswith(f"{key}="))
+
+
 def baseline_packages(names: DataFrame, suffix: str = "tar.gz") -> DataFrame:
     """Of listed file names (name), the baseline packages and their dates; with .csv or .txt, the file lists beside them."""
     rows = names.where(F.contains("name", F.lit("baseline")) & F.col("name").endswith(suffix))
@@ -108,6 +124,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _stamp(spark: SparkSession, path: str) -> list[str]:
     """Name, length and time of the files of a table: other files are other data."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -115,12 +138,12 @@ def _stamp(spark: SparkSession, path: str) -> list[str]:
     return sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(at))
 
 
-def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table that all queries of a session share, kept in its shared folder as long as its driver runs."""
+def _kept(spark: SparkSession, sf_dir: str, name: str, make, by: tuple[str, ...] = ()) -> DataFrame:
+    """A table that all queries of a session share, kept in its shared folder as long as its driver runs; partitioned by the columns in `by`."""
     folder = f"{shared_folder(spark)}/corpus"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return compute_or_load(spark, folder, name, {t: _stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "nation", "region")}, make)
+    return compute_or_load(spark, folder, name, {t: _stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "nation", "region")}, make, by)
 
 
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +155,15 @@ def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "tokens", make)
 
 
+def head_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers with the distinct words of their first line, as tokenised() has those of the whole abstract."""
+
+    def make() -> DataFrame:
+        return papers(spark, sf_dir).select("doc_id", "year", "month", "country", tokens(F.get("sections", F.lit(0))).alias("words"))
+
+    return _kept(spark, sf_dir, "heads", make)
+
+
 def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, year, month, section, words) of each section of each paper, and of all of them joined in their order, as `full`."""
 
@@ -144,6 +176,11 @@ def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "sections", make)
 
 
+def section_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """section_tokens() as a table partitioned by section and year, of which queries read the directories that they ask for."""
+    return _kept(spark, sf_dir, "parts", lambda: section_tokens(spark, sf_dir), ("section", "year"))
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, doc_freq) of all words of two letters and more, which may be base forms of longer ones."""
 

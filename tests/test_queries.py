@@ -19,7 +19,7 @@ def rows(names, values):
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()
-    for t in ("region", "nation", "documents", "pages"):
+    for t in ("region", "nation", "documents", "pages", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return con
 
