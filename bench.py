@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from lexdrift.plans.queries import QUERIES
+from lexdrift.plans.queries import QUERIES, marked_papers
 from lexdrift.sources.corpus import tokenised
 
 HEADLINE = ["word_year_freq", "token_docfreq", "two_groups_month", "ols_projection", "excess_words", "cutoff_sweep", "optimal_cutoff", "country_freq", "section_standardize", "lemma_sum"]
@@ -32,6 +32,9 @@ def main() -> None:
     began = time.time()
     tokenised(spark, sf_dir)  # kept for all queries of a session, so it has an entry of its own
     took = {"token_table": round(time.time() - began, 3)}
+    began = time.time()
+    marked_papers(spark, sf_dir)  # the same for the marker words
+    took["marker_table"] = round(time.time() - began, 3)
     for name in HEADLINE:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

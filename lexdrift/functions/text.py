@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,11 +54,27 @@ def canonical_title(title: Column, titles: dict[str, list[str]] = SECTION_TITLES
     return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(clean_title(title))), F.lit(""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def standard_sections(titles: Column, sections: Column) -> Column:
-    """Map of canonical title to text, texts of the same title joined by a space in their order; empty if the arrays differ in length."""
-    pairs = F.filter(F.transform(F.arrays_zip(titles.alias("t"), sections.alias("s")), lambda x: F.struct(canonical_title(x["t"]).alias("k"), x["s"].alias("s"))), lambda x: x["k"] != "")
-    keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
-    made = F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_join(F.transform(F.filter(pairs, lambda x: x["k"] == k), lambda x: x["s"]), " ").alias("value"))))
+    """Map of canonical title to text, texts of the same title joined by a space in their order; empty if the arrays differ in length.
+
+    Each different title is looked up once.
+    """
+
+    def joined(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_join(F.transform(F.filter(pairs, lambda x: x["k"] == k), lambda x: x["s"]), " ").alias("value"))))
+
+    def named(known: Column) -> Column:
+        pairs = F.transform(F.arrays_zip(titles.alias("t"), sections.alias("s")), lambda x: F.struct(F.coalesce(F.element_at(known, x["t"]), F.lit("")).alias("k"), x["s"].alias("s")))
+        return _let(F.filter(pairs, lambda x: x["k"] != ""), joined)
+
+    different = F.filter(F.array_distinct(titles), lambda t: t.isNotNull())
+    made = _let(F.map_from_entries(F.transform(different, lambda t: F.struct(t.alias("key"), canonical_title(t).alias("value")))), named)
     return F.when(F.size(titles) == F.size(sections), made).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 

@@ -26,10 +26,16 @@ def sweep(rows: DataFrame, frequencies: DataFrame, cutoffs: DataFrame, periods:
     frequencies has the marker words (word, freq) of each `by`; periods the papers of each year and `by`.
     """
     rarest = rows.join(F.broadcast(frequencies), ["word", *by]).groupBy("doc_id", "year", *by).agg(F.min("freq").alias("rarest"))
-    # each paper joins the first cutoff above its rarest word; the sums over lower cutoffs are of a few hundred rows
+    return sweep_rarest(rarest, cutoffs, periods, by)
+
+
+def sweep_rarest(rarest: DataFrame, cutoffs: DataFrame, periods: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """sweep() of papers (year, by) whose rarest marker word is known (rarest, its frequency; null: none). Nothing but counts is shuffled."""
+    counted = rarest.where("rarest is not null").groupBy("rarest", "year", *by).agg(F.count(F.lit(1)).alias("_c"))
+    # each count goes to the first cutoff above its rarest word; the sums over lower cutoffs are of a few hundred rows
     steps = cutoffs.withColumn("low", F.coalesce(F.lag("cutoff").over(Window.orderBy("step")), F.lit(float("-inf"))))
-    first = rarest.join(F.broadcast(steps), (F.col("rarest") < F.col("cutoff")) & (F.col("rarest") >= F.col("low")))
-    n = first.groupBy("step", "year", *by).agg(F.count(F.lit(1)).alias("_n"))
+    first = counted.join(F.broadcast(steps), (F.col("rarest") < F.col("cutoff")) & (F.col("rarest") >= F.col("low")))
+    n = first.groupBy("step", "year", *by).agg(F.sum("_c").alias("_n"))
     dense = F.broadcast(cutoffs).crossJoin(F.broadcast(periods)).join(n, ["step", "year", *by], "left")
     upto = Window.partitionBy("year", *by).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dense = dense.withColumn("n", F.sum(F.coalesce("_n", F.lit(0).cast("long"))).over(upto)).drop("_n")

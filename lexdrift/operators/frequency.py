@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,12 +106,28 @@ def group_hits(papers: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return papers.select("*", *[F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(words)]).cast("array<string>")).alias(name) for name, words in groups.items()])
 
 
+def marked(papers: DataFrame, markers: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """papers without their words, with `rarest`, the frequency of their rarest marker word (null: none), and a column for each group: whether they have a word of it.
+
+    markers has (word, freq, grp). It is a list, published or bounded as one, so it is broadcast: postings meet it where they are, and are added up by paper once.
+    """
+    own = [c for c in papers.columns if c != "words"]
+    rows = papers.withColumn("_row", F.monotonically_increasing_id()).select("_row", *own, F.explode_outer("words").alias("word"))
+    found = rows.join(F.broadcast(markers.select("word", "freq", "grp")), "word", "left")
+    flags = [F.coalesce(F.bool_or(F.col("grp") == g), F.lit(False)).alias(g) for g in groups]
+    return found.groupBy("_row", *own).agg(F.min("freq").alias("rarest"), *flags).drop("_row")
+
+
+def flag_frequency(papers: DataFrame, flags: list[str], periods: DataFrame, *period: str) -> DataFrame:
+    """(grp, period, n, n_papers, freq): papers for which each flag column holds, in all periods. Nothing but the counts is shuffled."""
+    n = papers.groupBy(*period).agg(*[F.count_if(F.col(g)).alias(g) for g in flags])
+    wide = periods.join(n, list(period), "left").na.fill(0, flags)
+    return wide.unpivot([*period, "n_papers"], flags, "grp", "n").withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
+
+
 def group_frequency(papers: DataFrame, groups: dict[str, list[str]], periods: DataFrame, *period: str) -> DataFrame:
-    """(grp, period, n, n_papers, freq): papers with at least one word of each group's list, in all periods. Nothing but the counts is shuffled."""
-    hits = group_hits(papers.select(*period, "words"), groups)
-    n = hits.groupBy(*period).agg(*[F.count_if(g).alias(g) for g in groups])
-    wide = periods.join(n, list(period), "left").na.fill(0, list(groups))
-    return wide.unpivot([*period, "n_papers"], list(groups), "grp", "n").withColumn("freq", smoothed(F.col("n"), F.col("n_papers")))
+    """(grp, period, n, n_papers, freq): papers (words) with at least one word of each group's list, in all periods."""
+    return flag_frequency(group_hits(papers.select(*period, "words"), groups), list(groups), periods, *period)
 
 
 def yearly_mean(monthly: DataFrame, *keys: str) -> DataFrame:
@@ -117,17 +135,41 @@ def yearly_mean(monthly: DataFrame, *keys: str) -> DataFrame:
     return monthly.groupBy(*keys, "year").agg(F.avg("freq").alias("mean_freq"))
 
 
-def mean_of_months(rows: DataFrame, months: DataFrame, key: str, first: int, last: int) -> DataFrame:
-    """yearly_mean() of all keys of postings (key, year, month) in all years, without a grid of months.
+def mean_series(rows: DataFrame, months: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """(key, means): for all keys of postings (key, year, month), or words of papers (words, year, month), the means of the monthly frequencies of each year from first to last as one array, without a grid of months.
 
     A month adds (n + 1) / (n_papers + 1): what the year's months add without any count is a constant, and each posting adds 1 / (n_papers + 1).
     """
     share = months.select("year", "month", (1 / (F.col("n_papers") + 1)).alias("_share"))
-    base = share.where(F.col("year").between(first, last)).groupBy("year").agg(F.avg("_share").alias("_base"), F.count(F.lit(1)).alias("_months"))
+    base = share.where(F.col("year").between(first, last)).groupBy("year").agg(F.avg("_share").alias("base"), F.count(F.lit(1)).alias("months"))
+    base = base.agg(F.sort_array(F.collect_list(F.struct("year", "base", "months"))).alias("_years"))  # one row, of a year each
     each = [F.sum(F.when(F.col("year") == y, F.col("_share")).otherwise(0.0)) for y in range(first, last + 1)]
-    wide = rows.join(F.broadcast(share), ["year", "month"]).groupBy(key).agg(F.array(*each).alias("_sums"))
-    dense = wide.select(key, F.posexplode("_sums").alias("_at", "_sum")).withColumn("year", (F.col("_at") + first).cast("int"))
-    return dense.join(F.broadcast(base), "year").select(key, "year", (F.col("_base") + F.col("_sum") / F.col("_months")).alias("mean_freq"))
+    rows = rows.join(F.broadcast(share), ["year", "month"])
+    if "words" in rows.columns:  # papers: their months are looked up once, not for each word
+        rows = rows.select("year", "_share", F.explode("words").alias(key))
+    wide = rows.groupBy(key).agg(F.array(*each).alias("_sums")).crossJoin(F.broadcast(base))
+    return wide.select(key, F.zip_with("_sums", "_years", lambda s, y: y["base"] + s / y["months"]).alias("means"))
+
+
+def mean_of_months(rows: DataFrame, months: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """yearly_mean() of all keys of postings (key, year, month) in all years: mean_series() as rows."""
+    found = mean_series(rows, months, key, first, last)
+    return found.select(key, F.posexplode("means").alias("_at", "mean_freq")).select(key, (F.col("_at") + first).cast("int").alias("year"), "mean_freq")
+
+
+def lagged_series(series: DataFrame, key: str, first: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """lag_projection() of series (key, means) that begin in a year, from the fourth on: by places in the array, without a window.
+
+    keep gets a struct (year, mean_freq, projection, ratio, gap) and tells which years become rows at all.
+    """
+
+    def year(at: Column) -> Column:
+        own, two, three = (F.get("means", at - k) for k in (0, 2, 3))
+        expected = two + F.greatest(2 * (two - three), F.lit(0.0))
+        return F.struct((at + first).cast("int").alias("year"), own.alias("mean_freq"), expected.alias("projection"), ratio(own, expected).alias("ratio"), (own - expected).alias("gap"))
+
+    years = F.transform(F.sequence(F.lit(3), F.size("means") - 1), year)
+    return series.select(key, F.explode(F.filter(years, keep) if keep else years).alias("_x")).select(key, "_x.*")
 
 
 def floor_mean(monthly: DataFrame, value: str, *keys: str, time: str = "time") -> DataFrame:

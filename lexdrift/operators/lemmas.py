@@ -7,7 +7,6 @@ meet their base forms in a join on the vocabulary, of any size.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,30 +18,36 @@ def _fixed(word: Column, names: Mapping[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), word) if names else F.lit(None).cast("string")
 
 
-def _shortest(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """(word, new): of each word's candidates that are known words the shortest, and the first by alphabet of equally short ones."""
-    found = candidates.join(known.select(F.col("word").alias("base")), "base", "left_semi")
-    return found.groupBy("word").agg(F.min(F.struct(F.length("base").alias("n"), "base"))["base"].alias("new"))
+def _cut(word: Column, rules: list[tuple[str, str]]) -> Column:
+    """What is left of a word by each of the rules (ending, what stands for it) that apply."""
+    each = F.array(*[F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")) for old, new in rules])
+    fits = F.filter(each, lambda r: word.endswith(r["old"]) & (F.length(word) > F.length(r["old"])))
+    return F.transform(fits, lambda r: F.concat(F.substring(word, F.lit(1), F.length(word) - F.length(r["old"])), r["new"]))
 
 
-def detached(words: DataFrame, known: DataFrame, rules: list[tuple[str, str]], rounds: int = 2) -> DataFrame:
-    """(word, new) of the words (word) that become a known word (word) when one of the endings in rules is taken off.
+def _each(words: Column, rules: list[tuple[str, str]]) -> Column:
+    return F.flatten(F.transform(words, lambda w: _cut(w, rules)))
 
-    Where no ending leads to a known word, endings are taken off what is left, in so many rounds.
-    """
 
-    def cut(base: Column) -> Column:
-        each = [F.when(base.endswith(old) & (F.length(base) > len(old)), F.concat(F.substring(base, F.lit(1), F.length(base) - len(old)), F.lit(new))) for old, new in rules]
-        return F.explode(F.array_compact(F.array_distinct(F.array(*each))))
+def _numbered(words: Column, at: int) -> Column:
+    return F.transform(words, lambda w: F.struct(F.lit(at).alias("at"), w.alias("base")))
+
 
-    left = words.select("word", F.col("word").alias("base"))
-    out = []
-    for k in range(rounds):
-        left = left.select("word", cut(F.col("base")).alias("base"))
-        out.append(_shortest(left, known))
-        if k + 1 < rounds:
-            left = left.join(out[-1].select("word"), "word", "left_anti")
-    return reduce(DataFrame.unionByName, out)
+def detached(words: DataFrame, known: DataFrame, passes: list[list[tuple[str, str]]], rounds: int = 2) -> DataFrame:
+    """(word, new) of the words (word) that become a known word (word) when one of the endings in a pass's rules is taken off.
+
+    The first pass that leads anywhere counts. Where no ending leads to a known word, endings are taken off what is left, in so many rounds. Of several
+    known words the shortest is taken, and the first by alphabet of equally short ones. All candidates meet the vocabulary in one join.
+    """
+    tried = []
+    for k, rules in enumerate(passes):
+        left = F.array("word")
+        for n in range(rounds):
+            left = _each(left, rules)
+            tried.append(_numbered(left, k * rounds + n))
+    rows = words.select("word", F.explode(F.flatten(F.array(*tried))).alias("x")).select("word", "x.at", "x.base")
+    found = rows.join(known.select(F.col("word").alias("base")), "base", "left_semi")
+    return found.groupBy("word").agg(F.min(F.struct("at", F.length("base").alias("n"), "base"))["base"].alias("new"))
 
 
 def lemma_table(words: DataFrame, known: DataFrame, exceptions: DataFrame | None = None, first: Mapping[str, str] = LEMMAS, irregular: Mapping[str, str] = IRREGULAR) -> DataFrame:
@@ -57,11 +62,8 @@ def lemma_table(words: DataFrame, known: DataFrame, exceptions: DataFrame | None
         told = exceptions.groupBy("word").agg(F.min("lemma").alias("_e"))
         own = own.join(told, "word", "left").select("word", F.coalesce("given", "_e").alias("given"))
     own = own.withColumn("given", F.coalesce("given", _fixed(F.col("word"), irregular)))
-    free = own.where(F.col("given").isNull())
-    verbs = detached(free, known, DETACHED["verb"])
-    nouns = detached(free.join(verbs, "word", "left_anti"), known, DETACHED["noun"])
-    out = own.where(F.col("given").isNotNull()).select("word", F.col("given").alias("new")).unionByName(verbs).unionByName(nouns)
-    return out.where("new <> word")
+    found = detached(own.where(F.col("given").isNull()), known, [DETACHED["verb"], DETACHED["noun"]])
+    return own.where(F.col("given").isNotNull()).select("word", F.col("given").alias("new")).unionByName(found).where("new <> word")
 
 
 def spelling_table(words: DataFrame, known: DataFrame, given: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.text import canonical_title, clean_title, crop, sample, standar
 from ..operators import cleaning, cutoffs, frequency, language, lemmas, matrix, quantiles, reports, simulation
 from ..sources import ingest
 from ..sources.articles import read_records
-from ..sources.corpus import FIRST_YEAR, TITLES, YEARS, head_tokens, materialised, papers, read_word_table, renames, scratch, section_parts, section_tokens, table, tokenised
+from ..sources.corpus import FIRST_YEAR, TITLES, YEARS, head_tokens, kept, materialised, papers, read_word_table, renames, scratch, section_parts, section_tokens, table, tokenised
 from ..sources.xml import country_table, html_title
 
 FIRST, LAST = FIRST_YEAR, FIRST_YEAR + YEARS - 1
@@ -45,14 +45,6 @@ def _markers(rows: DataFrame, p: DataFrame) -> DataFrame:
     return _band(frequency.document_frequency(rows), p)
 
 
-def _lists(p: DataFrame) -> dict[str, list[str]]:
-    """The marker words of each group. The band bounds their number, whatever the size of the corpus, so the driver can hold them as a published list."""
-    found: dict[str, list[str]] = {"common": [], "rare": []}
-    for word, grp in _markers(frequency.postings(p), p).select("word", "grp").collect():
-        found[grp].append(word)
-    return found
-
-
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = tokenised(spark, sf_dir)
     return p, frequency.postings(p)
@@ -185,6 +177,26 @@ def _yearly(p: DataFrame, rows: DataFrame) -> DataFrame:
     return frequency.with_frequency(counts, frequency.calendar(p, FIRST, LAST), "year").select("word", "year", "n", "n_papers", "freq")
 
 
+GROUPS = ("common", "rare")
+
+
+def marker_table(spark, sf_dir):
+    """(word, doc_freq, grp, freq) of the marker words, with their frequency of 2024; kept for all queries of a session. The band bounds their number, whatever the
+    size of the corpus, as a published list is."""
+
+    def make() -> DataFrame:
+        p, rows = _base(spark, sf_dir)
+        counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"), F.count_if(F.col("year") == 2024).alias("n"))
+        return frequency.with_frequency(_band(counts, p).withColumn("year", F.lit(2024)), frequency.calendar(p, 2024, 2024), "year").select("word", "doc_freq", "grp", "freq")
+
+    return kept(spark, sf_dir, "markers", make)
+
+
+def marked_papers(spark, sf_dir):
+    """The papers with the frequency of their rarest marker word, and whether they have any of each group; kept for all queries of a session."""
+    return kept(spark, sf_dir, "marked", lambda: frequency.marked(tokenised(spark, sf_dir).drop("short"), marker_table(spark, sf_dir), GROUPS))
+
+
 def word_year_freq(spark, sf_dir):
     """Smoothed yearly frequency of the marker words."""
     p, rows = _base(spark, sf_dir)
@@ -204,18 +216,24 @@ def word_month_grid(spark, sf_dir):
     return g.where("year >= 2018").select("word", "year", "month", "n", r("freq").alias("freq"), r(month_axis(F.col("year"), F.col("month"))).alias("time"))
 
 
+def _series(spark, sf_dir):
+    """Yearly means of the months' frequencies of every word, the years as one array."""
+    p = tokenised(spark, sf_dir)
+    return frequency.mean_series(p, frequency.calendar(p, FIRST, LAST, monthly=True), "word", MEANS, LAST)
+
+
 def _mean(spark, sf_dir):
-    """Yearly means of the months' frequencies, of every word."""
-    p, rows = _base(spark, sf_dir)
-    return frequency.mean_of_months(rows, frequency.calendar(p, FIRST, LAST, monthly=True), "word", MEANS, LAST)
+    """The same as rows."""
+    p = tokenised(spark, sf_dir)
+    return frequency.mean_of_months(p, frequency.calendar(p, FIRST, LAST, monthly=True), "word", MEANS, LAST)
 
 
 def yearly_mean_freq(spark, sf_dir):
     return _mean(spark, sf_dir).select("word", "year", r("mean_freq").alias("mean_freq"))
 
 
-def _lagged(spark, sf_dir):
-    return frequency.lag_projection(_mean(spark, sf_dir), "word", "mean_freq", MEANS + 3)
+def _lagged(spark, sf_dir, keep=None):
+    return frequency.lagged_series(_series(spark, sf_dir), "word", MEANS, keep)
 
 
 def lag_projection(spark, sf_dir):
@@ -223,9 +241,9 @@ def lag_projection(spark, sf_dir):
 
 
 def _excess(spark, sf_dir):
-    rows = _lagged(spark, sf_dir).where(~F.col("word").isin(IGNORED_WORDS))
     # rounded, as a word that is just as frequent as the rule asks is in or out by the last bit
-    return rows.where(estimate.is_excess(F.round("ratio", 9), F.round("gap", 9), F.round("mean_freq", 9)))
+    rule = lambda x: F.coalesce(estimate.is_excess(F.round(x["ratio"], 9), F.round(x["gap"], 9), F.round(x["mean_freq"], 9)), F.lit(False))
+    return _lagged(spark, sf_dir, rule).where(~F.col("word").isin(IGNORED_WORDS))
 
 
 def excess_words(spark, sf_dir):
@@ -247,8 +265,8 @@ def ratio_filter(spark, sf_dir):
 
 
 def _groups(spark, sf_dir, monthly=False):
-    p = tokenised(spark, sf_dir)
-    return frequency.group_frequency(p, _lists(p), frequency.calendar(p, FIRST, LAST, monthly), *(("year", "month") if monthly else ("year",)))
+    p = marked_papers(spark, sf_dir)
+    return frequency.flag_frequency(p, list(GROUPS), frequency.calendar(p, FIRST, LAST, monthly), *(("year", "month") if monthly else ("year",)))
 
 
 def two_groups_year(spark, sf_dir):
@@ -324,9 +342,8 @@ def usage_band(spark, sf_dir):
 
 def low_frequency_month(spark, sf_dir):
     """The group of words that are rarer than a cutoff in 2024, month by month, with a projection from 60 months, partly collected months left out."""
-    p, rows = _base(spark, sf_dir)
-    words = [w for (w,) in _yearly(p, rows).where("year = 2024").where(F.round("freq", 9) < LOW_CUTOFF).select("word").collect()]
-    g = frequency.group_frequency(p, {"low": words}, frequency.calendar(p, FIRST, LAST, monthly=True), "year", "month")
+    p = marked_papers(spark, sf_dir).withColumn("low", F.coalesce(F.round("rarest", 9) < LOW_CUTOFF, F.lit(False)))
+    g = frequency.flag_frequency(p, ["low"], frequency.calendar(p, FIRST, LAST, monthly=True), "year", "month")
     g = frequency.without_partial(g, FIRST * 12, LAST * 12 + 9).withColumn("i", frequency.period_index(F.col("year"), F.col("month")))
     x = frequency.regression(g, ["grp"], "i", "freq", 2022 * 12 + 10, 60)
     return x.select("year", "month", "n", r("freq").alias("freq"), r("projection").alias("projection"), r("sdev").alias("sdev"), r("gap").alias("gap"))
@@ -339,8 +356,7 @@ def error_band(spark, sf_dir):
 
 def _cutoffs(spark, sf_dir):
     p, rows = _base(spark, sf_dir)
-    y = _yearly(p, rows).where("year = 2024").select("word", "freq")
-    return p, rows, y, cutoffs.cutoff_table(spark, CUTOFFS)
+    return p, rows, marker_table(spark, sf_dir).select("word", "freq"), cutoffs.cutoff_table(spark, CUTOFFS)
 
 
 def cutoff_lists(spark, sf_dir):
@@ -349,8 +365,9 @@ def cutoff_lists(spark, sf_dir):
 
 
 def _swept(spark, sf_dir):
-    p, rows, y, c = _cutoffs(spark, sf_dir)
-    return cutoffs.sweep(rows, y, c, frequency.calendar(p, FIRST, LAST)), y, c
+    _, _, y, c = _cutoffs(spark, sf_dir)
+    p = marked_papers(spark, sf_dir)
+    return cutoffs.sweep_rarest(p.select("year", "rarest"), c, frequency.calendar(p, FIRST, LAST)), y, c
 
 
 def cutoff_sweep(spark, sf_dir):
@@ -406,10 +423,9 @@ def marker_order(spark, sf_dir):
 
 def _section_base(spark, sf_dir):
     """Sections, and their postings of the papers' marker words."""
-    p = tokenised(spark, sf_dir)
-    words = [w for group in _lists(p).values() for w in group]
     sections = section_tokens(spark, sf_dir)
-    return sections, frequency.postings(sections, ("section", "doc_id", "year", "month"), words)
+    rows = frequency.postings(sections, ("section", "doc_id", "year", "month"))
+    return sections, rows.join(F.broadcast(marker_table(spark, sf_dir).select("word")), "word", "left_semi")
 
 
 def _section_years(sections):
@@ -461,8 +477,7 @@ def subopt_lists(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     """The papers, and whether each has a rare marker word."""
-    p = tokenised(spark, sf_dir)
-    return frequency.group_hits(p, {"rare": _lists(p)["rare"]}), F.col("rare")
+    return marked_papers(spark, sf_dir), F.col("rare")
 
 
 def _countries(spark, sf_dir):
@@ -742,9 +757,9 @@ def _pool(rows: DataFrame) -> DataFrame:
 def _pooled(spark, sf_dir):
     """The sweep over the common marker words of the papers' first lines in periods of five years, of the cutoffs that aren't saturated. Words are cut by their
     frequency in all periods, as few lines of a period have any one of them."""
-    p, base = _base(spark, sf_dir)
     heads = _pool(head_tokens(spark, sf_dir))
-    rows = frequency.postings(heads, ("doc_id", "year")).join(_markers(base, p).where("grp = 'common'").select("word"), "word", "left_semi")
+    common = marker_table(spark, sf_dir).where("grp = 'common'").select("word")
+    rows = frequency.postings(heads, ("doc_id", "year")).join(F.broadcast(common), "word", "left_semi")
     periods = frequency.calendar(heads, 0, POOLED)
     all_ = F.broadcast(periods.agg(F.sum("n_papers").alias("n_papers")))
     y = frequency.document_frequency(rows).crossJoin(all_).select("word", estimate.smoothed(F.col("doc_freq"), F.col("n_papers")).alias("freq"))
@@ -830,7 +845,7 @@ def literature_overlay(spark, sf_dir):
 
 def excess_labels(spark, sf_dir):
     """What the plot of a year's excess words shows of each word that isn't ignored and frequent enough."""
-    rows = _lagged(spark, sf_dir).where(~F.col("word").isin(IGNORED_WORDS)).where((F.col("year") == 2024) & (F.round("mean_freq", 9) >= 1e-3))
+    rows = _lagged(spark, sf_dir, lambda x: (x["year"] == 2024) & (F.round(x["mean_freq"], 9) >= 1e-3)).where(~F.col("word").isin(IGNORED_WORDS))
     shown = estimate.label_rule(F.round("ratio", 9), F.round("gap", 9), F.round("mean_freq", 9))
     return rows.select("word", r("mean_freq").alias("freq"), *[(r(c) if k in ("ratio", "gap") else c).alias(k) for k, c in shown.items()])
 
@@ -841,14 +856,14 @@ MOST_COUNTRY_SE = [0.07, 0.2]
 
 def country_precise(spark, sf_dir):
     """Usage of the country groups in the last period of five years, by the first lines' rare marker words, of those whose error is below each bound."""
-    marked = frequency.group_hits(_pool(head_tokens(spark, sf_dir)), {"rare": _lists(tokenised(spark, sf_dir))["rare"]})
+    marked = frequency.marked(_pool(head_tokens(spark, sf_dir)), marker_table(spark, sf_dir), GROUPS)
     groups = reports.memberships(F.col("country"), ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"], ["NATION_2", "NATION_7", "NATION_12"])
     x = frequency.regression(reports.overlapping_frequency(marked, F.col("rare"), groups, "year"), ["grp"], "year", "freq", POOLED, POOLED)
     se = estimate.standard_error(F.col("projection"), F.col("freq"), F.col("n_papers"), "regression", F.col("sdev"))
     x = x.where(F.col("year") == POOLED).select("grp", "n_papers", estimate.usage(F.col("freq"), F.col("projection")).alias("usage"), se.alias("se"))
     bounds = F.broadcast(spark.createDataFrame([(b,) for b in MOST_COUNTRY_SE], "most_se double"))
-    kept = x.crossJoin(bounds).where(F.round("se", 9) < F.col("most_se"))
-    return kept.select("most_se", "grp", "n_papers", r("usage").alias("usage"), r("se").alias("se"))
+    precise = x.crossJoin(bounds).where(F.round("se", 9) < F.col("most_se"))
+    return precise.select("most_se", "grp", "n_papers", r("usage").alias("usage"), r("se").alias("se"))
 
 
 def preprint_share(spark, sf_dir):
@@ -880,7 +895,7 @@ def listed_sweep(spark, sf_dir):
     """The sweep over a list of marker words that is read from a file: here the common ones, written out first."""
     p, rows, y, c = _cutoffs(spark, sf_dir)
     path = scratch(spark)
-    _markers(rows, p).where("grp = 'common'").select("word").write.text(path)
+    marker_table(spark, sf_dir).where("grp = 'common'").select("word").write.text(path)
     listed = y.join(F.broadcast(read_word_table(spark, path)), "word", "left_semi")  # a published list
     return cutoffs.sweep(rows, listed, c, frequency.calendar(p, FIRST, LAST)).where("year >= 2018").select("cutoff", "year", "n", r("freq").alias("freq"))
 

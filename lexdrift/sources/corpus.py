@@ -64,6 +64,10 @@ def write_metadata(spark: SparkSession, path: str, **parameters) -> None:
     spark.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+#: Schemas of the tables that were read in this process, by path: their files needn't be looked into again.
+_schemas: dict[str, T.StructType] = {}
+
+
 def compute_or_load(spark: SparkSession, folder: str, name: str, parameters: dict, make, by: tuple[str, ...] = ()) -> DataFrame:
     """A result kept as a table under a hash of its parameters: computed once, then read. Other parameters are another table. by: what it is partitioned by."""
     import hashlib
@@ -75,7 +79,9 @@ def compute_or_load(spark: SparkSession, folder: str, name: str, parameters: dic
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         rows = make()
         (rows.hint("rebalance", *by).write.partitionBy(*by) if by else rows.write).mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def partitions_of(spark: SparkSession, path: str, key: str) -> list[str]:
@@ -138,7 +144,7 @@ def _stamp(spark: SparkSession, path: str) -> list[str]:
     return sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(at))
 
 
-def _kept(spark: SparkSession, sf_dir: str, name: str, make, by: tuple[str, ...] = ()) -> DataFrame:
+def kept(spark: SparkSession, sf_dir: str, name: str, make, by: tuple[str, ...] = ()) -> DataFrame:
     """A table that all queries of a session share, kept in its shared folder as long as its driver runs; partitioned by the columns in `by`."""
     folder = f"{shared_folder(spark)}/corpus"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -147,12 +153,14 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, make, by: tuple[str, ...]
 
 
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The papers without their texts, with the distinct words of the abstract. Texts are split once, for all queries of a session."""
+    """The papers without their texts, with the distinct words of the abstract, and those of two and three letters as `short`. Texts are split once, for all queries
+    of a session."""
 
     def make() -> DataFrame:
-        return papers(spark, sf_dir).select("doc_id", "year", "month", "article_type", "country", "region", "journal", tokens(F.col("abstract")).alias("words"))
+        p = papers(spark, sf_dir).select("doc_id", "year", "month", "article_type", "country", "region", "journal", tokens(F.col("abstract"), 2).alias("all"))
+        return p.select(*[c for c in p.columns if c != "all"], F.filter("all", lambda w: F.length(w) >= 4).alias("words"), F.filter("all", lambda w: F.length(w) < 4).alias("short"))
 
-    return _kept(spark, sf_dir, "tokens", make)
+    return kept(spark, sf_dir, "tokens", make)
 
 
 def head_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +169,7 @@ def head_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         return papers(spark, sf_dir).select("doc_id", "year", "month", "country", tokens(F.get("sections", F.lit(0))).alias("words"))
 
-    return _kept(spark, sf_dir, "heads", make)
+    return kept(spark, sf_dir, "heads", make)
 
 
 def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,29 +181,29 @@ def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = p.select("doc_id", "year", "month", F.explode(F.map_concat("m", F.create_map(F.lit("full"), full))).alias("section", "text"))
         return p.select("doc_id", "year", "month", "section", tokens(F.col("text")).alias("words"))
 
-    return _kept(spark, sf_dir, "sections", make)
+    return kept(spark, sf_dir, "sections", make)
 
 
 def section_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """section_tokens() as a table partitioned by section and year, of which queries read the directories that they ask for."""
-    return _kept(spark, sf_dir, "parts", lambda: section_tokens(spark, sf_dir), ("section", "year"))
+    return kept(spark, sf_dir, "parts", lambda: section_tokens(spark, sf_dir), ("section", "year"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, doc_freq) of all words of two letters and more, which may be base forms of longer ones."""
 
     def make() -> DataFrame:
-        rows = papers(spark, sf_dir).select(F.explode(tokens(F.col("abstract"), 2)).alias("word"))
+        rows = tokenised(spark, sf_dir).select(F.explode(F.concat("words", "short")).alias("word"))
         return rows.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
 
-    return _kept(spark, sf_dir, "vocabulary", make)
+    return kept(spark, sf_dir, "vocabulary", make)
 
 
 def renames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(word, new) of the corpus's words of four letters and more: American spellings, and lemmas. Found once for all queries of a session."""
     known = vocabulary(spark, sf_dir)
     words = known.where(F.length("word") >= 4)
-    return _kept(spark, sf_dir, "spellings", lambda: spelling_table(words, known)), _kept(spark, sf_dir, "lemmas", lambda: lemma_table(words, known))
+    return kept(spark, sf_dir, "spellings", lambda: spelling_table(words, known)), kept(spark, sf_dir, "lemmas", lambda: lemma_table(words, known))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:

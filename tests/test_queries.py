@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from lexdrift.plans import queries
 from lexdrift.plans.oracles import ORACLES
 from lexdrift.plans.queries import QUERIES
 
@@ -50,10 +51,23 @@ def test_texts_are_not_read_again(spark, small, name):
     """Headline queries read the kept words of the papers, never the documents, and don't split texts."""
     df = QUERIES[name](spark, small)
     files = df.inputFiles()
-    assert files and all("/corpus/tokens-" in f for f in files)
+    assert files and all("/corpus/" in f for f in files)
     assert "regexp" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_plans_start_no_jobs_and_send_no_papers(spark, small):
+    """Once the tables of a session are kept, making a plan runs nothing, and sweeps and groups shuffle counts, not papers or words."""
+    names = ("two_groups_month", "ols_projection", "cutoff_sweep", "optimal_cutoff", "country_freq", "low_frequency_month")
+    for name in names:
+        QUERIES[name](spark, small)
+    tracker = spark.sparkContext.statusTracker()
+    for name in names:
+        before = len(tracker.getJobIdsForGroup())
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert len(tracker.getJobIdsForGroup()) == before, name
+        assert not [line for line in plan.splitlines() if "hashpartitioning(" in line and ("doc_id" in line or "word" in line.split("hashpartitioning(")[1].split(")")[0])], name
+
+
 def test_entry_without_a_dependency(monkeypatch):
     """Without a library that the subpackage builds on, or without the pipeline, the other queries are there."""
     import importlib
