@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +69,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots and backticks in them included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def packed(docs: DataFrame, *own: str) -> DataFrame:
     """The columns in `own`, and all others as one struct, `rest`, so that their names can't clash with those that an operator adds."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    others = quoted(c for c in docs.columns if c not in own)
     return docs.select(*own, (F.struct(*others) if others else F.lit(None)).alias("rest"))
 
 

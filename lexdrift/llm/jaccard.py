@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_slots, chunks, flat, map_arrow, map_batches, materialise, packed, parts, small_batches, table, unpacked
+from .common import bitmap, bitmap_slots, chunks, flat, map_arrow, map_batches, materialise, packed, parts, quoted, small_batches, table, unpacked
 from .components import components, union
 from .shingles import WORDS, links_within, shared, shingle_sets
 
@@ -478,7 +478,7 @@ def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, row
     kept = kept.withColumn("row", F.when(bare & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
     whole, order = F.struct("doc_id", "text", "rest"), F.struct(F.col("text").isNotNull().alias("some"), F.col("text"))
     kept = kept.groupBy("key", F.col("doc_id").alias("id"), "row").agg(F.max_by(whole, order).alias("x")).select("x.*")
-    return unpacked(kept, docs.columns, "doc_id", "text").select(*docs.columns)
+    return unpacked(kept, docs.columns, "doc_id", "text").select(*quoted(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_slots, distinct, map_arrow, materialise, mix64, packed, parts, table, unpacked
+from .common import bitmap, bitmap_slots, distinct, map_arrow, materialise, mix64, packed, parts, quoted, table, unpacked
 from .components import components, union
 from .shingles import links_within
 
@@ -319,7 +319,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     gone = clusters(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
     names = [c for c in docs.columns if c not in ADDED]
-    out = packed(docs.select(*names), "doc_id", "text").join(gone.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    out = packed(docs.select(*quoted(names)), "doc_id", "text").join(gone.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
 
     def since(g: Column, k: Column) -> Column:
         """How many lines stay between a line that goes, the k-th of them, and the one that went before."""
@@ -331,7 +331,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     n = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     out = out.select("rest", "doc_id", text.alias("text"), n.alias("n_lines"), (n - F.coalesce(F.size("gone"), F.lit(0))).alias("n_kept"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
-    return unpacked(out, names, "doc_id", "text").select(*names, *ADDED)
+    return unpacked(out, names, "doc_id", "text").select(*quoted([*names, *ADDED]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, packed, table, unpacked
+from .common import WORD, materialise, packed, quoted, table, unpacked
 
 #: Fixed by the contract.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
@@ -185,7 +185,7 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     own = F.when(F.col("m") == 1, F.col("copies")).otherwise(F.floor(F.col("copies") / F.col("m")) + F.when(place < F.col("copies") % F.col("m"), 1).otherwise(0))
     rows = rows.withColumn("own", own.cast("int")).where("own > 0")
     rows = rows.select("doc_id", "text", "rest", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("copy"))
-    return unpacked(rows, docs.columns, "doc_id", "text").select(*docs.columns)
+    return unpacked(rows, docs.columns, "doc_id", "text").select(*quoted(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
