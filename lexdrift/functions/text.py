@@ -25,17 +25,23 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def _drawn(seed: int, *keys: Column) -> Column:
+    """A hash of keys, the same in every engine, as hexadecimal digits; null keys count as empty."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys], F.lit(str(seed))).cast("binary"))
+
+
 def crop(text: Column, most: int, *keys: Column, seed: int = 0) -> Column:
     """`most` words in a row from a place drawn by a hash of the keys; a text that isn't longer stays as it is."""
     w = words(text)
-    start = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.size(w) - most + 1).cast("int") + 1
+    place = F.conv(F.substring(_drawn(seed, *keys), 1, 15), 16, 10).cast("long")
+    start = (place % F.greatest(F.size(w) - most + 1, F.lit(1))).cast("int") + 1
     return F.when(F.size(w) <= most, text).otherwise(F.array_join(F.slice(w, start, F.lit(most)), " "))
 
 
 def sample(text: Column, most: int, *keys: Column, seed: int = 0) -> Column:
     """`most` words without replacement, those at the positions with the least hashes; a text that isn't longer stays as it is."""
     w = words(text)
-    drawn = F.transform(w, lambda x, at: F.struct(F.xxhash64(*keys, at, F.lit(seed)).alias("h"), x.alias("w")))
+    drawn = F.transform(w, lambda x, at: F.struct(_drawn(seed, *keys, at).alias("h"), x.alias("w")))
     chosen = F.transform(F.slice(F.array_sort(drawn), 1, most), lambda s: s["w"])
     return F.when(F.size(w) <= most, text).otherwise(F.array_join(chosen, " "))
 
@@ -54,7 +60,7 @@ def canonical_title(title: Column, titles: dict[str, list[str]] = SECTION_TITLES
     return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(clean_title(title))), F.lit(""))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -71,10 +77,10 @@ def standard_sections(titles: Column, sections: Column) -> Column:
 
     def named(known: Column) -> Column:
         pairs = F.transform(F.arrays_zip(titles.alias("t"), sections.alias("s")), lambda x: F.struct(F.coalesce(F.element_at(known, x["t"]), F.lit("")).alias("k"), x["s"].alias("s")))
-        return _let(F.filter(pairs, lambda x: x["k"] != ""), joined)
+        return let(F.filter(pairs, lambda x: x["k"] != ""), joined)
 
     different = F.filter(F.array_distinct(titles), lambda t: t.isNotNull())
-    made = _let(F.map_from_entries(F.transform(different, lambda t: F.struct(t.alias("key"), canonical_title(t).alias("value")))), named)
+    made = let(F.map_from_entries(F.transform(different, lambda t: F.struct(t.alias("key"), canonical_title(t).alias("value")))), named)
     return F.when(F.size(titles) == F.size(sections), made).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
@@ -94,17 +100,11 @@ def full_text(sections: Column, required: list[str]) -> Column:
 def last_label(text: Column, labels: list[str] = DISCIPLINES) -> Column:
     """The label that begins furthest right, as a whole word, or else as part of a word; ties go to the earlier label; null if there is none."""
     low = F.lower(text)
+    whole = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w.isin(labels))
 
-    def best(start) -> Column:
-        found = F.array_max(F.array(*[F.struct(start(name).alias("at"), F.lit(-k).alias("order"), F.lit(name).alias("label")) for k, name in enumerate(labels)]))
-        return F.when(found["at"] > 0, found["label"])
-
-    def as_word(name: str) -> Column:
-        # the rest from the last match on; \b is ASCII-only or not by JVM version, so boundaries are spelled out
-        head = F.regexp_extract(low, rf"(?s)^(.*(?:^|[^\p{{L}}\p{{N}}_])){name}(?![\p{{L}}\p{{N}}_])", 1)
-        return F.when(low.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_]){name}(?![\p{{L}}\p{{N}}_])"), F.length(head) + 1).otherwise(0)
-
-    def anywhere(name: str) -> Column:
-        return F.when(F.contains(low, F.lit(name)), F.length(low) - len(name) - F.locate(name[::-1], F.reverse(low)) + 2).otherwise(0)
+    def start(name: Column) -> Column:
+        """Where a label begins last, from 1; 0 if it isn't there."""
+        return F.when(F.contains(low, name), F.length(low) - F.length(name) - F.instr(F.reverse(low), F.reverse(name)) + 2).otherwise(0)
 
-    return F.coalesce(best(as_word), best(anywhere))
+    found = F.array_max(F.transform(F.array(*[F.lit(x) for x in labels]), lambda name, k: F.struct(start(name).alias("at"), (-k).alias("order"), name.alias("label"))))
+    return F.coalesce(F.try_element_at(whole, F.lit(-1)), F.when(found["at"] > 0, found["label"]))

@@ -260,7 +260,8 @@ ORACLES = {
     "optimal_cutoff": f"WITH {ALL_CUTS}, {BEST} SELECT most_se, year, cutoff, {r('usage')} FROM best",
     "fixed_cutoff": f"WITH {ALL_CUTS}, {BEST} SELECT b.most_se, e.cutoff, e.year, {r('e.usage', 'usage')} FROM est e JOIN best b ON e.step = b.step AND b.year = 2025",
     "chosen_words": f"WITH {ALL_CUTS}, {BEST} SELECT b.most_se, f.word FROM f2024 f JOIN best b ON f.freq < b.cutoff AND b.year = 2025",
-    "neighbour_cutoffs": f"WITH {CUTS} SELECT cutoff, step, lag(cutoff, 1) OVER (ORDER BY step) AS lower, lag(cutoff, 2) OVER (ORDER BY step) AS second_lower FROM cuts",
+    "neighbour_cutoffs": f"""WITH {BASE}, {WORD_YEAR}, {F2024}, {CUTS}, n AS (SELECT step, count(*) AS n_words FROM f2024 JOIN cuts ON freq < cutoff GROUP BY step)
+        SELECT cutoff, c.step, lag(cutoff, 1) OVER (ORDER BY c.step) AS lower, lag(cutoff, 2) OVER (ORDER BY c.step) AS second_lower, coalesce(n_words, 0) AS n_words FROM cuts c LEFT JOIN n ON n.step = c.step""",
     "marker_order": f"WITH {BASE}, {WORD_YEAR} SELECT word, {r('freq')} FROM wy WHERE year = 2024",
     "country_freq": f"WITH {BASE}, {COUNTRY} SELECT grp, year, n_papers, n, {r('freq')} FROM cf",
     "country_pivot": f"WITH {BASE}, {COUNTRY} SELECT grp, {', '.join(f'max(CASE WHEN year = {y} THEN round(freq, 6) END) AS y{y}' for y in range(2022, 2026))} FROM cf WHERE year >= 2022 GROUP BY grp",
@@ -296,8 +297,13 @@ ORACLES = {
         SELECT ['introduction', 'methods', 'results and analysis', 'discussion', 'related work', 'funding', 'summary and outlook', 'materials and methods'][(i - 1) % 8 + 1] AS title,
         ['introduction', 'methods', 'results', 'discussion', 'background', '', 'conclusion', 'methods'][(i - 1) % 8 + 1] AS section, count(*) AS n FROM x GROUP BY 1, 2""",
     "substring_probe": f"WITH {PAPERS} SELECT year, count_if(contains(lower(abstract), 'tion the'))::BIGINT AS n FROM papers GROUP BY year",
-    "crop_words": f"WITH {PAPERS} SELECT doc_id, least({WORDS.format('abstract')}, 50)::BIGINT AS n_words, true AS contained FROM papers",
-    "sample_words": f"WITH {PAPERS} SELECT doc_id, least({WORDS.format('abstract')}, 50)::BIGINT AS n_words FROM papers",
+    "crop_words": f"""WITH {PAPERS}, w AS (SELECT doc_id, abstract, list_filter(regexp_split_to_array(abstract, '\\s+'), lambda x: x <> '') AS w FROM papers),
+        s AS (SELECT *, ('0x' || substr(md5(doc_id || ':0'), 1, 15))::BIGINT % greatest(len(w) - 49, 1) + 1 AS place FROM w),
+        c AS (SELECT doc_id, abstract, w, CASE WHEN len(w) <= 50 THEN abstract ELSE array_to_string(w[place:place + 49], ' ') END AS c FROM s)
+        SELECT doc_id, least(len(w), 50)::BIGINT AS n_words, len(w) <= 50 OR contains(array_to_string(w, ' '), c) AS contained, md5(c) AS digest FROM c""",
+    "sample_words": f"""WITH {PAPERS}, w AS (SELECT doc_id, abstract, list_filter(regexp_split_to_array(abstract, '\\s+'), lambda x: x <> '') AS w FROM papers),
+        s AS (SELECT doc_id, abstract, w, list_sort(list_transform(range(1, len(w) + 1), lambda i: struct_pack(h := md5(doc_id || ':' || (i - 1) || ':0'), w := w[i])))[1:50] AS s FROM w)
+        SELECT doc_id, least(len(w), 50)::BIGINT AS n_words, md5(CASE WHEN len(w) <= 50 THEN abstract ELSE array_to_string(list_transform(s, lambda x: x.w), ' ') END) AS digest FROM s""",
     "floor_year_mean": f"WITH {BASE}, {WORD_MONTH} SELECT word, year, round(avg(freq), 6) + 0.0 AS freq FROM wm GROUP BY word, year",
     "aligned_counts": f"WITH {PAPERS}, {POSTINGS} SELECT word, count_if(year < 2013)::BIGINT AS left_n, count_if(year >= 2013)::BIGINT AS right_n FROM postings GROUP BY word",
     "lemma_sweep": f"WITH {LEMMA_SWEEP} SELECT cutoff, year, n, {r('freq')} FROM swept WHERE year >= 2018",

@@ -412,7 +412,10 @@ def chosen_words(spark, sf_dir):
 
 
 def neighbour_cutoffs(spark, sf_dir):
-    return cutoffs.neighbours(cutoffs.cutoff_table(spark, CUTOFFS))
+    """Each cutoff with the two lower ones, and the marker words below it."""
+    _, _, y, c = _cutoffs(spark, sf_dir)
+    n = cutoffs.cutoff_lists(y, c).groupBy("step").agg(F.count(F.lit(1)).alias("n_words"))
+    return cutoffs.neighbours(c).join(n, "step", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long")))
 
 
 def marker_order(spark, sf_dir):
@@ -627,15 +630,20 @@ def substring_probe(spark, sf_dir):
     return p.groupBy("year").agg(F.count_if(F.contains(F.lower("abstract"), F.lit("tion the"))).alias("n"))
 
 
+def _cut(p, short: Column) -> DataFrame:
+    whole = F.concat_ws(" ", F.filter(F.split("abstract", r"\s+"), lambda w: w != ""))
+    contained = (word_count(F.col("abstract")) <= 50) | F.contains(whole, short)
+    return p.select("doc_id", word_count(short).alias("n_words"), contained.alias("contained"), F.md5(short.cast("binary")).alias("digest"))
+
+
 def crop_words(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    c = crop(F.col("abstract"), 50, F.col("doc_id"))
-    return p.select("doc_id", word_count(c).alias("n_words"), ((word_count(F.col("abstract")) <= 50) | F.contains(F.concat_ws(" ", F.filter(F.split("abstract", r"\s+"), lambda w: w != "")), c)).alias("contained"))
+    """Fifty words in a row of each paper."""
+    return _cut(papers(spark, sf_dir), crop(F.col("abstract"), 50, F.col("doc_id")))
 
 
 def sample_words(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    return p.select("doc_id", word_count(sample(F.col("abstract"), 50, F.col("doc_id"))).alias("n_words"))
+    """Fifty words of each paper, drawn one by one."""
+    return _cut(papers(spark, sf_dir), sample(F.col("abstract"), 50, F.col("doc_id"))).drop("contained")
 
 
 def html_titles(spark, sf_dir):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import COUNTRY_ALIASES
+from ..functions.text import let
 from .corpus import RAW
 from .xml import country_table, parse_articles
 
@@ -42,42 +43,50 @@ def _parsed(xml: Column, schema: str) -> Column:
 
 def plain(inner: Column) -> Column:
     """The pieces of text of an inner XML, set apart by spaces."""
-    text = F.array_join(F.filter(F.split(inner, "<[^>]*>"), lambda t: t != ""), " ")
-    named = text
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        named = F.replace(named, F.lit(entity), F.lit(char))
-    # numbered ones are left to the parser
-    return F.when(F.contains(text, F.lit("&#")), F.xpath_string(F.concat(F.lit("<t>"), text, F.lit("</t>")), F.lit("/t"))).otherwise(named)
+
+    def told(text: Column) -> Column:
+        named = text
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            named = F.replace(named, F.lit(entity), F.lit(char))
+        # numbered ones are left to the parser
+        return F.when(F.contains(text, F.lit("&#")), F.xpath_string(F.concat(F.lit("<t>"), text, F.lit("</t>")), F.lit("/t"))).when(F.contains(text, F.lit("&")), named).otherwise(text)
+
+    return let(F.array_join(F.filter(F.split(inner, "<[^>]*>"), lambda t: t != ""), " "), told)
 
 
 def _first(texts: Column) -> Column:
     return F.get(texts, F.lit(0))
 
 
-def _lookup(names: Mapping[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key)
+def names_of(countries: Mapping[str, str]) -> dict[str, str]:
+    """What an address may end with, and the country: aliases as they are written, and after a blank, so that the two can't clash, names and codes in capitals."""
+    aliases = {name: c for name, code in COUNTRY_ALIASES.items() if (c := countries.get(code.upper()))}
+    return aliases | {f" {name}": c for name, c in countries.items()}
 
 
-def country_at_end(address: Column, countries: Mapping[str, str]) -> Column:
-    """The country that the fewest words at the end of an address name."""
-    aliases = {name: c for name, code in COUNTRY_ALIASES.items() if (c := countries.get(code.upper()))}
-    most = max(len(name.split()) for name in [*aliases, *countries])  # longer endings name none
-    words = F.filter(F.split(address, _BLANK), lambda w: w != "")
-    endings = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(most))), lambda n: F.regexp_replace(F.array_join(F.slice(words, -n, n), " "), r"^[.,;]+|[.,;]+$", ""))
-    found = F.transform(endings, lambda e: F.coalesce(_lookup(aliases, e), _lookup(countries, F.upper(e))))
-    return F.when(F.size(words) > 0, _first(F.array_compact(found)))
+def country_at_end(address: Column, names: Column, most: int) -> Column:
+    """The country that the fewest words at the end of an address name, at most so many, by a map of names_of()."""
+
+    def last(words: Column) -> Column:
+        tails = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(most))), lambda n: F.regexp_replace(F.array_join(F.slice(words, -n, n), " "), r"^[.,;]+|[.,;]+$", ""))
+        found = F.aggregate(tails, F.lit(None).cast("string"), lambda c, e: F.coalesce(c, F.element_at(names, e), F.element_at(names, F.concat(F.lit(" "), F.upper(e)))))
+        return F.when(F.size(words) > 0, found)
 
+    return let(F.filter(F.split(address, _BLANK), lambda w: w != ""), last)
 
-def _record(x: Column, countries: Mapping[str, str]) -> dict[str, Column]:
-    """The fields of a record from the parsed front (f), body and attributes of an article."""
+
+def _record(x: Column, names: Column, most: int) -> dict[str, Column]:
+    """The fields of a record from the parsed front (f), body and attributes of an article; names and most as for country_at_end()."""
     metas = F.coalesce(x["f"]["article-meta"], F.array())
     each = lambda rows, name: F.flatten(F.transform(rows, lambda r: F.coalesce(r[name], F.array())))
     journal = each(each(F.coalesce(x["f"]["journal-meta"], F.array()), "journal-title-group"), "journal-title")
     ids = each(metas, "article-id")
     groups = each(metas, "contrib-group")
     affs = [each(metas, "aff"), each(groups, "aff"), each(each(groups, "contrib"), "aff")]
-    named = [F.flatten(F.transform(a, lambda t: F.coalesce(_parsed(F.concat(F.lit("<a>"), t, F.lit("</a>")), "country array<string>, _corrupt string")["country"], F.array()))) for a in affs]
-    places = [country_at_end(plain(_first(p)), countries) for p in [*named, *affs]]
+    own = lambda t: F.coalesce(_parsed(F.concat(F.lit("<a>"), t, F.lit("</a>")), "country array<string>, _corrupt string")["country"], F.array())
+    named = F.transform(F.array(*affs), lambda a: _first(F.flatten(F.transform(F.filter(a, lambda t: F.contains(t, F.lit("<country"))), own))))
+    places = F.concat(named, F.array(*[_first(a) for a in affs]))
+    country = F.aggregate(places, F.lit(None).cast("string"), lambda c, p: F.coalesce(c, country_at_end(plain(p), names, most)))
     days = each(metas, "pub-date")
     kinds = [F.filter(days, lambda d: d["_pub-type"] == "epub"), F.filter(days, lambda d: d["_date-type"] == "pub"), F.filter(days, lambda d: d["_pub-type"] == "ppub")]
     day = F.coalesce(*[_first(k) for k in kinds])
@@ -92,7 +101,7 @@ def _record(x: Column, countries: Mapping[str, str]) -> dict[str, Column]:
         "pmc-id": plain(_first(F.filter(ids, lambda i: i["_pub-id-type"] == "pmc"))["_VALUE"]),
         "pmid": plain(_first(F.filter(ids, lambda i: i["_pub-id-type"] == "pmid"))["_VALUE"]),
         "title": plain(_first(each(each(metas, "title-group"), "article-title"))),
-        "country": F.coalesce(*places),
+        "country": country,
         "date": F.when(day.isNotNull(), F.array_join(parts, "-")),
         "abstract": F.array_join(F.transform(abstracts, plain), ""),
     }
@@ -101,16 +110,28 @@ def _record(x: Column, countries: Mapping[str, str]) -> dict[str, Column]:
 def _sections(secs: Column, ahead: Column) -> Column:
     """Map of titles to texts of the sections (inner XML) of a body, and of the text ahead of all."""
     pairs = F.transform(secs, lambda s: F.struct(F.nullif(F.regexp_extract(s, r"(?s)^\s*<title(?:\s[^>]*)?>([^<]*)", 1), F.lit("")).alias("t"), plain(s).alias("x")))
-    titled = F.filter(pairs, lambda p: p["t"].isNotNull())
-    keys = F.array_distinct(F.transform(titled, lambda p: p["t"]))
-    texts = F.transform(keys, lambda k: F.element_at(F.filter(titled, lambda p: p["t"] == k), -1)["x"])  # of equal titles the last text
-    bare = (F.size(keys) > 0) & (F.size(keys) < F.size(secs))
-    opening = F.when(bare, F.when(_first(pairs)["x"] != _first(texts), _first(pairs)["x"])).when(F.length(ahead) > 0, ahead)
-    at = F.array_position(F.transform(keys, plain), F.lit("Introduction")).cast("int")
-    return F.struct(
-        F.when(opening.isNotNull() & (at == 0), F.concat(F.transform(keys, plain), F.array(F.lit("Introduction")))).otherwise(F.transform(keys, plain)).alias("titles"),
-        F.when(opening.isNull(), texts).when(at == 0, F.concat(texts, F.array(opening))).otherwise(F.transform(texts, lambda t, i: F.when(i + 1 == at, opening).otherwise(t))).alias("texts"),
-    )
+
+    def made(pairs: Column, titled: Column, keys: Column, ahead: Column) -> Column:
+        """Titles and texts; what has no title may be the Introduction."""
+        texts = F.transform(keys, lambda k: F.element_at(F.filter(titled, lambda p: p["t"] == k), -1)["x"])  # of equal titles the last text
+        bare = (F.size(keys) > 0) & (F.size(keys) < F.size(pairs))
+        first = _first(pairs)["x"]
+        own = lambda texts: F.when(bare, F.when(first != _first(texts), first)).when(F.length(ahead) > 0, ahead)
+        return let(F.transform(keys, plain), lambda names: let(texts, lambda texts: let(own(texts), lambda opening: put(names, texts, opening))))
+
+    def put(names: Column, texts: Column, opening: Column) -> Column:
+        at = F.array_position(names, F.lit("Introduction")).cast("int")
+        fresh = opening.isNotNull() & (at == 0)
+        return F.struct(
+            F.when(fresh, F.concat(names, F.array(F.lit("Introduction")))).otherwise(names).alias("titles"),
+            F.when(opening.isNull(), texts).when(at == 0, F.concat(texts, F.array(opening))).otherwise(F.transform(texts, lambda t, i: F.when(i + 1 == at, opening).otherwise(t))).alias("texts"),
+        )
+
+    def titled(pairs: Column) -> Column:
+        named = F.filter(pairs, lambda p: p["t"].isNotNull())
+        return let(named, lambda rows: let(F.array_distinct(F.transform(rows, lambda p: p["t"])), lambda keys: let(ahead, lambda before: made(pairs, rows, keys, before))))
+
+    return let(pairs, titled)
 
 
 def _taken_apart(files: DataFrame) -> DataFrame:
@@ -145,12 +166,18 @@ def read_records(files: DataFrame, countries: Mapping[str, str] | None = None, k
     Regular articles are read by Spark's expressions, the others by the parser in Python.
     """
     given = country_table(files.sparkSession) if countries is None else dict(countries)
+    names = names_of(given)
+    most = max(len(n.split()) for n in names) if names else 1  # longer endings name none
     files = _taken_apart(files.select("content", *keep))
+    # rows of one or none, where a filter would be pushed down to where it has everything parsed a second time
+    regular = files.select(*keep, F.explode(F.filter(F.array("x"), lambda x: x.isNotNull())).alias("x"))
+    # the map is a row of its own, of some hundred names, beside each article
+    regular = regular.crossJoin(F.broadcast(files.sparkSession.createDataFrame([(names,)], "_names map<string,string>")))
     x = F.col("x")
-    fields = _record(x, given)
+    fields = _record(x, F.col("_names"), most)
     ahead = F.array_join(F.transform(x["ahead"], plain), "")
     made = _sections(x["secs"], ahead)
-    regular = files.where(x.isNotNull()).select(*[c.alias(name) for name, c in fields.items()], made.alias("made"), *keep)
+    regular = regular.select(*[c.alias(name) for name, c in fields.items()], made.alias("made"), *keep)
     regular = regular.select(*fields, F.col("made.titles").alias("section_titles"), F.col("made.texts").alias("sections"), F.lit(None).cast("string").alias("_corrupt"), *keep)
     order = [*RAW.fieldNames(), "_corrupt", *keep]
     odd = parse_articles(files.where(x.isNull()), given, keep)
