@@ -17,11 +17,11 @@ from ..functions.text import let
 from .corpus import RAW
 from .xml import country_table, parse_articles
 
-_ROOT = "`_article-type` string, `_xml:lang` string, front string, body string, _corrupt string"
 _AFF = "aff array<string>"
-_FRONT = f"""`journal-meta` array<struct<`journal-title-group` array<struct<`journal-title` array<string>>>>>,
+_FRONT = f"""struct<`journal-meta` array<struct<`journal-title-group` array<struct<`journal-title` array<string>>>>>,
     `article-meta` array<struct<`article-id` array<struct<`_pub-id-type` string, _VALUE string>>, `title-group` array<struct<`article-title` array<string>>>, {_AFF},
-        `contrib-group` array<struct<{_AFF}, contrib array<struct<{_AFF}>>>>, `pub-date` array<struct<`_pub-type` string, `_date-type` string, parts array<string>>>>>, _corrupt string"""
+        `contrib-group` array<struct<{_AFF}, contrib array<struct<{_AFF}>>>>, `pub-date` array<struct<`_pub-type` string, `_date-type` string, parts array<string>>>>>>"""
+_ROOT = f"`_article-type` string, `_xml:lang` string, front {_FRONT}, body struct<sec array<string>>, _corrupt string"
 #: Python's white space.
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
 #: What Spark's parser and the one of xml.py may see in different ways, or what can't be taken apart as text.
@@ -76,10 +76,10 @@ def country_at_end(address: Column, names: Column, most: int) -> Column:
 
 
 def _record(x: Column, names: Column, most: int) -> dict[str, Column]:
-    """The fields of a record from the parsed front (f), body and attributes of an article; names and most as for country_at_end()."""
-    metas = F.coalesce(x["f"]["article-meta"], F.array())
+    """The fields of a record from the parsed front and attributes of an article; names and most as for country_at_end()."""
+    metas = F.coalesce(x["front"]["article-meta"], F.array())
     each = lambda rows, name: F.flatten(F.transform(rows, lambda r: F.coalesce(r[name], F.array())))
-    journal = each(each(F.coalesce(x["f"]["journal-meta"], F.array()), "journal-title-group"), "journal-title")
+    journal = each(each(F.coalesce(x["front"]["journal-meta"], F.array()), "journal-title-group"), "journal-title")
     ids = each(metas, "article-id")
     groups = each(metas, "contrib-group")
     affs = [each(metas, "aff"), each(groups, "aff"), each(each(groups, "contrib"), "aff")]
@@ -92,8 +92,8 @@ def _record(x: Column, names: Column, most: int) -> dict[str, Column]:
     day = F.coalesce(*[_first(k) for k in kinds])
     whole = lambda t: F.regexp_replace(plain(t), f"^{_BLANK}|{_BLANK}$", "")
     parts = F.filter(F.transform(F.coalesce(day["parts"], F.array()), whole), lambda t: t != "")
-    # abstracts hold no abstracts; what the parser gives has no empty tags
-    abstracts = F.regexp_extract_all(F.coalesce(x["front"], F.lit("")), F.lit(r"(?s)<abstract(?:\s(?:(?!=\"graphical\")[^>])*)?>(.*?)</abstract>"), F.lit(1))
+    # they hold no others, and stand nowhere else in a front
+    abstracts = F.regexp_extract_all(x["head"], F.lit(r"(?s)<abstract(?:\s(?:(?!=\s*[\"']graphical[\"'])[^>])*)?>(.*?)</abstract>"), F.lit(1))
     return {
         "article-type": x["_article-type"],
         "language": x["_xml:lang"],
@@ -140,23 +140,21 @@ def _taken_apart(files: DataFrame) -> DataFrame:
     text = F.col("content").cast("string")
     files = files.select(*own, text.alias("_text"), F.instr(text, "<article").alias("_at"))
     root, prolog = F.expr("substring(_text, _at)"), F.expr("substring(_text, 1, _at - 1)")
-    head = r"(?i)^\x{FEFF}?\s*(<\?xml(?:(?!encoding)[^>])*(encoding=[\"']utf-8[\"'](?:[^>])*)?\?>)?\s*(<!DOCTYPE[^>\[]*>)?\s*$"
-    even = F.is_valid_utf8(F.coalesce("_text", F.lit(""))) & (F.col("_at") > 0) & prolog.rlike(head)
+    opening = r"(?i)^\x{FEFF}?\s*(<\?xml(?:(?!encoding)[^>])*(encoding=[\"']utf-8[\"'](?:[^>])*)?\?>)?\s*(<!DOCTYPE[^>\[]*>)?\s*$"
+    even = F.is_valid_utf8(F.coalesce("_text", F.lit(""))) & (F.col("_at") > 0) & prolog.rlike(opening)
     for pattern in _ODD:
         even = even & ~root.rlike(pattern)
-    files = files.select(*own, F.when(even, _parsed(root, _ROOT)).alias("r"))
-    body = F.col("r.body")
-    before = F.when(body.rlike(r"<sec[\s>]"), F.regexp_extract(body, r"(?s)^(.*?)<sec[\s>]", 1)).otherwise(body)
-    files = files.select(
-        *own, "r", _parsed(F.concat(F.lit("<front>"), F.coalesce("r.front", F.lit("")), F.lit("</front>")), _FRONT).alias("f"),
-        _parsed(F.concat(F.lit("<b>"), F.coalesce(body, F.lit("")), F.lit("</b>")), "sec array<string>, _corrupt string").alias("b"),
-        _parsed(F.concat(F.lit("<b>"), F.coalesce(before, F.lit("")), F.lit("</b>")), "parts array<string>, _corrupt string").alias("a"),
-    )
-    secs = F.coalesce("b.sec", F.array())
+    # what comes before the first section of the body, and the front without empty abstracts, as they are written
+    before = F.regexp_extract(root, r"(?s)<body(?:\s[^>]*)?(?<!/)>(.*?)(?:<sec[\s/>]|</body>)", 1)
+    head = F.regexp_replace(F.regexp_extract(root, r"(?s)^(.*?)</front>", 1), r"<abstract(?:\s[^>]*)?/>", "")
+    files = files.select(*own, F.when(even, _parsed(root, _ROOT)).alias("r"), F.when(even, before).alias("before"), F.when(even, head).alias("head"))
+    some = F.col("r.body").isNotNull() & (F.length("before") > 0)
+    files = files.select(*own, "r", "head", F.when(some, _parsed(F.concat(F.lit("<b>"), F.col("before"), F.lit("</b>")), "parts array<string>, _corrupt string")).alias("a"))
+    secs = F.coalesce("r.body.sec", F.array())
     # a title with markup, none at the start, or several: told by the other parser
     clear = F.forall(secs, lambda s: (F.regexp_count(s, F.lit(r"<title[\s>]")) == 0) | (s.rlike(r"^\s*<title(?:\s[^>]*)?>[^<]+</title>") & ~F.regexp_replace(s, r"(?s)<sec[\s>].*", "").rlike(r"(?s)<title[\s>].*<title[\s>]")))
-    whole = F.col("r").isNotNull() & F.col("r._corrupt").isNull() & F.col("f._corrupt").isNull() & F.col("b._corrupt").isNull() & F.col("a._corrupt").isNull()
-    made = F.struct("r.*", "f", secs.alias("secs"), F.coalesce("a.parts", F.array()).alias("ahead"))
+    whole = F.col("r").isNotNull() & F.col("r._corrupt").isNull() & F.col("a._corrupt").isNull()
+    made = F.struct("r.`_article-type`", "r.`_xml:lang`", "r.front", "head", secs.alias("secs"), F.coalesce("a.parts", F.array()).alias("ahead"))
     return files.select(*own, F.when(F.coalesce(whole & clear, F.lit(False)), made).alias("x"))
 
 
