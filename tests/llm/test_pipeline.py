@@ -11,7 +11,7 @@ from lexdrift.llm.common import materialise  # noqa: E402
 
 def test_names():
     names = [n for n in registry.MODULES if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(driver.oracle_sql()) <= set(driver.queries()) and "pipeline" in driver.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram jaccard join", "mixing sources", "sentencepiece round trip"]
 
