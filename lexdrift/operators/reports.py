@@ -81,12 +81,14 @@ def overlay(report: DataFrame, published: DataFrame, months: int = 6) -> DataFra
     """Published estimates (date, section, estimate, mode, method) beside the report's rows (date, section, usage) of the same section, within
     some months of each other.
 
-    An interval join: each estimate goes to the months that it may lie near, so that rows meet by section and month, and the distance is tested after that.
+    An interval join: each of the report's rows, which are a bounded number of months and sections, goes to the months that estimates near it may be of, so that rows
+    meet by section and month, and the distance is tested after that. The report is broadcast, whatever the number of estimates, which stay where they are.
     """
     index = lambda d: F.year(d) * 12 + F.month(d)
-    p = published.withColumnRenamed("date", "published_on").withColumn("_i", F.explode(F.sequence(index(F.col("published_on")) - months - 1, index(F.col("published_on")) + months + 1)))
-    out = report.withColumn("_i", index(F.col("date"))).join(p, ["section", "_i"])
-    return out.where(F.abs(F.months_between("date", "published_on")) <= months).drop("_i")
+    near = report.withColumn("_i", F.explode(F.sequence(index(F.col("date")) - months - 1, index(F.col("date")) + months + 1)))
+    p = published.withColumnRenamed("date", "published_on").withColumn("_i", index(F.col("published_on")))
+    out = p.join(F.broadcast(near), ["section", "_i"]).where(F.abs(F.months_between("date", "published_on")) <= months)
+    return out.select(*report.columns, *[c for c in p.columns if c not in ("section", "_i")])
 
 
 def listed_share(papers: DataFrame, listed: list[str], *by: str, column: str = "journal") -> DataFrame:

@@ -189,6 +189,19 @@ def test_overlay_and_alignment(spark):
     assert {tuple(r) for r in wide.collect()} == {("p", 1, 3), ("q", 2, 4)}
 
 
+def test_overlay_broadcasts_the_report_alone(spark):
+    """Of report and estimates, it is the report that goes to all tasks, though the estimates seem small; they aren't repeated for the months around either."""
+    report = spark.createDataFrame([(f"2024-{m:02}-01", "a", 0.1 * m) for m in range(1, 13)], "date string, section string, usage double").withColumn("date", F.to_date("date"))
+    published = spark.range(2000).select(F.date_add(F.lit("2023-01-15").cast("date"), (F.col("id") % 900).cast("int")).alias("date"), F.lit("a").alias("section"), F.col("id").alias("estimate"))
+    got = reports.overlay(report, published)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    sent = text[text.index("BroadcastExchange") :]
+    assert text.count("BroadcastExchange") == 1 and "usage" in sent and "estimate" not in sent and text.count("Generate") == 1
+    near = report.crossJoin(published.withColumnRenamed("date", "published_on").withColumnRenamed("section", "_s")).where(F.abs(F.months_between("date", "published_on")) <= 6)
+    want = near.select("date", "section", "usage", "published_on", "estimate")
+    assert got.columns == ["date", "section", "usage", "published_on", "estimate"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_draws_by_brute_force(spark):
     """A crop is a run of the text's words and a sample some of its words in any order, each drawn anew by key and the same in reruns."""
     from collections import Counter
