@@ -78,3 +78,24 @@ def test_no_rows_and_no_profiles(spark, rows):
     assert language.profiles(none).collect() == []
     assert language.detect(none, language.profiles(rows)).collect() == []
     assert {r.language for r in language.detect(rows, language.profiles(none)).collect()} == {None}
+
+
+def test_texts_are_ranked_where_they_stand(spark, rows):
+    """Detection shuffles nothing, and profiles take apart different words only."""
+    known = language.profiles(rows)
+    plan = language.detect(rows, known, short="head", long="abstract")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    counted, first = plan.rindex("explode(filter(split"), plan.index("Aggregate [language")
+    assert first < counted and plan[:counted].count("Aggregate") == 2
+
+
+def test_equal_ranks_and_many_rows(spark):
+    """Equally frequent n-grams go by alphabet, letters beyond ASCII after the others; equally near languages too."""
+    texts = ["zz zz éé aa", "éa éa ab", "zé", None, "aa aa aa bb bb cc dd ee ff gg hh ii jj kk ll mm"]
+    df = spark.createDataFrame([(k, ("b", "a", None)[k % 3], texts[k % 5]) for k in range(60)], "doc_id long, language string, abstract string")
+    known = language.profiles(df)
+    want = {lang: ranks(Counter(g for k in range(60) if ("b", "a", None)[k % 3] == lang for g in by_hand(texts[k % 5]))) for lang in ("a", "b")}
+    out = {r.doc_id: (r.language, r.distance) for r in language.detect(df, known, least=1).collect()}
+    near = lambda t: min(((d, x) for d, x in [(nearest(t, {x: want[x]})) for x in want] if x), default=(None, None))
+    assert out == {k: near(texts[k % 5])[::-1] for k in range(60)}
