@@ -132,3 +132,30 @@ def test_parts_without_new_rows_are_not_read(spark, tmp_path):
     assert "PartitionFilters" in plan and "(year" in plan.split("PartitionFilters")[1][:200]
 
 
+
+
+def test_many_small_files_make_few_tasks(spark, tmp_path, monkeypatch):
+    """Files are looked at once a run, in a bounded number of tasks; more bytes make more tasks."""
+    for k in range(150):
+        folder = tmp_path / "in" / f"s{k % 2}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"PMC{1000000 + k}.xml").write_text("x" * 100)
+    monkeypatch.setattr(ingest, "DEALT", 1)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        seen, looked = [], []
+        own = ingest.listing
+        monkeypatch.setattr(ingest, "listing", lambda *a: looked.append(a) or own(*a))
+
+        def parse(files):
+            seen.append(files.rdd.getNumPartitions())
+            return files.select("segment", F.length("content").alias("n"))
+
+        assert ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), parse)["files"] == 150
+        assert len(looked) == 1 and seen == [cores] and spark.read.parquet(str(tmp_path / "out")).count() == 150
+        monkeypatch.setattr(ingest, "TASK_BYTES", 500)
+        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "again"), parse)
+        assert seen[1] == 30
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
