@@ -70,3 +70,11 @@ def test_regular_files_stay_on_the_jvm(spark, small):
     assert irregular(frame(spark, REGULAR)).count() == 0
     assert {r["path"] for r in irregular(frame(spark, ODD)).collect()} == {*ODD, "null"}
     assert irregular(xml_articles(spark, small)).count() == 0
+
+
+def test_the_queries_look_at_each_article_once(spark, small):
+    """The text of an article is made and parsed once: one scan of the documents and one step in Python, and no column of Spark's parser."""
+    from lexdrift.plans.queries import QUERIES
+
+    plan = QUERIES["xml_records"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("MapInArrow") == 1 and "from_xml" not in plan
