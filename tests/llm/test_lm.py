@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import documents, empty
 
 from lexdrift.llm import lm
@@ -101,3 +102,50 @@ def test_long_pieces_are_in_the_vocabulary():
     sp = sentencepiece.SentencePieceProcessor(model_file=lm.model_path())
     long = {p for p in (sp.id_to_piece(i).replace(lm.SPACE, " ").encode() for i in range(sp.vocab_size()) if not sp.is_byte(i)) if len(p) > 24 and b" " not in p[1:]}
     assert long and long <= set(lm.vocabulary(lm.model_path())[0])
+
+
+def test_expected_counts_by_brute_force():
+    logp = np.log(np.linspace(0.05, 0.2, len(NAMES)))
+    want = np.zeros(len(NAMES))
+    p = dict(zip(NAMES, logp, strict=True))
+    words = [b"abba", b"ab", b"ba"]
+    for w in words:
+        text, total = b" " + w, math.exp(brute(NAMES, logp, w))
+        for k in range(len(text)):
+            for cuts in itertools.combinations(range(1, len(text)), k):
+                parts = [text[a:b] for a, b in zip((0, *cuts), (*cuts, len(text)), strict=True)]
+                if all(x in p for x in parts):
+                    for x in parts:
+                        want[NAMES.index(x)] += math.exp(sum(p[y] for y in parts)) / total
+    assert np.allclose(lm.Lattice(NAMES, logp).expected(words), want)
+
+
+@pytest.mark.parametrize("hot", [lm.HOT, 7])
+def test_a_fitted_model_by_hand(spark, monkeypatch, hot):
+    """A word's probability is its discounted share, and what is taken off times that of its segmentations; every word takes the chance that no end comes first."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    docs = documents(spark)
+    train = docs.where("at is null or at % 5 <> 1")
+    model = lm.Model(train, fitted=True)
+    counts, ends = Counter(), 0
+    for r in train.collect():
+        counts.update(lm.words_of((r.text or "").encode()))
+        ends += 1
+    m, lattice = sum(counts.values()), lm.Lattice(*model.pieces)
+    assert abs(np.exp(model.pieces[1]).sum() - 1) < 1e-9
+    end = (ends + 0.5) / (m + ends + 1)
+
+    def one(w):
+        taken = (lm.DISCOUNT * len(counts) + 1) / (m + 1)
+        return math.log10(1 - end) + (np.logaddexp(math.log(taken) + lattice.score([w])[0], math.log((counts[w] - lm.DISCOUNT) / (m + 1)) if counts[w] else -np.inf)) / math.log(10)
+
+    want = sorted((r.doc_id or -1, math.log10(end) + sum(map(one, lm.words_of((r.text or "").encode())))) for r in docs.collect())
+    got = sorted((r.doc_id or -1, r.score) for r in lm.score(docs, model).collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
+
+
+def test_held_out_texts_near_the_base(spark, small):
+    """The model spells unknown words, which the base score has at the share of half a token, and yet it isn't far below on texts that it hasn't seen."""
+    got = lm.query(spark, small).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    print("held-out log10 a token: %.2f, base %.2f" % tuple(got))
+    assert got[0] > 1.5 * got[1]
