@@ -194,6 +194,33 @@ def test_rounds_divide_a_template(spark):
     assert (x == y).all()
 
 
+def test_unrelated_sets_of_a_region_are_cut_apart(spark, monkeypatch):
+    """Sets that met by chance, each sharing a few items with others, aren't compared all with all; those that link stay together."""
+    made = []
+    real = jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda rows, cell: (lambda df: made.append(df.count()) or df)(real(rows, cell)))
+    rng = np.random.default_rng(3)
+    sets = [np.concatenate([rng.integers(0, 1 << 60, 84), rng.integers(0, 16_000, 16)]).astype(np.uint64) for _ in range(4000)]
+    for k in range(200):
+        sets[20 * k + 1] = np.concatenate([sets[20 * k][:95], rng.integers(0, 1 << 60, 5).astype(np.uint64)])
+    sets = [np.unique(s) for s in sets]
+    found = jaccard.link_regions(as_regions(spark, sets), 75).collect()
+    assert {tuple(sorted(x)) for x in found} == {(20 * k, 20 * k + 1) for k in range(200)}
+    assert sum(made) < 4000, made
+
+
+def test_noisy_frequencies_lose_no_link(spark):
+    """With a sketch of few cells, regions grow together, and nothing else changes."""
+    docs = family(spark).select("text", "doc_id")
+    read, total = jaccard._of_texts(5), 10_000
+    whole, coarse = (jaccard._meeting(docs.select("text"), read, total, 75, cells) for cells in (jaccard.CELLS, jaccard.BLOCK))
+    ids = {r.doc_id: r["class"] for r in jaccard.members(docs, 5).collect()}
+    for met in (whole, coarse):
+        root = {r.node: r.root for r in met.collect()}
+        for i, _, c in brute([(r.doc_id, r.text) for r in docs.collect()]):
+            assert ids[i] == ids[c] or root[ids[i]] == root[ids[c]]
+
+
 def test_many_near_copies_in_bounded_rows(spark, monkeypatch):
     made = []
     real = jaccard._blocks
