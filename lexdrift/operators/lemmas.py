@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import DETACHED, IRREGULAR, LEMMAS, SPELLINGS
+from .frequency import BUCKETS
 
 
 def _fixed(word: Column, names: Mapping[str, str]) -> Column:
@@ -85,6 +86,28 @@ def rename(counts: DataFrame, spellings: DataFrame, lemmas: DataFrame) -> DataFr
     return out.join(lemmas.select(F.col("word").alias("_w"), F.col("new").alias("_l")), "_w", "left").withColumn("lemma", F.coalesce("_l", "_w")).drop("_a", "_w", "_l")
 
 
+def changed_words(spellings: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """(word, new) of the words that rename() changes: both steps as one table."""
+    words = spellings.select("word").unionByName(lemmas.select("word")).distinct()
+    return rename(words, spellings, lemmas).select("word", F.col("lemma").alias("new")).where("new <> word")
+
+
+def lemmatised(papers: DataFrame, changed: DataFrame, *keep: str, buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, keep, words) with the distinct lemmas of the papers' `words`. A doc_id that has several rows gets one, with the lemmas of them all.
+
+    Only words that change meet the table of changes (word, new): a sketch of bounded size, broadcast, sorts out most others where they are read. They come back to
+    their papers as arrays, so that a paper is shuffled once and as one row, and so are the few words that change.
+    """
+    at = F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("_at")
+    none = F.lit(None).cast("string")
+    found = papers.select("doc_id", *keep, F.explode("words").alias("word")).select("*", at)
+    found = found.join(F.broadcast(changed.select(at).distinct()), "_at", "left_semi").join(changed, "word")
+    rows = papers.select("doc_id", *keep, "words", none.alias("old"), none.alias("new"))
+    rows = rows.unionByName(found.select("doc_id", *keep, F.lit(None).cast("array<string>").alias("words"), F.col("word").alias("old"), "new"))
+    met = rows.groupBy("doc_id", *keep).agg(F.flatten(F.collect_list("words")).alias("words"), F.collect_list("old").alias("old"), F.collect_list("new").alias("new"))
+    return met.select("doc_id", *keep, F.array_union(F.array_except("words", "old"), "new").alias("words"))
+
+
 def count_sum(renamed: DataFrame, *period: str, least: int = 4) -> DataFrame:
     """Sum of the variants' counts: a paper with two variants counts twice, so that frequencies may exceed 1."""
     return renamed.groupBy("lemma", *period).agg(F.sum("n").alias("n")).where(F.length("lemma") >= least)
@@ -95,6 +118,12 @@ def count_union(renamed_postings: DataFrame, *period: str, least: int = 4) -> Da
     return renamed_postings.select("lemma", "doc_id", *period).distinct().groupBy("lemma", *period).agg(F.count(F.lit(1)).alias("n")).where(F.length("lemma") >= least)
 
 
+def count_lemmatised(papers: DataFrame, *period: str, least: int = 4) -> DataFrame:
+    """count_union() of papers that lemmatised() made: each has a lemma once, so nothing but counts is shuffled. Papers without a doc_id aren't counted."""
+    rows = papers.select("doc_id", *period, F.explode("words").alias("lemma")).where(F.length("lemma") >= least)
+    return rows.groupBy("lemma", *period).agg(F.count("doc_id").alias("n"))
+
+
 def surface_words(kept: DataFrame, lemmas: DataFrame) -> DataFrame:
     """The kept lemmas and all words that have one of them as lemma."""
     return kept.select("word").unionByName(lemmas.join(kept.select(F.col("word").alias("new")), "new").select("word")).distinct()

@@ -1,7 +1,13 @@
 import re
+import shutil
+
+import duckdb
+import pytest
 
 from lexdrift.functions.lists import DETACHED, IRREGULAR, LEMMAS, SPELLINGS
 from lexdrift.operators import frequency, lemmas
+from lexdrift.plans.oracles import ORACLES
+from lexdrift.plans.queries import QUERIES
 from lexdrift.sources import corpus
 
 KNOWN = "delve study class watch box shelf woman use find show criterion make plan analyse describe note showcase color colour modeled modelled organize organise center centre edema oedema defense defence hour four for"
@@ -86,3 +92,55 @@ def test_no_words(spark):
     none = words(spark, "")
     assert pairs(lemmas.lemma_table(none, none)) == {} and pairs(lemmas.spelling_table(none, none)) == {}
     assert frequency.word_counts(none).collect() == []
+
+
+@pytest.mark.parametrize("buckets", [1, 1 << 20])
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_lemmas_of_papers(spark, buckets, threshold):
+    """Two variants in a paper are one; a doc_id with two rows is one paper; papers without words or without changes stay. Whatever the sketch lets through."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = [(1, ["colours", "color", "other"]), (1, ["colors", "more"]), (2, ["colours"]), (3, ["other", "color"]), (4, []), (5, None), (None, ["colours"])]
+        papers = spark.createDataFrame(rows, "doc_id long, words array<string>")
+        vocabulary = words(spark, "colours colors color other more")
+        changed = lemmas.changed_words(lemmas.spelling_table(vocabulary, vocabulary), lemmas.lemma_table(vocabulary, vocabulary))
+        assert pairs(changed) == {"colours": "color", "colors": "color"}
+        out = lemmas.lemmatised(papers, changed, buckets=buckets)
+        got = [(r.doc_id, sorted(r.words)) for r in out.collect()]
+        assert sorted(got, key=str) == [(1, ["color", "more", "other"]), (2, ["color"]), (3, ["color", "other"]), (4, []), (5, []), (None, ["color"])]
+        assert pairs(lemmas.count_lemmatised(out)) == {"color": 3, "other": 2, "more": 1}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["lemma_union", "lemma_sweep", "lemma_usage"])
+def test_postings_are_not_renamed_one_by_one(spark, small, name):
+    """Renaming tables of any size meet no posting in these queries, and postings aren't shuffled by paper and lemma: they read the papers' lemmas."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, small)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("/lemmatised-" in f for f in df.inputFiles()) and not any(f"/{t}-" in f for f in df.inputFiles() for t in ("spellings", "lemmas", "changed"))
+        dealt = [line.split("hashpartitioning(")[1].split(", 4)")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+        assert dealt and not [x for x in dealt if "doc_id" in x and ("lemma" in x or "word" in x)]
+        if name == "lemma_union":
+            assert len(dealt) == 1 and "Join" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_union_of_odd_papers(spark, small, tmp_path):
+    """Rows of one doc_id are one paper, rows without a doc_id are none, as in SQL."""
+    texts = [(1, "Colours and meetings, color"), (1, "colors; meeting meets"), (27, "colour meet"), (27, None), (2, ""), (None, "colours meeting"), (3, "studied studies study")]
+    docs = spark.createDataFrame([(k, t, "en", "src1") for k, t in texts], "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for t in ("nation", "region"):
+        shutil.copy(f"{small}/{t}.parquet", tmp_path)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df = QUERIES["lemma_union"](spark, str(tmp_path))
+    want = con.execute(ORACLES["lemma_union"])
+    names = [x[0] for x in want.description]
+    got = [tuple(r) for r in df.select(*names).collect()]
+    assert sorted(got, key=str) == sorted(want.fetchall(), key=str) and ("color", 2001, 2) in got
