@@ -78,3 +78,15 @@ def test_the_queries_look_at_each_article_once(spark, small):
 
     plan = QUERIES["xml_records"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("MapInArrow") == 1 and "from_xml" not in plan
+
+
+def test_articles_have_only_characters_of_xml(spark, tmp_path):
+    """What XML hasn't goes, as in the SQL, and so do characters beyond the first plane; the rest is as it was."""
+    texts = ["a\r\nb & <c>\td", "\x00x\x1f\ny\ufffe\uffffz", "\U0001f600 q\U0010ffff", "\ud7ff\ue000\ufffd", "", None, "plain\n\nlines"]
+    spark.createDataFrame([(8 * k + 1, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for tasks in (None, 3):
+        got = {r["pmc-id"]: r["sections"] for r in parse_articles(xml_articles(spark, str(tmp_path), tasks)).collect()}
+        lines = {str(8 * k + 1): "".join(c for c in t or "" if c in "\t\n" or " " <= c <= "\ud7ff" or "\ue000" <= c <= "\ufffd").split("\n") for k, t in enumerate(texts) if (8 * k + 1) % 7}
+        assert {k: [s.split(" ", 2 if s.startswith("Part ") else 1)[-1] for s in v if s not in ("Before.",)] for k, v in got.items() if k in lines} == {
+            k: [x or ("Intro", "Methods", "Results")[i] for i, x in enumerate(v)] for k, v in lines.items()
+        }

@@ -159,3 +159,45 @@ def test_many_small_files_make_few_tasks(spark, tmp_path, monkeypatch):
         assert seen[1] == 30
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def landed(top):
+    return sorted((p.parent.name, p.read_bytes().rstrip(b"\n")) for p in top.rglob("part-*.txt"))
+
+
+def test_local_files_are_landed_by_the_tasks(spark, tmp_path):
+    """A file for each row and nothing beside it, none lost when more come; another store gets the same from Spark's writer."""
+    rows = [(f"s{k % 3}", bytearray(f"row {k % 20}".encode())) for k in range(50)] + [("s0", bytearray("\u00e9 \U0001f600\nx".encode())), (None, bytearray(b"lost"))]
+    files = spark.createDataFrame(rows, "segment string, content binary").repartition(3)
+    want = sorted(("segment=" + (s or ingest.NONE), bytes(c)) for s, c in rows)
+    for top in (tmp_path / "a b%20c", tmp_path / "plain"):
+        ingest.land(files, top.as_uri() if top.name != "plain" else str(top))
+        assert landed(top) == want and len([p for p in top.rglob("*") if p.is_file()]) == len(rows)
+        ingest.land(files, top.as_uri() if top.name != "plain" else str(top))
+        assert landed(top) == sorted(want * 2)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.landing.link./in", tmp_path.as_uri())
+    ingest.land(files, "viewfs://landing/in/other")
+    assert landed(tmp_path / "other") == want
+
+
+def test_the_query_lands_articles_without_checksums(spark, small, tmp_path, monkeypatch):
+    """Hadoop's local writer makes a checksum beside each file, and a process for the permissions of either."""
+    from lexdrift.plans import queries
+
+    paths = iter([(tmp_path / "in").as_uri(), (tmp_path / "out").as_uri()])
+    monkeypatch.setattr(queries, "scratch", lambda spark: next(paths))
+    rows = queries.QUERIES["xml_ingest"](spark, small).collect()
+    files = [p.name for p in (tmp_path / "in").rglob("*") if p.is_file()]
+    assert len(files) == sum(r.n_papers for r in rows) and all(n.startswith("part-") for n in files)
+
+
+def test_files_are_listed_once_if_all_are_due(spark, folder, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    loads, own = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, *a, **k: loads.append(path) or own(self, path, *a, **k))
+    assert run(spark, folder)["files"] == 6 and len(loads) == 1
+    (folder / "in" / "PMC001xxxxxx" / "PMC1000007.xml").write_text(article(7))
+    assert run(spark, folder) == {"segments": 1, "files": 3, "gone": 0}
+    # of the others no file is opened
+    assert len(loads) == 3 and [p.rsplit("/", 1)[-1] for p in loads[2]] == ["PMC001xxxxxx"]
